@@ -77,10 +77,10 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: Column) -> Column:
     the bin it fell into and moved by at most one.
     """
     low, high = widened(lo, hi)
-    width = high - low
-    guess = F.least(bins - 1, F.floor((v - low) / width * bins).cast("int"))
-    edge = low + guess / bins * width
-    above = low + (guess + 1) / bins * width
+    step = (high - low) / bins
+    guess = F.least(bins - 1, F.floor((v - low) / step).cast("int"))
+    edge = low + guess * step
+    above = low + (guess + 1) * step
     return (
         F.when(v < edge, guess - 1)
         .when((v >= above) & (guess < bins - 1), guess + 1)

@@ -185,18 +185,22 @@ def has_web_scheme(c: Column) -> Column:
     return c.startswith("http://") | c.startswith("https://")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row.
+
+    Keeps long rules readable for the code generator, which would otherwise repeat
+    the value wherever it is used.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _host(url: Column) -> Column:
-    """Host name alone: no user, no port, no brackets."""
+    """Host name alone: no user, no port, no brackets, no dots at the ends."""
     net = F.regexp_replace(authority(url), "^.*@", "")
-    return F.when(net.startswith("["), F.regexp_extract(net, r"^\[([^\]]*)\]", 1)).otherwise(
+    name = F.when(net.startswith("["), F.regexp_extract(net, r"^\[([^\]]*)\]", 1)).otherwise(
         F.regexp_replace(net, ":.*$", "")
     )
-
-
-def _ipv4_number(host: Column) -> Column:
-    parts = F.split(host, r"\.")
-    octets = [F.try_element_at(parts, F.lit(i)).try_cast("long") for i in range(1, 5)]
-    return octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
+    return F.btrim(name, F.lit("."))
 
 
 def _number(text: str) -> int:
@@ -207,12 +211,19 @@ def _number(text: str) -> int:
 
 
 def _closed_ipv4(host: Column) -> Column:
-    number = _ipv4_number(host)
-    closed = F.lit(False)
-    for network, bits in CLOSED_IPV4:
-        first = _number(network)
-        closed = closed | number.between(first, first + (1 << (32 - bits)) - 1)
-    return closed & ~host.isin(list(OPEN_IPV4))
+    """Inside a closed block; ``host`` is a dotted address."""
+
+    def in_block(number: Column) -> Column:
+        closed = F.lit(False)
+        for network, bits in CLOSED_IPV4:
+            first = _number(network)
+            closed = closed | number.between(first, first + (1 << (32 - bits)) - 1)
+        return closed
+
+    number = F.aggregate(
+        F.split(host, r"\."), F.lit(0).cast("long"), lambda total, part: total * 256 + part.try_cast("long")
+    )
+    return _let(number, in_block) & ~host.isin(list(OPEN_IPV4))
 
 
 def _closed_ipv6(host: Column) -> Column:
@@ -223,16 +234,11 @@ def _closed_ipv6(host: Column) -> Column:
         host.rlike(IPV6_GROUPS)
         & ~host.contains(":::")
         & ~host.rlike("::.*::")
-        & F.when(double, colons <= 7).otherwise((colons == 7) & ~host.rlike("(^:|:$)"))
+        & F.when(double, colons <= 7).otherwise(colons == 7)
         & ~host.rlike("(^:[^:]|[^:]:$)")
     )
-    closed = ~host.rlike(GLOBAL_IPV6)
-    for pattern in CLOSED_IPV6:
-        closed = closed | host.rlike(pattern)
-    opened = F.lit(False)
-    for pattern in OPEN_IPV6:
-        opened = opened | host.rlike(pattern)
-    return ~shape | (closed & ~opened)
+    closed = ~host.rlike(GLOBAL_IPV6) | host.rlike("|".join(CLOSED_IPV6))
+    return ~shape | (closed & ~host.rlike("|".join(OPEN_IPV6)))
 
 
 def url_safety(c: Column) -> Column:
@@ -242,24 +248,33 @@ def url_safety(c: Column) -> Column:
     expressions; IPv6 is judged by its leading groups.
     """
     url = strip(c)
-    kind = scheme(url)
-    host = F.btrim(_host(url), F.lit("."))
-    bracketed = authority(url).contains("[")
-    suffix = F.lit(False)
-    for s in BLOCKED_SUFFIXES:
-        suffix = suffix | host.endswith(s)
-    reason = (
-        F.when(F.coalesce(url, F.lit("")) == "", F.lit("URL is empty or invalid"))
+    parts = F.struct(
+        F.coalesce(url, F.lit("")).alias("url"),
+        F.coalesce(scheme(url), F.lit("")).alias("scheme"),
+        F.coalesce(_host(url), F.lit("")).alias("host"),
+        F.coalesce(authority(url).contains("["), F.lit(False)).alias("bracketed"),
+    )
+    reason = _let(parts, _refusal)
+    return F.struct(reason.isNull().alias("is_safe"), reason.alias("reason"))
+
+
+def _refusal(p: Column) -> Column:
+    """Why a URL is refused, null when it is not."""
+    host = p["host"]
+    internal = host.rlike("(" + "|".join(s.replace(".", r"\.") for s in BLOCKED_SUFFIXES) + ")$")
+    return (
+        F.when(p["url"] == "", F.lit("URL is empty or invalid"))
         .when(
-            ~kind.isin("http", "https"),
-            F.concat(F.lit("Unsupported URL scheme: "), kind, F.lit(". Only HTTP/HTTPS permitted.")),
+            ~p["scheme"].isin("http", "https"),
+            F.concat(F.lit("Unsupported URL scheme: "), p["scheme"], F.lit(". Only HTTP/HTTPS permitted.")),
         )
         .when(host == "", F.lit("Missing hostname in URL"))
         .when(host.isin(list(BLOCKED_HOSTS)), F.concat(F.lit("Blocked target host: "), host))
-        .when(suffix, F.concat(F.lit("Internal domains are prohibited: "), host))
+        .when(internal, F.concat(F.lit("Internal domains are prohibited: "), host))
         .when(
-            F.when(bracketed, _closed_ipv6(host)).otherwise(host.rlike(IPV4) & _closed_ipv4(host)),
+            F.when(p["bracketed"], _closed_ipv6(host))
+            .when(host.rlike(IPV4), _closed_ipv4(host))
+            .otherwise(F.lit(False)),
             F.concat(F.lit("Access to private/loopback IP "), host, F.lit(" is blocked")),
         )
     )
-    return F.struct(reason.isNull().alias("is_safe"), reason.alias("reason"))

@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..table import META_COLUMNS, col
 
 
-def scan_records(spark: SparkSession, path: str, dataset_id: Any = None, status: str | None = None) -> DataFrame:
+def scan_records(
+    spark: SparkSession,
+    path: str,
+    dataset_id: Any = None,
+    status: str | None = None,
+    dataset_column: str = "dataset_id",
+) -> DataFrame:
     """Records of a table, or of one dataset of a shared table.
 
     Write shared tables with ``partitionBy("dataset_id")``: the filter then skips
@@ -18,7 +24,7 @@ def scan_records(spark: SparkSession, path: str, dataset_id: Any = None, status:
     """
     df = spark.read.parquet(path)
     if dataset_id is not None:
-        df = df.where(F.col("dataset_id") == F.lit(dataset_id))
+        df = df.where(col(dataset_column) == F.lit(dataset_id))
     if status is not None:
         df = df.where(F.col("validation_status") == F.lit(status))
     return df

@@ -7,11 +7,13 @@ a job that dies half-way leaves no half version behind.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOG_SCHEMA = (
@@ -31,12 +33,12 @@ class VersionStore:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         """A log table; empty as long as nothing was written."""
-        folder = f"{self.path}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder)
 
     def log(self) -> DataFrame:
         return self._table("log", LOG_SCHEMA)
@@ -95,8 +97,6 @@ class VersionStore:
         affected: Callable[[DataFrame], int],
     ) -> int:
         """Run one change on the newest version and log it; returns the new number."""
-        import json
-
         current = self.read()
         count = affected(current)
         number = self.snapshot(apply(current), operation, f"{operation}: {count} records")
