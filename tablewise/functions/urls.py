@@ -70,6 +70,15 @@ OPEN_IPV6 = (
 IPV6_GROUPS = r"^([0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row.
+
+    Keeps long rules readable for the code generator, which would otherwise repeat
+    the value wherever it is used.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_scheme(c: Column) -> Column:
     """Stripped URL, ``https://`` put in front where no web scheme is written."""
     text = strip(c)
@@ -141,14 +150,23 @@ def _drop(pairs: Column, unwanted: Callable[[Column], Column]) -> Column:
 
 def clean_url(c: Column) -> Column:
     """URL in one spelling: scheme and host lower, no tracking, no trailing slash."""
+
+    def cleaned(url: Column) -> Column:
+        kept = _drop(
+            query_pairs(url),
+            lambda k: k.startswith(TRACKING_PREFIX) | k.isin(list(TRACKING_WORDS)),
+        )
+        query = F.array_join(F.transform(kept, _pair_text), "&")
+        return _let(query, lambda q: _assemble(url, F.regexp_replace(_bare_path(url), "/+$", ""), q))
+
     url = with_scheme(c)
-    kept = _drop(
-        query_pairs(url),
-        lambda k: k.startswith(TRACKING_PREFIX) | k.isin(list(TRACKING_WORDS)),
-    )
-    query = F.array_join(F.transform(kept, _pair_text), "&")
-    fixed = _assemble(url, F.regexp_replace(_bare_path(url), "/+$", ""), query)
-    return F.when((strip(c) == "") | _odd_brackets(url), c).otherwise(fixed)
+    return F.when((strip(c) == "") | _odd_brackets(url), c).otherwise(_let(url, cleaned))
+
+
+def is_url(c: Column) -> Column:
+    """True where a URL field has a host; null for null."""
+    url = with_scheme(c)
+    return (authority(url) != "") & ~_odd_brackets(url)
 
 
 def checked_url(c: Column) -> Column:
@@ -157,16 +175,19 @@ def checked_url(c: Column) -> Column:
     Repeated parameters are put next to each other, in the order in which their
     names appear first. A path of one slash stays.
     """
-    url = with_scheme(c)
-    kept = _drop(query_pairs(url), lambda k: k.startswith(TRACKING_PREFIX))
-    names = F.array_distinct(F.transform(kept, lambda p: p["key"]))
-    grouped = F.flatten(F.transform(names, lambda n: F.filter(kept, lambda p: p["key"] == n)))
-    query = F.array_join(F.transform(grouped, _pair_text), "&")
-    bare = _bare_path(url)
-    new_path = F.when(bare == "/", bare).otherwise(F.regexp_replace(bare, "/+$", ""))
-    return F.when(
-        (authority(url) != "") & ~_odd_brackets(url), _assemble(url, new_path, query)
-    )
+
+    def grouped(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+        return F.flatten(F.transform(names, lambda n: F.filter(pairs, lambda p: p["key"] == n)))
+
+    def normalised(url: Column) -> Column:
+        kept = _drop(query_pairs(url), lambda k: k.startswith(TRACKING_PREFIX))
+        query = F.array_join(F.transform(_let(kept, grouped), _pair_text), "&")
+        bare = _bare_path(url)
+        new_path = F.when(bare == "/", bare).otherwise(F.regexp_replace(bare, "/+$", ""))
+        return _let(query, lambda q: _assemble(url, new_path, q))
+
+    return F.when(is_url(c), _let(with_scheme(c), normalised))
 
 
 def _odd_brackets(url: Column) -> Column:
@@ -185,15 +206,6 @@ def has_web_scheme(c: Column) -> Column:
     return c.startswith("http://") | c.startswith("https://")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once per row.
-
-    Keeps long rules readable for the code generator, which would otherwise repeat
-    the value wherever it is used.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _host(url: Column) -> Column:
     """Host name alone: no user, no port, no brackets, no dots at the ends."""
     net = F.regexp_replace(authority(url), "^.*@", "")

@@ -230,7 +230,7 @@ def merge_groups(
         return F.coalesce(some, F.max(F.when(c == "", c)))
 
     keepers = ["dataset_id", "validation_status", "validation_errors", "created_at", "updated_at", "key_hash"]
-    aggs = [F.min_by(col(order), place).alias(order)]
+    aggs = [] if order == record_id else [F.min_by(col(order), place).alias(order)]
     aggs += [filled(f).alias(f) for f in fields]
     aggs += [F.min_by(col(c), place).alias(c) for c in keepers if c in df.columns and c not in fields]
     if "source_count" in df.columns:

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.hashing import key_hash
 from ..functions.numbers import is_numeric, num_loose
 from ..functions.text import collapse, comma_list, is_email, parse_boolean, strip
-from ..functions.urls import checked_url
+from ..functions.urls import checked_url, is_url
 from ..plans.plan import match_column
-from ..scale import SMALL_ROWS, spread_join
+from ..scale import SMALL_ROWS, cut_lineage, spread_join
 from ..table import as_text, col, is_text
 from .dedup import dedup_ingest, default_keys
-from .profile import NUMBER_TYPES, Field
+from .profile import NUMBER_TYPES, Field, one_row
 
 ERROR_TYPE = T.StructType(
     [
@@ -37,10 +37,6 @@ def _problem(field: str, kind: str, message: Column, severity: str) -> Column:
     ).cast(ERROR_TYPE)
 
 
-def _when(condition: Column, problem: Column) -> Column:
-    return F.when(condition, problem)
-
-
 def _typed(df: DataFrame, name: str, field: Field) -> tuple[Column, Column | None]:
     """Normalised value of a present cell and the problem it has, if any."""
     dtype = df.schema[name].dataType
@@ -55,23 +51,22 @@ def _typed(df: DataFrame, name: str, field: Field) -> tuple[Column, Column | Non
             return col(name).cast("int").cast("double"), None
         number = num_loose(text)
         message = F.concat(F.lit("No number in '"), text, F.lit("'"))
-        return number, _when(number.isNull(), _problem(field.name, "invalid_number", message, "warning"))
+        return number, F.when(number.isNull(), _problem(field.name, "invalid_number", message, "warning"))
     if kind == "url":
         if not is_text(dtype):
             message = F.lit(f"Expected URL text, got {dtype.simpleString()}")
             return text, _problem(field.name, "invalid_url", message, "error")
-        url = checked_url(text)
         message = F.concat(F.lit("Malformed URL '"), text, F.lit("'"))
         return (
-            F.coalesce(url, text),
-            _when(url.isNull(), _problem(field.name, "invalid_url", message, "warning")),
+            F.coalesce(checked_url(text), text),
+            F.when(~is_url(text), _problem(field.name, "invalid_url", message, "warning")),
         )
     if kind == "email":
         good = is_email(text) if is_text(dtype) else F.lit(False)
         message = F.concat(F.lit("Invalid e-mail '"), text, F.lit("'"))
         return (
             F.when(good, F.lower(text)).otherwise(text),
-            _when(~good, _problem(field.name, "invalid_email", message, "warning")),
+            F.when(~good, _problem(field.name, "invalid_email", message, "warning")),
         )
     if kind == "boolean":
         if isinstance(dtype, T.BooleanType):
@@ -214,9 +209,10 @@ def ingest(
     meta = [c for c in (order, "source_url", "page_title", "domain", "evidences") if c in raw.columns]
     with_evidence = complete_evidence(raw, names)
     meta = list(dict.fromkeys(meta + ["evidences"]))
-    checked = validate(with_evidence, fields, keep=meta)
+    # Every later step reads the validated candidates, most of them a few columns.
+    checked = cut_lineage(validate(with_evidence, fields, keep=meta).withColumn("key_hash", key_hash(keys, names)))
     accepted, rejected = split_rejected(checked)
-    accepted = accepted.withColumn("key_hash", key_hash(keys, names))
+    rejected = rejected.drop("key_hash")
 
     unique = dedup_ingest(accepted.drop("evidences"), order, keys, names)
     kept = unique.orderBy(order).limit(limit)
@@ -259,9 +255,7 @@ def ingest_metrics(checked: DataFrame, unique: DataFrame, limit: int) -> DataFra
         F.count(F.lit(1)).alias("unique_records"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates_merged"),
     )
-    from .profile import _facts
-
-    return _facts([status, folded]).select(
+    return one_row([status, folded]).select(
         "*",
         F.least(F.col("unique_records"), F.lit(limit)).alias("records_saved"),
         F.when(F.col("records_rejected") > 0, "completed_with_errors")

@@ -299,7 +299,7 @@ def _status(df: DataFrame) -> Column:
     return col("validation_status")
 
 
-def _facts(parts: Sequence[DataFrame]) -> DataFrame:
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
     """One row with the values of several one-row frames, all of them whole numbers."""
     long = [
         p.select(
@@ -330,7 +330,7 @@ def profile_overview(df: DataFrame, sources: int = 0, columns: Sequence[str] | N
         F.count(F.when(status == "valid_with_warnings", 1)).alias("records_with_warnings"),
         F.count(F.when(status == "invalid", 1)).alias("invalid_records"),
     )
-    facts = _facts([counts, distinct_records(df, names)])
+    facts = one_row([counts, distinct_records(df, names)])
     return facts.select(
         "total_records",
         F.lit(len(names)).cast("long").alias("total_columns"),
@@ -409,7 +409,7 @@ def quality_facts(
         .otherwise(F.col("backed"))
         .alias("with_sources"),
     )
-    return _facts([folded, distinct_records(df, names)]).withColumn(
+    return one_row([folded, distinct_records(df, names)]).withColumn(
         "duplicates", F.col("records") - F.col("distinct_records")
     )
 

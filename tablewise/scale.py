@@ -3,16 +3,17 @@
 * ``spread_join``: equi-join whose hot keys are split over many tasks.
 * ``keep_first``: first row per key without a window over the key.
 * ``quantiles``: exact quantiles without gathering a column in one task.
-* ``cut_lineage``: reliable checkpoint in the folder the cluster names.
+* ``cut_lineage``: an intermediate table in the folder the cluster names.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # A table of at most this many rows is small: it cannot hold a hot key worth
 # splitting, and all its values fit in one task.
@@ -29,16 +30,24 @@ NULL_SPREAD = 4096
 SKETCH_ACCURACY = 10_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one in local runs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="tablewise-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to reliable storage; survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="tablewise-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The table written to shared storage once and read back.
+
+    Survives the loss of executors, and unlike a checkpoint each reader only loads
+    the columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tablewise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread_join(
@@ -234,8 +243,6 @@ def _values_at(narrow, wanted, bracket) -> dict[tuple[int, int], tuple[float, fl
                 picks.append((row["k"], row["slice"], rank - start, end))
     if not picks:
         return {}
-    from pyspark.sql import Window
-
     spark: SparkSession = narrow.sparkSession
     targets = spark.createDataFrame(picks, "k int, slice int, rank long, end int")
     ordered = Window.partitionBy("k", "slice").orderBy("v")
