@@ -17,6 +17,7 @@ from tablewise.operators.profile import (
     sample_values,
     top_values,
 )
+from tablewise.quantiles import quantiles
 from tablewise.operators.stats import (
     correlation_matrix,
     describe_numeric,
@@ -57,12 +58,24 @@ def describe_lineitem(spark, sf):
     return describe_numeric(table(spark, sf, "lineitem"))
 
 
-@query("describe_large_path", _describe("lineitem", ("l_quantity", "l_extendedprice", "l_discount")))
-def describe_large_path(spark, sf):
-    """Quartiles by bracket and running count, forced on a small table."""
-    return describe_numeric(
-        table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], small_rows=1000
-    )
+@query(
+    "quantiles_many_passes",
+    """select 'l_quantity' as "column", round(quantile_cont(cast(l_quantity as double), 0.1), 4) as p10,
+         round(quantile_cont(cast(l_quantity as double), 0.999), 4) as p999 from lineitem
+       union all select 'l_extendedprice', round(quantile_cont(l_extendedprice, 0.1), 4), round(quantile_cont(l_extendedprice, 0.999), 4) from lineitem
+       union all select 'spread', round(quantile_cont(exp(l_quantity), 0.1), 4), round(quantile_cont(exp(l_quantity), 0.999), 4) from lineitem""",
+)
+def quantiles_many_passes(spark, sf):
+    """Ranks narrowed over several passes, forced on a small table."""
+    df = table(spark, sf, "lineitem")
+    columns = {
+        "l_quantity": F.col("l_quantity").cast("double"),
+        "l_extendedprice": F.col("l_extendedprice"),
+        "spread": F.exp("l_quantity"),
+    }
+    found = quantiles(df, columns, [0.1, 0.999], few_rows=20, tiny_rows=20)
+    rows = [(n, *v) for n, v in found.items()]
+    return _rounded(spark.createDataFrame(rows, "column string, p10 double, p999 double"), "p10", "p999")
 
 
 @query(
@@ -164,14 +177,13 @@ def profile_orders(spark, sf):
 
 
 @query(
-    "profile_large_path",
+    "profile_lineitem",
     f"""select 'l_extendedprice' as column_name, count(*) as non_null_count,
         count(distinct l_extendedprice) as unique_count, round(median(l_extendedprice), 2) as median from lineitem""",
 )
-def profile_large_path(spark, sf):
-    """Medians of the profile by bracket and running count."""
+def profile_lineitem(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice")
-    out = profile_columns(df, "l_orderkey", small_rows=1000)
+    out = profile_columns(df, "l_orderkey")
     return out.where("column_name = 'l_extendedprice'").select(
         "column_name", "non_null_count", "unique_count", "median"
     )

@@ -51,7 +51,10 @@ def is_missing(c: Column, words: Iterable[str] = MISSING_PROFILE) -> Column:
     words = list(words)
     if not words:
         return c.isNull()
-    return c.isNull() | lowered(c).isin(words)
+    text = strip(c)
+    # The length test keeps long texts from being copied to lower case.
+    longest = max(len(w) for w in words)
+    return c.isNull() | ((F.octet_length(text) <= longest) & F.lower(text).isin(words))
 
 
 def is_empty(c: Column, textual: bool = True) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import compact_key
-from ..scale import SMALL_ROWS, quantiles
+from ..quantiles import quantiles
 from ..table import as_text, col, is_text, strict, value
 from .stats import _candidates, describe_numeric, outside, pairs_of, top_correlations
 
@@ -50,7 +50,7 @@ def _facts(df: DataFrame):
     return df.agg(*aggs).first()
 
 
-def insights(df: DataFrame, order: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def insights(df: DataFrame, order: str) -> DataFrame:
     """Insight rows: overview, extremes, dominant categories, outliers, correlations,
     missing-value alerts. Evidence values are text.
 
@@ -90,7 +90,7 @@ def insights(df: DataFrame, order: str, small_rows: int = SMALL_ROWS) -> DataFra
         )
     ]
     shown = numeric[:SHOWN_COLUMNS]
-    quarts = quantiles(df, {n: strict(df, n) for n in shown}, [0.25, 0.5, 0.75], rows, small_rows)
+    quarts = quantiles(df, {n: strict(df, n) for n in shown}, [0.25, 0.5, 0.75])
     parts += [_extremes(df, n, names, order, quarts[n][1]) for n in shown]
     parts += _categories(df, [n for n in names if n not in numeric], rows)
     for n in shown:
@@ -259,14 +259,14 @@ def _correlations(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     )
 
 
-def report_bundle(df: DataFrame, order: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def report_bundle(df: DataFrame, order: str) -> DataFrame:
     """(section, item, key, value): insights, descriptive statistics and the five
     strongest correlations as one long table."""
-    cards = insights(df, order, small_rows)
+    cards = insights(df, order)
     first = cards.select(
         F.lit("insights").alias("section"), F.col("title").alias("item"), F.explode("evidence").alias("key", "value")
     )
-    stats = describe_numeric(df, None, small_rows)
+    stats = describe_numeric(df)
     measures = [c for c in stats.columns if c != "column"]
     second = stats.select(
         "column", *[F.col(f"`{c}`").cast("string").alias(c) for c in measures]

@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.hashing import compact_key, content_hash
 from ..functions.numbers import bin_edge, bin_index, is_numeric, num_loose
 from ..functions.text import MISSING_PROFILE, is_missing, strip
 from ..functions.urls import has_web_scheme
-from ..scale import SMALL_ROWS, keep_first, quantiles
-from ..table import as_text, col, data_columns, is_text, long_form, loose
+from ..quantiles import Facts, quantiles
+from ..scale import keep_first
+from ..table import as_text, col, data_columns, is_text, long_form, loose, value
 
 LONG_TEXT = 256
 TOP_VALUES = 5
@@ -58,43 +59,88 @@ def merged_columns(df: DataFrame, fields: Sequence[Field]) -> list[str]:
     return names + [c for c in data_columns(df) if c not in names]
 
 
-def frequency(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+def _stacked(df: DataFrame, cells: dict[str, Column], order: str) -> DataFrame:
+    """(_order, column, value) of non-null cells of one type."""
+    names = list(cells)
+    narrow = df.select(
+        col(order).alias("_order"), *[cells[n].alias(f"c{i}") for i, n in enumerate(names)]
+    )
+    labels = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"c{i}", n)])
+    long = narrow.unpivot("_order", [f"c{i}" for i in range(len(names))], "_c", "value")
+    return long.where(F.col("value").isNotNull()).withColumn("column", labels[F.col("_c")]).drop("_c")
+
+
+def frequency(
+    df: DataFrame, columns: Sequence[str], order: str, numbers: Sequence[str] | None = None
+) -> DataFrame:
     """(column, key, n, first, len, num, web) of all non-missing values.
 
-    ``key`` is the value as text, or the SHA-256 of a long one, so whole documents
-    are not shuffled; number, length and scheme of a long text are taken before.
+    Whole and floating numbers are counted as such, so only distinct ones become
+    text. ``key`` of a text is the text, or the SHA-256 of a long one: documents are
+    not shuffled, and what a report needs of a long text is taken before.
+    ``numbers`` names the text columns whose loose numbers are wanted (default all).
     """
-    narrow = df.select(
-        col(order).alias("_order"), *[as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)]
-    )
-    long = narrow.unpivot("_order", [f"c{i}" for i in range(len(columns))], "_c", "value").where(
-        ~is_missing(F.col("value"), MISSING_PROFILE)
-    )
-    v = F.col("value")
-    is_long = F.length(v) > LONG_TEXT
-    counted = long.groupBy("_c", compact_key(v, LONG_TEXT).alias("key")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_order").alias("first"),
-        F.max(F.when(is_long, F.length(v))).alias("long_len"),
-        F.max(F.when(is_long, num_loose(v))).alias("long_num"),
-        F.max(F.when(is_long, has_web_scheme(v))).alias("long_web"),
-    )
-    key, short = F.col("key"), F.col("long_len").isNull()
-    typed = [f"c{i}" for i, c in enumerate(columns) if is_numeric(df.schema[c].dataType)]
-    texts = [f"c{i}" for i, c in enumerate(columns) if is_text(df.schema[c].dataType)]
-    number = F.when(F.col("_c").isin(typed), key.try_cast("double")).when(
-        F.col("_c").isin(texts), F.when(short, num_loose(key)).otherwise(F.col("long_num"))
-    )
-    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"c{i}", c)])
-    return counted.select(
-        names[F.col("_c")].alias("column"),
-        "key",
-        "n",
-        "first",
-        F.when(short, F.length(key)).otherwise(F.col("long_len")).alias("len"),
-        number.alias("num"),
-        F.when(short, has_web_scheme(key)).otherwise(F.col("long_web")).alias("web"),
-    )
+    whole, floating, text = {}, {}, {}
+    for c in columns:
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, T.IntegralType):
+            whole[c] = col(c).cast("long")
+        elif isinstance(dtype, T.DoubleType):
+            floating[c] = value(df, c)
+        else:
+            t = as_text(df, c)
+            text[c] = F.when(~is_missing(t, MISSING_PROFILE), t)
+    n, first = F.count(F.lit(1)).alias("n"), F.min("_order").alias("first")
+    key, v = F.col("key"), F.col("value")
+    parts = []
+    for cells in (whole, floating):
+        if not cells:
+            continue
+        counted = _stacked(df, cells, order).groupBy("column", "value").agg(n, first)
+        counted = counted.withColumn("key", v.cast("string"))
+        parts.append(
+            counted.select(
+                "column", "key", "n", "first", F.length(key).alias("len"), v.cast("double").alias("num"),
+                F.lit(False).alias("web"),
+            )
+        )
+    if text:
+        wanted = list(text) if numbers is None else [c for c in text if c in numbers]
+        typed = [c for c in wanted if is_numeric(df.schema[c].dataType)]
+        worded = [c for c in wanted if is_text(df.schema[c].dataType)]
+
+        def number(t: Column) -> Column:
+            found = F.lit(None).cast("double")
+            if worded:
+                found = F.when(F.col("column").isin(worded), num_loose(t)).otherwise(found)
+            if typed:
+                found = F.when(F.col("column").isin(typed), t.try_cast("double")).otherwise(found)
+            return found
+
+        is_long = F.length(v) > LONG_TEXT
+        counted = _stacked(df, text, order).groupBy("column", compact_key(v, LONG_TEXT).alias("key")).agg(
+            n,
+            first,
+            F.max(F.when(is_long, F.length(v))).alias("long_len"),
+            F.max(F.when(is_long, number(v))).alias("long_num"),
+            F.max(F.when(is_long, has_web_scheme(v))).alias("long_web"),
+        )
+        short = F.col("long_len").isNull()
+        parts.append(
+            counted.select(
+                "column",
+                "key",
+                "n",
+                "first",
+                F.when(short, F.length(key)).otherwise(F.col("long_len")).alias("len"),
+                F.when(short, number(key)).otherwise(F.col("long_num")).alias("num"),
+                F.when(short, has_web_scheme(key)).otherwise(F.col("long_web")).alias("web"),
+            )
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _ranked(freq: DataFrame, size: int, *order: Column, partition: str = "column") -> DataFrame:
@@ -131,56 +177,109 @@ def _whole_texts(df: DataFrame, picks: DataFrame, columns: Sequence[str], order:
     )
 
 
-def profile_columns(
-    df: DataFrame,
-    order: str,
-    fields: Sequence[Field] = (),
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Numbers:
+    """What one pass tells about the loose numbers of a column."""
+
+    non_null: int
+    count: int
+    low: float | None
+    high: float | None
+    mean: float | None
+
+    def qualifies(self, declared: str) -> bool:
+        enough = self.non_null > 0 and self.count >= max(1, int(0.7 * self.non_null))
+        return enough and (
+            declared in NUMBER_TYPES or declared == "string" and self.count == self.non_null
+        )
+
+
+def _reading(df: DataFrame, name: str) -> Column:
+    """Loose number of a non-missing cell."""
+    if is_text(df.schema[name].dataType):
+        return F.when(~is_missing(col(name), MISSING_PROFILE), loose(df, name))
+    return loose(df, name)
+
+
+def profile_columns(df: DataFrame, order: str, fields: Sequence[Field] = ()) -> DataFrame:
     """One row per column with counts, type, number and text statistics, top values
-    and samples. Declared columns that the table lacks are fully missing."""
+    and samples. Declared columns that the table lacks are fully missing.
+
+    One pass finds which columns are numeric, their medians are narrowed down, and
+    everything else comes from the frequency table.
+    """
     names = merged_columns(df, fields)
     declared = {f.name: f for f in fields}
     present = [c for c in names if c in df.columns]
     texts = [c for c in present if is_text(df.schema[c].dataType)]
-    facts = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.max(F.length(col(c))).alias(f"l{i}") for i, c in enumerate(texts)]
-    ).first()
-    rows = facts["rows"]
-    has_long = any((facts[f"l{i}"] or 0) > LONG_TEXT for i in range(len(texts)))
+    able = [c for c in present if c in texts or is_numeric(df.schema[c].dataType)]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs += [F.max(F.length(col(c))).alias(f"l{i}") for i, c in enumerate(texts)]
+    for i, c in enumerate(able):
+        v = _reading(df, c)
+        held = ~is_missing(col(c), MISSING_PROFILE) if c in texts else v.isNotNull()
+        aggs += [
+            F.count(F.when(held, 1)).alias(f"h{i}"),
+            F.count(v).alias(f"n{i}"),
+            F.min(v).alias(f"lo{i}"),
+            F.max(v).alias(f"hi{i}"),
+            F.avg(v).alias(f"m{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    rows = row["rows"]
+    has_long = any((row[f"l{i}"] or 0) > LONG_TEXT for i in range(len(texts)))
+    found = {
+        c: _Numbers(row[f"h{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"])
+        for i, c in enumerate(able)
+    }
+
+    def kind(c: str) -> str:
+        return declared[c].type if c in declared else "string"
 
+    numeric = [c for c in able if found[c].qualifies(kind(c))]
+    medians = quantiles(
+        df,
+        {c: _reading(df, c) for c in numeric},
+        [0.5],
+        {c: Facts(found[c].count, found[c].low, found[c].high) for c in numeric},
+    )
     entries = [
-        (c, i, declared[c].type if c in declared else "string",
-         declared[c].display if c in declared else Field(c).display, c in df.columns)
+        (
+            c, i, kind(c), (declared.get(c) or Field(c)).display, c in df.columns, c in numeric,
+            *((found[c].low, found[c].high, found[c].mean, medians[c][0]) if c in numeric else (None,) * 4),
+        )
         for i, c in enumerate(names)
     ]
     # One row per column.
     frame = df.sparkSession.createDataFrame(
-        entries, "column string, position int, declared string, label string, present boolean"
+        entries,
+        "column string, position int, declared string, label string, present boolean, numeric boolean,"
+        " lo double, hi double, avg double, med double",
     )
-    if not present:
-        return _profile_rows(frame, rows, None, None, None)
+    return _profile_rows(frame, rows, *_from_frequencies(df, present, order, rows, has_long))
 
-    freq = frequency(df, present, order)
-    n, num = F.col("n"), F.col("num")
-    aggs = [
+
+def _from_frequencies(df: DataFrame, present: Sequence[str], order: str, rows: int, has_long: bool):
+    """Counts, top values and samples per column."""
+    if not present:
+        spark = df.sparkSession
+        return (
+            spark.createDataFrame(
+                [], "column string, non_null long, unique long, min_len int, max_len int, avg_len double, urls long"
+            ),
+            spark.createDataFrame([], f"column string, top {TOP_TYPE}"),
+            spark.createDataFrame([], "column string, sample array<struct<place:int,value:string>>"),
+        )
+    freq = frequency(df, present, order, numbers=[])
+    n = F.col("n")
+    base = freq.groupBy("column").agg(
         F.sum(n).alias("non_null"),
         F.count(F.lit(1)).alias("unique"),
-        F.sum(F.when(num.isNotNull(), n)).alias("numbers"),
-        F.min(num).alias("lo"),
-        F.max(num).alias("hi"),
-        F.try_divide(F.sum(num * n), F.sum(F.when(num.isNotNull(), n))).alias("avg"),
         F.min("len").alias("min_len"),
         F.max("len").alias("max_len"),
         F.try_divide(F.sum(F.col("len") * n), F.sum(n)).alias("avg_len"),
         F.sum(F.when(F.col("web"), n)).alias("urls"),
-    ]
-    if rows <= small_rows:
-        aggs.append(F.expr("percentile(num, 0.5, n)").alias("med"))
-    base = freq.groupBy("column").agg(*aggs)
-    if rows > small_rows:
-        base = base.join(F.broadcast(_medians(df, present, rows, small_rows)), "column", "left")
-
+    )
     top, sample = top_values(freq), sample_values(freq)
     if has_long:
         top, sample = (_whole_texts(df, p, present, order) for p in (top, sample))
@@ -196,86 +295,50 @@ def profile_columns(
     sample = sample.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("place", F.col("key").alias("value")))).alias("sample")
     )
-    return _profile_rows(frame, rows, base, top, sample)
+    return base, top, sample
 
 
-def _medians(df: DataFrame, present: Sequence[str], rows: int, small_rows: int) -> DataFrame:
-    """Exact medians of the loose numbers of the columns, for large tables."""
-    able = [c for c in present if is_numeric(df.schema[c].dataType) or is_text(df.schema[c].dataType)]
-    readings = {
-        c: F.when(~is_missing(as_text(df, c), MISSING_PROFILE), loose(df, c)) for c in able
-    }
-    found = quantiles(df, readings, [0.5], rows, small_rows)
-    return df.sparkSession.createDataFrame(
-        [(c, v[0]) for c, v in found.items()], "column string, med double"
-    )
+TOP_TYPE = "array<struct<place:int,value:string,count:bigint,percentage:double>>"
 
 
-def _profile_rows(frame, rows, base, top, sample) -> DataFrame:
-    if base is None:
-        spark = frame.sparkSession
-        base = spark.createDataFrame(
-            [],
-            "column string, non_null long, unique long, numbers long, lo double, hi double, avg double,"
-            " min_len int, max_len int, avg_len double, urls long, med double",
-        )
-        top = spark.createDataFrame(
-            [],
-            "column string, top array<struct<place:int,value:string,count:long,percentage:double>>",
-        )
-        sample = spark.createDataFrame(
-            [], "column string, sample array<struct<place:int,value:string>>"
-        )
+def _profile_rows(frame: DataFrame, rows: int, base: DataFrame, top: DataFrame, sample: DataFrame) -> DataFrame:
+    # All of these hold one row per column.
     joined = (
         frame.join(F.broadcast(base), "column", "left")
         .join(F.broadcast(top), "column", "left")
         .join(F.broadcast(sample), "column", "left")
     )
     non_null = F.coalesce("non_null", F.lit(0))
-    numbers = F.coalesce("numbers", F.lit(0))
     declared = F.col("declared")
-    numeric = (
-        F.col("present")
-        & (non_null > 0)
-        & (numbers >= F.greatest(F.lit(1), F.floor(non_null * 0.7)))
-        & (declared.isin(list(NUMBER_TYPES)) | ((declared == "string") & (numbers == non_null)))
-    )
     url = F.col("present") & (F.lower("column").contains("url") | (declared == "url"))
     wordy = F.col("present") & ~F.col("numeric") & (non_null > 0)
-    return (
-        joined.withColumn("numeric", numeric)
-        .orderBy("position")
-        .select(
-            F.col("column").alias("column_name"),
-            F.col("label").alias("display_label"),
-            F.when(url, "url").when(F.col("numeric"), "number").otherwise(declared).alias("inferred_type"),
-            non_null.alias("non_null_count"),
-            (F.lit(rows) - non_null).alias("null_count"),
-            F.when(~F.col("present"), F.lit(100.0))
-            .otherwise(F.round((F.lit(rows) - non_null) * 100.0 / F.lit(max(rows, 1)), 1))
-            .alias("missing_percentage"),
-            F.coalesce("unique", F.lit(0)).alias("unique_count"),
-            (non_null - F.coalesce("unique", F.lit(0))).alias("duplicate_count"),
-            F.when(F.col("numeric"), F.round("lo", 2)).alias("min_value"),
-            F.when(F.col("numeric"), F.round("hi", 2)).alias("max_value"),
-            F.when(F.col("numeric"), F.round("avg", 2)).alias("mean"),
-            F.when(F.col("numeric"), F.round("med", 2)).alias("median"),
-            F.when(wordy, F.col("min_len")).alias("min_len"),
-            F.when(wordy, F.col("max_len")).alias("max_len"),
-            F.when(wordy, F.round("avg_len", 1)).alias("avg_len"),
-            F.when(~F.col("present"), F.lit(0.0))
-            .when(
-                url,
-                F.round(F.coalesce("urls", F.lit(0)) * 100.0 / F.greatest(non_null, F.lit(1)), 1),
-            )
-            .otherwise(F.lit(100.0))
-            .alias("valid_format_percentage"),
-            F.transform(
-                F.coalesce("top", F.array().cast("array<struct<place:int,value:string,count:bigint,percentage:double>>")),
-                lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"), t["percentage"].alias("percentage")),
-            ).alias("top_values"),
-            F.coalesce(F.col("sample.value"), F.array().cast("array<string>")).alias("sample_values"),
-        )
+    return joined.orderBy("position").select(
+        F.col("column").alias("column_name"),
+        F.col("label").alias("display_label"),
+        F.when(url, "url").when(F.col("numeric"), "number").otherwise(declared).alias("inferred_type"),
+        non_null.alias("non_null_count"),
+        (F.lit(rows) - non_null).alias("null_count"),
+        F.when(~F.col("present"), F.lit(100.0))
+        .otherwise(F.round((F.lit(rows) - non_null) * 100.0 / F.lit(max(rows, 1)), 1))
+        .alias("missing_percentage"),
+        F.coalesce("unique", F.lit(0)).alias("unique_count"),
+        (non_null - F.coalesce("unique", F.lit(0))).alias("duplicate_count"),
+        F.round("lo", 2).alias("min_value"),
+        F.round("hi", 2).alias("max_value"),
+        F.round("avg", 2).alias("mean"),
+        F.round("med", 2).alias("median"),
+        F.when(wordy, F.col("min_len")).alias("min_len"),
+        F.when(wordy, F.col("max_len")).alias("max_len"),
+        F.when(wordy, F.round("avg_len", 1)).alias("avg_len"),
+        F.when(~F.col("present"), F.lit(0.0))
+        .when(url, F.round(F.coalesce("urls", F.lit(0)) * 100.0 / F.greatest(non_null, F.lit(1)), 1))
+        .otherwise(F.lit(100.0))
+        .alias("valid_format_percentage"),
+        F.transform(
+            F.coalesce("top", F.array().cast(TOP_TYPE)),
+            lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"), t["percentage"].alias("percentage")),
+        ).alias("top_values"),
+        F.coalesce(F.col("sample.value"), F.array().cast("array<string>")).alias("sample_values"),
     )
 
 

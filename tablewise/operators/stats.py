@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import bin_index, is_numeric
 from ..functions.text import is_empty
-from ..scale import HOT_SHARE, SKETCH_ACCURACY, SMALL_ROWS, cut_lineage, quantiles
+from ..quantiles import Facts, quantiles
+from ..scale import HOT_SHARE, SKETCH_ACCURACY, SMALL_ROWS, cut_lineage
 from ..table import col, is_text, long_form, strict, value
 
 # Pairs of one correlation aggregation; more would outgrow generated code.
@@ -19,6 +21,11 @@ VALUE_SLICES = 256
 
 NUMERIC_CANDIDATES = ("boolean",)
 
+DESCRIBE_SCHEMA = (
+    "column string, count long, mean double, std double, min double, q25 double,"
+    " median double, q75 double, max double, null_count long"
+)
+
 
 def _candidates(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     """Columns that may hold strict numbers by their type."""
@@ -42,25 +49,15 @@ def number_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[
     return row["rows"], {n: row[f"n{i}"] for i, n in enumerate(names)}
 
 
-def describe_numeric(
-    df: DataFrame, columns: Sequence[str] | None = None, small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column that holds a number: count, mean, sample deviation,
-    extremes, quartiles, empty cells; four decimals."""
+    extremes, quartiles, empty cells; four decimals.
+
+    One aggregation for the moments, then the quartiles by narrowing.
+    """
     names = _candidates(df, columns)
     if not names:
         return _describe_schema(df)
-    rows = df.count()
-    probs = [0.25, 0.5, 0.75]
-    if rows <= small_rows:
-        quarter = {
-            n: F.percentile(strict(df, n), F.array(*[F.lit(p) for p in probs])) for n in names
-        }
-    else:
-        known = quantiles(df, {n: strict(df, n) for n in names}, probs, rows, small_rows)
-        quarter = {
-            n: F.array(*[F.lit(v).cast("double") for v in known[n]]) for n in names
-        }
     aggs: list[Column] = []
     for i, n in enumerate(names):
         v = strict(df, n)
@@ -73,50 +70,39 @@ def describe_numeric(
             F.max(v).alias(f"hi{i}"),
             F.count(F.when(is_empty(value(df, n), textual), 1)).alias(f"empty{i}"),
         ]
-        if rows <= small_rows:
-            aggs.append(quarter[n].alias(f"q{i}"))
-    one = df.agg(*aggs)
-
-    def q(i: int, n: str, k: int) -> Column:
-        source = F.col(f"q{i}") if rows <= small_rows else quarter[n]
-        return F.round(F.try_element_at(source, F.lit(k)), 4)
-
-    entries = [
+    row = df.agg(*aggs).first()
+    facts = {
+        n: Facts(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names) if row[f"n{i}"]
+    }
+    quarts = quantiles(df, {n: strict(df, n) for n in facts}, [0.25, 0.5, 0.75], facts)
+    # One row per column.
+    report = [
         (
             n,
-            {
-                "position": F.lit(i),
-                "count": F.col(f"n{i}"),
-                "mean": F.round(F.col(f"mean{i}"), 4),
-                "std": F.round(
-                    F.when(F.col(f"n{i}") > 1, F.col(f"std{i}")).otherwise(F.lit(0.0)), 4
-                ),
-                "min": F.round(F.col(f"lo{i}"), 4),
-                "q25": q(i, n, 1),
-                "median": q(i, n, 2),
-                "q75": q(i, n, 3),
-                "max": F.round(F.col(f"hi{i}"), 4),
-                "null_count": F.col(f"empty{i}"),
-            },
+            row[f"n{i}"],
+            row[f"mean{i}"],
+            row[f"std{i}"] if row[f"n{i}"] > 1 else 0.0,
+            row[f"lo{i}"],
+            *quarts[n],
+            row[f"hi{i}"],
+            row[f"empty{i}"],
         )
         for i, n in enumerate(names)
+        if n in facts
     ]
-    return long_form(one, entries).where(F.col("count") > 0).orderBy("position").drop("position")
+    out = df.sparkSession.createDataFrame(report, DESCRIBE_SCHEMA)
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "min", "q25", "median", "q75", "max")})
 
 
 def _describe_schema(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [],
-        "column string, count long, mean double, std double, min double, q25 double,"
-        " median double, q75 double, max double, null_count long",
-    )
+    return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
 
 
 def iqr_bounds(
-    df: DataFrame, columns: Sequence[str], rows: int | None = None, small_rows: int = SMALL_ROWS
+    df: DataFrame, columns: Sequence[str], facts: Mapping[str, Facts] | None = None
 ) -> dict[str, tuple[float, float, float, float] | None]:
     """(q1, q3, lower, upper) per column; None where the column has no number."""
-    found = quantiles(df, {n: strict(df, n) for n in columns}, [0.25, 0.75], rows, small_rows)
+    found = quantiles(df, {n: strict(df, n) for n in columns}, [0.25, 0.75], facts)
     bounds: dict[str, tuple[float, float, float, float] | None] = {}
     for n in columns:
         q1, q3 = found[n]
@@ -137,7 +123,6 @@ def outlier_report(
     order: str,
     columns: Sequence[str] | None = None,
     samples: int = 5,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """One row per numeric column: bounds, outlier count, first outlying values.
 
@@ -145,7 +130,7 @@ def outlier_report(
     each; per task only ``samples`` rows of a column reach the sort.
     """
     names = _candidates(df, columns)
-    bounds = {n: b for n, b in iqr_bounds(df, names, None, small_rows).items() if b}
+    bounds = {n: b for n, b in iqr_bounds(df, names).items() if b}
     if not bounds:
         return df.sparkSession.createDataFrame(
             [], "column string, lower_bound double, upper_bound double, outlier_count long,"
@@ -223,43 +208,76 @@ def number_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[
 
 
 def pairs_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    pairs = [
-        (a, names[j], i, j)
-        for i, a in enumerate(names)
-        for j in range(i + 1, len(names))
-    ]
+    """(position_a, position_b, column_a, column_b, r) of all pairs of ``names``.
+
+    A first pass takes count, mean and extremes of each column. Where neither column
+    of a pair has a gap, one sum of products around the means is enough; columns
+    share their own sums. Pairs with gaps get the covariance of their common rows.
+    """
     spark = df.sparkSession
+    schema = "position_a int, position_b int, column_a string, column_b string, r double"
+    if len(names) < 2:
+        return spark.createDataFrame([], schema)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(names):
+        v = strict(df, n)
+        aggs += [
+            F.count(v).alias(f"n{i}"),
+            F.avg(v).alias(f"mean{i}"),
+            F.min(v).alias(f"lo{i}"),
+            F.max(v).alias(f"hi{i}"),
+        ]
+    facts = df.agg(*aggs).first()
+    constant = {i for i in range(len(names)) if facts[f"lo{i}"] == facts[f"hi{i}"]}
+    gapless = {
+        i for i in range(len(names)) if facts[f"n{i}"] == facts["rows"] and math.isfinite(facts[f"mean{i}"] or 0.0)
+    }
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     parts: list[DataFrame] = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        used = sorted({i for p in chunk for i in p[2:]})
-        narrow = df.select(*[strict(df, names[i]).alias(f"v{i}") for i in used])
-        aggs: list[Column] = []
-        for k, (_, _, i, j) in enumerate(chunk):
-            a, b = F.col(f"v{i}"), F.col(f"v{j}")
-            both = a.isNotNull() & b.isNotNull()
-            a, b = F.when(both, a), F.when(both, b)
-            spread = F.stddev_pop(a) * F.stddev_pop(b)
-            aggs.append(F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0))).alias(f"r{k}"))
-        one = narrow.agg(*aggs)
+        used = sorted({i for p in chunk for i in p})
+        plain = [p for p in chunk if set(p) <= gapless and not set(p) & constant]
+        narrow = df.select(
+            *[strict(df, names[i]).alias(f"v{i}") for i in used],
+            *[
+                (strict(df, names[i]) - F.lit(facts[f"mean{i}"])).alias(f"d{i}")
+                for i in used
+                if i in gapless
+            ],
+        )
+        sums = [
+            F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s{i}") for i in sorted({i for p in plain for i in p})
+        ]
+        values: dict[tuple[int, int], Column] = {}
+        for i, j in chunk:
+            if (i, j) in plain:
+                sums.append(F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}_{j}"))
+                spread = F.sqrt(F.col(f"s{i}")) * F.sqrt(F.col(f"s{j}"))
+                values[i, j] = F.try_divide(F.col(f"p{i}_{j}"), spread)
+            elif {i, j} & constant:
+                values[i, j] = F.lit(None).cast("double")
+            else:
+                a, b = F.col(f"v{i}"), F.col(f"v{j}")
+                both = a.isNotNull() & b.isNotNull()
+                a, b = F.when(both, a), F.when(both, b)
+                spread = F.stddev_pop(a) * F.stddev_pop(b)
+                sums.append(F.try_divide(F.covar_pop(a, b), spread).alias(f"r{i}_{j}"))
+                values[i, j] = F.col(f"r{i}_{j}")
+        one = narrow.agg(*sums) if sums else spark.range(1)
         entries = F.array(
             *[
                 F.struct(
                     F.lit(i).alias("position_a"),
                     F.lit(j).alias("position_b"),
-                    F.lit(a).alias("column_a"),
-                    F.lit(b).alias("column_b"),
-                    F.col(f"r{k}").alias("r"),
+                    F.lit(names[i]).alias("column_a"),
+                    F.lit(names[j]).alias("column_b"),
+                    values[i, j].alias("r"),
                 )
-                for k, (a, b, i, j) in enumerate(chunk)
+                for i, j in chunk
             ]
         )
         parts.append(one.select(F.inline(entries)))
-    if not parts:
-        return spark.createDataFrame(
-            [],
-            "position_a int, position_b int, column_a string, column_b string, r double",
-        )
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
@@ -282,7 +300,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     numbers = df.agg(
         *[F.count(strict(df, n)).alias(f"n{i}") for i, n in enumerate(names)],
         *[
-            F.try_divide(F.stddev_pop(strict(df, n)), F.stddev_pop(strict(df, n))).alias(f"d{i}")
+            F.when(F.min(strict(df, n)) < F.max(strict(df, n)), F.lit(1.0)).alias(f"d{i}")
             for i, n in enumerate(names)
         ],
     )
@@ -296,7 +314,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
                             F.lit(i).alias("position_b"),
                             F.lit(n).alias("column_a"),
                             F.lit(n).alias("column_b"),
-                            F.round(F.col(f"d{i}"), 3).alias("r"),
+                            F.col(f"d{i}").alias("r"),
                             F.col(f"n{i}").alias("n"),
                         )
                         for i, n in enumerate(names)

@@ -18,6 +18,7 @@ from ..operators.stats import (
     outside,
     pairs_of,
 )
+from ..quantiles import number_facts, quantiles
 from ..scale import SMALL_ROWS
 from ..table import as_text, col, first_column, is_text, long_form, strict, value
 from .plan import Plan, bind
@@ -48,7 +49,7 @@ def run(df: DataFrame, plan: Plan, small_rows: int = SMALL_ROWS) -> Result:
     if plan.operation == "group_by":
         return _group_by(rows, plan, small_rows)
     if plan.operation == "aggregate":
-        return _aggregate(rows, plan, small_rows)
+        return _aggregate(rows, plan)
     if plan.operation == "sort_limit":
         return _sort_limit(rows, plan)
     if plan.operation == "filter":
@@ -56,7 +57,7 @@ def run(df: DataFrame, plan: Plan, small_rows: int = SMALL_ROWS) -> Result:
     if plan.operation == "distribution":
         return _distribution(rows, plan)
     if plan.operation == "outlier_detection":
-        return _outliers(rows, plan, small_rows)
+        return _outliers(rows, plan)
     if plan.operation == "correlation":
         return _correlation(rows, plan)
     if plan.operation == "missing_analysis":
@@ -73,12 +74,12 @@ def _one_row(df: DataFrame, **values) -> DataFrame:
     return df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
 
-def _number(df: DataFrame, name: str, agg: str, small_rows: int) -> Column:
+def _number(df: DataFrame, name: str, agg: str) -> Column:
     """Aggregate over the strict numbers of a column."""
     v = strict(df, name)
     if agg == "sum":
         return F.coalesce(F.sum(v), F.lit(0.0))
-    return {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[agg](v)
+    return {"mean": F.avg, "min": F.min, "max": F.max}[agg](v)
 
 
 def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
@@ -101,9 +102,7 @@ def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
                 F.count_distinct(strict(keyed, measure)).alias(name)
             )
         else:
-            grouped = keyed.groupBy(col(key)).agg(
-                _number(keyed, measure, agg, small_rows).alias(name)
-            )
+            grouped = keyed.groupBy(col(key)).agg(_number(keyed, measure, agg).alias(name))
     table = grouped.orderBy(directed(col(name), plan.sort_ascending), col(key)).limit(plan.limit)
     metrics = table.agg(
         F.lit(key).alias("group_column"),
@@ -113,7 +112,7 @@ def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
     return Result(table, metrics)
 
 
-def _aggregate(df: DataFrame, plan: Plan, small_rows: int) -> Result:
+def _aggregate(df: DataFrame, plan: Plan) -> Result:
     name = first_column(df, plan.target_columns[0] if plan.target_columns else None)
     agg = plan.aggregation_func or "count"
     v, c = strict(df, name), value(df, name)
@@ -122,13 +121,10 @@ def _aggregate(df: DataFrame, plan: Plan, small_rows: int) -> Result:
         computed = F.count(c).cast("double")
     elif agg == "distinct_count":
         computed = F.count_distinct(key).cast("double")
-    elif agg == "median" and df.count() > small_rows:
-        from ..scale import quantiles
-
-        computed = F.lit(quantiles(df, {name: v}, [0.5], None, small_rows)[name][0]).cast("double")
-        computed = F.max(computed)
+    elif agg == "median":
+        computed = F.max(F.lit(quantiles(df, {name: v}, [0.5])[name][0]).cast("double"))
     else:
-        computed = _number(df, name, agg, small_rows)
+        computed = _number(df, name, agg)
     one = df.agg(
         F.count(F.lit(1)).alias("total_records"),
         computed.alias("computed"),
@@ -241,14 +237,14 @@ def _message(df: DataFrame, text: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(text,)], "message string")
 
 
-def _outliers(df: DataFrame, plan: Plan, small_rows: int) -> Result:
+def _outliers(df: DataFrame, plan: Plan) -> Result:
     name = first_column(df, plan.target_columns[0] if plan.target_columns else None)
     v = strict(df, name)
-    numbers = df.agg(F.count(v).alias("n")).first()["n"]
-    if numbers < FEWEST_FOR_OUTLIERS:
+    facts = number_facts(df, {name: v})
+    if facts[name].count < FEWEST_FOR_OUTLIERS:
         text = "Insufficient numeric values for outlier detection"
         return Result(_message(df, text), _one_row(df, column=name))
-    q1, q3, lower, upper = iqr_bounds(df, [name], None, small_rows)[name]
+    q1, q3, lower, upper = iqr_bounds(df, [name], facts)[name]
     found = df.where(outside(v, lower, upper))
     tie = _tie(df, plan)
     table = (found.orderBy(*tie) if tie else found).limit(plan.limit)
