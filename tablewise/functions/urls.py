@@ -57,7 +57,6 @@ CLOSED_IPV6 = (
     r"^2001:0*([01]?[0-9a-f]{0,2})(:|$)",
     r"^2001:0*db8:",
     r"^2002:",
-    r"^3fff:0*[0-9a-f]{0,3}(:|$)",
 )
 # Registered ranges open inside 2001::/23.
 OPEN_IPV6 = (

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.numbers import is_floating, is_numeric
 from ..functions.text import MISSING_FILTER, contains_text, is_missing, lowered
-from ..table import as_text, is_text, loose, strict, value
+from ..table import as_text, col, is_text, loose, strict
 
 if TYPE_CHECKING:
     from ..plans.plan import Filter
@@ -29,45 +31,60 @@ def _number(text: Any) -> float | None:
 
 
 def query_predicate(df: DataFrame, f: Filter) -> Column | None:
-    """Predicate of a plan filter; None when the filter says nothing.
+    """Predicate of a plan filter, for ``where``; None when the filter says nothing.
 
     ``!=`` keeps nulls, all others drop them. Comparisons read strict numbers, and
-    a bound that is no number leaves the filter out.
+    a bound that is no number leaves the filter out. Predicates on typed columns
+    name the bare column, so they reach the Parquet reader.
     """
     if f.column not in df.columns:
         return None
-    c = value(df, f.column)
+    c, dtype = col(f.column), df.schema[f.column].dataType
     if f.operator == "is_null":
-        return c.isNull()
+        return c.isNull() | F.isnan(c) if is_floating(dtype) else c.isNull()
     if f.operator == "is_not_null":
-        return c.isNotNull()
+        return c.isNotNull() & ~F.isnan(c) if is_floating(dtype) else c.isNotNull()
     if f.operator in ("==", "!="):
-        same = _equal(df, f, c)
-        return same if f.operator == "==" else ~same
+        literal = _literal(dtype, f.value)
+        if literal is None:
+            return F.lit(f.operator == "!=")
+        return c == literal if f.operator == "==" else ~c.eqNullSafe(literal)
     if f.operator == "contains":
         return None if f.value is None else contains_text(as_text(df, f.column), str(f.value))
     if f.operator in COMPARISONS:
         bound = _number(f.value)
-        if bound is None:
-            return None
-        return COMPARISONS[f.operator](strict(df, f.column), F.lit(bound))
+        return None if bound is None else _compared(df, f.column, f.operator, bound)
     return None
 
 
-def _equal(df: DataFrame, f: Filter, c: Column) -> Column:
-    """Typed equality: text never equals a number; null equals nothing."""
-    if f.value is None:
+def _literal(dtype: T.DataType, value: Any) -> Column | None:
+    """The value as a literal that can equal a cell of the type, else None.
+
+    Text never equals a number. Dates and other types compare with the text that
+    writes them.
+    """
+    if value is None:
+        return None
+    if is_text(dtype):
+        return F.lit(value) if isinstance(value, str) else None
+    if is_numeric(dtype) or isinstance(dtype, T.BooleanType):
+        return None if isinstance(value, str) else F.lit(value)
+    return F.lit(str(value)).try_cast(dtype) if isinstance(value, str) else F.lit(value)
+
+
+def _compared(df: DataFrame, name: str, operator: str, bound: float) -> Column:
+    c, dtype = col(name), df.schema[name].dataType
+    if math.isnan(bound):
         return F.lit(False)
-    text_column = is_text(df.schema[f.column].dataType)
-    if text_column != isinstance(f.value, str):
-        # Dates and other types compare with text by their own reading of it.
-        if text_column or df.schema[f.column].dataType.typeName() in (
-            "integer", "long", "short", "byte", "float", "double", "decimal", "boolean",
-        ):
-            return F.lit(False)
-        literal = F.lit(str(f.value)).try_cast(df.schema[f.column].dataType)
-        return F.coalesce(c.eqNullSafe(literal) & c.isNotNull(), F.lit(False))
-    return F.coalesce(c == F.lit(f.value), F.lit(False))
+    if isinstance(dtype, T.IntegralType) and math.isfinite(bound) and abs(bound) < 2**62:
+        # The whole number on the same side, so that the column needs no cast.
+        whole = math.floor(bound) if operator in (">", "<=") else math.ceil(bound)
+        return COMPARISONS[operator](c, F.lit(whole))
+    if is_floating(dtype):
+        # NaN is null, but Spark sorts it above all numbers.
+        found = COMPARISONS[operator](c, F.lit(bound))
+        return found & ~F.isnan(c) if operator in (">", ">=") else found
+    return COMPARISONS[operator](strict(df, name), F.lit(bound))
 
 
 def apply_filters(df: DataFrame, filters: Iterable[Filter]) -> DataFrame:

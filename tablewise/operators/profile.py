@@ -61,13 +61,9 @@ def merged_columns(df: DataFrame, fields: Sequence[Field]) -> list[str]:
 
 def _stacked(df: DataFrame, cells: dict[str, Column], order: str) -> DataFrame:
     """(_order, column, value) of non-null cells of one type."""
-    names = list(cells)
-    narrow = df.select(
-        col(order).alias("_order"), *[cells[n].alias(f"c{i}") for i, n in enumerate(names)]
-    )
-    labels = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"c{i}", n)])
-    long = narrow.unpivot("_order", [f"c{i}" for i in range(len(names))], "_c", "value")
-    return long.where(F.col("value").isNotNull()).withColumn("column", labels[F.col("_c")]).drop("_c")
+    narrow = df.select(col(order).alias("_order"), *[c.alias(n) for n, c in cells.items()])
+    long = narrow.unpivot("_order", [col(n) for n in cells], "column", "value")
+    return long.where(F.col("value").isNotNull())
 
 
 def frequency(
