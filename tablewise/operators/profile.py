@@ -582,9 +582,12 @@ def field_distributions(
     start = F.when(single, lo).otherwise(bin_edge(lo, hi, bins, k))
     end = F.when(single, hi).otherwise(bin_edge(lo, hi, bins, k + 1))
     label = (
-        F.when(single, F.format_string("%.0f", F.col("bin_min")))
-        .when(F.col("bin_max") > 100, F.format_string("%,.0f - %,.0f", "bin_min", "bin_max"))
-        .otherwise(F.format_string("%.1f - %.1f", "bin_min", "bin_max"))
+        F.when(single, F.format_string("%.0f", F.bround("bin_min", 0)))
+        .when(
+            F.col("bin_max") > 100,
+            F.format_string("%,.0f - %,.0f", F.bround("bin_min", 0), F.bround("bin_max", 0)),
+        )
+        .otherwise(F.format_string("%.1f - %.1f", F.bround("bin_min", 1), F.bround("bin_max", 1)))
     )
     frames = (
         stats.where("numeric")

@@ -35,32 +35,30 @@ def as_variant(c: Column, dtype: T.DataType) -> Column:
 
 
 def envelope_fields(df: DataFrame, record: str = "record_data") -> dict[str, str]:
-    """Field names and types found in the records, by one aggregation.
+    """Field names and types found in the records, by one aggregation per field.
 
     The result grows with the number of fields, not with the rows.
     """
-    v = as_variant(col(record), df.schema[record].dataType)
-    text = df.select(F.schema_of_variant_agg(v)).first()[0]
-    if not text or not text.startswith("OBJECT<"):
-        return {}
-    fields: dict[str, str] = {}
-    depth, start, body = 0, 0, text[len("OBJECT<") : -1]
-    for i, ch in enumerate(body + ","):
-        depth += ch == "<"
-        depth -= ch == ">"
-        if ch == "," and depth == 0 or i == len(body):
-            name, kind = body[start:i].strip().split(": ", 1)
-            fields[name.strip("`")] = _spark_type(kind)
-            start = i + 1
-    return fields
+    opened = df.select(as_variant(col(record), df.schema[record].dataType).alias("r"))
+    found = df.sparkSession.sql(
+        "select e.key as name, schema_of_variant_agg(e.value) as kind"
+        " from {opened}, lateral variant_explode(r) e where e.key is not null group by e.key",
+        opened=opened,
+    )
+    return {row["name"]: _spark_type(row["kind"]) for row in found.orderBy("name").collect()}
 
 
 def _spark_type(kind: str) -> str:
     if kind.startswith("DECIMAL"):
         return "double"
-    known = {"BIGINT": "long", "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "BOOLEAN": "boolean"}
-    if kind in ("VOID",):
-        return "string"
+    known = {
+        "BIGINT": "long",
+        "DOUBLE": "double",
+        "FLOAT": "double",
+        "STRING": "string",
+        "BOOLEAN": "boolean",
+        "VOID": "string",
+    }
     return known.get(kind, "variant")
 
 
