@@ -18,16 +18,20 @@ from .transform import preview as preview_transform, transform
 
 @dataclass(frozen=True)
 class Change:
-    """The new version, its rows and its quality scores."""
+    """The new version and its rows."""
 
     version: int
     table: DataFrame
-    quality: DataFrame
+    fields: Sequence[Field]
+
+    @property
+    def quality(self) -> DataFrame:
+        """Quality scores of the new version."""
+        return quality_scores(self.table, self.fields)
 
 
 def _finish(store: VersionStore, number: int, fields: Sequence[Field]) -> Change:
-    table = store.read(number)
-    return Change(number, table, quality_scores(table, fields))
+    return Change(number, store.read(number), fields)
 
 
 def clean_version(
@@ -96,7 +100,7 @@ def merge_version(
     return Merged(
         done.version,
         done.table,
-        done.quality,
+        done.fields,
         relink(links, mapping, links.columns[0]),
         merge_history(before, mapping, record_id),
     )

@@ -214,7 +214,7 @@ def ingest(
     accepted, rejected = split_rejected(checked)
     rejected = rejected.drop("key_hash")
 
-    unique = dedup_ingest(accepted.drop("evidences"), order, keys, names)
+    unique = cut_lineage(dedup_ingest(accepted.drop("evidences"), order, keys, names))
     kept = unique.orderBy(order).limit(limit)
 
     cited = accepted.where(F.size("evidences") > 0)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import compact_key
-from ..quantiles import quantiles
+from ..functions.text import is_empty
+from ..quantiles import Facts, quantiles
 from ..table import as_text, col, is_text, strict, value
 from .stats import _candidates, describe_numeric, outside, pairs_of, top_correlations
 
@@ -37,8 +38,6 @@ def _insight(df: DataFrame, category: str, title: Column, columns: Sequence[str]
 
 def _facts(df: DataFrame):
     """Rows, cells, strict numbers and extremes of every column, in one pass."""
-    from ..functions.text import is_empty
-
     candidates = set(_candidates(df))
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(df.columns):
@@ -46,7 +45,8 @@ def _facts(df: DataFrame):
             F.count(F.when(is_empty(value(df, n), is_text(df.schema[n].dataType)), 1)).alias(f"m{i}")
         )
         if n in candidates:
-            aggs.append(F.count(strict(df, n)).alias(f"k{i}"))
+            v = strict(df, n)
+            aggs += [F.count(v).alias(f"k{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     return df.agg(*aggs).first()
 
 
@@ -90,7 +90,10 @@ def insights(df: DataFrame, order: str) -> DataFrame:
         )
     ]
     shown = numeric[:SHOWN_COLUMNS]
-    quarts = quantiles(df, {n: strict(df, n) for n in shown}, [0.25, 0.5, 0.75])
+    known = {
+        n: Facts(facts[f"k{i}"], facts[f"lo{i}"], facts[f"hi{i}"]) for i, n in enumerate(names) if n in shown
+    }
+    quarts = quantiles(df, {n: strict(df, n) for n in shown}, [0.25, 0.5, 0.75], known)
     parts += [_extremes(df, n, names, order, quarts[n][1]) for n in shown]
     parts += _categories(df, [n for n in names if n not in numeric], rows)
     for n in shown:

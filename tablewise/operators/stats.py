@@ -389,15 +389,16 @@ def grouped_median(
     share = total // HOT_SHARE + 1
     margin = 2.0 / SKETCH_ACCURACY
     ends = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
-    sizes = narrow.groupBy("key").agg(
-        F.count("v").alias("n"), F.percentile_approx("v", ends, SKETCH_ACCURACY).alias("s")
+    # At most 10,000 keys hold more than one ten-thousandth of all rows. Only their
+    # rows are sketched; both lists are written once and then broadcast.
+    keys = cut_lineage(
+        narrow.groupBy("key").agg(F.count("v").alias("n")).where(F.col("n") > share).select("key")
     )
-    # At most 10,000 rows: keys above one ten-thousandth of all rows. Written
-    # once, because the sketch is a pass of its own over the table.
     hot = cut_lineage(
-        sizes.where(F.col("n") > share).select(
-            "key", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi")
-        )
+        narrow.join(F.broadcast(keys), "key")
+        .groupBy("key")
+        .agg(F.percentile_approx("v", ends, SKETCH_ACCURACY).alias("s"))
+        .select("key", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
     )
     counted = (
         narrow.where(F.col("v").isNotNull())

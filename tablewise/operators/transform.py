@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import content_hash
 from ..functions.text import map_value, strip
 from ..functions.urls import domain
-from ..scale import spread_join
+from ..scale import SMALL_ROWS, spread_join
 from ..table import as_text, col, data_columns, is_text, loose
 from .clean import SAMPLES, Applied, Preview
 from .filters import filter_records, record_predicate
@@ -86,7 +86,12 @@ def derived(df: DataFrame, expression: str, config: Mapping[str, Any]) -> Column
 
 
 def map_by_table(
-    df: DataFrame, source: str, mapping: DataFrame, target: str, spread_by: str
+    df: DataFrame,
+    source: str,
+    mapping: DataFrame,
+    target: str,
+    spread_by: str,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Value map kept as a table (key, value): exact stripped key, then any case.
 
@@ -97,10 +102,17 @@ def map_by_table(
         F.min("value").alias("_v1")
     )
     anycase = mapping.groupBy(F.lower("key").alias("_anycase")).agg(F.min_by("value", "key").alias("_v2"))
-    keyed = df.withColumn("_exact", strip(as_text(df, source)))
-    first = spread_join(keyed, exact.withColumn("_hit1", F.lit(True)), "_exact", spread_by)
-    first = first.withColumn("_anycase", F.lower("_exact"))
-    second = spread_join(first, anycase.withColumn("_hit2", F.lit(True)), "_anycase", spread_by)
+    rows = df.count()
+    key = strip(as_text(df, source))
+    keyed = df.withColumn("_exact", key)
+    first = spread_join(
+        keyed, exact.withColumn("_hit1", F.lit(True)), "_exact", spread_by, "left", rows, None, small_rows
+    ).withColumn("_anycase", F.lower("_exact"))
+    # Counted on the input, so that the first join does not run twice.
+    counts = df.groupBy(F.lower(key).alias("_anycase")).agg(F.count(F.lit(1)).alias("n"))
+    second = spread_join(
+        first, anycase.withColumn("_hit2", F.lit(True)), "_anycase", spread_by, "left", rows, counts, small_rows
+    )
     return second.withColumn(
         target,
         F.when(F.col("_hit1"), F.col("_v1"))

@@ -82,6 +82,16 @@ def _number(df: DataFrame, name: str, agg: str) -> Column:
     return {"mean": F.avg, "min": F.min, "max": F.max}[agg](v)
 
 
+def _distinct_key(df: DataFrame, name: str) -> Column:
+    """What to count distinct values by: long texts by hash, nested values by JSON."""
+    dtype = df.schema[name].dataType
+    if is_text(dtype):
+        return compact_key(col(name))
+    if dtype.typeName() in ("array", "struct", "map", "variant"):
+        return compact_key(as_text(df, name))
+    return value(df, name)
+
+
 def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
     target = plan.target_columns[0] if plan.target_columns else None
     key = first_column(df, plan.group_by_column, target)
@@ -99,7 +109,7 @@ def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
             )
         elif agg == "distinct_count":
             grouped = keyed.groupBy(col(key)).agg(
-                F.count_distinct(strict(keyed, measure)).alias(name)
+                F.count_distinct(_distinct_key(keyed, measure)).alias(name)
             )
         else:
             grouped = keyed.groupBy(col(key)).agg(_number(keyed, measure, agg).alias(name))
@@ -115,8 +125,7 @@ def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
 def _aggregate(df: DataFrame, plan: Plan) -> Result:
     name = first_column(df, plan.target_columns[0] if plan.target_columns else None)
     agg = plan.aggregation_func or "count"
-    v, c = strict(df, name), value(df, name)
-    key = compact_key(c) if is_text(df.schema[name].dataType) else c
+    v, c, key = strict(df, name), value(df, name), _distinct_key(df, name)
     if agg == "count":
         computed = F.count(c).cast("double")
     elif agg == "distinct_count":
@@ -325,12 +334,9 @@ def _missing(df: DataFrame) -> Result:
 
 def _summary(df: DataFrame) -> Result:
     shown = df.columns[:SUMMARY_COLUMNS]
-    keys = [
-        compact_key(col(c)) if is_text(df.schema[c].dataType) else as_text(df, c) for c in shown
-    ]
     one = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_distinct(k).alias(f"u{i}") for i, k in enumerate(keys)],
+        *[F.count_distinct(_distinct_key(df, c)).alias(f"u{i}") for i, c in enumerate(shown)],
     )
     entries = [
         ("Total Records", {"value": F.col("rows")}),

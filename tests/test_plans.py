@@ -86,6 +86,12 @@ def test_group_rules(spark):
     assert rows(run(df, Plan("group_by", ["k"])).table) == [("a", 2), ("b", 1)]
 
 
+def test_distinct_counts_values_of_any_type(frame):
+    out = run(frame, Plan("group_by", ["company_name"], "headquarters", "distinct_count")).table
+    assert rows(out)[0] == ("San Francisco", 3)
+    assert out.columns[1] == "distinct_count_company_name"
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "a string")
     out = run(df, Plan("general_summary"))

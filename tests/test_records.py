@@ -361,7 +361,9 @@ def test_versions(spark, jobs, tmp_path):
     assert (change.version, change.table.count()) == (2, 4)
     moved = transform_version(store, "derive_column", {"target_column": "d", "expression_type": "extract_domain", "source_column": "url"})
     assert {r["d"] for r in moved.table.collect()} == {"acme.org", None, "birch.org"}
-    assert restore_version(store, 1).table.count() == 6
+    restored = restore_version(store, 1)
+    assert restored.table.count() == 6
+    assert {r["dimension"]: r["score"] for r in restored.quality.collect()}["uniqueness"] == 83.3
     log = [(r["version"], r["change_type"], r["row_count"]) for r in store.list_versions().collect()]
     assert log == [(4, "restore", 6), (3, "derive_column", 4), (2, "drop_missing_required", 4), (1, "collect", 6)]
     history = tables.transformation_history(store.history()).collect()
