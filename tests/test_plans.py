@@ -60,7 +60,9 @@ def test_filters_reach_the_reader(spark, sf_dir):
 
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     out = apply_filters(df, [Filter("l_quantity", ">", 24), Filter("l_orderkey", "<=", 100.5), Filter("l_returnflag", "==", "A")])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = out.select("l_tax")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters") :]
     for part in ("GreaterThan(l_quantity,24.0)", "LessThanOrEqual(l_orderkey,100)", "EqualTo(l_returnflag,A)"):
         assert part in pushed
