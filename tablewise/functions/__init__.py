@@ -27,6 +27,6 @@ from .text import (
     strip,
     title_case,
 )
-from .urls import checked_url, clean_url, domain, has_web_scheme, url_safety
+from .urls import checked_url, clean_url, domain, has_web_scheme, url_safety, with_url_safety
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -17,7 +17,7 @@ STRICT_NUMBER = (
     r"(?i)^[+-]?([0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|inf(inity)?)$"
 )
 # Fixed value: characters the loose reading throws away.
-LOOSE_DROP = r"[^0-9.-]"
+LOOSE_DROP = r"[^0-9.-]+"
 
 # The widest equal-width histogram the library builds.
 MAX_BINS = 10

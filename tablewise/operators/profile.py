@@ -17,7 +17,7 @@ from ..functions.numbers import bin_edge, bin_index, is_numeric, num_loose
 from ..functions.text import MISSING_PROFILE, is_missing, strip
 from ..functions.urls import has_web_scheme
 from ..quantiles import Facts, quantiles
-from ..scale import keep_first
+from ..scale import SMALL_ROWS, cut_lineage, keep_first
 from ..table import as_text, col, data_columns, is_text, long_form, loose, value
 
 LONG_TEXT = 256
@@ -197,7 +197,9 @@ def _reading(df: DataFrame, name: str) -> Column:
     return loose(df, name)
 
 
-def profile_columns(df: DataFrame, order: str, fields: Sequence[Field] = ()) -> DataFrame:
+def profile_columns(
+    df: DataFrame, order: str, fields: Sequence[Field] = (), small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """One row per column with counts, type, number and text statistics, top values
     and samples. Declared columns that the table lacks are fully missing.
 
@@ -252,10 +254,12 @@ def profile_columns(df: DataFrame, order: str, fields: Sequence[Field] = ()) ->
         "column string, position int, declared string, label string, present boolean, numeric boolean,"
         " lo double, hi double, avg double, med double",
     )
-    return _profile_rows(frame, rows, *_from_frequencies(df, present, order, rows, has_long))
+    return _profile_rows(frame, rows, *_from_frequencies(df, present, order, rows, has_long, small_rows))
 
 
-def _from_frequencies(df: DataFrame, present: Sequence[str], order: str, rows: int, has_long: bool):
+def _from_frequencies(
+    df: DataFrame, present: Sequence[str], order: str, rows: int, has_long: bool, small_rows: int
+):
     """Counts, top values and samples per column."""
     if not present:
         spark = df.sparkSession
@@ -266,7 +270,11 @@ def _from_frequencies(df: DataFrame, present: Sequence[str], order: str, rows: i
             spark.createDataFrame([], f"column string, top {TOP_TYPE}"),
             spark.createDataFrame([], "column string, sample array<struct<place:int,value:string>>"),
         )
+    # Three reports read it, each other columns of it, so Spark would not reuse the
+    # shuffle. Counting again is cheaper than writing only while the table is small.
     freq = frequency(df, present, order, numbers=[])
+    if rows > small_rows:
+        freq = cut_lineage(freq)
     n = F.col("n")
     base = freq.groupBy("column").agg(
         F.sum(n).alias("non_null"),
@@ -546,7 +554,10 @@ def quality_scores(
 
 
 def field_distributions(
-    df: DataFrame, order: str, columns: Sequence[str] | None = None
+    df: DataFrame,
+    order: str,
+    columns: Sequence[str] | None = None,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Histogram or top categories of every column, in long form.
 
@@ -554,7 +565,10 @@ def field_distributions(
     bin_min, bin_max. A column is numeric when 80 % of its values hold a number.
     """
     names = [c for c in (columns or data_columns(df)) if c in df.columns]
+    # Read for the bounds, the bins and the categories.
     freq = frequency(df, names, order)
+    if df.count() > small_rows:
+        freq = cut_lineage(freq)
     n, num = F.col("n"), F.col("num")
     # One row per column.
     stats = freq.groupBy("column").agg(

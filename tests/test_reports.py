@@ -28,8 +28,10 @@ def by_name(df, key):
     return {r[key]: r for r in df.collect()}
 
 
-def test_profile(shop):
-    got = by_name(profile_columns(shop, "record_seq", [Field("price", "number"), Field("absent", label="Not there")]), "column_name")
+@pytest.mark.parametrize("small_rows", [0, 1_000_000])
+def test_profile(shop, small_rows):
+    fields = [Field("price", "number"), Field("absent", label="Not there")]
+    got = by_name(profile_columns(shop, "record_seq", fields, small_rows), "column_name")
     assert list(got) == ["price", "absent", "kind", "page_url", "size", "tags"]
     price = got["price"]
     assert (price["inferred_type"], price["non_null_count"], price["null_count"], price["missing_percentage"]) == ("number", 3, 1, 25.0)
@@ -89,13 +91,14 @@ def test_quality(spark):
     assert (overview["duplicate_records"], overview["unique_records"], overview["valid_records"]) == (1, 3, 1)
 
 
-def test_distributions(spark):
+@pytest.mark.parametrize("small_rows", [0, 1_000_000])
+def test_distributions(spark, small_rows):
     df = spark.createDataFrame(
         [(i, float(i * 100), "c", None, "k" + str(i % 2)) for i in range(10)],
         "record_seq long, v double, same string, nothing string, kind string",
     )
     got = {}
-    for r in field_distributions(df, "record_seq").collect():
+    for r in field_distributions(df, "record_seq", small_rows=small_rows).collect():
         got.setdefault(r["column"], []).append(r)
     assert [r["count"] for r in sorted(got["v"], key=lambda r: r["position"])] == [2, 1, 1, 1, 1, 1, 1, 2]
     assert sorted(got["v"], key=lambda r: r["position"])[0]["label"] == "0 - 112"
