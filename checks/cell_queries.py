@@ -24,7 +24,7 @@ from tablewise.functions import (
     standard_place,
     title_case,
     url_key,
-    with_url_safety,
+    url_safety,
 )
 from tablewise.operators.clean import apply_clean, clean, preview
 from tablewise.operators.filters import filter_records
@@ -317,8 +317,7 @@ def hosts(spark, sf):
         from orders""",
 )
 def url_safety_of_hosts(spark, sf):
-    out = with_url_safety(hosts(spark, sf), F.col("url"), "safety")
-    return out.select("o_orderkey", F.col("safety.is_safe").alias("is_safe"))
+    return hosts(spark, sf).select("o_orderkey", url_safety(F.col("url"))["is_safe"].alias("is_safe"))
 
 
 @query(

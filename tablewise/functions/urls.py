@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from .text import strip
 
@@ -251,58 +251,27 @@ def _closed_ipv6(host: Column) -> Column:
     return ~shape | (closed & ~host.rlike("|".join(OPEN_IPV6)))
 
 
-def _safety_parts(c: Column) -> dict[str, Column]:
-    url = strip(c)
-    return {
-        "url": F.coalesce(url, F.lit("")),
-        "scheme": F.coalesce(scheme(url), F.lit("")),
-        "host": F.coalesce(_host(url), F.lit("")),
-        "bracketed": F.coalesce(authority(url).contains("["), F.lit(False)),
-    }
-
-
 def url_safety(c: Column) -> Column:
     """``struct<is_safe, reason>``: whether a URL may be fetched.
 
     Only http and https to public hosts pass. Everything runs as JVM
-    expressions; IPv6 is judged by its leading groups.
-    """
-    parts = F.struct(*[v.alias(k) for k, v in _safety_parts(c).items()])
-    reason = _let(parts, _refusal)
-    return F.struct(reason.isNull().alias("is_safe"), reason.alias("reason"))
-
-
-def with_url_safety(df: DataFrame, url: Column, name: str) -> DataFrame:
-    """The table with ``url_safety`` as a column, for whole tables.
-
-    The URL is taken apart in one projection and judged in the next, so both are
-    compiled and nothing is computed twice.
+    expressions; IPv6 is judged by its leading groups. The URL is taken apart once
+    and bound, so the rule stays small where a filter pulls it down.
     """
-    parts = _safety_parts(url)
-    taken = df.withColumns({f"_{name}_{k}": v for k, v in parts.items()})
-    octets = F.split(F.col(f"_{name}_host"), r"\.")
-    numbered = taken.withColumn(
-        f"_{name}_number",
-        F.when(
-            F.col(f"_{name}_host").rlike(IPV4),
-            sum((F.get(octets, F.lit(i)).try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0)),
-        ),
-    )
-    columns = {k: F.col(f"_{name}_{k}") for k in (*parts, "number")}
-    reason = numbered.withColumn(f"_{name}_reason", _refusal(columns))
-    why = F.col(f"_{name}_reason")
-    return reason.withColumn(name, F.struct(why.isNull().alias("is_safe"), why.alias("reason"))).drop(
-        *[f"_{name}_{k}" for k in (*columns, "reason")]
+    url = strip(c)
+    parts = F.struct(
+        F.coalesce(url, F.lit("")).alias("url"),
+        F.coalesce(scheme(url), F.lit("")).alias("scheme"),
+        F.coalesce(_host(url), F.lit("")).alias("host"),
+        F.coalesce(authority(url).contains("["), F.lit(False)).alias("bracketed"),
     )
+    return _let(_let(parts, _refusal), lambda why: F.struct(why.isNull().alias("is_safe"), why.alias("reason")))
 
 
-def _refusal(p: Column | dict[str, Column]) -> Column:
+def _refusal(p: Column) -> Column:
     """Why a URL is refused, null when it is not."""
     host = p["host"]
-    if isinstance(p, dict):
-        closed = p["number"].isNotNull() & _closed_number(p["number"], host)
-    else:
-        closed = F.when(host.rlike(IPV4), _let(_ipv4_number(host), lambda n: _closed_number(n, host)))
+    closed = F.when(host.rlike(IPV4), _let(_ipv4_number(host), lambda n: _closed_number(n, host)))
     internal = host.rlike("(" + "|".join(s.replace(".", r"\.") for s in BLOCKED_SUFFIXES) + ")$")
     return (
         F.when(p["url"] == "", F.lit("URL is empty or invalid"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.urls import authority, with_url_safety
+from ..functions.urls import authority, url_safety
 from ..table import col
 
 # Limits of one collection job.
@@ -22,7 +22,7 @@ def build_sources(
     ``max_chars`` asks for a stored length. One projection over the pages.
     """
     body = col(content) if max_chars is None else F.left(col(content), F.lit(max_chars))
-    checked = with_url_safety(pages, col(url), "_safety")
+    checked = pages.withColumn("_safety", url_safety(col(url)))
     safe = F.col("_safety.is_safe")
     text = F.when(safe, body).otherwise(F.lit(""))
     canonical = F.nullif(
