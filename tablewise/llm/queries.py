@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.registry import query, table
+from tablewise.llm.bpe import bpe_decode, bpe_encode
 from tablewise.llm.chat import Template, format_chats, parse_chats, unescape
+from tablewise.llm.simhash import hex_fingerprint, simhash_groups
 from tablewise.llm.urls import Rule, judge_urls
 
 URL_RULES = [
@@ -95,3 +97,28 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op7_bpe_coding")
+def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_simhash_near_dedup")
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
