@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.registry import query, table
 from tablewise.llm.bpe import bpe_decode, bpe_encode
 from tablewise.llm.chat import Template, format_chats, parse_chats, unescape
+from tablewise.llm.decontaminate import scan_documents
 from tablewise.llm.simhash import hex_fingerprint, simhash_groups
 from tablewise.llm.urls import Rule, judge_urls
 
@@ -122,3 +123,44 @@ def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(13, len(w)) AS size FROM b WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS gram
+  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM k)),
+grams AS (
+  SELECT row_no, size, p, array_to_string(w[p:p + size - 1], ' ') AS gram
+  FROM (SELECT row_no, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM wins) s)),
+hit AS (SELECT DISTINCT g.row_no, g.size, g.p, wins.item_id FROM grams g JOIN wins ON g.gram = wins.gram AND g.size = wins.size),
+words AS (
+  SELECT row_no, count(DISTINCT n) AS n_hit
+  FROM (SELECT row_no, unnest(range(p, p + size)) AS n FROM (SELECT DISTINCT row_no, p, size FROM hit)) GROUP BY row_no),
+named AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS item FROM hit) GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (row_no) LEFT JOIN named USING (row_no)
+"""
+
+
+@query("op2_decontamination", DECONTAMINATION_SQL)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
