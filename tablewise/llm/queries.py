@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.registry import query, table
 from tablewise.llm.bpe import bpe_decode, bpe_encode
 from tablewise.llm.chat import Template, format_chats, parse_chats, unescape
+from tablewise.llm.common import bucket_of
 from tablewise.llm.decontaminate import scan_documents
+from tablewise.llm.quality import fit_quality, score_quality
 from tablewise.llm.simhash import hex_fingerprint, simhash_groups
+from tablewise.llm.token_counts import count_tokens
 from tablewise.llm.urls import Rule, judge_urls
 
 URL_RULES = [
@@ -164,3 +167,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select(
+        "doc_id",
+        (bucket_of("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
