@@ -9,6 +9,7 @@ from tablewise.llm.bpe import bpe_decode, bpe_encode
 from tablewise.llm.chat import Template, format_chats, parse_chats, unescape
 from tablewise.llm.common import bucket_of
 from tablewise.llm.decontaminate import scan_documents
+from tablewise.llm.embedding_dedup import near_vectors
 from tablewise.llm.lm import fit_model, score_documents
 from tablewise.llm.quality import fit_quality, score_quality
 from tablewise.llm.simhash import hex_fingerprint, simhash_groups
@@ -192,3 +193,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = score_documents(docs, fit_model(docs))
     return scores.withColumn("held_out", bucket_of("doc_id", 7) == 2)
+
+
+@query("op3_embedding_near_dedup")
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
