@@ -13,6 +13,7 @@ from tablewise.llm.embedding_dedup import near_vectors
 from tablewise.llm.lm import fit_model, score_documents
 from tablewise.llm.quality import fit_quality, score_quality
 from tablewise.llm.simhash import hex_fingerprint, simhash_groups
+from tablewise.llm.suffix_dedup import repeated_spans
 from tablewise.llm.token_counts import count_tokens
 from tablewise.llm.urls import Rule, judge_urls
 
@@ -198,3 +199,17 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_embedding_near_dedup")
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeated_spans(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
