@@ -67,6 +67,12 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each, so that no name can clash."""
+    names = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()]), names
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; a null counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewise.llm.common import cut, map_rows
+from tablewise.llm.common import cut, map_rows, positional
 
 # Words of one automaton. Larger benchmarks are scanned in blocks of whole items, one
 # automaton after the other, so what a task holds stays bounded.
@@ -157,8 +157,9 @@ def scan_documents(
     item_text: str = "text",
     block_words: int = BLOCK_WORDS,
     with_text: bool = False,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """key, n_words, spans, n_hit, items, contaminated[, text] for every row of ``docs``.
+    """key, n_words, n_hit, spans, items, contaminated[, text][, extra] for every row of ``docs``.
 
     The words of a document run through the automaton, which keeps the longest match
     that ends at each word. A word is hit when a window of ``window`` item words (a
@@ -174,11 +175,13 @@ def scan_documents(
     """
     spark = docs.sparkSession
     names = [key, text]
-    out = docs.select(key, text).withColumn("spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn(
-        "items", F.array().cast("array<string>")
-    )
-    out = out.withColumn("n_words", F.lit(0).cast("long"))
-    kind = docs.schema[key].dataType.simpleString()
+    found = [
+        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
+        F.lit(0).cast("long").alias("n_words"),
+    ]
+    out = docs.select(key, text, *found, *extra)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     blocks = _blocks(benchmark, item, item_text, block_words * 6)
     block = next(blocks)
     while block is not None:
@@ -191,7 +194,7 @@ def scan_documents(
             automaton = SuffixAutomaton([(name, words_of(body)) for name, body in shared.value], window)
 
             def run(rows):
-                for doc, body, spans, items, _ in rows:
+                for doc, body, spans, items, _, *more in rows:
                     words = words_of(body)
                     found, named = automaton.scan(words)
                     if spans:
@@ -199,18 +202,17 @@ def scan_documents(
                     named = sorted({*items, *(n for n in named if n is not None)})
                     yield doc, (body if body is None else body.decode()) if keeps_text else None, [
                         {"start": a, "end": b} for a, b in found
-                    ], named, len(words)
+                    ], named, len(words), *more
 
             return run
 
-        schema = f"`{key}` {kind}, `{text}` string, spans array<struct<start:int,end:int>>, items array<string>, n_words long"
-        out = map_rows(out, make, schema, (text,))
+        out = map_rows(out, make, fields, (text,))
         if not last:
             out = cut(out)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = out.withColumn("n_hit", hit)
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(parts) * F.col("n_hit") >= F.col("n_words")))
-    return out.select(key, *([text] if with_text else []), "n_words", "n_hit", "spans", "items", "contaminated")
+    return out.select(key, *([text] if with_text else []), "n_words", "n_hit", "spans", "items", "contaminated", *extra)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,3 +253,17 @@ def remove_spans(scanned: DataFrame, key: str = "doc_id", text: str = "text", lo
     kind = scanned.schema[key].dataType.simpleString()
     chosen = scanned.select(key, text, "spans", "contaminated")
     return map_rows(chosen, make, f"`{key}` {kind}, `{text}` string, removed int", (text,))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, all columns as they were."""
+    plain, names = positional(docs)
+    found = scan_documents(
+        plain.withColumn("_body", F.col(names[text])),
+        benchmark,
+        key=names[key],
+        text="_body",
+        extra=tuple(c for c in plain.columns if c != names[key]),
+        **options,
+    )
+    return found.where("NOT contaminated").select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tablewise.llm.common import bucket_of, map_rows
+from tablewise.llm.common import bucket_of, map_rows, positional
 
 # Rows of the word table (words share a row by hash) and size of a vector.
 TABLE = 1 << 14
@@ -242,3 +242,12 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
     return map_rows(chosen, make, ", ".join([fields[0], "score double", *fields[2:]]), (text,))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a score of ``least`` or more, all columns as they were."""
+    plain, names = positional(docs)
+    scored = score_quality(
+        plain.withColumn("_body", F.col(names[text])), model, names[key], "_body", tuple(c for c in plain.columns if c != names[key])
+    )
+    return scored.where(F.col("score") >= least).select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tablewise.llm.common import LOWER, components, cut, map_rows
+from tablewise.llm.common import LOWER, components, cut, map_rows, positional
 
 BLOCK = 4096
 
@@ -37,19 +37,20 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of every row, fp as a signed 64-bit number. A null text has no words: zero."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp, extra columns) of every row, fp as a signed 64-bit number. A null text has no words: zero."""
 
     def make():
         def block(rows):
-            for doc, body in rows:
-                value = fingerprint(body)
-                yield doc, value - (1 << 64) if value >> 63 else value
+            for row in rows:
+                value = fingerprint(row[1])
+                yield (row[0], value - (1 << 64) if value >> 63 else value, *row[2:])
 
         return block
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), make, f"{key} {kind}, fp long", (text,))
+    chosen = docs.select(key, F.col(text).alias("_body"), *extra)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
+    return map_rows(chosen, make, ", ".join([fields[0], "fp long", *fields[2:]]), ("_body",))
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -92,19 +93,21 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one of the smallest key.
+    """``docs`` with one row of each group: the one of the smallest key, nulls last.
 
-    A row with a null key that shares no group with a key is kept once per group;
-    repeated rows of the kept key count as one.
+    Of repeated rows with that key one is kept, the first by its place in the written
+    intermediate table. All columns are returned, whatever their names.
     """
-    names = docs.columns
-    groups = simhash_groups(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"), "fp").distinct()
-    keyed = docs.join(groups.select("_kept").where("_kept IS NOT NULL").distinct(), docs[key] == F.col("_kept"), "left_semi").dropDuplicates([key])
-    if groups.where("_kept IS NULL").isEmpty():
-        return keyed.select(*names)
-    # Rows without a key: those whose group has no key at all, one of each fingerprint root.
-    lost = docs.where(F.col(key).isNull()).dropDuplicates([text])
-    return keyed.select(*names).unionByName(lost.select(*names))
+    plain, names = positional(docs)
+    others = tuple(c for c in plain.columns if c != names[key])
+    prints = cut(fingerprints(plain, names[key], names[text], others).withColumn("uid", F.monotonically_increasing_id()))
+    first = F.struct(F.col(names[key]).isNull().alias("missing"), F.col(names[key]).alias("key"), "uid")
+    classes = cut(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = components(near_links(classes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    rooted = classes.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
+    kept = prints.join(winners, "uid", "left_semi")
+    return kept.select(*[F.col(new).alias(old) for old, new in names.items()])
 
 
 def hex_fingerprint(column: str = "fp"):

@@ -11,7 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tablewise.llm.common import cut
+from tablewise.llm.common import cut, positional
 
 # Length of the hashed strings whose smallest decides where a window belongs.
 GRAM = 32
@@ -444,7 +444,8 @@ def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", **op
             texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "body"])
 
-    found = repeated_spans(docs, length, text, **options)
+    plain, names = positional(docs)
+    found = repeated_spans(plain, length, names[text], **options)
     kind = found.schema["row"].dataType.simpleString()
     decoded = found.select("row", "kept").mapInArrow(decode, f"row {kind}, body string")
-    return decoded.select(*[F.col("body").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return decoded.select(*[(F.col("body") if old == text else F.col("row").getField(new)).alias(old) for old, new in names.items()])
