@@ -22,7 +22,7 @@ class MergeAutomaton:
     All arcs of one label lead to one state, so the state after a token bears its name.
     A gadget for the merge (u, v) does three things: the state after u loses its arc v,
     every state with an arc u gets an arc uv, and uv leads to a copy of the state after
-    v. Copies and additions are not written out: each label keeps the time of its
+    v. A merge whose arcs never meet makes no label. Copies and additions are not written out: each label keeps the time of its
     gadget, and ``arc`` follows a copied or added arc back to where it came from. A
     sequence of tokens is the encoding of a word iff each token has an arc in the state
     of the one before.
@@ -36,6 +36,7 @@ class MergeAutomaton:
         self.time = [-1] * size
         self.parts: list[tuple[int, int] | None] = [None] * size
         self.lost: dict[tuple[int, int], int] = {}
+        self.dead: set[int] = set()
         self.start: dict = {}
         self.seen: dict[tuple[int, int], bool] = {}
         made = {a + b for a, b in merges}
@@ -46,9 +47,11 @@ class MergeAutomaton:
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
 
     def _gadget(self, u: int, v: int, uv: int, time: int) -> None:
-        alive = self.arc(u, v, time)
+        alive = u not in self.dead and v not in self.dead and self.arc(u, v, time)
         self.time[uv], self.parts[uv] = time, (u, v)
-        if alive:
+        if not alive:
+            self.dead.add(uv)
+        else:
             self.lost[u, v] = time
             self._extend(self.labels[uv], uv)
 
