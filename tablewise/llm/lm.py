@@ -119,18 +119,20 @@ def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_total(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row."""
+    top = x.max(axis=1)
+    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
 
 
 def gates(h: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
     s = h @ state
-    zr = _sigmoid(a[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
+    zr = np.tanh(0.5 * (a[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])) * np.float32(0.5) + np.float32(0.5)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     c = s[:, 2 * HIDDEN :]
     n = np.tanh(a[:, 2 * HIDDEN :] + r * c)
@@ -140,14 +142,15 @@ def gates(h: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray,
 def log_chances(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target after state ``h``: its class, then the word in the class."""
     kinds = vocabulary.of_class[target]
-    found = _log_softmax(h @ w["class_w"] + w["class_b"])[np.arange(len(target)), kinds].astype(np.float64)
+    by_class = h @ w["class_w"] + w["class_b"]
+    found = (by_class[np.arange(len(target)), kinds] - _log_total(by_class)).astype(np.float64)
     order = np.argsort(kinds, kind="stable")
     edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
     for k in np.unique(kinds):
         some = order[edges[k] : edges[k + 1]]
         low, high = vocabulary.bounds[k], vocabulary.bounds[k + 1]
-        logs = _log_softmax(h[some] @ w["word_w"][:, low:high] + w["word_b"][low:high])
-        found[some] += logs[np.arange(len(some)), target[some] - low]
+        by_word = h[some] @ w["word_w"][:, low:high] + w["word_b"][low:high]
+        found[some] += by_word[np.arange(len(some)), target[some] - low] - _log_total(by_word)
     return found
 
 
@@ -163,22 +166,23 @@ def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np
     inputs = w["embed"] @ w["input"] + w["bias"]
     h = np.zeros((len(texts), HIDDEN), np.float32)
     last = np.full(len(texts), vocabulary.end, np.int64)
+    flat = np.concatenate([texts[i] for i in order] or [np.zeros(0, np.int64)])
+    begins = np.cumsum(sizes) - sizes
     at = 0
     while len(sizes) and at < sizes[0]:
         active = int(np.searchsorted(-sizes, -at, side="left"))
         h, last = h[:active], last[:active]
-        target = np.zeros((active, WINDOW), np.int64)
-        for row in range(active):
-            some = texts[order[row]][at : at + WINDOW]
-            target[row, : len(some)] = some
         steps = int(min(WINDOW, sizes[0] - at))
+        # Behind the end of a sequence stands whatever follows; it is left out below.
+        spots = np.minimum((begins[:active] + at)[:, None] + np.arange(steps), len(flat) - 1)
+        target = flat[spots].astype(np.int64)
         states = np.empty((steps, active, HIDDEN), np.float32)
         for t in range(steps):
             h = gates(h, inputs[last], w["state"])[0]
             states[t] = h
             last = target[:, t]
         real = np.arange(at, at + steps)[:, None] < sizes[:active]
-        logs = log_chances(w, vocabulary, states[real], target.T[:steps][real])
+        logs = log_chances(w, vocabulary, states[real], target.T[real])
         rows = np.broadcast_to(np.arange(active), real.shape)[real]
         total[:active] += np.bincount(rows, weights=logs, minlength=active)
         at += WINDOW
@@ -212,7 +216,7 @@ def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray,
         g, back = _output_gradients(w, vocabulary, flat, goal)
         back = back.reshape(steps, streams, HIDDEN)
         g["state"] = np.zeros_like(w["state"])
-        table = np.zeros_like(inputs)
+        moved = np.empty((steps, streams, 3 * HIDDEN), np.float32)
         onward = np.zeros((streams, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
             keep, h0, z, r, n, c = kept[t]
@@ -222,8 +226,13 @@ def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray,
             dr = dn * c * r * (1 - r)
             ds = np.concatenate([dz, dr, dn * r], axis=1)
             g["state"] += h0.T @ ds
-            np.add.at(table, x[:, t], np.concatenate([dz, dr, dn], axis=1))
+            moved[t] = np.concatenate([dz, dr, dn], axis=1)
             onward = (d * z + ds @ w["state"].T) * keep
+        words = x.T.reshape(-1)
+        order = np.argsort(words, kind="stable")
+        begins = np.flatnonzero(np.diff(words[order], prepend=-1))
+        table = np.zeros_like(inputs)
+        table[words[order][begins]] = np.add.reduceat(moved.reshape(-1, 3 * HIDDEN)[order], begins)
         g["bias"] = table.sum(axis=0)
         g["input"] = w["embed"].T @ table
         g["embed"] = table @ w["input"].T
@@ -241,7 +250,7 @@ def _output_gradients(w, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarr
     """Gradients of the mean negative log-probability for the output weights and for ``h``."""
     n = len(target)
     kinds = vocabulary.of_class[target]
-    chance = np.exp(_log_softmax(h @ w["class_w"] + w["class_b"]))
+    chance = _softmax(h @ w["class_w"] + w["class_b"])
     chance[np.arange(n), kinds] -= 1
     chance /= n
     g = {"class_w": h.T @ chance, "class_b": chance.sum(axis=0), "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
@@ -251,7 +260,7 @@ def _output_gradients(w, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarr
     for k in np.unique(kinds):
         some = order[edges[k] : edges[k + 1]]
         low, high = vocabulary.bounds[k], vocabulary.bounds[k + 1]
-        part = np.exp(_log_softmax(h[some] @ w["word_w"][:, low:high] + w["word_b"][low:high]))
+        part = _softmax(h[some] @ w["word_w"][:, low:high] + w["word_b"][low:high])
         part[np.arange(len(some)), target[some] - low] -= 1
         part /= n
         g["word_w"][:, low:high] = h[some].T @ part
@@ -323,6 +332,26 @@ def _average(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndar
     return _unflat(np.concatenate([np.array(r[2:]) / r[1] for r in rows]), weights)
 
 
+def frequent_words(counts: DataFrame) -> list:
+    """At most HEAD words, by falling count: those whose count reaches a bound.
+
+    The bound comes from the number of words in each eighth of a power of two, so only
+    those few sums and the words themselves come to the driver.
+    """
+    short = counts.where(F.length("token") <= HEAD_BYTES)
+    grade = F.floor(F.log2("n") * 8).cast("int")
+    grades = {r["grade"]: r["words"] for r in short.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    held, least = 0, None
+    for g in sorted(grades, reverse=True):
+        held += grades[g]
+        if held > HEAD:
+            break
+        least = g
+    if least is None:
+        return []
+    return sorted(short.where(grade >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"])))
+
+
 def fit_model(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> LanguageModel:
     """Count the words of all training documents, then fit the recurrent weights on a share of them.
 
@@ -332,7 +361,7 @@ def fit_model(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     training = docs.where(bucket_of(key, folds) != held)
     counts = cut(word_counts(training, text))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    head = counts.where(F.length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(HEAD).collect()
+    head = frequent_words(counts)
     vocabulary = Vocabulary([bytes(r["token"]) for r in head], np.array([r["n"] for r in head], np.int64), total, distinct)
     weights = start_weights(vocabulary)
     shards = max(1, round(total / SHARE / ROUNDS / SHARD_TOKENS))
@@ -381,7 +410,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
                         [{"token": t, "times": n} for t, n in rare.items()],
                     )
                 )
-                texts.append(ids)
+                texts.append(ids.astype(np.int16))
             for fact, score in zip(facts, score_texts(weights, vocabulary, texts)):
                 yield (*fact[:7], float(score), fact[7])
 
@@ -393,7 +422,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
         f"uid long, `{key}` {kind}, n_tokens long, known long, logs double, others long, other_logs double, model double,"
         " rare array<struct<token:binary,times:int>>"
     )
-    facts = cut(map_rows(named, make, schema, (text,), rows=1024))
+    facts = cut(map_rows(named, make, schema, (text,), rows=4096))
     rare = facts.select("uid", F.explode("rare").alias("r")).select("uid", "r.token", "r.times")
     met = (
         rare.join(model.counts, "token")
