@@ -15,7 +15,7 @@ from .registry import query, table
 @query(
     "group_sum_filtered",
     """select l_returnflag, round(sum(l_extendedprice), 2) as sum_l_extendedprice from lineitem
-       where l_quantity > 24 group by 1 order by 2 desc, 1 limit 25""",
+       where l_quantity > 24 group by 1 order by 2 desc, 1""",
 )
 def group_sum_filtered(spark, sf):
     plan = Plan("group_by", ["l_extendedprice"], "l_returnflag", "sum", [Filter("l_quantity", ">", 24)])
@@ -26,7 +26,7 @@ def group_sum_filtered(spark, sf):
 @query(
     "group_count",
     f"""select c_mktsegment, count(*) as count from {CUSTOMER} where c_mktsegment is not null
-        group by 1 order by 2 desc, 1 limit 25""",
+        group by 1 order by 2 desc, 1""",
 )
 def group_count(spark, sf):
     return run(customer(spark, sf), Plan("group_by", ["C_MKTSEGMENT"])).table
@@ -37,10 +37,10 @@ def _grouped(agg: str, sql: str):
         f"group_{agg}",
         f"""select p_brand, round(v, 4) as {agg}_p_code from (
               select p_brand, {sql} as v from (select p_brand, {STRICT.format('p_code')} as x from {PART})
-              group by 1) order by v desc nulls last, p_brand limit 500""",
+              group by 1) order by v desc nulls last, p_brand""",
     )
     def run_it(spark, sf):
-        plan = Plan("group_by", ["p_code"], "p_brand", agg, limit=500)
+        plan = Plan("group_by", ["p_code"], "p_brand", agg)
         out = run(part(spark, sf), plan).table
         return out.withColumn(f"{agg}_p_code", F.round(f"{agg}_p_code", 4))
 
@@ -61,7 +61,7 @@ for _agg, _sql in (
     "group_distinct_count",
     """select l_shipmode, distinct_count_l_partkey from (
          select l_linestatus as l_shipmode, count(distinct l_partkey) as distinct_count_l_partkey
-         from lineitem group by 1) order by 2 desc, 1 limit 25""",
+         from lineitem group by 1) order by 2 desc, 1""",
 )
 def group_distinct_count(spark, sf):
     plan = Plan("group_by", ["l_partkey"], "l_linestatus", "distinct_count")
@@ -141,7 +141,7 @@ def distribution_discrete(spark, sf):
 
 @query(
     "distribution_categorical",
-    """select event_type as category, count(*) as count from events group by 1 order by 2 desc, 1 limit 25""",
+    """select event_type as category, count(*) as count from events group by 1 order by 2 desc, 1""",
 )
 def distribution_categorical(spark, sf):
     return run(table(spark, sf, "events"), Plan("distribution", ["event_type"])).table
@@ -186,7 +186,8 @@ def missing_analysis_metrics(spark, sf):
         union all select 'Unique ''o_custkey''', count(distinct o_custkey) from s
         union all select 'Unique ''o_orderstatus''', count(distinct o_orderstatus) from s
         union all select 'Unique ''o_totalprice''', count(distinct o_totalprice) from s
-        union all select 'Unique ''o_orderdate''', count(distinct o_orderdate) from s""",
+        union all select 'Unique ''o_orderdate''', count(distinct o_orderdate) from s
+        union all select 'Unique ''o_orderpriority''', count(distinct o_orderpriority) from s""",
 )
 def general_summary(spark, sf):
     return run(orders(spark, sf), Plan("general_summary")).table
@@ -198,7 +199,7 @@ def general_summary(spark, sf):
        order by l_extendedprice desc, l_orderkey limit 25""",
 )
 def sort_limit_desc(spark, sf):
-    plan = Plan("sort_limit", ["l_orderkey"], sort_by="l_extendedprice", order_column="l_orderkey")
+    plan = Plan("sort_limit", ["l_orderkey"], sort_by="l_extendedprice", limit=25, order_column="l_orderkey")
     out = run(table(spark, sf, "lineitem"), plan).table
     return out.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
 
@@ -206,11 +207,11 @@ def sort_limit_desc(spark, sf):
 @query(
     "sort_limit_text_numbers",
     f"""select p_partkey, p_code from {PART}
-        order by {STRICT.format('p_code')} asc nulls last, p_code asc nulls last, p_partkey limit 500""",
+        order by {STRICT.format('p_code')} asc nulls last, p_code asc nulls last, p_partkey""",
 )
 def sort_limit_text_numbers(spark, sf):
     plan = Plan(
-        "sort_limit", ["p_code"], sort_by="p_code", sort_ascending=True, limit=9999, order_column="p_partkey"
+        "sort_limit", ["p_code"], sort_by="p_code", sort_ascending=True, order_column="p_partkey"
     )
     return run(part(spark, sf), plan).table.select("p_partkey", "p_code")
 
@@ -261,7 +262,7 @@ _filtered("is_not_null", [Filter("c_acctbal", "is_not_null")], "c_acctbal is not
 @query(
     "filter_rows",
     f"""select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from {CUSTOMER}
-        where c_mktsegment is distinct from 'MACHINERY' and c_acctbal > 100 order by c_custkey limit 25""",
+        where c_mktsegment is distinct from 'MACHINERY' and c_acctbal > 100 order by c_custkey""",
 )
 def filter_rows(spark, sf):
     plan = Plan(
@@ -287,10 +288,10 @@ _BOUNDS = f"""b as (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as h
 @query(
     "outlier_rows",
     f"""with {_BOUNDS} select event_id, user_id, event_type, round(cubed, 4) as cubed
-        from {_SKEWED}, b where cubed < lo or cubed > hi order by event_id limit 500""",
+        from {_SKEWED}, b where cubed < lo or cubed > hi order by event_id""",
 )
 def outlier_rows(spark, sf):
-    plan = Plan("outlier_detection", ["cubed"], limit=500, order_column="event_id")
+    plan = Plan("outlier_detection", ["cubed"], order_column="event_id")
     return run(_skewed(spark, sf), plan).table.withColumn("cubed", F.round("cubed", 4))
 
 
@@ -360,7 +361,7 @@ PAIRS_SQL = " union all ".join(
     f"""select column_a, column_b, round(r, 4) as correlation,
         case when r > 0 then 'Positive' else 'Negative' end as relationship,
         case when abs(r) >= 0.7 then 'Strong' when abs(r) >= 0.4 then 'Moderate' else 'Weak' end as strength
-        from ({PAIRS_SQL}) where r is not null order by abs(r) desc limit 25""",
+        from ({PAIRS_SQL}) where r is not null order by abs(r) desc""",
 )
 def correlation(spark, sf):
     return run(line(spark, sf), Plan("correlation")).table

@@ -101,7 +101,7 @@ def export_json_rows(spark, sf):
 
 @query(
     "export_latest_rows",
-    "select o_orderkey as record_id, o_custkey from orders order by o_orderdate desc, o_orderkey limit 5000",
+    "select o_orderkey as record_id, o_custkey from orders order by o_orderdate desc, o_orderkey",
 )
 def export_latest_rows(spark, sf):
     df = table(spark, sf, "orders").select(
@@ -129,20 +129,20 @@ def build_sources_of_pages(spark, sf):
 
 
 _HITS = """(select cast(user_id % 20 + 1 as integer) as query_pos, cast(event_id % 12 + 1 as integer) as hit_pos,
-    'https://example.org/' || cast(value as integer) as url, event_id from events)"""
+    'https://example.org/' || cast(floor(value) as integer) as url, event_id from events)"""
 
 
 @query(
     "discover",
     f"""select url, query_pos, hit_pos, event_id from (
         select *, row_number() over (partition by url order by query_pos, hit_pos, event_id) as r
-        from {_HITS} where query_pos <= 15 and hit_pos <= 10) where r = 1 order by query_pos, hit_pos, url limit 100""",
+        from {_HITS}) where r = 1 order by query_pos, hit_pos, url""",
 )
 def discover_hits(spark, sf):
     hits = table(spark, sf, "events").select(
         (F.col("user_id") % 20 + 1).cast("int").alias("query_pos"),
         (F.col("event_id") % 12 + 1).cast("int").alias("hit_pos"),
-        F.concat(F.lit("https://example.org/"), F.round("value").cast("int").cast("string")).alias("url"),
+        F.concat(F.lit("https://example.org/"), F.floor("value").cast("int").cast("string")).alias("url"),
         "event_id",
     )
     # Two hits may share a place in this made input; the event decides.
@@ -201,18 +201,16 @@ def list_sources(spark, sf):
 
 @query(
     "search_catalog",
-    """select s_suppkey as id, s_name as name from supplier where s_name ilike '%00001%' and s_nationkey = 9
-       union select s_suppkey, s_name from supplier where s_name ilike '%00001%' and s_nationkey = 9
-       order by 1 limit 20""",
+    """select s_suppkey as id, s_name as name, s_nationkey as status from supplier
+       where s_nationkey = 9 and (s_name ilike '%supplier#0000000%') order by s_suppkey limit 20""",
 )
 def search_catalog(spark, sf):
     df = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("description"),
         F.col("s_nationkey").alias("status"), F.timestamp_seconds(F.lit(0)).alias("created_at"),
     )
-    return tables.search_catalog(df, "SUPPLIER#0000000", ["name", "description"], {"status": 9}).rows.where(
-        F.col("name").contains("00001")
-    ).select("id", "name")
+    found = tables.search_catalog(df, "SUPPLIER#0000000", ["name", "description"], {"status": 9})
+    return found.rows.select("id", "name", "status")
 
 
 # -- joins --------------------------------------------------------------------------
@@ -425,7 +423,7 @@ def latest_per_parent(spark, sf):
     return tables.latest_per(table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("transformation_history", "select event_id, event_type as operation from events order by ts desc, event_id desc limit 50")
+@query("transformation_history", "select event_id, event_type as operation from events order by ts desc, event_id desc")
 def transformation_history(spark, sf):
     log = table(spark, sf, "events").select(
         F.col("event_id").alias("entry_id"), F.col("event_type").alias("operation"), F.col("ts").alias("created_at")
@@ -496,52 +494,44 @@ _TIERS = f"""with r as (select *, count(*) over (partition by url, name, locatio
     t2 as (select *, case when u is not null then count(*) over (partition by u) else 1 end as n2 from r2),
     r3 as (select *, lower(trim(name)) || '::' || lower(trim(location)) as k from t2 where n2 = 1),
     t3 as (select *, case when length(trim(name)) > 2 and length(trim(location)) > 2 then count(*) over (partition by k) else 1 end as n3 from r3),
-    m as (select 'exact_hash' as rule_type, '_record_hash' as match_field, 1.0::double as confidence, md5(url || name || location || size) as g, cast(null as varchar) as gid, record_id
-            from r where n1 > 1
+    m as (select 'exact_hash' as rule_type, '_record_hash' as match_field, 1.0::double as confidence, h as g, 'hash_' || left(h, 12) as gid, record_id
+            from (select *, sha256('{{"location":"' || location || '","name":"' || name || '","size":' || size || ',"url":"' || url || '"}}') as h from r) where n1 > 1
           union all select 'canonical_url', 'url', 0.95, u, 'url_' || left(md5(u), 10), record_id from t2 where n2 > 1
           union all select 'composite_key', 'name+location', 0.9, k, 'comp_' || left(md5(k), 10), record_id from t3 where n3 > 1)"""
 
 
 @query(
     "duplicate_members",
-    _TIERS + " select rule_type, match_field, confidence, gid as group_id, record_id from m",
+    _TIERS + " select rule_type, match_field, confidence, gid as group_id, g as match_value, record_id from m",
 )
 def duplicate_members(spark, sf):
-    out = dedup.duplicate_members(copied(spark, sf), "record_id")
-    return out.select(
-        "rule_type", "match_field", "confidence",
-        F.when(F.col("rule_type") != "exact_hash", F.col("group_id")).alias("group_id"), "record_id",
-    )
+    return dedup.duplicate_members(copied(spark, sf), "record_id")
 
 
 @query(
     "duplicate_members_spread",
-    _TIERS + " select rule_type, match_field, confidence, gid as group_id, record_id from m",
+    _TIERS + " select rule_type, match_field, confidence, gid as group_id, g as match_value, record_id from m",
 )
 def duplicate_members_spread(spark, sf):
     """Hot keys split, forced on a small table."""
-    out = dedup.duplicate_members(copied(spark, sf), "record_id", small_rows=50)
-    return out.select(
-        "rule_type", "match_field", "confidence",
-        F.when(F.col("rule_type") != "exact_hash", F.col("group_id")).alias("group_id"), "record_id",
-    )
+    return dedup.duplicate_members(copied(spark, sf), "record_id", small_rows=50)
 
 
 @query(
     "duplicate_groups",
-    _TIERS + """ select rule_type, match_field, confidence, count(*) as record_count, min(record_id) as first_record_id
-      from m group by rule_type, match_field, confidence, g""",
+    _TIERS + """ select gid as group_id, rule_type, match_field, g as match_value, confidence, count(*) as record_count,
+      min(record_id) as first_record_id from m group by rule_type, match_field, confidence, g, gid""",
 )
 def duplicate_groups(spark, sf):
     members = dedup.duplicate_members(copied(spark, sf), "record_id")
-    return dedup.duplicate_groups(members).drop("group_id", "match_value")
+    return dedup.duplicate_groups(members)
 
 
 @query(
     "exact_hash_ids",
     """with h as (select c_custkey, c_nationkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}') as h from customer),
        n as (select h, count(*) as n from h group by 1 having count(*) > 1)
-       select c_custkey as record_id, 'hash_' || left(h.h, 12) as group_id, left(h.h, 12) as match_value from h join n on n.h = h.h""",
+       select c_custkey as record_id, 'hash_' || left(h.h, 12) as group_id, h.h as match_value from h join n on n.h = h.h""",
 )
 def exact_hash_ids(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
@@ -577,12 +567,13 @@ def merge_groups(spark, sf):
 
 @query(
     "merge_history",
-    f"""select keep as retained_id, record_id from (
-        select retained_id as keep, record_id from {_MERGED} union all select distinct retained_id, retained_id from {_MERGED})
-        where record_id in (select o_orderkey from orders)""",
+    f"""select keep as retained_id, h.record_id,
+          '{{' || concat_ws(',', '"note":"' || note || '"', '"price":' || cast(price as varchar)) || '}}' as original from (
+        select retained_id as keep, record_id from {_MERGED} union all select distinct retained_id, retained_id from {_MERGED}) h
+        join {_GAPS} g on g.record_id = h.record_id""",
 )
 def merge_history(spark, sf):
-    return dedup.merge_history(gaps(spark, sf), _mapping(spark, sf), "record_id").drop("original")
+    return dedup.merge_history(gaps(spark, sf), _mapping(spark, sf), "record_id")
 
 
 @query(
@@ -592,9 +583,7 @@ def merge_history(spark, sf):
 )
 def merge_mapping(spark, sf):
     """Clusters by name and segment; the first record stays."""
-    df = people(spark, sf).select("record_seq", "company_name", "job_title", F.monotonically_increasing_id().alias("x")).select(
-        "record_seq", "company_name", "job_title"
-    )
+    df = people(spark, sf).select("record_seq", "company_name", "job_title")
     return dedup.first_as_retained(dedup.duplicate_members(df, "record_seq"))
 
 
@@ -677,10 +666,10 @@ _KEYED = f"(select *, lower(company_name) || '|' || coalesce(lower(website), '')
     f"""select min(page_id) as page_id, first(company_name order by page_id) as company_name, first(website order by page_id) as website,
         first(salary order by page_id) filter (where salary is not null) as salary,
         first(contact order by page_id) filter (where contact is not null) as contact, count(*) as copies,
-        cast(count(distinct source_url) as integer) as source_count from {_KEYED} group by k order by 1 limit 80""",
+        cast(count(distinct source_url) as integer) as source_count from {_KEYED} group by k order by 1""",
 )
 def ingest_records(spark, sf):
-    out = ingest(candidates(spark, sf), FIELDS, "page_id", 80).records
+    out = ingest(candidates(spark, sf), FIELDS, "page_id").records
     return out.select("page_id", "company_name", "website", "salary", "contact", "copies", "source_count")
 
 
@@ -707,7 +696,7 @@ def complete_evidence_of_candidates(spark, sf):
 
 @query(
     "ingest_links",
-    f"""with kept as (select k, min(page_id) as record_id from {_KEYED} group by k order by 2 limit 80),
+    f"""with kept as (select k, min(page_id) as record_id from {_KEYED} group by k),
         c as (select e.*, d.k from {_EVIDENCE} e join {_KEYED} d on d.page_id = e.page_id where v is not null)
         select record_id, c.page_id as candidate_id, field as evidence_field, c.source_url, p.page_id as data_source_id
         from c join kept on kept.k = c.k join pages p on p.url = c.source_url""",
@@ -715,18 +704,18 @@ def complete_evidence_of_candidates(spark, sf):
 def ingest_links(spark, sf):
     sources = table(spark, sf, "pages").select(F.col("page_id").alias("data_source_id"), F.col("url").alias("source_url"))
     raw = candidates(spark, sf).withColumnRenamed("Company_Name", "company_name")
-    out = ingest(raw, FIELDS, "page_id", 80, sources).links
+    out = ingest(raw, FIELDS, "page_id", None, sources).links
     return out.select("record_id", "candidate_id", "evidence_field", "source_url", "data_source_id")
 
 
 @query(
     "ingest_metrics",
     f"""select (select count(*) from {_CANDIDATES}) as records_extracted, (select count(*) from {_CANDIDATES} where trim(company_name) = '') as records_rejected,
-        count(distinct k) as unique_records, count(*) - count(distinct k) as duplicates_merged, least(count(distinct k), 80) as records_saved,
+        count(distinct k) as unique_records, count(*) - count(distinct k) as duplicates_merged, count(distinct k) as records_saved,
         'completed_with_errors' as status from {_KEYED}""",
 )
 def ingest_metrics(spark, sf):
-    return ingest(candidates(spark, sf), FIELDS, "page_id", 80).metrics
+    return ingest(candidates(spark, sf), FIELDS, "page_id").metrics
 
 
 # -- comparison ---------------------------------------------------------------------
@@ -803,7 +792,9 @@ _SIDES = f"""(select 'a' as side, * from {ORDERS} where o_orderkey % 3 <> 0 unio
           select side, 'o_custkey' as c, cast(o_custkey as varchar) as v from {_SIDES}
           union all select side, 'o_orderdate', cast(o_orderdate as varchar) from {_SIDES}
           union all select side, 'o_orderkey', cast(o_orderkey as varchar) from {_SIDES}
-          union all select side, 'o_orderpriority', o_orderpriority from {_SIDES}) where trim(v) <> ''),
+          union all select side, 'o_orderpriority', o_orderpriority from {_SIDES}
+          union all select side, 'o_orderstatus', o_orderstatus from {_SIDES}
+          union all select side, 'o_totalprice', cast(o_totalprice as varchar) from {_SIDES}) where trim(v) <> ''),
         n as (select side, c, v, count(*) as n, sum(count(*)) over (partition by side, c) as total,
               row_number() over (partition by side, c order by count(*) desc, v) as place from l group by 1, 2, 3)
         select side, c as "column", cast(place as integer) as place, v as value, n as count, cast(total as bigint) as non_null from n where place <= 5""",

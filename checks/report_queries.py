@@ -242,7 +242,7 @@ def profile_sample_values(spark, sf):
          where lower(trim(text)) not in ('', 'null') group by 1)
        select (select cast(sum(n) as bigint) from t) as non_null_count, (select count(*) from t) as unique_count,
          (select string_agg(md5(v), ' ' order by n desc, r) from (
-            select v, n, row_number() over (order by n desc, case when length(v) <= 256 then v else 'sha256:' || sha256(v) end) as r
+            select v, n, row_number() over (order by n desc, left(v, 256), case when length(v) <= 256 then v else 'sha256:' || sha256(v) end) as r
             from t) where r <= 5) as top_texts,
          (select string_agg(md5(v), ' ' order by seq) from (select v, seq from t order by seq limit 5)) as first_texts""",
 )
@@ -513,7 +513,9 @@ def insight_overview(spark, sf):
           round(median(c_custkey), 4) as median, arg_max(c_name, c_custkey) as top_entity from (select cast(c_custkey as double) as c_custkey, c_name from {CUSTOMER})
         union all select 'c_nationkey', round(max(x), 4), round(min(x), 4), round(avg(x), 4), round(median(x), 4),
           (select c_name from customer order by c_nationkey desc, c_custkey limit 1)
-          from (select cast(c_nationkey as double) as x from {CUSTOMER})""",
+          from (select cast(c_nationkey as double) as x from {CUSTOMER})
+        union all select 'c_acctbal', round(max(c_acctbal), 4), round(min(c_acctbal), 4), round(avg(c_acctbal), 4), round(median(c_acctbal), 4),
+          (select c_name from {CUSTOMER} order by c_acctbal desc nulls last, c_custkey limit 1) from {CUSTOMER}""",
 )
 def insight_extremes(spark, sf):
     return _evidence(
@@ -549,14 +551,20 @@ def _two(spark, sf):
     f"""with q as (select quantile_cont(cubed, 0.25) as q1, quantile_cont(cubed, 0.75) as q3 from {_TWO}),
         b as (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from q)
         select 'cubed' as "column", cast(count(*) as double) as outlier_count,
-          round(count(*) * 100.0 / (select count(*) from events), 1) as outlier_percentage
-        from {_TWO}, b where cubed < lo or cubed > hi""",
+          round(count(*) * 100.0 / (select count(*) from events), 1) as outlier_percentage,
+          round(max(lo), 2) as lower_bound, round(max(hi), 2) as upper_bound
+        from {_TWO}, b where cubed < lo or cubed > hi
+        union all select 'shifted', cast(count(*) as double), round(count(*) * 100.0 / (select count(*) from events), 1),
+          round(max(lo), 2), round(max(hi), 2)
+        from {_TWO}, (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from (
+          select quantile_cont(shifted, 0.25) as q1, quantile_cont(shifted, 0.75) as q3 from {_TWO})) where shifted < lo or shifted > hi""",
 )
 def insight_outliers(spark, sf):
     df = _two(spark, sf).select("cubed", "event_id", "shifted", "event_type")
-    return _evidence(
-        insights(df, "event_id"), "outlier", "column", "outlier_count", "outlier_percentage"
+    out = _evidence(
+        insights(df, "event_id"), "outlier", "column", "outlier_count", "outlier_percentage", "lower_bound", "upper_bound"
     )
+    return _rounded(out, "lower_bound", "upper_bound", places=2)
 
 
 @query(

@@ -18,16 +18,18 @@ NUMERIC_SHAPES = (
 )
 NAMED_SHAPE = r"^[A-Za-z]+ \d{1,2}, \d{4}$"
 NAMED_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy")
-CLOCK_SHAPE = r"^(\d{4}-\d{1,2}-\d{1,2})[T ]\d{1,2}:\d{1,2}:\d{1,2}$"
+CLOCK_SHAPE = r"^(\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}:\d{1,2})(?:\.\d+)? ?(?:Z|UTC|[+-]\d{2}:?\d{2})?$"
 
 
 def date_of(c: Column) -> Column:
-    """The date in ``c``, null where no shape fits. Looks at 19 characters.
+    """The date in ``c``, null where no shape fits the whole text.
+
+    A time may carry a fraction and a zone; the date is the one written, in that zone.
 
     Every shape is tested before the text is read: Spark's own pattern reader
     accepts a four-digit year for a one-digit day.
     """
-    text = F.left(strip(c), F.lit(19))
+    text = strip(c)
     tries = [
         F.when(text.rlike(shape), F.regexp_replace(text, shape, order).try_cast("date"))
         for shape, order in NUMERIC_SHAPES
@@ -37,7 +39,7 @@ def date_of(c: Column) -> Column:
         for fmt in NAMED_FORMATS
     ]
     tries.append(
-        F.when(text.rlike(CLOCK_SHAPE), text.try_cast("timestamp_ntz").cast("date"))
+        F.when(text.rlike(CLOCK_SHAPE), F.regexp_replace(text, CLOCK_SHAPE, "$1").try_cast("timestamp_ntz").cast("date"))
     )
     return F.coalesce(*tries)
 

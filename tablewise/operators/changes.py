@@ -8,30 +8,44 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..scale import cut_lineage
 from ..sources.versions import VersionStore
 from .clean import clean, preview as preview_clean
-from .dedup import merge_groups, merge_history
-from .profile import Field, quality_scores
+from .dedup import final_retained, merge_groups, merge_history
+from .profile import Field, profile_columns, quality_scores
 from .tables import relink
 from .transform import preview as preview_transform, transform
 
 
 @dataclass(frozen=True)
 class Change:
-    """The new version and its rows."""
+    """A new version: its rows, and the reports stored with it."""
 
     version: int
-    table: DataFrame
-    fields: Sequence[Field]
+    store: VersionStore
+
+    @property
+    def table(self) -> DataFrame:
+        return self.store.read(self.version)
 
     @property
     def quality(self) -> DataFrame:
         """Quality scores of the new version."""
-        return quality_scores(self.table, self.fields)
+        return self.store.attached("quality", self.version)
 
+    @property
+    def profile(self) -> DataFrame:
+        """Column profile of the new version."""
+        return self.store.attached("profile", self.version)
 
-def _finish(store: VersionStore, number: int, fields: Sequence[Field]) -> Change:
-    return Change(number, store.read(number), fields)
+
+def _finish(store: VersionStore, number: int, fields: Sequence[Field], order: str) -> Change:
+    """Profile and score the version as written, and store both reports with it."""
+    table = store.read(number)
+    store.attach("quality", number, quality_scores(table, fields))
+    if order in table.columns:
+        store.attach("profile", number, profile_columns(table, order, fields))
+    return Change(number, store)
 
 
 def clean_version(
@@ -48,7 +62,7 @@ def clean_version(
         lambda df: clean(df, operation, config, order),
         lambda df: preview_clean(df, operation, config, order).summary.first()["records_affected"],
     )
-    return _finish(store, number, fields)
+    return _finish(store, number, fields, order)
 
 
 def transform_version(
@@ -64,19 +78,24 @@ def transform_version(
         lambda df: transform(df, operation, config),
         lambda df: preview_transform(df, operation, config, order).summary.first()["records_affected"],
     )
-    return _finish(store, number, fields)
+    return _finish(store, number, fields, order)
 
 
-def restore_version(store: VersionStore, number: int, fields: Sequence[Field] = ()) -> Change:
-    return _finish(store, store.restore(number), fields)
+def restore_version(store: VersionStore, number: int, fields: Sequence[Field] = (), order: str = "record_seq") -> Change:
+    return _finish(store, store.restore(number), fields, order)
 
 
 @dataclass(frozen=True)
 class Merged(Change):
-    """A merge with the relinked evidence and the rows as they were before."""
+    """A merge with the moved evidence and the rows as they were before."""
 
-    links: DataFrame
-    history: DataFrame
+    @property
+    def links(self) -> DataFrame:
+        return self.store.attached("links", self.version)
+
+    @property
+    def history(self) -> DataFrame:
+        return self.store.attached("merge_history", self.version)
 
 
 def merge_version(
@@ -88,19 +107,19 @@ def merge_version(
     overrides: Mapping[Any, Mapping[str, Any]] | None = None,
     fields: Sequence[Field] = (),
 ) -> Merged:
-    """Merge, drop the merged rows, move their evidence, keep the rows as they were."""
+    """Merge, drop the merged rows, move their evidence, keep the rows as they were.
+
+    The moved evidence and the rows before the merge are stored with the new version.
+    """
     before = store.read()
+    final = cut_lineage(final_retained(mapping))
     number = store.change(
         "merge_duplicates",
         {"overrides": {str(k): dict(v) for k, v in (overrides or {}).items()}},
-        lambda df: merge_groups(df, mapping, record_id, order, overrides),
-        lambda df: mapping.count(),
-    )
-    done = _finish(store, number, fields)
-    return Merged(
-        done.version,
-        done.table,
-        done.fields,
-        relink(links, mapping, links.columns[0]),
-        merge_history(before, mapping, record_id),
+        lambda df: merge_groups(df, final, record_id, order, overrides),
+        lambda df: final.count(),
     )
+    store.attach("links", number, relink(links, final))
+    store.attach("merge_history", number, merge_history(before, final, record_id))
+    _finish(store, number, fields, order)
+    return Merged(number, store)

@@ -10,7 +10,6 @@ from ..functions.text import is_missing, lowered, strip
 from ..table import as_text, data_columns
 from .profile import record_hash
 
-COMPARED_COLUMNS = 4
 TOP_VALUES = 5
 
 
@@ -92,9 +91,9 @@ def compare_values(
     a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, top: int = TOP_VALUES
 ) -> DataFrame:
     """(side, column, place, value, count, non_null): most frequent values per side
-    of the first common columns in alphabetical order."""
+    of the common columns, or of those named."""
     common = sorted(set(data_columns(a)) & set(data_columns(b)))
-    names = list(columns) if columns is not None else common[:COMPARED_COLUMNS]
+    names = list(columns) if columns is not None else common
 
     def long(df: DataFrame, side: str) -> DataFrame:
         narrow = df.select(*[strip(as_text(df, c)).alias(f"c{i}") for i, c in enumerate(names)])

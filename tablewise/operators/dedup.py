@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.hashing import content_hash, key_hash, short_id, url_key
 from ..functions.text import lowered
@@ -27,6 +28,8 @@ URL_FIELDS = ("job_url", "url", "website", "company_website", "canonical_url", "
 COMPOSITE_KEYS = (("company_name", "job_title"), ("company", "title"), ("name", "location"))
 CONFIDENCE = {"exact_hash": 1.0, "canonical_url": 0.95, "composite_key": 0.90}
 SHORTEST_PART = 3
+# Chains of merges are followed over at most 2 to this power records.
+MOST_HALVINGS = 48
 
 
 def default_keys(fields: Sequence[str]) -> list[str]:
@@ -119,8 +122,9 @@ def duplicate_members(
 ) -> DataFrame:
     """(group_id, rule_type, match_field, match_value, confidence, record_id).
 
-    A record belongs to the first tier in which another unclustered record shares
-    its key. Only identifiers and keys are shuffled. A tier counts its keys, joins
+    A record belongs to the first tier in which another unclustered record shares its
+    key. ``match_value`` is the whole key, and (match_field, match_value) names the
+    cluster; ``group_id`` is a short label of it. Only identifiers and keys are shuffled. A tier counts its keys, joins
     the sizes back with hot keys and null keys spread, and hands the unclustered
     rows on; the lineage is cut in between, so tiers are not computed twice.
     """
@@ -143,17 +147,17 @@ def duplicate_members(
             labelled = cut_lineage(labelled)
         k = F.col(key)
         if rule.rule == "exact_hash":
-            group, value = F.concat(F.lit("hash_"), F.left(k, F.lit(12))), F.left(k, F.lit(12))
+            group = F.concat(F.lit("hash_"), F.left(k, F.lit(12)))
         elif rule.rule == "canonical_url":
-            group, value = short_id("url_", k, 10), k
+            group = short_id("url_", k, 10)
         else:
-            group, value = short_id("comp_", k, 10), k
+            group = short_id("comp_", k, 10)
         parts.append(
             labelled.where(F.col("size").isNotNull()).select(
                 group.alias("group_id"),
                 F.lit(rule.rule).alias("rule_type"),
                 F.lit(rule.field).alias("match_field"),
-                value.alias("match_value"),
+                k.alias("match_value"),
                 F.lit(CONFIDENCE[rule.rule]).alias("confidence"),
                 "record_id",
             )
@@ -175,17 +179,33 @@ def duplicate_groups(members: DataFrame) -> DataFrame:
 
 def first_as_retained(members: DataFrame) -> DataFrame:
     """Merge mapping (record_id, retained_id) that keeps the first record of a cluster."""
-    groups = members.groupBy("group_id", "match_field").agg(F.min("record_id").alias("retained_id"))
-    joined = spread_join(
-        members.withColumn("_g", F.concat_ws("|", "group_id", "match_field")),
-        groups.select(F.concat_ws("|", "group_id", "match_field").alias("_g"), "retained_id"),
-        "_g",
-        "record_id",
-        "inner",
-    )
+    key = F.concat_ws("|", "match_field", "match_value").alias("_g")
+    groups = members.groupBy(key).agg(F.min("record_id").alias("retained_id"))
+    joined = spread_join(members.select(key, "record_id"), groups, "_g", "record_id", "inner")
     return joined.where(F.col("record_id") != F.col("retained_id")).select("record_id", "retained_id")
 
 
+def final_retained(mapping: DataFrame) -> DataFrame:
+    """``mapping`` with each retained record replaced by the one it is merged into itself.
+
+    Most mappings hold no chain and come back after one look. Chains are halved in each
+    round, so one of n records takes log n joins; a circle raises.
+    """
+    current = mapping.select("record_id", "retained_id").where(F.col("record_id") != F.col("retained_id"))
+    step = current.select(F.col("record_id").alias("retained_id"), F.col("retained_id").alias("_next"))
+    if current.join(step, "retained_id", "left_semi").isEmpty():
+        return current
+    for _ in range(MOST_HALVINGS):
+        joined = current.join(step, "retained_id", "left")
+        current = cut_lineage(joined.select("record_id", F.coalesce("_next", "retained_id").alias("retained_id")))
+        if not current.where(F.col("record_id") == F.col("retained_id")).isEmpty():
+            break
+        step = current.select(F.col("record_id").alias("retained_id"), F.col("retained_id").alias("_next"))
+        if current.join(step, "retained_id", "left_semi").isEmpty():
+            return current
+    raise ValueError("the merge mapping runs in a circle")
+
+
 def merge_groups(
     df: DataFrame,
     mapping: DataFrame,
@@ -196,7 +216,8 @@ def merge_groups(
 ) -> DataFrame:
     """The table after merging: each retained row takes over what it lacks.
 
-    ``mapping`` holds (record_id, retained_id), one row per merged record. Nulls and
+    ``mapping`` holds (record_id, retained_id), one row per merged record; chains lead
+    to their last record, circles raise. Nulls and
     empty strings of the retained row are filled from merged rows in order,
     overrides win, source counts add up (none counts as one). All groups merge in
     one job; rows outside the mapping pass unchanged.
@@ -204,6 +225,7 @@ def merge_groups(
     fields = (
         list(fields) if fields is not None else data_columns(df, [record_id, order])
     )
+    mapping = final_retained(mapping)
     merged = mapping.select(F.col("record_id").alias(record_id), F.col("retained_id").alias("_keep"))
     roles = (
         merged.withColumn("_rank", F.lit(1))
@@ -238,19 +260,29 @@ def merge_groups(
         dtype = df.schema["source_count"].dataType
         aggs.append(F.sum(one_at_least).cast(dtype).alias("source_count"))
     folded = tagged.where(F.col("_keep").isNotNull()).groupBy(F.col("_keep").alias(record_id)).agg(*aggs)
-    for keep, values in (overrides or {}).items():
-        for name, value in values.items():
-            literal = F.lit(value).cast(df.schema[name].dataType)
-            folded = folded.withColumn(name, F.when(col(record_id) == F.lit(keep), literal).otherwise(col(name)))
+    if overrides:
+        folded = _overridden(folded, df.schema, record_id, overrides)
     if "content_hash" in df.columns:
         folded = folded.withColumn("content_hash", content_hash(fields))
     rest = tagged.where(F.col("_keep").isNull()).drop("_keep", "_rank")
     return rest.select(df.columns).unionByName(folded.select(df.columns))
 
 
+def _overridden(folded: DataFrame, schema: StructType, record_id: str, overrides: Mapping[Any, Mapping[str, Any]]) -> DataFrame:
+    """Set the given cells by one join, whatever the number of merged groups."""
+    names = sorted({name for values in overrides.values() for name in values})
+    kinds = [StructField(f"_set{i}", StructType([StructField("value", schema[n].dataType)])) for i, n in enumerate(names)]
+    rows = [(keep, *[(values[n],) if n in values else None for n in names]) for keep, values in overrides.items()]
+    given = folded.sparkSession.createDataFrame(rows, StructType([StructField(record_id, schema[record_id].dataType), *kinds]))
+    out = folded.join(given, record_id, "left")
+    chosen = {n: F.when(F.col(f"_set{i}").isNotNull(), F.col(f"_set{i}.value")).otherwise(col(n)) for i, n in enumerate(names)}
+    return out.select(*[chosen.get(c, col(c)).alias(c) for c in folded.columns])
+
+
 def merge_history(df: DataFrame, mapping: DataFrame, record_id: str) -> DataFrame:
     """(retained_id, record_id, original): every row that takes part, as it was."""
     fields = data_columns(df, [record_id])
+    mapping = final_retained(mapping)
     roles = mapping.select("record_id", "retained_id").unionByName(
         mapping.select(F.col("retained_id").alias("record_id"), "retained_id").distinct()
     )

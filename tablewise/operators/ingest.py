@@ -193,7 +193,7 @@ def ingest(
     raw: DataFrame,
     fields: Sequence[Field],
     order: str,
-    limit: int,
+    limit: int | None = None,
     sources: DataFrame | None = None,
     keys: Sequence[str] | None = None,
     small_rows: int = SMALL_ROWS,
@@ -202,7 +202,7 @@ def ingest(
 
     ``raw`` holds the candidate fields, ``order``, ``source_url`` and optionally
     ``evidences``. ``sources`` holds (data_source_id, source_url), one row per URL.
-    ``limit`` is the target count of the collection plan.
+    ``limit`` is the target count of the collection plan; None keeps all records.
     """
     names = [f.name for f in fields]
     keys = list(keys) if keys else default_keys(names)
@@ -215,7 +215,7 @@ def ingest(
     rejected = rejected.drop("key_hash")
 
     unique = cut_lineage(dedup_ingest(accepted.drop("evidences"), order, keys, names))
-    kept = unique.orderBy(order).limit(limit)
+    kept = unique if limit is None else unique.orderBy(order).limit(limit)
 
     cited = accepted.where(F.size("evidences") > 0)
     urls = cited.groupBy("key_hash").agg(F.count_distinct("source_url").alias("_urls"))
@@ -245,7 +245,7 @@ def ingest(
     return Ingested(records, rejected, links, ingest_metrics(checked, unique, limit))
 
 
-def ingest_metrics(checked: DataFrame, unique: DataFrame, limit: int) -> DataFrame:
+def ingest_metrics(checked: DataFrame, unique: DataFrame, limit: int | None = None) -> DataFrame:
     """One row: extracted, rejected, duplicates, unique, saved and the job's status."""
     status = checked.agg(
         F.count(F.lit(1)).alias("records_extracted"),
@@ -257,7 +257,7 @@ def ingest_metrics(checked: DataFrame, unique: DataFrame, limit: int) -> DataFra
     )
     return one_row([status, folded]).select(
         "*",
-        F.least(F.col("unique_records"), F.lit(limit)).alias("records_saved"),
+        (F.col("unique_records") if limit is None else F.least(F.col("unique_records"), F.lit(limit))).alias("records_saved"),
         F.when(F.col("records_rejected") > 0, "completed_with_errors")
         .otherwise("completed")
         .alias("status"),

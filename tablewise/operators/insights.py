@@ -12,8 +12,9 @@ from ..quantiles import Facts, quantiles
 from ..table import as_text, col, is_text, strict, value
 from .stats import _candidates, describe_numeric, outside, pairs_of, top_correlations
 
-SHOWN_COLUMNS = 2
 TOP_CATEGORIES = 5
+# Texts above this length are grouped by hash.
+LONG_TEXT = 256
 FEWEST_FOR_OUTLIERS = 6
 MISSING_ALERT = 25.0
 CORRELATION_ALERT = 0.4
@@ -50,11 +51,12 @@ def _facts(df: DataFrame):
     return df.agg(*aggs).first()
 
 
-def insights(df: DataFrame, order: str) -> DataFrame:
+def insights(df: DataFrame, order: str, shown_columns: int | None = None) -> DataFrame:
     """Insight rows: overview, extremes, dominant categories, outliers, correlations,
     missing-value alerts. Evidence values are text.
 
-    Which columns count as numeric depends on the data, so one pass collects a few
+    ``shown_columns`` keeps the extremes, categories and outliers of the first columns
+    only. Which columns count as numeric depends on the data, so one pass collects a few
     numbers per column; all insight values are then computed on the cluster.
     """
     spark = df.sparkSession
@@ -89,13 +91,13 @@ def insights(df: DataFrame, order: str) -> DataFrame:
             },
         )
     ]
-    shown = numeric[:SHOWN_COLUMNS]
+    shown = numeric[:shown_columns]
     known = {
         n: Facts(facts[f"k{i}"], facts[f"lo{i}"], facts[f"hi{i}"]) for i, n in enumerate(names) if n in shown
     }
     quarts = quantiles(df, {n: strict(df, n) for n in shown}, [0.25, 0.5, 0.75], known)
     parts += [_extremes(df, n, names, order, quarts[n][1]) for n in shown]
-    parts += _categories(df, [n for n in names if n not in numeric], rows)
+    parts += _categories(df, [n for n in names if n not in numeric], rows, shown_columns)
     for n in shown:
         q1, _, q3 = quarts[n]
         if facts[f"k{names.index(n)}"] >= FEWEST_FOR_OUTLIERS and q3 > q1:
@@ -151,25 +153,42 @@ def _extremes(df: DataFrame, name: str, names: Sequence[str], order: str, median
     )
 
 
-def _categories(df: DataFrame, names: Sequence[str], rows: int) -> list[DataFrame]:
-    """Dominant value of the first two columns with 1 < distinct values < rows."""
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """(value, n, head): how often each text occurs; long texts by their hash and start."""
+    text = as_text(df, name)
+    return (
+        df.where(text.isNotNull())
+        .groupBy(compact_key(text).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.left(text, F.lit(LONG_TEXT))).alias("head"))
+    )
+
+
+def _whole(df: DataFrame, name: str, top: DataFrame) -> DataFrame:
+    """``top`` with whole texts in place of hashes; a scan that only keeps long texts."""
+    text = as_text(df, name)
+    long = df.where(F.length(text) > LONG_TEXT).select(compact_key(text).alias("value"), text.alias("whole"))
+    found = long.join(F.broadcast(top.select("value")), "value").groupBy("value").agg(F.min("whole").alias("whole"))
+    return top.join(found, "value", "left").select(F.coalesce("whole", "value").alias("value"), "n", "head")
+
+
+def _categories(df: DataFrame, names: Sequence[str], rows: int, shown: int | None) -> list[DataFrame]:
+    """Dominant value of the columns with 1 < distinct values < rows.
+
+    One job counts the distinct values of all columns.
+    """
+    if not names:
+        return []
+    counts = [_counted(df, n).agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("d")) for i, n in enumerate(names)]
+    frame = counts[0]
+    for c in counts[1:]:
+        frame = frame.unionByName(c)
+    distinct = {names[r["i"]]: r["d"] for r in frame.collect()}
     parts: list[DataFrame] = []
-    for name in names:
-        if len(parts) == SHOWN_COLUMNS:
-            break
-        text = as_text(df, name)
-        counted = (
-            df.where(text.isNotNull())
-            .groupBy(compact_key(text).alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        distinct = counted.count()
-        if not 1 < distinct < rows:
-            continue
+    for name in [n for n in names if 1 < distinct[n] < rows][:shown]:
         # Five rows at most from here on.
-        top = counted.orderBy(F.desc("n"), "value").limit(TOP_CATEGORIES)
+        top = _counted(df, name).orderBy(F.desc("n"), "head", "value").limit(TOP_CATEGORIES)
         share = F.round(F.col("n") * 100.0 / F.lit(rows), 1)
-        best = _best(top)
+        best = _best(_whole(df, name, top) if is_text(df.schema[name].dataType) else top)
         parts.append(
             _insight(
                 best,
@@ -182,7 +201,7 @@ def _categories(df: DataFrame, names: Sequence[str], rows: int) -> list[DataFram
                     "top_category": F.col("value"),
                     "top_count": F.col("n"),
                     "top_percentage": share,
-                    "distinct_categories": F.lit(distinct),
+                    "distinct_categories": F.lit(distinct[name]),
                     "top_values": F.col("top"),
                 },
             )
@@ -192,7 +211,7 @@ def _categories(df: DataFrame, names: Sequence[str], rows: int) -> list[DataFram
 
 def _best(top: DataFrame) -> DataFrame:
     listed = F.array_sort(
-        F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("value"), F.col("n")))
+        F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("head"), F.col("value"), F.col("n")))
     )
     return (
         top.agg(listed.alias("t"))

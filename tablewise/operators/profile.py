@@ -17,7 +17,7 @@ from ..functions.numbers import bin_edge, bin_index, is_numeric, num_loose
 from ..functions.text import MISSING_PROFILE, is_missing, strip
 from ..functions.urls import has_web_scheme
 from ..quantiles import Facts, quantiles
-from ..scale import SMALL_ROWS, cut_lineage, keep_first
+from ..scale import SMALL_ROWS, cut_lineage
 from ..table import as_text, col, data_columns, is_text, long_form, loose, value
 
 LONG_TEXT = 256
@@ -69,11 +69,12 @@ def _stacked(df: DataFrame, cells: dict[str, Column], order: str) -> DataFrame:
 def frequency(
     df: DataFrame, columns: Sequence[str], order: str, numbers: Sequence[str] | None = None
 ) -> DataFrame:
-    """(column, key, n, first, len, num, web) of all non-missing values.
+    """(column, key, n, first, len, num, web, head) of all non-missing values.
 
     Whole and floating numbers are counted as such, so only distinct ones become
     text. ``key`` of a text is the text, or the SHA-256 of a long one: documents are
-    not shuffled, and what a report needs of a long text is taken before.
+    not shuffled, and what a report needs of a long text is taken before. ``head`` is
+    the start of the text, by which ties are ordered.
     ``numbers`` names the text columns whose loose numbers are wanted (default all).
     """
     whole, floating, text = {}, {}, {}
@@ -97,7 +98,7 @@ def frequency(
         parts.append(
             counted.select(
                 "column", "key", "n", "first", F.length(key).alias("len"), v.cast("double").alias("num"),
-                F.lit(False).alias("web"),
+                F.lit(False).alias("web"), key.alias("head"),
             )
         )
     if text:
@@ -120,6 +121,7 @@ def frequency(
             F.max(F.when(is_long, F.length(v))).alias("long_len"),
             F.max(F.when(is_long, number(v))).alias("long_num"),
             F.max(F.when(is_long, has_web_scheme(v))).alias("long_web"),
+            F.max(F.when(is_long, F.left(v, F.lit(LONG_TEXT)))).alias("long_head"),
         )
         short = F.col("long_len").isNull()
         parts.append(
@@ -131,6 +133,7 @@ def frequency(
                 F.when(short, F.length(key)).otherwise(F.col("long_len")).alias("len"),
                 F.when(short, number(key)).otherwise(F.col("long_num")).alias("num"),
                 F.when(short, has_web_scheme(key)).otherwise(F.col("long_web")).alias("web"),
+                F.coalesce("long_head", key).alias("head"),
             )
         )
     out = parts[0]
@@ -146,7 +149,7 @@ def _ranked(freq: DataFrame, size: int, *order: Column, partition: str = "column
 
 
 def top_values(freq: DataFrame, size: int = TOP_VALUES) -> DataFrame:
-    return _ranked(freq, size, F.desc("n"), F.asc("key"))
+    return _ranked(freq, size, F.desc("n"), F.asc("head"), F.asc("key"))
 
 
 def sample_values(freq: DataFrame, size: int = SAMPLE_VALUES) -> DataFrame:
@@ -156,9 +159,12 @@ def sample_values(freq: DataFrame, size: int = SAMPLE_VALUES) -> DataFrame:
 def _whole_texts(df: DataFrame, picks: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """The picked rows with long texts put back, looked up by position.
 
-    ``picks`` holds a few rows per column, so it is broadcast.
+    ``picks`` holds a few rows per column, so their positions are broadcast; the
+    texts, of any length, are not.
     """
     texts = [c for c in columns if is_text(df.schema[c].dataType)]
+    if not texts:
+        return picks
     wanted = F.broadcast(
         picks.where(F.col("key").startswith("sha256:")).select("column", F.col("first").alias("_order"))
     ).distinct()
@@ -168,9 +174,7 @@ def _whole_texts(df: DataFrame, picks: DataFrame, columns: Sequence[str], order:
         .join(F.broadcast(wanted), ["column", "_order"], "left_semi")
         .withColumnRenamed("_order", "first")
     )
-    return picks.join(F.broadcast(values), ["column", "first"], "left").withColumn(
-        "key", F.coalesce("text", "key")
-    )
+    return picks.join(values, ["column", "first"], "left").withColumn("key", F.coalesce("text", "key"))
 
 
 @dataclass(frozen=True)
@@ -558,8 +562,9 @@ def field_distributions(
     order: str,
     columns: Sequence[str] | None = None,
     small_rows: int = SMALL_ROWS,
+    top: int = TOP_CATEGORIES,
 ) -> DataFrame:
-    """Histogram or top categories of every column, in long form.
+    """Histogram or ``top`` categories of every column, in long form.
 
     Columns: column, type (numeric, categorical, empty), position, label, count,
     bin_min, bin_max. A column is numeric when 80 % of its values hold a number.
@@ -620,12 +625,9 @@ def field_distributions(
         )
     )
     nothing = F.lit(None).cast("double")
-    categories = _ranked(
-        freq.join(F.broadcast(stats.where(~F.col("numeric")).select("column")), "column"),
-        TOP_CATEGORIES,
-        F.desc("n"),
-        F.asc("key"),
-    ).select(
+    texts = freq.join(F.broadcast(stats.where(~F.col("numeric")).select("column")), "column")
+    frequent = _ranked(texts, top, F.desc("n"), F.asc("head"), F.asc("key"))
+    categories = _whole_texts(df, frequent, names, order).select(
         "column",
         F.lit("categorical").alias("type"),
         (F.col("place") - 1).alias("position"),
@@ -648,7 +650,7 @@ def field_distributions(
 
 
 def chart_points(
-    df: DataFrame, x: str, y: str | None = None, aggregation: str = "count", max_items: int = 15
+    df: DataFrame, x: str, y: str | None = None, aggregation: str = "count", max_items: int | None = None
 ) -> DataFrame:
     """Chart points (name, value): x as text, largest values first."""
     agg = aggregation.lower()
@@ -668,10 +670,5 @@ def chart_points(
         points = rows.groupBy("name").agg(F.count_distinct(compact_key(as_text(df, y))).alias("value"))
     else:
         points = rows.groupBy("name").agg(F.count(F.lit(1)).alias("value"))
-    return points.orderBy(F.desc("value"), "name").limit(max_items)
-
-
-def drop_copies(df: DataFrame, order: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """First row of each set of equal records."""
-    names = list(columns) if columns is not None else data_columns(df, [order])
-    return keep_first(df, record_hash(df, names), order)
+    ordered = points.orderBy(F.desc("value"), "name")
+    return ordered if max_items is None else ordered.limit(max_items)

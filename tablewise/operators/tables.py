@@ -151,7 +151,7 @@ def with_parent_name(
 ) -> DataFrame:
     """Parent name looked up by key; rows without a parent stay."""
     side = parents.select(col(key), col(name).alias(alias))
-    return spread_join(df, side, key, spread_by or df.columns[0], "left", None, None, small_rows)
+    return spread_join(df, side, key, spread_by, "left", None, None, small_rows)
 
 
 def delete_records(df: DataFrame, ids: DataFrame, id_column: str, dataset_id: Any = None) -> DataFrame:
@@ -260,9 +260,10 @@ def recent(df: DataFrame, owner: Any, tie: str, size: int = 5) -> DataFrame:
     )
 
 
-def transformation_history(log: DataFrame, size: int = 50) -> DataFrame:
-    """The newest log entries."""
-    return log.orderBy(F.desc("created_at"), F.desc("entry_id")).limit(size)
+def transformation_history(log: DataFrame, size: int | None = None) -> DataFrame:
+    """The log entries, newest first; ``size`` keeps the first ones."""
+    newest = log.orderBy(F.desc("created_at"), F.desc("entry_id"))
+    return newest if size is None else newest.limit(size)
 
 
 def record_provenance(
@@ -297,7 +298,7 @@ def count_links(links: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def relink(links: DataFrame, mapping: DataFrame, spread_by: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def relink(links: DataFrame, mapping: DataFrame, spread_by: str | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Evidence of merged records points to the retained one."""
     side = mapping.select(
         F.col("record_id").alias("dataset_record_id"), F.col("retained_id").alias("_keep")

@@ -20,8 +20,8 @@ OPERATIONS = (
 )
 AGGREGATES = ("count", "sum", "mean", "median", "min", "max", "distinct_count")
 FILTER_OPERATORS = ("==", "!=", ">", "<", ">=", "<=", "contains", "is_null", "is_not_null")
-DEFAULT_LIMIT = 25
-LARGEST_LIMIT = 500
+# Rows that a limit may name. More would be sorted in one task: take all rows instead.
+LARGEST_LIMIT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,8 @@ class Plan:
     filters: Sequence[Filter] = ()
     sort_by: str | None = None
     sort_ascending: bool = False
-    limit: int = DEFAULT_LIMIT
+    # None: all rows.
+    limit: int | None = None
     # Column that makes the row order total where a result depends on it.
     order_column: str | None = None
     notes: Sequence[str] = field(default=())
@@ -58,12 +59,14 @@ def match_column(name: str | None, columns: Sequence[str]) -> str | None:
 def bind(plan: Plan, columns: Sequence[str]) -> Plan:
     """The plan with its names resolved against ``columns``.
 
-    An unknown operation is an error. Unknown targets, group and sort columns and
-    filters are left out, an unknown aggregate becomes ``count``, and the limit is
-    brought into 1..500.
+    An unknown operation and a limit outside 1..LARGEST_LIMIT are errors. Unknown
+    targets, group and sort columns and filters are left out, and an unknown aggregate
+    becomes ``count``.
     """
     if plan.operation not in OPERATIONS:
         raise ValueError(f"Unsupported analytical operation: '{plan.operation}'")
+    if plan.limit is not None and not 1 <= plan.limit <= LARGEST_LIMIT:
+        raise ValueError(f"a limit is 1 to {LARGEST_LIMIT}, or None for all rows")
     targets = [m for m in (match_column(t, columns) for t in plan.target_columns) if m]
     if not targets and columns:
         targets = [columns[0]]
@@ -84,5 +87,4 @@ def bind(plan: Plan, columns: Sequence[str]) -> Plan:
         aggregation_func=aggregate,
         filters=tuple(filters),
         sort_by=match_column(plan.sort_by, columns),
-        limit=max(1, min(plan.limit, LARGEST_LIMIT)),
     )

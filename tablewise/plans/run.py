@@ -24,7 +24,6 @@ from ..table import as_text, col, first_column, is_text, long_form, strict, valu
 from .plan import Plan, bind
 
 HISTOGRAM_BINS = 10
-SUMMARY_COLUMNS = 5
 FEWEST_FOR_OUTLIERS = 4
 
 
@@ -70,6 +69,10 @@ def directed(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_last() if ascending else c.desc_nulls_last()
 
 
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 def _one_row(df: DataFrame, **values) -> DataFrame:
     return df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
@@ -113,11 +116,15 @@ def _group_by(df: DataFrame, plan: Plan, small_rows: int) -> Result:
             )
         else:
             grouped = keyed.groupBy(col(key)).agg(_number(keyed, measure, agg).alias(name))
-    table = grouped.orderBy(directed(col(name), plan.sort_ascending), col(key)).limit(plan.limit)
+    table = grouped.orderBy(directed(col(name), plan.sort_ascending), col(key)).transform(_first, plan.limit)
     metrics = table.agg(
         F.lit(key).alias("group_column"),
         F.lit(agg).alias("aggregation"),
         F.count(F.lit(1)).alias("distinct_groups_analyzed"),
+        F.min_by(
+            col(key).cast("string"),
+            F.struct(col(name).isNull(), col(name) if plan.sort_ascending else -col(name), col(key)),
+        ).alias("top_group"),
     )
     return Result(table, metrics)
 
@@ -187,14 +194,14 @@ def _sort_limit(df: DataFrame, plan: Plan) -> Result:
     keys = [directed(strict(df, name), plan.sort_ascending)]
     if df.schema[name].dataType.typeName() not in ("variant", "map"):
         keys.append(directed(value(df, name), plan.sort_ascending))
-    table = df.orderBy(*keys, *_tie(df, plan)).limit(plan.limit)
+    table = df.orderBy(*keys, *_tie(df, plan)).transform(_first, plan.limit)
     metrics = table.agg(F.lit(name).alias("sort_by"), F.count(F.lit(1)).alias("limit"))
     return Result(table, metrics)
 
 
 def _filter(df: DataFrame, plan: Plan) -> Result:
     tie = _tie(df, plan)
-    table = (df.orderBy(*tie) if tie else df).limit(plan.limit)
+    table = (df.orderBy(*tie) if tie else df).transform(_first, plan.limit)
     return Result(table, df.agg(F.count(F.lit(1)).alias("matched_records")))
 
 
@@ -217,7 +224,7 @@ def _distribution(df: DataFrame, plan: Plan) -> Result:
             .groupBy("category")
             .agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), "category")
-            .limit(plan.limit)
+            .transform(_first, plan.limit)
         )
     metrics = table.agg(F.lit(name).alias("column"), F.count(F.lit(1)).alias("categories_count"))
     return Result(table, metrics)
@@ -256,7 +263,7 @@ def _outliers(df: DataFrame, plan: Plan) -> Result:
     q1, q3, lower, upper = iqr_bounds(df, [name], facts)[name]
     found = df.where(outside(v, lower, upper))
     tie = _tie(df, plan)
-    table = (found.orderBy(*tie) if tie else found).limit(plan.limit)
+    table = (found.orderBy(*tie) if tie else found).transform(_first, plan.limit)
     metrics = found.agg(
         F.lit(name).alias("column"),
         F.round(F.lit(q1), 4).alias("q1"),
@@ -287,7 +294,7 @@ def _correlation(df: DataFrame, plan: Plan) -> Result:
     )
     table = (
         ranked.orderBy(F.abs(r).desc(), "position_a", "position_b")
-        .limit(plan.limit)
+        .transform(_first, plan.limit)
         .select("column_a", "column_b", "correlation", "relationship", "strength")
     )
     metrics = ranked.agg(F.count(F.lit(1)).alias("pairs"))
@@ -333,16 +340,17 @@ def _missing(df: DataFrame) -> Result:
 
 
 def _summary(df: DataFrame) -> Result:
-    shown = df.columns[:SUMMARY_COLUMNS]
-    one = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_distinct(_distinct_key(df, c)).alias(f"u{i}") for i, c in enumerate(shown)],
-    )
-    entries = [
-        ("Total Records", {"value": F.col("rows")}),
-        ("Total Columns", {"value": F.lit(len(df.columns)).cast("long")}),
-    ] + [(f"Unique '{c}'", {"value": F.col(f"u{i}")}) for i, c in enumerate(shown)]
-    table = long_form(one, entries).withColumnRenamed("column", "metric")
+    """Rows, columns, and the distinct values of every column.
+
+    Each column is counted by a job of its own part of the union, which reads that
+    column alone; one aggregation over all would copy every row once per column.
+    """
+    rows = df.agg(F.lit("Total Records").alias("metric"), F.count(F.lit(1)).alias("value"))
+    columns = F.lit(len(df.columns)).cast("long")
+    table = rows.unionByName(df.sparkSession.range(1).select(F.lit("Total Columns").alias("metric"), columns.alias("value")))
+    for c in df.columns:
+        distinct = df.select(_distinct_key(df, c).alias("k")).where(F.col("k").isNotNull()).distinct()
+        table = table.unionByName(distinct.agg(F.lit(f"Unique '{c}'").alias("metric"), F.count(F.lit(1)).alias("value")))
     metrics = df.agg(
         F.count(F.lit(1)).alias("total_rows"), F.lit(len(df.columns)).alias("total_columns")
     )

@@ -29,9 +29,16 @@ SKETCH_ACCURACY = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one in local runs."""
+    """The folder the cluster names for checkpoints.
+
+    Only a local session may do without: it gets a temporary one. Elsewhere executors
+    would write to their own disks, so a missing setting raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tablewise-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -52,7 +59,7 @@ def spread_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    spread_by: str,
+    spread_by: str | None = None,
     how: str = "left",
     rows: int | None = None,
     counts: DataFrame | None = None,
@@ -65,18 +72,26 @@ def spread_join(
     dealt to the copies by a hash of ``spread_by``. The list of such keys has at
     most 10,000 rows, so it is broadcast. Every left row still meets its right row.
 
-    ``counts`` may give (key, n) of the left side if it is known already.
+    ``spread_by`` (default: all columns) must differ from ``key``, or the rows of a hot
+    key would stay together. ``counts`` may give (key, n) of the left side if it is known already.
+    Without it, the lineage of the left side is cut, and the number of rows is the sum
+    of the counts per key: the left side is computed once.
     """
+    if spread_by == key:
+        raise ValueError("rows of a hot key cannot be spread by the key itself")
+    if counts is None:
+        left = cut_lineage(left)
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = left.count() if rows is None else rows
     if total <= small_rows:
         return left.join(right, key, how)
     share = max(math.ceil(total / HOT_SHARE), 1)
-    per_key = counts if counts is not None else left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    per_key = counts
     hot = (
         per_key.where(F.col(key).isNotNull() & (F.col("n") > share))
         .select(key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("_copies"))
     )
-    dealt = F.xxhash64(F.col(spread_by))
+    dealt = F.xxhash64(*[F.col(f"`{c}`") for c in ([spread_by] if spread_by else left.columns)])
     salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
         F.when(F.col(key).isNull(), F.pmod(dealt, F.lit(NULL_SPREAD)))

@@ -10,7 +10,6 @@ from ..functions.text import formula_guard
 from ..table import as_text, col, data_columns
 
 # Fixed value: rows of the simple export.
-LATEST_ROWS = 5000
 
 
 def csv_rows(
@@ -85,12 +84,13 @@ def export_json(
     rows.write.json(path, ignoreNullFields=False)
 
 
-def latest_rows(df: DataFrame, limit: int = LATEST_ROWS, tie: str = "record_id") -> DataFrame:
-    """The newest rows of a table."""
-    return df.orderBy(col("created_at").desc_nulls_last(), col(tie).asc()).limit(limit)
+def latest_rows(df: DataFrame, limit: int | None = None, tie: str = "record_id") -> DataFrame:
+    """The rows of a table, newest first; ``limit`` keeps the first ones."""
+    newest = df.orderBy(col("created_at").desc_nulls_last(), col(tie).asc())
+    return newest if limit is None else newest.limit(limit)
 
 
-def export_latest(df: DataFrame, path: str, fmt: str = "csv", limit: int = LATEST_ROWS) -> None:
+def export_latest(df: DataFrame, path: str, fmt: str = "csv", limit: int | None = None) -> None:
     """Simple export of the newest rows, as CSV or JSON Lines."""
     newest = latest_rows(df, limit)
     if fmt == "csv":

@@ -7,11 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.urls import authority, url_safety
 from ..table import col
 
-# Limits of one collection job.
-MAX_QUERIES = 15
-MAX_SOURCES = 100
-MAX_RESULTS_PER_QUERY = 10
-
 
 def build_sources(
     pages: DataFrame, url: str = "url", content: str = "html", max_chars: int | None = None
@@ -46,23 +41,20 @@ def build_sources(
 
 def discover(
     results: DataFrame,
-    max_queries: int = MAX_QUERIES,
-    max_sources: int = MAX_SOURCES,
-    max_results: int | None = MAX_RESULTS_PER_QUERY,
+    max_queries: int | None = None,
+    max_sources: int | None = None,
+    max_results: int | None = None,
 ) -> DataFrame:
     """First hit per URL over all result lists, in query and hit order.
 
     ``results`` holds (query_pos, hit_pos, url, …), positions from 1. The first hit
     is folded per URL before the shuffle, so a URL found everywhere is no hot group.
     """
-    hits = results.where(F.col("query_pos") <= max_queries)
+    hits = results if max_queries is None else results.where(F.col("query_pos") <= max_queries)
     if max_results is not None:
         hits = hits.where(F.col("hit_pos") <= max_results)
     others = [c for c in results.columns if c != "url"]
     place = F.struct("query_pos", "hit_pos")
     first = hits.groupBy("url").agg(F.min_by(F.struct(*[col(c) for c in others]), place).alias("_hit"))
-    return (
-        first.select("url", *[F.col(f"_hit.`{c}`").alias(c) for c in others])
-        .orderBy("query_pos", "hit_pos", "url")
-        .limit(max_sources)
-    )
+    ordered = first.select("url", *[F.col(f"_hit.`{c}`").alias(c) for c in others]).orderBy("query_pos", "hit_pos", "url")
+    return ordered if max_sources is None else ordered.limit(max_sources)

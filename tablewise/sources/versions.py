@@ -1,8 +1,10 @@
 """Versioned tables: immutable Parquet folders and an append-only log.
 
 Layout of a store: ``data/version=N`` holds the rows of version N, ``log`` one row
-per version. A version becomes visible with its log row, which is written last, so
-a job that dies half-way leaves no half version behind.
+per version, ``claims/N`` says that a writer has taken the number. A version becomes
+visible with its log row, which is written last, so a job that dies half-way leaves no
+half version behind, only an unused number. What was computed about a version
+(quality, profile, moved evidence) lies under ``reports/NAME/version=N``.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -50,9 +53,35 @@ class VersionStore:
         """Number of the newest version, 0 when there is none."""
         return self.log().agg(F.max("version")).first()[0] or 0
 
+    def _claim(self) -> int:
+        """The next number that no other writer has taken.
+
+        A file that may not exist before is created for it, which the file system
+        grants to one writer only.
+        """
+        jvm = self.spark._jvm
+        number = self.latest() + 1
+        while True:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{number}")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            try:
+                files.create(path, False).close()
+                return number
+            except Py4JJavaError as error:
+                if not files.exists(path):
+                    raise error
+                number += 1
+
+    def attach(self, name: str, number: int, df: DataFrame) -> None:
+        """Store a table that belongs to a version."""
+        df.write.mode("overwrite").parquet(f"{self.path}/reports/{name}/version={number}")
+
+    def attached(self, name: str, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/reports/{name}/version={number}")
+
     def snapshot(self, df: DataFrame, change_type: str, summary: str = "") -> int:
         """Write the rows as the next version and log it; returns its number."""
-        number = self.latest() + 1
+        number = self._claim()
         # A fresh folder per attempt: a retry never mixes with files of a dead job.
         folder = f"data/version={number}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{folder}")

@@ -75,7 +75,10 @@ def test_bind_repairs_names_and_refuses_operations():
     assert plan.group_by_column is None
     assert plan.aggregation_func == "mean"
     assert [f.column for f in plan.filters] == ["a"]
-    assert plan.limit == 500
+    assert plan.limit == 9999 and bind(Plan("filter"), ["a"]).limit is None
+    for limit in (0, -1, 10**9):
+        with pytest.raises(ValueError):
+            bind(Plan("filter", limit=limit), ["a"])
     assert bind(Plan("aggregate", aggregation_func="product"), ["a"]).aggregation_func == "count"
     with pytest.raises(ValueError):
         bind(Plan("drop_table"), ["a"])

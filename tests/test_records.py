@@ -168,6 +168,26 @@ def test_merge(spark, jobs):
     assert json.loads(next(r["original"] for r in history if r["record_id"] == 3))["job_title"] == "Cook"
 
 
+def test_merge_follows_chains_and_refuses_circles(spark, jobs):
+    mapping = spark.createDataFrame([(2, 1), (3, 2), (5, 3)], "record_id long, retained_id long")
+    assert sorted(rows(dedup.final_retained(mapping))) == [(2, 1), (3, 1), (5, 1)]
+    merged = dedup.merge_groups(jobs, mapping, "record_seq", "record_seq")
+    assert sorted(r["record_seq"] for r in merged.collect()) == [1, 4, 6]
+    assert {r["retained_id"] for r in dedup.merge_history(jobs, mapping, "record_seq").collect()} == {1}
+    for circle in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1)]):
+        with pytest.raises(ValueError):
+            dedup.final_retained(spark.createDataFrame(circle, "record_id long, retained_id long")).collect()
+
+
+def test_clusters_with_one_short_id_stay_apart(spark, jobs, monkeypatch):
+    monkeypatch.setattr(dedup, "short_id", lambda prefix, c, length: F.lit(prefix))
+    members = dedup.duplicate_members(jobs, "record_seq")
+    want = brute_force_groups(jobs.collect())
+    assert dedup.duplicate_groups(members).count() == len(set(want.values()))
+    mapping = {r["record_id"]: r["retained_id"] for r in dedup.first_as_retained(members).collect()}
+    assert mapping == {i: first for i, (_, first) in want.items() if i != first}
+
+
 def test_ingest_dedup_fills_gaps(spark):
     df = spark.createDataFrame(
         [(1, "Acme", "Eng", None), (2, "ACME ", "eng", "w"), (3, "acme", "ENG", "v"), (4, None, None, "x"), (5, None, None, "x")],
@@ -312,7 +332,8 @@ def test_sources_and_discovery(spark):
     hits = spark.createDataFrame(
         [(1, 1, "u1"), (1, 2, "u2"), (2, 1, "u2"), (2, 2, "u3"), (16, 1, "late")], "query_pos int, hit_pos int, url string"
     )
-    assert [(r["url"], r["query_pos"]) for r in discover(hits).collect()] == [("u1", 1), ("u2", 1), ("u3", 2)]
+    assert [(r["url"], r["query_pos"]) for r in discover(hits, max_queries=15).collect()] == [("u1", 1), ("u2", 1), ("u3", 2)]
+    assert discover(hits).count() == 4
     assert discover(hits, max_sources=2).count() == 2
 
 
@@ -371,6 +392,13 @@ def test_versions(spark, jobs, tmp_path):
     assert sorted(rows(store.read(1))) == sorted(rows(jobs))
 
 
+def test_two_writers_get_two_numbers(spark, jobs, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "store"))
+    assert (store._claim(), store._claim()) == (1, 2)
+    assert store.snapshot(jobs, "collect") == 3
+    assert store.latest() == 3
+
+
 def test_merge_version(spark, jobs, tmp_path):
     store = VersionStore(spark, str(tmp_path / "store"))
     store.snapshot(jobs.withColumn("record_id", F.col("record_seq")), "collect")
@@ -380,6 +408,8 @@ def test_merge_version(spark, jobs, tmp_path):
     assert sorted(r["record_id"] for r in out.table.collect()) == [1, 3, 5]
     assert sorted(rows(out.links)) == [(1, "s1"), (5, "s2")]
     assert out.history.count() == 6
+    assert {r["dimension"] for r in store.attached("quality", out.version).collect()} >= {"overall", "uniqueness"}
+    assert out.profile.where("column_name = 'url'").count() == 1
 
 
 def test_stream_equals_batch(spark, candidates, tmp_path):

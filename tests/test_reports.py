@@ -134,7 +134,7 @@ def test_column_kinds(shop):
 def test_insights(frame):
     got = insights(frame, "record_seq").collect()
     kinds = [r["category"] for r in got]
-    assert kinds[0] == "overview" and kinds.count("extremes") == 2
+    assert kinds[0] == "overview" and kinds.count("extremes") == 4
     extremes = next(r for r in got if r["category"] == "extremes" and r["evidence"]["column"] == "employees")
     assert extremes["evidence"]["top_entity"] == "Alder"
     category = next(r for r in got if r["category"] == "categorical")["evidence"]

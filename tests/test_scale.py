@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewise.functions import bin_index
 from tablewise.operators.stats import grouped_median
 from tablewise.quantiles import quantiles
-from tablewise.scale import cut_lineage, keep_first, spread_join
+from tablewise.scale import cut_lineage, keep_first, shared_folder, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,52 @@ def test_spread_join_deals_the_hot_key_out(spark, skewed):
     assert parts == 8
 
 
+def test_spread_join_refuses_the_key_itself(spark, skewed):
+    with pytest.raises(ValueError):
+        spread_join(skewed, spark.createDataFrame([("hot", 1)], "key string, v int"), "key", "key")
+
+
+def test_spread_join_spreads_by_the_whole_row_and_reads_the_left_side_once(spark, skewed):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    left = skewed.mapInArrow(watch, skewed.schema)
+    right = spark.createDataFrame([("hot", 1)], "key string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = spread_join(left, right, "key", None, "inner", small_rows=10)
+        assert out.groupBy(F.spark_partition_id()).count().count() == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert seen.value == skewed.count()
+
+
+def test_shared_folder_is_required_off_a_local_session():
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+
+
 def test_keep_first(skewed):
     got = {r["key"]: r["id"] for r in keep_first(skewed, F.col("key"), "id").collect()}
     want = {}
