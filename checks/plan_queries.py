@@ -193,6 +193,37 @@ def general_summary(spark, sf):
     return run(orders(spark, sf), Plan("general_summary")).table
 
 
+@query(
+    "plan_on_no_rows",
+    """select 'empty_dataset' as status, cast(count(*) as bigint) as total_records from events where event_type = 'no such type'""",
+)
+def plan_on_no_rows(spark, sf):
+    """A plan over a table whose filter leaves nothing."""
+    none = table(spark, sf, "events").where(F.col("event_type") == "no such type")
+    return run(none, Plan("group_by", ["value"], "event_type", "sum")).metrics
+
+
+@query(
+    "group_by_metrics",
+    """with g as (select event_type, count(*) as n from events group by 1)
+       select 'event_type' as group_column, 'count' as aggregation, count(*) as distinct_groups_analyzed,
+         first(event_type order by n desc, event_type) as top_group from g""",
+)
+def group_by_metrics(spark, sf):
+    return run(table(spark, sf, "events"), Plan("group_by", ["event_type"])).metrics
+
+
+@query(
+    "distribution_labels",
+    """with f as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem),
+       b as (select cast(unnest(range(10)) as integer) as bin, lo, hi from f)
+       select bin, format('{:.1f}', round_even(lo + bin * ((hi - lo) / 10), 1)) || ' - ' ||
+         format('{:.1f}', round_even(case when bin = 9 then hi else lo + (bin + 1) * ((hi - lo) / 10) end, 1)) as bin_range from b""",
+)
+def distribution_labels(spark, sf):
+    return run(table(spark, sf, "lineitem"), Plan("distribution", ["l_extendedprice"])).table.select("bin", "bin_range")
+
+
 @query(
     "sort_limit_desc",
     """select l_orderkey, l_linenumber, l_extendedprice, l_partkey from lineitem

@@ -726,27 +726,39 @@ def _halves(spark, sf):
     return o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 <> 1").withColumn("extra", F.lit(1))
 
 
+_ENVELOPE_KEYS = """a as (select distinct unnest(json_keys(props)) as k from events where event_id % 2 = 0),
+       b as (select distinct unnest(json_keys(props)) as k from events where event_id % 2 = 1 union select 'extra')"""
+
+
+def _envelopes(spark, sf):
+    e = table(spark, sf, "events")
+    more = F.concat(F.lit('{"extra": 1, '), F.expr("substring(props, 2)"))
+    return (
+        e.where("event_id % 2 = 0").select(F.parse_json("props").alias("record")),
+        e.where("event_id % 2 = 1").select(F.parse_json(more).alias("record")),
+    )
+
+
 @query(
     "schema_similarity",
-    "select cast(6 as bigint) as common_columns, cast(0 as bigint) as a_only_columns, cast(1 as bigint) as b_only_columns, round(200.0 * 6 / 13, 1) as similarity from (select count(*) from orders)",
+    f"""with {_ENVELOPE_KEYS}, d as (select a.k is not null as in_a, b.k is not null as in_b from a full join b on a.k = b.k)
+       select count(*) filter (where in_a and in_b) as common_columns, count(*) filter (where in_a and not in_b) as a_only_columns,
+         count(*) filter (where in_b and not in_a) as b_only_columns,
+         round(200.0 * count(*) filter (where in_a and in_b) / greatest(count(*) filter (where in_a) + count(*) filter (where in_b), 1), 1)::double as similarity
+       from d""",
 )
 def schema_similarity(spark, sf):
-    a, b = _halves(spark, sf)
-    return compare.schema_similarity(compare.schema_diff(a, b))
+    """Similarity of the keys that the records of two halves of the events hold."""
+    return compare.schema_similarity(compare.envelope_schema_diff(*_envelopes(spark, sf)))
 
 
 @query(
     "envelope_schema_diff",
-    """with a as (select distinct unnest(json_keys(props)) as k from events where event_id % 2 = 0),
-       b as (select distinct unnest(json_keys(props)) as k from events where event_id % 2 = 1 union select 'extra')
+    f"""with {_ENVELOPE_KEYS}
        select coalesce(a.k, b.k) as "column", a.k is not null as in_a, b.k is not null as in_b from a full join b on a.k = b.k""",
 )
 def envelope_schema_diff(spark, sf):
-    e = table(spark, sf, "events")
-    a = e.where("event_id % 2 = 0").select(F.parse_json("props").alias("record"))
-    more = F.concat(F.lit('{"extra": 1, '), F.expr("substring(props, 2)"))
-    b = e.where("event_id % 2 = 1").select(F.parse_json(more).alias("record"))
-    return compare.envelope_schema_diff(a, b)
+    return compare.envelope_schema_diff(*_envelopes(spark, sf))
 
 
 @query(

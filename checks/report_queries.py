@@ -389,6 +389,8 @@ _LINE_DISTRIBUTION = ("l_quantity", "l_extendedprice", "l_tax")
     " union all ".join(
         f"""select '{c}' as "column", 'numeric' as type, position, cast((select count(*) from lineitem
               where {c} >= s and ({c} < t or position = bins - 1)) as bigint) as count,
+              case when t > 100 then format('{{:,}}', cast(round_even(s, 0) as bigint)) || ' - ' || format('{{:,}}', cast(round_even(t, 0) as bigint))
+                else format('{{:.1f}}', round_even(s, 1)) || ' - ' || format('{{:.1f}}', round_even(t, 1)) end as label,
               round(s, 4) as bin_min, round(t, 4) as bin_max
             from (select cast(unnest(range(bins)) as integer) as position, * from (
                select min({c}) as lo, max({c}) as hi, least(8, count(distinct {c})) as bins from lineitem)) a,
@@ -399,7 +401,7 @@ _LINE_DISTRIBUTION = ("l_quantity", "l_extendedprice", "l_tax")
 )
 def field_distributions_numeric(spark, sf):
     out = field_distributions(table(spark, sf, "lineitem"), "l_orderkey", list(_LINE_DISTRIBUTION))
-    return _rounded(out.drop("label"), "bin_min", "bin_max")
+    return _rounded(out, "bin_min", "bin_max")
 
 
 @query(
@@ -590,6 +592,44 @@ def insight_missing(spark, sf):
     return _evidence(insights(df, "o_orderkey"), "quality", "column", "missing_count", "missing_percentage")
 
 
-@query("report_bundle")
+@query(
+    "insights_on_no_rows",
+    """select 'overview' as category, 'Empty Dataset' as title, 'record_count' as method, cast(count(*) as varchar) as row_count
+       from events where event_type = 'no such type'""",
+)
+def insights_on_no_rows(spark, sf):
+    none = table(spark, sf, "events").where(F.col("event_type") == "no such type")
+    return insights(none, "event_id").select("category", "title", "method", F.col("evidence")["row_count"].alias("row_count"))
+
+
+_BUNDLE_NUMBERS = ("c_custkey", "c_nationkey", "c_acctbal")
+_BUNDLE_PAIRS = (("c_custkey", "c_nationkey"), ("c_custkey", "c_acctbal"), ("c_nationkey", "c_acctbal"))
+
+_BUNDLE = f"""with c as (select cast(c_custkey as double) as c_custkey, c_name, cast(c_nationkey as double) as c_nationkey, c_acctbal, c_mktsegment from {CUSTOMER}),
+    gaps as (select count(*) as n, count(*) filter (where c_acctbal is null) + count(*) filter (where c_mktsegment is null) as g from c),
+    seg as (select c_mktsegment as v, count(*) as k, row_number() over (order by count(*) desc, c_mktsegment) as place from c where c_mktsegment is not null group by 1),
+    card as (
+      select n || ' records across 5 columns' as item, unnest(['total_records', 'total_columns', 'completeness_pct', 'null_cells_count']) as key,
+        unnest([n::double, 5, round((n * 5 - g) * 100.0 / (n * 5), 1), g]) as number, null::varchar as text from gaps
+      {" ".join(f"""union all select 'Highest and lowest {x}', unnest(['column', 'max', 'min', 'mean', 'median', 'top_entity']),
+        unnest([null, round(max({x}), 4), round(min({x}), 4), round(avg({x}), 4), round(median({x}), 4), null]),
+        unnest(['{x}', null, null, null, null, first(c_name order by {x} desc nulls last, c_custkey)]) from c""" for x in _BUNDLE_NUMBERS)}
+      union all select 'Dominant category in c_mktsegment: ' || first(v order by place), unnest(['column', 'top_category', 'top_count', 'top_percentage', 'distinct_categories', 'top_values']),
+        unnest([null, null, max(k)::double, round(max(k) * 100.0 / (select count(*) from c), 1), count(*)::double, null]),
+        unnest(['c_mktsegment', first(v order by place), null, null, null, (select string_agg(v || '=' || k, ', ' order by place) from seg where place <= 5)]) from seg),
+    stat as ({_describe("c", _BUNDLE_NUMBERS)}),
+    pair as ({" union all ".join(f"select '{a} ~ {b}' as item, round(corr({a}, {b}), 3) as r from c" for a, b in _BUNDLE_PAIRS)})
+    select 'insights' as section, item, key, round(number, 3) as number, text from card
+    union all select 'statistics', "column", unnest(['count', 'mean', 'std', 'min', 'q25', 'median', 'q75', 'max', 'null_count']),
+      unnest([round(count::double, 3), round(mean, 3), round(std, 3), round(min, 3), round(q25, 3), round(median, 3), round(q75, 3), round(max, 3), round(null_count::double, 3)]), null from stat
+    union all select 'correlations', item, case when r >= 0.7 then 'strong_positive' when r >= 0.4 then 'moderate_positive'
+      when r <= -0.7 then 'strong_negative' when r <= -0.4 then 'moderate_negative' else 'weak' end, r, null from pair"""
+
+
+@query("report_bundle", _BUNDLE)
 def report_bundle_customers(spark, sf):
-    return report_bundle(customer(spark, sf), "c_custkey")
+    """All rows of the bundle; values that are numbers are compared as numbers."""
+    number = F.col("value").try_cast("double")
+    return report_bundle(customer(spark, sf), "c_custkey").select(
+        "section", "item", "key", F.round(number, 3).alias("number"), F.when(number.isNull(), F.col("value")).alias("text")
+    )
