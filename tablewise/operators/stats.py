@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import bin_index, is_numeric
@@ -207,12 +209,57 @@ def number_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[
     return [n for n in names if n not in counts or counts[n] > 0]
 
 
-def pairs_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _products(df: DataFrame, names: Sequence[str], means: Sequence[float], constant: set[int]) -> DataFrame:
+    """All pairs in one scan: products of the columns around their means, added up per task as matrices.
+
+    A task returns one row for each pair, whatever its rows; the sums of the tasks
+    are added up by pair. Gaps, and values that are not finite, count as zero in every
+    product; the number of common rows comes from the products of the masks.
+    """
+    size = len(names)
+    narrow = df.select(*[(strict(df, n) - F.lit(float(m))).alias(f"d{i}") for i, (n, m) in enumerate(zip(names, means))])
+    kinds = ("both", "sum_a", "sum_b", "square_a", "square_b", "product")
+
+    def run(batches):
+        total = np.zeros((len(kinds), size, size))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
+            held = np.isfinite(x)
+            x, held = np.where(held, x, 0.0), held.astype(np.float64)
+            square = x * x
+            total += np.stack([held.T @ held, x.T @ held, held.T @ x, square.T @ held, held.T @ square, x.T @ x])
+        # Upper triangle, one row a pair.
+        a, b = np.triu_indices(size, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(t[a, b]) for t in total]],
+            names=["position_a", "position_b", *kinds],
+        )
+
+    schema = "position_a int, position_b int, " + ", ".join(f"{k} double" for k in kinds)
+    sums = narrow.mapInArrow(run, schema).groupBy("position_a", "position_b").agg(*[F.sum(k).alias(k) for k in kinds])
+    n, sa, sb = F.col("both"), F.col("sum_a"), F.col("sum_b")
+
+    def spread(square: Column, total: Column) -> Column:
+        # What is left of equal values after subtraction is noise.
+        left = square - total * total / n
+        return F.when(left > square * 1e-12, F.sqrt(left))
+
+    r = (F.col("product") - sa * sb / n) / spread(F.col("square_a"), sa) / spread(F.col("square_b"), sb)
+    still = [F.lit(i) for i in sorted(constant)] or [F.lit(-1)]
+    r = F.when((n > 0) & ~F.col("position_a").isin(*still) & ~F.col("position_b").isin(*still), r)
+    labels = F.array(*[F.lit(x) for x in names])
+    return sums.select(
+        "position_a", "position_b", labels[F.col("position_a")].alias("column_a"), labels[F.col("position_b")].alias("column_b"), r.alias("r")
+    )
+
+
+def pairs_of(df: DataFrame, names: Sequence[str], many: int = PAIRS_PER_PASS) -> DataFrame:
     """(position_a, position_b, column_a, column_b, r) of all pairs of ``names``.
 
     A first pass takes count, mean and extremes of each column. Where neither column
     of a pair has a gap, one sum of products around the means is enough; columns
-    share their own sums. Pairs with gaps get the covariance of their common rows.
+    share their own sums. Pairs with gaps get the covariance of their common rows. More
+    than ``many`` pairs are all taken from one further scan (``_products``).
     """
     spark = df.sparkSession
     schema = "position_a int, position_b int, column_a string, column_b string, r double"
@@ -233,55 +280,42 @@ def pairs_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
         i for i in range(len(names)) if facts[f"n{i}"] == facts["rows"] and math.isfinite(facts[f"mean{i}"] or 0.0)
     }
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    parts: list[DataFrame] = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        used = sorted({i for p in chunk for i in p})
-        plain = [p for p in chunk if set(p) <= gapless and not set(p) & constant]
-        narrow = df.select(
-            *[strict(df, names[i]).alias(f"v{i}") for i in used],
-            *[
-                (strict(df, names[i]) - F.lit(facts[f"mean{i}"])).alias(f"d{i}")
-                for i in used
-                if i in gapless
-            ],
-        )
-        sums = [
-            F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s{i}") for i in sorted({i for p in plain for i in p})
-        ]
-        values: dict[tuple[int, int], Column] = {}
-        for i, j in chunk:
-            if (i, j) in plain:
-                sums.append(F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}_{j}"))
-                spread = F.sqrt(F.col(f"s{i}")) * F.sqrt(F.col(f"s{j}"))
-                values[i, j] = F.try_divide(F.col(f"p{i}_{j}"), spread)
-            elif {i, j} & constant:
-                values[i, j] = F.lit(None).cast("double")
-            else:
-                a, b = F.col(f"v{i}"), F.col(f"v{j}")
-                both = a.isNotNull() & b.isNotNull()
-                a, b = F.when(both, a), F.when(both, b)
-                spread = F.stddev_pop(a) * F.stddev_pop(b)
-                sums.append(F.try_divide(F.covar_pop(a, b), spread).alias(f"r{i}_{j}"))
-                values[i, j] = F.col(f"r{i}_{j}")
-        one = narrow.agg(*sums) if sums else spark.range(1)
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("position_a"),
-                    F.lit(j).alias("position_b"),
-                    F.lit(names[i]).alias("column_a"),
-                    F.lit(names[j]).alias("column_b"),
-                    values[i, j].alias("r"),
-                )
-                for i, j in chunk
-            ]
+    if len(pairs) > many:
+        means = [facts[f"mean{i}"] or 0.0 for i in range(len(names))]
+        return _products(df, names, means, constant)
+    plain = [p for p in pairs if set(p) <= gapless and not set(p) & constant]
+    narrow = df.select(
+        *[strict(df, n).alias(f"v{i}") for i, n in enumerate(names)],
+        *[(strict(df, names[i]) - F.lit(facts[f"mean{i}"])).alias(f"d{i}") for i in sorted(gapless)],
+    )
+    sums = [F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s{i}") for i in sorted({i for p in plain for i in p})]
+    values: dict[tuple[int, int], Column] = {}
+    for i, j in pairs:
+        if (i, j) in plain:
+            sums.append(F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}_{j}"))
+            spread = F.sqrt(F.col(f"s{i}")) * F.sqrt(F.col(f"s{j}"))
+            values[i, j] = F.try_divide(F.col(f"p{i}_{j}"), spread)
+        elif {i, j} & constant:
+            values[i, j] = F.lit(None).cast("double")
+        else:
+            x, y = F.col(f"v{i}"), F.col(f"v{j}")
+            both = x.isNotNull() & y.isNotNull()
+            x, y = F.when(both, x), F.when(both, y)
+            spread = F.stddev_pop(x) * F.stddev_pop(y)
+            sums.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r{i}_{j}"))
+            values[i, j] = F.col(f"r{i}_{j}")
+    one = narrow.agg(*sums) if sums else spark.range(1)
+    entries = [
+        F.struct(
+            F.lit(i).alias("position_a"),
+            F.lit(j).alias("position_b"),
+            F.lit(names[i]).alias("column_a"),
+            F.lit(names[j]).alias("column_b"),
+            values[i, j].alias("r"),
         )
-        parts.append(one.select(F.inline(entries)))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+        for i, j in pairs
+    ]
+    return one.select(F.inline(F.array(*entries)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -413,11 +447,17 @@ def grouped_median(
             F.lit(VALUE_SLICES), F.floor((F.col("v") - F.col("lo")) / span * VALUE_SLICES) + 1
         ),
     ).otherwise(1)
-    sliced = counted.select(
+    # Groups that are not hot are ordered whole; they are small by definition.
+    whole = Window.partitionBy("key")
+    cold = counted.where(F.col("lo").isNull()).select(
+        "key", "v", "n", F.sum("n").over(whole.orderBy("v")).alias("at"), F.sum("n").over(whole).alias("total")
+    )
+    cold = cold.withColumn("low", F.floor((F.col("total") + 1) / 2)).withColumn("high", F.floor((F.col("total") + 2) / 2))
+    sliced = counted.where(F.col("lo").isNotNull()).select(
         "key",
         "v",
         "n",
-        F.when(F.col("lo").isNull() | (F.col("v") < F.col("lo")), 0)
+        F.when(F.col("v") < F.col("lo"), 0)
         .when(F.col("v") > F.col("hi"), VALUE_SLICES + 1)
         .otherwise(inside)
         .cast("int")
@@ -440,7 +480,11 @@ def grouped_median(
         .select("key", "slice", "before", "low", "high")
     )
     running = F.sum("n").over(Window.partitionBy("key", "slice").orderBy("v"))
-    placed = sliced.join(slices, ["key", "slice"]).withColumn("at", F.col("before") + running)
+    # Two slices a hot key at most: broadcast, so all other slices go before the shuffle.
+    placed = sliced.join(F.broadcast(slices), ["key", "slice"]).select(
+        "key", "v", "n", (F.col("before") + running).alias("at"), "low", "high"
+    )
+    placed = placed.unionByName(cold.select("key", "v", "n", "at", "low", "high"))
 
     def holds(rank: str) -> Column:
         return (F.col(rank) <= F.col("at")) & (F.col(rank) > F.col("at") - F.col("n"))

@@ -30,6 +30,10 @@ def scan_records(
     return df
 
 
+# A table can have so many columns; more keys than that are no fields.
+MOST_FIELDS = 10_000
+
+
 def as_variant(c: Column, dtype: T.DataType) -> Column:
     return c if isinstance(dtype, T.VariantType) else F.try_parse_json(c)
 
@@ -37,7 +41,8 @@ def as_variant(c: Column, dtype: T.DataType) -> Column:
 def envelope_fields(df: DataFrame, record: str = "record_data") -> dict[str, str]:
     """Field names and types found in the records, by one aggregation per field.
 
-    The result grows with the number of fields, not with the rows.
+    The result grows with the number of fields, not with the rows; records whose keys
+    are data and not field names (more than MOST_FIELDS of them) raise.
     """
     opened = df.select(as_variant(col(record), df.schema[record].dataType).alias("r"))
     found = df.sparkSession.sql(
@@ -45,7 +50,10 @@ def envelope_fields(df: DataFrame, record: str = "record_data") -> dict[str, str
         " from {opened}, lateral variant_explode(r) e where e.key is not null group by e.key",
         opened=opened,
     )
-    return {row["name"]: _spark_type(row["kind"]) for row in found.orderBy("name").collect()}
+    rows = found.limit(MOST_FIELDS + 1).collect()
+    if len(rows) > MOST_FIELDS:
+        raise ValueError(f"the records hold more than {MOST_FIELDS} different keys; name the fields to read")
+    return {row["name"]: _spark_type(row["kind"]) for row in sorted(rows, key=lambda r: r["name"])}
 
 
 def _spark_type(kind: str) -> str:

@@ -1,4 +1,6 @@
 import numpy as np
+import random
+
 import pytest
 
 from tablewise.plans import Filter, Plan, bind, run
@@ -164,3 +166,19 @@ def test_histogram(frame, spark):
     out = run(same, Plan("distribution", ["v"])).table.collect()
     assert [(r["bin_start"], r["bin_end"], r["count"]) for r in out] == [(4.5, 5.0, 0), (5.0, 5.5, 2)]
     assert out[0]["bin_range"] == "4.5 - 5.0"
+
+
+def test_many_pairs_in_one_scan(spark):
+    from tablewise.operators.stats import pairs_of
+
+    draw = random.Random(3)
+    data = []
+    for _ in range(300):
+        x = draw.gauss(0, 1)
+        data.append((x, 2 * x + draw.gauss(0, 1), None if draw.random() < 0.3 else draw.gauss(5, 2), 1e6 + x, 7.0, None))
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double, f double").repartition(5)
+    few = {(r["column_a"], r["column_b"]): r["r"] for r in pairs_of(df, df.columns).collect()}
+    many = {(r["column_a"], r["column_b"]): r["r"] for r in pairs_of(df, df.columns, many=0).collect()}
+    assert few.keys() == many.keys()
+    for pair, r in few.items():
+        assert (r is None and many[pair] is None) or abs(r - many[pair]) < 1e-9, pair
