@@ -312,12 +312,35 @@ def hosts(spark, sf):
 
 @query(
     "url_safety",
-    f"""select o_orderkey, case o_orderkey % 12 when 1 then o_orderkey % 40 not between 16 and 31 when 7 then true
-        when 8 then not (o_orderkey % 256 in (0, 10, 127) or o_orderkey % 256 >= 224) when 9 then true else false end as is_safe
-        from orders""",
+    f"""with s as (select o_orderkey as k, case o_orderkey % 12 when 1 then o_orderkey % 40 not between 16 and 31 when 7 then true
+          when 8 then not (o_orderkey % 256 in (0, 10, 127) or o_orderkey % 256 >= 224) when 9 then true else false end as is_safe
+          from orders)
+        select k as o_orderkey, is_safe, case when is_safe then null else case k % 12
+          when 4 then 'Unsupported URL scheme: ftp. Only HTTP/HTTPS permitted.' when 5 then 'Internal domains are prohibited: svc' || k || '.local'
+          when 6 then 'Blocked target host: localhost' when 3 then 'Blocked target host: 169.254.169.254' when 10 then 'URL is empty or invalid' when 11 then 'Internal domains are prohibited: 100.64.0.1.internal'
+          else 'Access to private/loopback IP ' || case k % 12 when 0 then '10.' || k % 256 || '.0.1' when 1 then '172.' || k % 40 || '.3.4'
+            when 2 then '192.168.1.' || k % 256 else k % 256 || '.1.2.3' end || ' is blocked' end end as reason from s""",
 )
 def url_safety_of_hosts(spark, sf):
-    return hosts(spark, sf).select("o_orderkey", url_safety(F.col("url"))["is_safe"].alias("is_safe"))
+    return hosts(spark, sf).select("o_orderkey", url_safety(F.col("url")).alias("s")).select("o_orderkey", "s.is_safe", "s.reason")
+
+
+@query(
+    "url_safety_ipv6",
+    """select o_orderkey, case o_orderkey % 8 when 0 then false when 1 then false when 2 then false when 3 then true when 4 then true
+         when 5 then false when 6 then false else true end as is_safe from orders""",
+)
+def url_safety_ipv6(spark, sf):
+    """Loopback, private, link-local, mapped and malformed addresses against global ones."""
+    k = F.col("o_orderkey")
+    low = F.lower(F.hex(k % 65536))
+    forms = ("::1", "fd00::{}", "fe80::{}", "2606:4700::{}", "2a00:1450:4001::{}", "::ffff:10.0.0.1", "1:2:3:{}", "2001:4860:4860::{}")
+    host = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        before, _, after = form.partition("{}")
+        host = F.when(k % 8 == i, F.concat(F.lit(before), low, F.lit(after)) if "{}" in form else F.lit(form)).otherwise(host)
+    url = F.concat(F.lit("https://["), host, F.lit("]/"))
+    return table(spark, sf, "orders").select("o_orderkey", url_safety(url)["is_safe"].alias("is_safe"))
 
 
 @query(

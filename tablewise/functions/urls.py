@@ -269,7 +269,10 @@ def url_safety(c: Column) -> Column:
 
 
 def _refusal(p: Column) -> Column:
-    """Why a URL is refused, null when it is not."""
+    """Why a URL is refused, null when it is not.
+
+    Fixed values: the texts are part of the result and stored with a source.
+    """
     host = p["host"]
     closed = F.when(host.rlike(IPV4), _let(_ipv4_number(host), lambda n: _closed_number(n, host)))
     internal = host.rlike("(" + "|".join(s.replace(".", r"\.") for s in BLOCKED_SUFFIXES) + ")$")

@@ -73,7 +73,7 @@ class Applied:
 
 def _check(operation: str) -> None:
     if operation not in OPERATIONS:
-        raise ValueError(f"Unsupported cleaning operation: {operation}")
+        raise ValueError(f"no such cleaning operation: {operation!r}; known are {', '.join(OPERATIONS)}")
 
 
 def _targets(df: DataFrame, operation: str, config: Mapping[str, Any]) -> list[str]:

@@ -19,6 +19,7 @@ FEWEST_FOR_OUTLIERS = 6
 MISSING_ALERT = 25.0
 CORRELATION_ALERT = 0.4
 
+# The method names given below with each insight are part of the result.
 SCHEMA = "category string, title string, columns array<string>, method string, evidence map<string,string>"
 
 

@@ -38,14 +38,14 @@ class Transformed(Applied):
 
 def _check(operation: str, config: Mapping[str, Any]) -> None:
     if operation not in OPERATIONS:
-        raise ValueError(f"Disallowed transformation operation: {operation}")
+        raise ValueError(f"no such transformation: {operation!r}; known are {', '.join(OPERATIONS)}")
     if operation == "rename_column" and not (config.get("old_name") and config.get("new_name")):
-        raise ValueError("rename_column requires 'old_name' and 'new_name'")
+        raise ValueError("a rename needs old_name and new_name")
     if operation == "derive_column":
         if not (config.get("target_column") and config.get("expression_type")):
-            raise ValueError("derive_column requires 'target_column' and 'expression_type'")
+            raise ValueError("a derived column needs target_column and expression_type")
         if config["expression_type"] not in EXPRESSIONS:
-            raise ValueError(f"Disallowed expression type: {config['expression_type']}")
+            raise ValueError(f"no such expression: {config['expression_type']!r}; known are {', '.join(EXPRESSIONS)}")
 
 
 def derived(df: DataFrame, expression: str, config: Mapping[str, Any]) -> Column:

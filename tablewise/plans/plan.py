@@ -64,7 +64,7 @@ def bind(plan: Plan, columns: Sequence[str]) -> Plan:
     becomes ``count``.
     """
     if plan.operation not in OPERATIONS:
-        raise ValueError(f"Unsupported analytical operation: '{plan.operation}'")
+        raise ValueError(f"no such operation: {plan.operation!r}; known are {', '.join(OPERATIONS)}")
     if plan.limit is not None and not 1 <= plan.limit <= LARGEST_LIMIT:
         raise ValueError(f"a limit is 1 to {LARGEST_LIMIT}, or None for all rows")
     targets = [m for m in (match_column(t, columns) for t in plan.target_columns) if m]

@@ -25,6 +25,9 @@ from .plan import Plan, bind
 
 HISTOGRAM_BINS = 10
 FEWEST_FOR_OUTLIERS = 4
+# Messages that stand in the result table.
+TOO_FEW_NUMBERS = "Insufficient numeric values for outlier detection"
+TOO_FEW_COLUMNS = "Dataset requires at least 2 numeric columns for correlation analysis"
 
 
 @dataclass(frozen=True)
@@ -258,8 +261,7 @@ def _outliers(df: DataFrame, plan: Plan) -> Result:
     v = strict(df, name)
     facts = number_facts(df, {name: v})
     if facts[name].count < FEWEST_FOR_OUTLIERS:
-        text = "Insufficient numeric values for outlier detection"
-        return Result(_message(df, text), _one_row(df, column=name))
+        return Result(_message(df, TOO_FEW_NUMBERS), _one_row(df, column=name))
     q1, q3, lower, upper = iqr_bounds(df, [name], facts)[name]
     found = df.where(outside(v, lower, upper))
     tie = _tie(df, plan)
@@ -279,8 +281,7 @@ def _outliers(df: DataFrame, plan: Plan) -> Result:
 def _correlation(df: DataFrame, plan: Plan) -> Result:
     names = number_columns(df)
     if len(names) < 2:
-        text = "Dataset requires at least 2 numeric columns for correlation analysis"
-        return Result(_message(df, text), _one_row(df, status="too_few_columns"))
+        return Result(_message(df, TOO_FEW_COLUMNS), _one_row(df, status="too_few_columns"))
     pairs = pairs_of(df, names)
     r = F.col("correlation")
     ranked = (
