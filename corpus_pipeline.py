@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.registry import query, table
-from tablewise.llm.bpe import bpe_decode, bpe_encode
+from tablewise.llm.bpe import bpe_encode
 from tablewise.llm.common import cut
 from tablewise.llm.decontaminate import keep_clean
 from tablewise.llm.quality import fit_quality, keep_good
@@ -44,8 +44,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded."""
-    path = tokenizer_file("word_bpe_49k.json")
-    coded = bpe_decode(bpe_encode(docs, path), path)
+    coded = bpe_encode(docs, tokenizer_file("word_bpe_49k.json"), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tablewise.llm.common import map_rows
 
-WORDS_KEPT = 300_000
+# Words and arcs that a task keeps; words in two generations of half as many.
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 300_000
 LONG_WORD = 48
 
 
@@ -38,7 +39,7 @@ class MergeAutomaton:
         self.lost: dict[tuple[int, int], int] = {}
         self.dead: set[int] = set()
         self.start: dict = {}
-        self.seen: dict[tuple[int, int], bool] = {}
+        self.seen: dict[int, bool] = {}
         made = {a + b for a, b in merges}
         for label, i in vocab.items():
             if label not in made:
@@ -76,37 +77,55 @@ class MergeAutomaton:
                 label, time = self.parts[label][0], made_label + 1
 
     def follows(self, after: int, label: int) -> bool:
-        found = self.seen.get((after, label))
+        pair = after << 24 | label
+        found = self.seen.get(pair)
         if found is None:
-            if len(self.seen) > 2_000_000:
+            if len(self.seen) >= PAIRS_KEPT:
                 self.seen.clear()
-            found = self.seen[after, label] = self.arc(after, label, 1 << 60)
+            found = self.seen[pair] = self.arc(after, label, 1 << 60)
+        return found
+
+    def _labels_from(self, symbols: list[str], at: int) -> list[tuple[int, int]]:
+        """Labels that spell the symbols from ``at`` on, with their ends, shortest first."""
+        node, found = self.start, []
+        for to in range(at, len(symbols)):
+            node = node.get(symbols[to])
+            if node is None:
+                break
+            label = node.get(0)
+            if label is not None:
+                found.append((label, to + 1))
         return found
 
     def encode(self, symbols: list[str]) -> list[int]:
         """Labels of the only path over ``symbols``.
 
-        Each prefix has one encoding, so one label ends at each position: the state.
+        The longest label is tried first. Each prefix has one encoding, so a place from
+        which no path leads on is left for good, and no place is tried twice.
         """
         size = len(symbols)
-        ended = [-1] * (size + 1)
-        began = [0] * (size + 1)
-        for at in range(size):
-            state, node = ended[at], self.start
-            if at and state < 0:
-                continue
-            for to in range(at, size):
-                node = node.get(symbols[to])
-                if node is None:
+        out: list[int] = []
+        ends = [0]
+        open_labels = [self._labels_from(symbols, 0)] if size else []
+        closed = bytearray(size + 1)
+        while open_labels:
+            state = out[-1] if out else -1
+            labels = open_labels[-1]
+            while labels:
+                label, end = labels.pop()
+                if not closed[end] and (state < 0 or self.follows(state, label)):
+                    out.append(label)
+                    if end == size:
+                        return out
+                    ends.append(end)
+                    open_labels.append(self._labels_from(symbols, end))
                     break
-                label = node.get(0)
-                if label is not None and ended[to + 1] < 0 and (not at or self.follows(state, label)):
-                    ended[to + 1], began[to + 1] = label, at
-        out, at = [], size
-        while at:
-            out.append(ended[at])
-            at = began[at]
-        return out[::-1]
+            else:
+                open_labels.pop()
+                closed[ends.pop()] = 1
+                if out:
+                    out.pop()
+        return out
 
 
 def symbols_of_label(label: str, end: str = "</w>") -> list[str]:
@@ -146,6 +165,7 @@ class WordTokenizer:
         self.other = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ]")
         self.signs = byte_symbols()
         self.kept: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def words(self, text: str) -> list[str]:
         if not self.other.search(text):
@@ -154,15 +174,16 @@ class WordTokenizer:
         return self.split.findall(lowered)
 
     def word(self, word: str) -> list[int]:
-        found = self.kept.get(word)
+        """Ids of a word that is not in the younger generation of kept words."""
+        found = self.older.get(word)
         if found is None:
             symbols = [self.signs[b] for b in word.encode()]
             symbols[-1] += self.end
             found = self.automaton.encode(symbols)
-            if len(word) <= LONG_WORD:
-                if len(self.kept) >= WORDS_KEPT:
-                    self.kept.clear()
-                self.kept[word] = found
+        if len(word) <= LONG_WORD:
+            if len(self.kept) >= WORDS_KEPT // 2:
+                self.older, self.kept = self.kept, {}
+            self.kept[word] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
@@ -171,9 +192,8 @@ class WordTokenizer:
             if part in self.added:
                 ids.append(self.added[part])
             elif part:
-                kept = self.kept
                 for word in self.words(part):
-                    ids.extend(kept.get(word) or self.word(word))
+                    ids += self.kept.get(word) or self.word(word)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -187,8 +207,15 @@ def _file(spark, path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 
 
-def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, ids) of every row, ``ids`` as array of int, with ``extra`` columns carried along.
+def bpe_encode(
+    docs: DataFrame,
+    path: str,
+    key: str = "doc_id",
+    text: str = "text",
+    extra: tuple[str, ...] = (),
+    decoded: bool = False,
+) -> DataFrame:
+    """(key, ids, extra) of every row, ``ids`` as array of int; with ``decoded`` also the text read back from them.
 
     ``path`` is a local file of the driver that goes to every executor. A null or empty
     text gives an empty array; repeated rows, null keys and texts of any length are
@@ -198,21 +225,21 @@ def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     from pyspark import SparkFiles
 
     name = _file(docs.sparkSession, path)
-    chosen = docs.select(key, text, *extra)
-    at = chosen.columns.index(text)
+    chosen = docs.select(key, F.col(text).alias("_body"), *extra)
 
     def make():
         tokenizer = WordTokenizer(SparkFiles.get(name))
 
         def block(rows):
             for row in rows:
-                yield (*row[:at], tokenizer.encode(row[at]), *row[at + 1 :])
+                ids = tokenizer.encode(row[1])
+                yield (row[0], ids, tokenizer.decode(ids), *row[2:]) if decoded else (row[0], ids, *row[2:])
 
         return block
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
-    fields[at] = "ids array<int>"
-    return map_rows(chosen, make, ", ".join(fields))
+    fields[1:2] = ["ids array<int>", "decoded string"] if decoded else ["ids array<int>"]
+    return map_rows(chosen, make, ", ".join(fields), rows=64)
 
 
 def bpe_decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -222,7 +249,7 @@ def bpe_decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "i
     name = _file(encoded.sparkSession, path)
     chosen = encoded.select(key, ids, *extra)
 
-    def make() -> Iterator:
+    def make():
         with open(SparkFiles.get(name), encoding="utf-8") as f:
             spec = json.load(f)
         names = {i: t for t, i in spec["model"]["vocab"].items()}

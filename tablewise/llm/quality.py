@@ -22,7 +22,7 @@ SAMPLE = 20_000
 HIDDEN = 24
 
 TOKENS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 BLOCK_TOKENS = 200_000
 
 

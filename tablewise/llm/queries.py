@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.registry import query, table
-from tablewise.llm.bpe import bpe_decode, bpe_encode
+from tablewise.llm.bpe import bpe_encode
 from tablewise.llm.chat import Template, format_chats, parse_chats, unescape
 from tablewise.llm.common import bucket_of
 from tablewise.llm.decontaminate import scan_documents
@@ -115,8 +115,7 @@ def tokenizer_file(name: str) -> str:
 
 @query("op7_bpe_coding")
 def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("word_bpe_49k.json")
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

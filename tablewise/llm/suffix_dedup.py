@@ -370,12 +370,15 @@ def _counted_ranges(pieces: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, "window", "left_semi").select("gram", "content", "first", (F.col("first") + 1).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = 200, text: str = "text", hot_runs: int = HOT_RUNS, as_text: bool = False
+) -> DataFrame:
     """Every row of ``docs`` as (row, n_bytes, spans, kept).
 
     ``spans`` are the maximal runs of bytes (start, end) that lie in a string of
     ``length`` bytes which also starts elsewhere, in this or another row; ``kept`` are
-    the other bytes, ``row`` holds the other columns. Strings never cross rows. A null
+    the other bytes (with ``as_text`` a text, without characters that were cut in
+    two), ``row`` holds the other columns. Strings never cross rows. A null
     text is empty, repeated rows repeat each other, an empty table gives no row.
 
     Each window of ``length`` bytes belongs to its least gram, so equal windows meet
@@ -424,28 +427,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", hot_r
                         merged.append(list(span))
                 edges = [0, *(e for m in merged for e in m), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[0::2], edges[1::2]))
-                out.append((len(body), [{"start": a, "end": b} for a, b in merged], kept))
+                out.append((len(body), [{"start": a, "end": b} for a, b in merged], kept.decode("utf-8", "ignore") if as_text else kept))
             columns = list(zip(*out))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], kind), pa.array(columns[2], pa.binary())],
+                [rows.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], kind), pa.array(columns[2], pa.string() if as_text else pa.binary())],
                 names=["row", "n_bytes", "spans", "kept"],
             )
 
     row = packed.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(finish, f"row {row}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(finish, f"row {row}, n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", **options) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``; characters cut in two go as a whole."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "body"])
-
     plain, names = positional(docs)
-    found = repeated_spans(plain, length, names[text], **options)
-    kind = found.schema["row"].dataType.simpleString()
-    decoded = found.select("row", "kept").mapInArrow(decode, f"row {kind}, body string")
-    return decoded.select(*[(F.col("body") if old == text else F.col("row").getField(new)).alias(old) for old, new in names.items()])
+    found = repeated_spans(plain, length, names[text], as_text=True, **options)
+    return found.select(*[(F.col("kept") if old == text else F.col("row").getField(new)).alias(old) for old, new in names.items()])

@@ -221,6 +221,8 @@ def test_bpe_matches_the_library(spark, texts, word_file):
         ids = library.encode(text or "", add_special_tokens=False).ids
         want[key, tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in found) == want
+    at_once = bpe.bpe_encode(frame(spark, rows), word_file, extra=("uid",), decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in at_once) == want
 
 
 def test_gadgets_on_small_vocabularies():
