@@ -263,8 +263,8 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
             bodies = [pack(t or b"") for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], names=[*batch.schema.names[:-1], "body"])
 
-    others = [F.col(c) for c in docs.columns if c != text]
-    named = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*others).alias("row") if others else F.struct().alias("row"), F.col(text).alias("body"))
+    others = [F.col(c) for c in docs.columns if c != text] or [F.lit(True).alias("none")]
+    named = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*others).alias("row"), F.col(text).alias("body"))
     kind = named.schema["row"].dataType.simpleString()
     return cut(named.mapInArrow(run, f"uid long, row {kind}, body binary"))
 

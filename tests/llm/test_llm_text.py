@@ -124,6 +124,11 @@ def test_without_repeats_keeps_columns_and_whole_characters(spark):
     assert (kept[1].text, kept[2].text, kept[1].uid) == ("a", "bc", 2)
 
 
+def test_repeats_of_a_table_with_texts_alone(spark):
+    docs = spark.createDataFrame([("x" * 250,), ("y" + "x" * 230,), (None,)], "text string")
+    assert sorted((r.text for r in suffix_dedup.without_repeats(docs).collect())) == ["", "", "y"]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_collections_against_counting(seed):
     rng = random.Random(seed)
