@@ -8,7 +8,6 @@ from .numbers import (
     display,
     num_loose,
     num_strict,
-    parse_number,
     to_integer,
 )
 from .places import standard_place

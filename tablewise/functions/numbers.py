@@ -19,9 +19,6 @@ STRICT_NUMBER = (
 # Fixed value: characters the loose reading throws away.
 LOOSE_DROP = r"[^0-9.-]+"
 
-# The widest equal-width histogram the library builds.
-MAX_BINS = 10
-
 
 def is_floating(dtype: T.DataType | None) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
@@ -57,11 +54,6 @@ def num_loose(c: Column, dtype: T.DataType | None = None) -> Column:
     return F.regexp_replace(c.cast("string"), LOOSE_DROP, "").try_cast("double")
 
 
-def parse_number(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Number of a declared number field; null means the text holds none."""
-    return num_loose(c, dtype)
-
-
 def to_integer(c: Column, dtype: T.DataType | None = None) -> Column:
     """Whole number, cut towards zero; null where the text holds no number."""
     if isinstance(dtype, T.IntegralType):
@@ -111,8 +103,3 @@ def display(c: Column, dtype: T.DataType | None) -> Column:
     if isinstance(dtype, (T.IntegralType, T.BooleanType, T.StringType)):
         return c
     return c.cast("string")
-
-
-def thousands(c: Column, places: int) -> Column:
-    """Number text with thousands separators."""
-    return F.format_number(c, places)
