@@ -30,7 +30,7 @@ ROUNDS = 2
 SHARD_TOKENS = 1_500_000
 STREAMS = 64
 COLUMNS = 64
-COUNTER_ROWS = 300_000
+COUNTER_ROWS = 150_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -407,7 +407,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
                         float(logs[at].sum()),
                         int(other.sum()),
                         float(logs[at[other]].sum()),
-                        [{"token": t, "times": n} for t, n in rare.items()],
+                        list(rare.items()),
                     )
                 )
                 texts.append(ids.astype(np.int16))
@@ -420,10 +420,10 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
     named = docs.select(F.monotonically_increasing_id().alias("uid"), key, text)
     schema = (
         f"uid long, `{key}` {kind}, n_tokens long, known long, logs double, others long, other_logs double, model double,"
-        " rare array<struct<token:binary,times:int>>"
+        " rare map<binary,int>"
     )
-    facts = cut(map_rows(named, make, schema, (text,), rows=4096))
-    rare = facts.select("uid", F.explode("rare").alias("r")).select("uid", "r.token", "r.times")
+    facts = cut(map_rows(named, make, schema, (text,), rows=2048))
+    rare = facts.select("uid", F.explode("rare").alias("token", "times"))
     met = (
         rare.join(model.counts, "token")
         .groupBy("uid")
