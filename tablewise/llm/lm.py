@@ -23,9 +23,7 @@ WINDOW = 32
 # Most frequent words whose counts every task holds, and the longest of them in bytes.
 HEAD = 50_000
 HEAD_BYTES = 128
-# One training document in this many moves the weights, split over as many rounds as
-# ROUNDS; a share of the input, so that it grows with it. Counts are of all documents.
-SHARE = 16
+# Every training document moves the weights, in one of this many rounds.
 ROUNDS = 2
 SHARD_TOKENS = 1_500_000
 STREAMS = 64
@@ -353,7 +351,7 @@ def frequent_words(counts: DataFrame) -> list:
 
 
 def fit_model(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> LanguageModel:
-    """Count the words of all training documents, then fit the recurrent weights on a share of them.
+    """Count the words of all training documents, then fit the recurrent weights on the same documents.
 
     Documents whose crc32 of the key falls on ``held`` are never read. An empty table
     gives a model without words.
@@ -364,10 +362,10 @@ def fit_model(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     head = frequent_words(counts)
     vocabulary = Vocabulary([bytes(r["token"]) for r in head], np.array([r["n"] for r in head], np.int64), total, distinct)
     weights = start_weights(vocabulary)
-    shards = max(1, round(total / SHARE / ROUNDS / SHARD_TOKENS))
-    share = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("share")), F.lit(SHARE * ROUNDS))
+    shards = max(1, round(total / ROUNDS / SHARD_TOKENS))
+    turn = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("share")), F.lit(ROUNDS))
     for part in range(ROUNDS):
-        weights = _average(training.where(share == part), vocabulary, weights, text, shards)
+        weights = _average(training.where(turn == part), vocabulary, weights, text, shards)
     return LanguageModel(vocabulary, weights, counts)
 
 

@@ -290,6 +290,18 @@ def test_lm_base_scores(spark, texts):
     assert all(r.score < 0 for r in found)
 
 
+def test_lm_trains_on_every_training_document_once(spark, monkeypatch):
+    seen = []
+
+    def average(docs, vocabulary, weights, text, shards):
+        seen.extend(r.doc_id for r in docs.select("doc_id").collect())
+        return weights
+
+    monkeypatch.setattr(lm, "_average", average)
+    lm.fit_model(frame(spark, [(k, "a b %d" % k) for k in range(300)]))
+    assert sorted(seen) == [k for k in range(300) if zlib.crc32(str(k).encode()) % 7 != 2]
+
+
 def test_lm_is_a_distribution_and_keeps_its_state():
     rng = np.random.default_rng(0)
     vocabulary = lm.Vocabulary([b"w%d" % i for i in range(30)] + [lm.END], np.array([*range(60, 30, -1), 5]), 2000, 90)
