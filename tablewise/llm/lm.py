@@ -14,13 +14,13 @@ from tablewise.llm.common import LOWER, bucket_of, cut, map_rows
 
 # The end of a document; no word holds a blank.
 END = b" "
-# Words of the recurrent model (the first is "any other word"), classes of the output.
-WORDS = 1024
-CLASSES = 32
+# Classes of the output words.
+CLASSES = 128
 EMBED = 16
 HIDDEN = 24
 WINDOW = 32
-# Most frequent words whose counts every task holds, and the longest of them in bytes.
+# Most frequent words, which are the words of the recurrent model and whose counts every
+# task holds, and the longest of them in bytes.
 HEAD = 50_000
 HEAD_BYTES = 128
 # Every training document moves the weights, in one of this many rounds.
@@ -72,20 +72,15 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.place = {w: i for i, w in enumerate(self.words)}
         self.logs = np.log10(self.counts + 1.0)
-        # Model word of each head word. Words are numbered by class: 0 is any other.
-        size = min(WORDS - 1, len(self.words))
-        inside = list(range(size))
+        # Model word of each head word. Words are numbered by class; one is "any other word".
         end = self.place.get(END)
-        if end is not None and end >= size:
-            inside[-1] = end
-        n = self.counts[inside].astype(np.float64)
+        n = self.counts.astype(np.float64)
         rest = max(self.total - n.sum(), 0) + 1.0
         mass = np.concatenate([[rest], n])
         order = np.argsort(-mass, kind="stable")
         number = np.empty(len(mass), np.int64)
         number[order] = np.arange(len(mass))
-        self.model = np.full(len(self.words), number[0], np.int64)
-        self.model[inside] = number[1:]
+        self.model = number[1:]
         self.other = int(number[0])
         self.end = int(self.model[end]) if end is not None else self.other
         self.mass = mass[order]
@@ -94,7 +89,7 @@ class Vocabulary:
         self.bounds = np.searchsorted(self.of_class, np.arange(CLASSES + 1))
         self.size = len(self.mass)
         # Words outside the model share the chance of "any other" by their counts plus one.
-        self.other_total = self.total - n.sum() + self.distinct - len(inside) + 1
+        self.other_total = self.total - n.sum() + self.distinct - len(self.words) + 1
 
 
 def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
@@ -202,12 +197,16 @@ def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray,
     for step, at in enumerate(range(0, length, WINDOW), 1):
         x, y = before[:, at : at + WINDOW], target[:, at : at + WINDOW]
         steps = x.shape[1]
-        inputs = w["embed"] @ w["input"] + w["bias"]
+        # Inputs of the words of this window alone.
+        words, spots = np.unique(x, return_inverse=True)
+        spots = spots.reshape(x.shape)
+        embed = w["embed"][words]
+        inputs = embed @ w["input"] + w["bias"]
         kept, states = [], np.empty((steps, streams, HIDDEN), np.float32)
         for t in range(steps):
             keep = (x[:, t] != vocabulary.end)[:, None].astype(np.float32)
             h = h * keep
-            new, z, r, n, c = gates(h, inputs[x[:, t]], w["state"])
+            new, z, r, n, c = gates(h, inputs[spots[:, t]], w["state"])
             kept.append((keep, h, z, r, n, c))
             h = states[t] = new
         flat, goal = states.reshape(-1, HIDDEN), y.T.reshape(-1)
@@ -226,21 +225,34 @@ def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray,
             g["state"] += h0.T @ ds
             moved[t] = np.concatenate([dz, dr, dn], axis=1)
             onward = (d * z + ds @ w["state"].T) * keep
-        words = x.T.reshape(-1)
-        order = np.argsort(words, kind="stable")
-        begins = np.flatnonzero(np.diff(words[order], prepend=-1))
-        table = np.zeros_like(inputs)
-        table[words[order][begins]] = np.add.reduceat(moved.reshape(-1, 3 * HIDDEN)[order], begins)
+        met = spots.T.reshape(-1)
+        order = np.argsort(met, kind="stable")
+        begins = np.flatnonzero(np.diff(met[order], prepend=-1))
+        table = np.add.reduceat(moved.reshape(-1, 3 * HIDDEN)[order], begins)
         g["bias"] = table.sum(axis=0)
-        g["input"] = w["embed"].T @ table
+        g["input"] = embed.T @ table
         g["embed"] = table @ w["input"].T
         size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        scale = min(1.0, 1.0 / max(size, 1e-9))
+        scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
         for k, v in g.items():
-            v = v * scale
-            first[k] = 0.9 * first[k] + 0.1 * v
-            second[k] = 0.999 * second[k] + 0.001 * v * v
-            w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            # Embeddings of words that are not in the window stay as they are.
+            rows = words if k == "embed" else slice(None)
+            v *= scale
+            m, s = first[k][rows], second[k][rows]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * v
+            s *= np.float32(0.999)
+            v *= v
+            v *= np.float32(0.001)
+            s += v
+            np.divide(s, np.float32(1 - 0.999**step), out=v)
+            np.sqrt(v, out=v)
+            v += np.float32(1e-8)
+            np.divide(m, v, out=v)
+            v *= np.float32(rate / (1 - 0.9**step))
+            if k == "embed":
+                first[k][rows], second[k][rows] = m, s
+            w[k][rows] -= v
     return w
 
 
@@ -304,7 +316,7 @@ def _average(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndar
         place, model = vocabulary.place, np.append(vocabulary.model, vocabulary.other)
         for batch in batches:
             for body in batch.column(0).cast(pa.binary()).to_pylist():
-                ids = model[[place.get(w, -1) for w in words_of(body)]].astype(np.int16)
+                ids = model[[place.get(w, -1) for w in words_of(body)]].astype(np.int32)
                 held.append(ids)
                 waiting += len(ids)
                 if waiting > 2 * SHARD_TOKENS:
@@ -314,20 +326,21 @@ def _average(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndar
             now = train(now, vocabulary, np.concatenate(held).astype(np.int64))
             seen += waiting
         if seen:
-            flat = _flat(now).astype(np.float64) * seen
-            flat = np.append(flat, np.zeros(-len(flat) % COLUMNS)).reshape(-1, COLUMNS)
+            flat = _flat(now) * np.float32(seen)
+            flat = np.append(flat, np.zeros(-len(flat) % COLUMNS, np.float32)).reshape(-1, COLUMNS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), seen, np.int64))]
                 + [pa.array(flat[:, k]) for k in range(COLUMNS)],
                 names=["chunk", "seen", *names],
             )
 
-    schema = "chunk int, seen long, " + ", ".join(f"{n} double" for n in names)
+    schema = "chunk int, seen long, " + ", ".join(f"{n} float" for n in names)
     parts = docs.select(text).repartition(shards).mapInArrow(run, schema)
-    rows = parts.groupBy("chunk").agg(F.sum("seen").alias("seen"), *[F.sum(n).alias(n) for n in names]).orderBy("chunk").collect()
-    if not rows:
+    rows = parts.groupBy("chunk").agg(F.sum("seen").alias("seen"), *[F.sum(n).alias(n) for n in names]).orderBy("chunk").toArrow()
+    if not rows.num_rows:
         return weights
-    return _unflat(np.concatenate([np.array(r[2:]) / r[1] for r in rows]), weights)
+    sums = np.stack([rows[n].to_numpy() for n in names], axis=1)
+    return _unflat((sums / rows["seen"].to_numpy()[:, None]).ravel(), weights)
 
 
 def frequent_words(counts: DataFrame) -> list:
@@ -408,7 +421,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
                         list(rare.items()),
                     )
                 )
-                texts.append(ids.astype(np.int16))
+                texts.append(ids.astype(np.int32))
             for fact, score in zip(facts, score_texts(weights, vocabulary, texts)):
                 yield (*fact[:7], float(score), fact[7])
 

@@ -302,6 +302,13 @@ def test_lm_trains_on_every_training_document_once(spark, monkeypatch):
     assert sorted(seen) == [k for k in range(300) if zlib.crc32(str(k).encode()) % 7 != 2]
 
 
+def test_lm_models_every_head_word():
+    words = [b"w%d" % i for i in range(3000)] + [lm.END]
+    vocabulary = lm.Vocabulary(words, np.arange(len(words), 0, -1), 10**7, 4000)
+    assert vocabulary.size == len(words) + 1
+    assert sorted([*vocabulary.model, vocabulary.other]) == list(range(vocabulary.size))
+
+
 def test_lm_is_a_distribution_and_keeps_its_state():
     rng = np.random.default_rng(0)
     vocabulary = lm.Vocabulary([b"w%d" % i for i in range(30)] + [lm.END], np.array([*range(60, 30, -1), 5]), 2000, 90)
