@@ -15,6 +15,8 @@ from tablewise.llm.common import components, cut
 BITS = 62
 PASSES = 16
 NEIGHBOURS = 12
+# Chance of meeting any linked vector in a window below which a vector is compared exactly.
+RECALL = 0.999
 # Rows of a block, both in a pass and where a component is counted out.
 BLOCK = 2048
 
@@ -101,16 +103,24 @@ def _window_links(ranked: DataFrame, least: float, reach: int) -> DataFrame:
     """Verified links (a, b) of rows at most ``reach`` places apart with equal pass, label and length.
 
     The order is dealt out in blocks of BLOCK places; a block also gets the ``reach``
-    rows that follow it, so no neighbour is missed at an edge.
+    rows on either side of it, so no neighbour is missed at an edge.
+
+    Further rows (a, null, miss) hold the logarithm of the chance that the pass misses a
+    vector at the bound: two vectors at an angle agree in each bit with chance
+    1 - angle / pi, and those that agree in more bits than the last neighbour does are
+    inside the window. A pass whose window holds the whole label gives no such row.
     """
+    agree = 1 - np.arccos(min(max(least, -1.0), 1.0)) / np.pi
     block = F.floor(F.col("place") / BLOCK)
     inside = F.col("place") - block * BLOCK
-    homes = F.when((inside < reach) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    dealt = ranked.select(F.explode(homes).alias("block"), "place", "pass", "label", "dims", "id", "unit")
+    # Blocks at most ``reach`` places away, which are several where blocks are small.
+    homes = F.sequence(F.floor((F.col("place") - reach) / BLOCK), F.floor((F.col("place") + reach) / BLOCK))
+    dealt = ranked.select(F.explode(homes).alias("block"), "place", "pass", "label", "dims", "bits", "id", "unit")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", kind="stable")
-        found = []
+        home = int(pdf["block"].iloc[0])
+        found, misses = [], []
         for _, part in pdf.groupby("dims", sort=False):
             x = np.array(part["unit"].tolist())
             group = (part["pass"].astype(str) + "|" + part["label"].astype(str)).to_numpy()
@@ -119,10 +129,71 @@ def _window_links(ranked: DataFrame, least: float, reach: int) -> DataFrame:
                 near = (group[gap:] == group[:-gap]) & (places[gap:] - places[:-gap] <= reach)
                 near &= cosines(x[gap:], x[:-gap]) >= least
                 found.append(np.stack([ids[gap:][near], ids[:-gap][near]], axis=1))
+            if len(x) > reach:
+                bits = part["bits"].to_numpy()
+                same = (group[reach:] == group[:-reach]) & (places[reach:] - places[:-reach] == reach)
+                unlike = bits[reach:] ^ bits[:-reach]
+                common = np.where(same, [BITS - int(u).bit_length() for u in unlike], -1)
+                shared = np.full(len(x), -1)
+                shared[:-reach] = common
+                shared[reach:] = np.maximum(shared[reach:], common)
+                own = (places // BLOCK == home) & (shared >= 0)
+                met = np.where(shared[own] == BITS, 0.0, agree ** (shared[own] + 1.0))
+                misses.append(pd.DataFrame({"a": ids[own], "miss": np.log1p(-np.minimum(met, 1 - 1e-12))}))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.max(axis=1, initial=0), "b": pairs.min(axis=1, initial=2**62)} if len(pairs) else {"a": [], "b": []}).astype("int64")
+        links = pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)} if len(pairs) else {"a": [], "b": []})
+        return pd.concat([links, *misses]).reindex(columns=["a", "b", "miss"]).astype({"a": "int64", "b": "Int64", "miss": "float64"})
+
+    return dealt.where("block >= 0").groupBy("block").applyInPandas(compare, "a long, b long, miss double")
+
+
+def _dealt_pairs(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows dealt into hashed blocks of their group, copied to a task (shelf, i, j) for every two blocks.
+
+    Groups of one block, nearly all, meet once, several of them in a task.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    numbered = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    low = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = numbered.withColumn("p", F.explode(low))
+    shelf = F.when(F.col("blocks") > 1, F.xxhash64(*group)).otherwise(F.pmod(F.xxhash64(*group), F.lit(512)) - 512)
+    return dealt.select(shelf.alias("shelf"), "p.i", "p.j", "block", *rows.columns)
+
+
+def _near(some: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows link; products that close to the bound are done over in the order used everywhere."""
+    rough = some @ y.T
+    near = rough >= least
+    for r, c in zip(*np.nonzero(np.abs(rough - least) < 1e-9)):
+        near[r, c] = cosines(some[r : r + 1], y[c : c + 1])[0] >= least
+    return near
+
 
-    return dealt.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
+def _dense_links(dense: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the roots of all linked vectors of ``dense`` (id, root, label, dims, unit).
+
+    Every two vectors of a label and length are compared. A link inside a component is
+    left out, and two components that meet in a task give one row.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        for _, part in pdf.groupby(["label", "dims"], sort=False):
+            left, right = part[part["block"] == part["i"]], part[part["block"] == part["j"]]
+            if not len(left) or not len(right):
+                continue
+            x, y = np.array(left["unit"].tolist()), np.array(right["unit"].tolist())
+            roots_x, roots_y = left["root"].to_numpy(), right["root"].to_numpy()
+            for at in range(0, len(x), 256):
+                some = roots_x[at : at + 256]
+                r, c = np.nonzero(_near(x[at : at + 256], y, least) & (some[:, None] != roots_y[None, :]))
+                if len(r):
+                    pairs = np.stack([some[r], roots_y[c]], axis=1)
+                    found.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 1], "b": pairs[:, 0]})
+
+    return _dealt_pairs(dense, ["label", "dims"]).groupBy("shelf", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _component_counts(members: DataFrame, least: float) -> DataFrame:
@@ -132,17 +203,7 @@ def _component_counts(members: DataFrame, least: float) -> DataFrame:
     task, which adds up counts and returns one row for each member: no pair leaves it.
     Components of one block, nearly all, meet once.
     """
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("root").orderBy("id")
-    numbered = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    numbered = cut(numbered)
-    sizes = numbered.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    low = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    # Small components share a task: their first block pairs are keyed by a hash of the root.
-    dealt = numbered.join(sizes, "root").select("root", "block", "id", "copies", "unit", F.explode(low).alias("p"), "blocks")
-    shelf = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(512)) - 512)
-    dealt = dealt.select(shelf.alias("shelf"), "p.i", "p.j", "root", "block", "id", "copies", "unit")
+    dealt = _dealt_pairs(members, ["root"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -150,16 +211,14 @@ def _component_counts(members: DataFrame, least: float) -> DataFrame:
             i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
             left = part[part["block"] == i]
             right = part[part["block"] == j]
+            if not len(left) or not len(right):
+                continue
             x, y = np.array(left["unit"].tolist()), np.array(right["unit"].tolist())
             nx, ny = left["copies"].to_numpy(), right["copies"].to_numpy()
             links_x, links_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
             for at in range(0, len(x), 256):
                 some = x[at : at + 256]
-                rough = some @ y.T
-                near = rough >= least
-                # Products that close to the bound are done over in the order used everywhere.
-                for r, c in zip(*np.nonzero(np.abs(rough - least) < 1e-9)):
-                    near[r, c] = cosines(some[r : r + 1], y[c : c + 1])[0] >= least
+                near = _near(some, y, least)
                 if i == j:
                     near[np.arange(len(some)), at + np.arange(len(some))] = False
                 links_x[at : at + 256] = near @ ny
@@ -167,7 +226,7 @@ def _component_counts(members: DataFrame, least: float) -> DataFrame:
             out.append(pd.DataFrame({"id": left["id"], "links": links_x}))
             if i != j:
                 out.append(pd.DataFrame({"id": right["id"], "links": links_y}))
-        return pd.concat(out)
+        return pd.concat(out or [pd.DataFrame({"id": [], "links": []})]).astype("int64")
 
     return dealt.groupBy("shelf", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
@@ -218,8 +277,17 @@ def near_vectors(
             scale, f"label {kind}, digest string, least {key_kind}, copies long, unit array<double>, id long"
         )
     )
-    links = cut(_window_links(_ranked(classes, passes), least, reach))
+    met = cut(_window_links(_ranked(classes, passes), least, reach))
+    links = met.where("b IS NOT NULL").select("a", "b").distinct()
     roots = components(links).select(F.col("node").alias("id"), "root")
+    missed = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("miss").alias("miss"))
+    dense = missed.where((F.col("n") == passes) & (F.exp("miss") > 1 - RECALL)).select("id")
+    dense = classes.join(dense, "id").join(roots, "id", "left").select(
+        "id", F.coalesce("root", "id").alias("root"), "label", F.size("unit").alias("dims"), "unit"
+    )
+    more = cut(_dense_links(cut(dense), least))
+    if not more.isEmpty():
+        roots = components(links.union(more)).select(F.col("node").alias("id"), "root")
     rooted = cut(classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     inside = rooted.join(roots.select("id"), "id", "left_semi").select("id", "root", "copies", "unit")
     counts = _component_counts(inside, least)

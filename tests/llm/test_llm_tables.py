@@ -80,6 +80,24 @@ def test_recall_of_pairs_at_the_bound(spark):
     assert linked >= 0.98 * 400
 
 
+def test_recall_in_a_dense_label(spark):
+    """Pairs planted among vectors that share most of their direction, but do not link, are all found."""
+    rng = np.random.default_rng(5)
+    middle = np.eye(64)[0]
+    x = 4 * middle + rng.normal(size=(10_000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=(100, 64))
+    noise -= (noise * x[:100]).sum(axis=1, keepdims=True) * x[:100]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    least, c = 0.98, 0.981
+    x = np.concatenate([x, c * x[:100] + np.sqrt(1 - c * c) * noise])
+    want = (x @ x.T >= least).sum(axis=1) - 1
+    assert (want[:100] > 0).all() and 0 < (want > 0).sum() < 1000
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame).select("vec_id", "n_links").collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
 def brute_judge(url, rules, default):
     host = path = ""
     if url is not None and "://" in url:
