@@ -98,6 +98,14 @@ def test_recall_in_a_dense_label(spark):
     assert [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_components_are_dealt_into_blocks_without_a_window(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
+    members = spark.range(95).select("id", F.lit(0).cast("long").alias("root"), F.lit(2).cast("long").alias("copies"), F.array(F.lit(1.0), F.lit(0.0)).alias("unit"))
+    counts = embedding_dedup._component_counts(members, 0.98)
+    assert "Window" not in counts._jdf.queryExecution().toString()
+    assert sorted(map(tuple, counts.collect())) == [(i, 188) for i in range(95)]
+
+
 def brute_judge(url, rules, default):
     host = path = ""
     if url is not None and "://" in url:
