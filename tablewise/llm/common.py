@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Lower-casing of A-Z alone, for bytes.
@@ -31,18 +33,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def block_sizes(batch: pa.RecordBatch, rows: int, most: int | None) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the blocks of a batch: at most ``rows`` rows, and about ``most`` bytes of text."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns if most is not None else ():
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        many, size = 1, sizes[at]
+        while many < rows and at + many < batch.num_rows and (most is None or size + sizes[at + many] <= most):
+            size += sizes[at + many]
+            many += 1
+        yield at, many
+        at += many
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list], Iterable[tuple]]],
     schema: str,
     binary: tuple[str, ...] = (),
     rows: int = 256,
+    most: int | None = None,
 ) -> DataFrame:
     """Arrow map. ``make`` runs once per task and returns the function for a block of rows.
 
     The block function gets a list of tuples of the input columns and yields output tuples.
-    Columns in ``binary`` arrive as UTF-8 bytes. Output is flushed every ``rows`` rows, so
-    memory is bound by a block and not by the partition.
+    Columns in ``binary`` arrive as UTF-8 bytes. A block ends after ``rows`` rows, and with
+    ``most`` also before its texts exceed that many bytes (a longer text is a block of its
+    own). Output is flushed after each block, so memory is bound by a block and not by the
+    partition.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -53,8 +74,8 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for at, many in block_sizes(batch, rows, most):
+                part = batch.slice(at, many)
                 columns = []
                 for name in names:
                     column = part.column(part.schema.get_field_index(name))

@@ -11,6 +11,7 @@ from tablewise.llm.common import bucket_of
 from tablewise.llm.decontaminate import scan_documents
 from tablewise.llm.embedding_dedup import near_vectors
 from tablewise.llm.lm import fit_model, score_documents
+from tablewise.llm.periods import periodic_runs
 from tablewise.llm.quality import fit_quality, score_quality
 from tablewise.llm.simhash import hex_fingerprint, simhash_groups
 from tablewise.llm.suffix_dedup import repeated_spans
@@ -229,3 +230,41 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32(doc_id as text) ends in 0 with the words from one place on repeated periodically."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    chosen = docs.select(
+        "doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")).alias("w")
+    )
+    sized = chosen.withColumn("n", F.coalesce(F.when(F.size("w") > 0, F.size("w")), F.lit(0)).cast("long"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    timed = placed.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
+    period = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    copies = F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    words = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.flatten(copies)), F.lit(1), F.col("n").cast("int"))
+    return timed.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    # Runs come by start and period, so only a greater exponent replaces the one held.
+    best = F.reduce(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda held, run: F.when(run["length"] * held["period"] > held["length"] * run["period"], run).otherwise(held),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    named = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(named, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
