@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.registry import query, table
+from tablewise.llm.align import align_tokens
 from tablewise.llm.bpe import bpe_encode
 from tablewise.llm.chat import Template, format_chats, parse_chats, unescape
 from tablewise.llm.common import bucket_of
@@ -232,6 +233,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return align_tokens(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), groups=False).drop("groups")
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """Documents whose crc32(doc_id as text) ends in 0 with the words from one place on repeated periodically."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
