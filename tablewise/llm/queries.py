@@ -13,6 +13,7 @@ from tablewise.llm.decontaminate import scan_documents
 from tablewise.llm.embedding_dedup import near_vectors
 from tablewise.llm.lm import fit_model, score_documents
 from tablewise.llm.periods import periodic_runs
+from tablewise.llm.personal import KINDS, personal_spans
 from tablewise.llm.quality import fit_quality, score_quality
 from tablewise.llm.simhash import hex_fingerprint, simhash_groups
 from tablewise.llm.suffix_dedup import repeated_spans
@@ -239,6 +240,19 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align_tokens(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), groups=False).drop("groups")
 
 
+@query("op12_personal_data")
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+
+    def written(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """Documents whose crc32(doc_id as text) ends in 0 with the words from one place on repeated periodically."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
