@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +15,8 @@ from tablewise.llm.bpe import byte_symbols
 from tablewise.llm.common import cut, map_rows
 from tablewise.llm.token_counts import PRE_TOKENS
 
-BLOCK_BYTES = 1 << 20
+# Bytes of text that are aligned at a time; each needs about 200 bytes of memory.
+BLOCK_BYTES = 1 << 18
 # At most this many of the most frequent id pairs are sent to every task.
 FREQUENT_PAIRS = 1 << 17
 # On texts of these characters both libraries split alike, whatever their Unicode version.
@@ -83,10 +84,8 @@ class TokenizerPair:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_file)
-        self.a.encode_special_tokens = True
+        self.a_file = a_file
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         with open(a_file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -111,6 +110,15 @@ class TokenizerPair:
         self.written = [f"{i}{sign}" for sign in (",", "|", ";", "") for i in range(most)]
         self.most = most
 
+    @cached_property
+    def a(self):
+        """The tokenizers library, for texts that are not plain."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.a_file)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
         """Ids of both, or none where a side's bytes differ from a blank and the text."""
         if not text:
