@@ -350,7 +350,7 @@ def outlier_bounds_large_path(spark, sf):
     """Quartiles narrowed over several passes, forced on a small table."""
     df = _skewed(spark, sf)
     c = F.col("cubed")
-    q1, q3 = quantiles(df, {"cubed": c}, [0.25, 0.75], few_rows=3, tiny_rows=3)["cubed"]
+    q1, q3 = quantiles(df, {"cubed": c}, [0.25, 0.75], few_rows=3)["cubed"]
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     return df.where((c < low) | (c > high)).agg(
         F.round(F.max(F.lit(low)), 2).alias("lower_bound"),

@@ -307,7 +307,7 @@ def parent_name(spark, sf):
 def parent_name_spread(spark, sf):
     """The join with hot keys split, forced on a small table."""
     out = tables.with_parent_name(
-        _links(spark, sf), _sources(spark, sf), "data_source_id", "source_url", "source_url", "l_extendedprice", small_rows=100
+        _links(spark, sf), _sources(spark, sf), "data_source_id", "source_url", "source_url", "l_extendedprice", hot_rows=100
     )
     return out.select(F.col("dataset_record_id").alias("l_orderkey"), "l_linenumber", "data_source_id", "l_extendedprice", "source_url")
 
@@ -514,7 +514,7 @@ def duplicate_members(spark, sf):
 )
 def duplicate_members_spread(spark, sf):
     """Hot keys split, forced on a small table."""
-    return dedup.duplicate_members(copied(spark, sf), "record_id", small_rows=50)
+    return dedup.duplicate_members(copied(spark, sf), "record_id", hot_rows=50)
 
 
 @query(

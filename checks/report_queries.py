@@ -66,14 +66,14 @@ def describe_lineitem(spark, sf):
        union all select 'spread', round(quantile_cont(exp(l_quantity), 0.1), 4), round(quantile_cont(exp(l_quantity), 0.999), 4) from lineitem""",
 )
 def quantiles_many_passes(spark, sf):
-    """Ranks narrowed over several passes, forced on a small table."""
+    """Brackets divided into slices, forced on a small table."""
     df = table(spark, sf, "lineitem")
     columns = {
         "l_quantity": F.col("l_quantity").cast("double"),
         "l_extendedprice": F.col("l_extendedprice"),
         "spread": F.exp("l_quantity"),
     }
-    found = quantiles(df, columns, [0.1, 0.999], few_rows=20, tiny_rows=20)
+    found = quantiles(df, columns, [0.1, 0.999], few_rows=20)
     rows = [(n, *v) for n, v in found.items()]
     return _rounded(spark.createDataFrame(rows, "column string, p10 double, p999 double"), "p10", "p999")
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.hashing import content_hash, key_hash, short_id, url_key
 from ..functions.text import lowered
-from ..scale import SMALL_ROWS, cut_lineage, spread_join
+from ..scale import HOT_ROWS, cut_lineage, spread_join
 from ..table import as_text, col, data_columns, is_text
 from .profile import record_hash
 
@@ -107,8 +107,10 @@ def tiers(
         usable = F.lit(True)
         for t in texts:
             usable = usable & (F.length(t) >= SHORTEST_PART)
+        # Colons and backslashes of a part are escaped, so that no two lists of parts look alike.
+        plain = [F.regexp_replace(t, r"([:\\])", r"\\$1") for t in texts]
         found.append(
-            Tier("composite_key", "+".join(parts), F.when(usable, F.concat_ws("::", *texts)))
+            Tier("composite_key", "+".join(parts), F.when(usable, F.concat_ws("::", *plain)))
         )
     return found
 
@@ -118,31 +120,28 @@ def duplicate_members(
     record_id: str,
     key_fields: Sequence[Sequence[str] | str] | None = None,
     columns: Sequence[str] | None = None,
-    small_rows: int = SMALL_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(group_id, rule_type, match_field, match_value, confidence, record_id).
 
     A record belongs to the first tier in which another unclustered record shares its
     key. ``match_value`` is the whole key, and (match_field, match_value) names the
-    cluster; ``group_id`` is a short label of it. Only identifiers and keys are shuffled. A tier counts its keys, joins
-    the sizes back with hot keys and null keys spread, and hands the unclustered
-    rows on; the lineage is cut in between, so tiers are not computed twice.
+    cluster; ``group_id`` is a short label of it. Identifiers and keys are computed and
+    written once; nothing else is shuffled. A tier counts its keys, joins the sizes back
+    with hot keys and null keys spread, and hands the unclustered rows on; the lineage is
+    cut in between, so tiers are not computed twice.
     """
     names = list(columns) if columns is not None else data_columns(df, [record_id])
     rules = tiers(df, key_fields, names)
-    narrow = df.select(
-        col(record_id).alias("record_id"), *[t.key.alias(f"k{i}") for i, t in enumerate(rules)]
+    left = cut_lineage(
+        df.select(col(record_id).alias("record_id"), *[t.key.alias(f"k{i}") for i, t in enumerate(rules)])
     )
-    rows = narrow.count()
     parts: list[DataFrame] = []
-    left = narrow
     for i, rule in enumerate(rules):
         key = f"k{i}"
         counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         shared = counts.where(F.col("n") > 1)
-        labelled = spread_join(
-            left, shared.withColumnRenamed("n", "size"), key, "record_id", "left", rows, counts, small_rows
-        )
+        labelled = spread_join(left, shared.withColumnRenamed("n", "size"), key, "record_id", "left", hot_rows)
         if i + 1 < len(rules):
             labelled = cut_lineage(labelled)
         k = F.col(key)
@@ -179,7 +178,7 @@ def duplicate_groups(members: DataFrame) -> DataFrame:
 
 def first_as_retained(members: DataFrame) -> DataFrame:
     """Merge mapping (record_id, retained_id) that keeps the first record of a cluster."""
-    key = F.concat_ws("|", "match_field", "match_value").alias("_g")
+    key = F.struct("match_field", "match_value").alias("_g")
     groups = members.groupBy(key).agg(F.min("record_id").alias("retained_id"))
     joined = spread_join(members.select(key, "record_id"), groups, "_g", "record_id", "inner")
     return joined.where(F.col("record_id") != F.col("retained_id")).select("record_id", "retained_id")

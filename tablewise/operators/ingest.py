@@ -12,7 +12,7 @@ from ..functions.numbers import is_numeric, num_loose
 from ..functions.text import collapse, comma_list, is_email, parse_boolean, strip
 from ..functions.urls import checked_url, is_url
 from ..plans.plan import match_column
-from ..scale import SMALL_ROWS, cut_lineage, spread_join
+from ..scale import HOT_ROWS, cut_lineage, spread_join
 from ..table import as_text, col, is_text
 from .dedup import dedup_ingest, default_keys
 from .profile import NUMBER_TYPES, Field, one_row
@@ -196,7 +196,7 @@ def ingest(
     limit: int | None = None,
     sources: DataFrame | None = None,
     keys: Sequence[str] | None = None,
-    small_rows: int = SMALL_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> Ingested:
     """Validate, reject, deduplicate, cut to ``limit``, link evidence, count sources.
 
@@ -226,9 +226,7 @@ def ingest(
     spread = accepted.select(
         "key_hash", F.col(order).alias("_from"), "source_url", F.explode("evidences").alias("e")
     ).select("key_hash", "_from", "source_url", "e.field_name", "e.evidence_excerpt")
-    linked = spread_join(
-        spread, kept.select("key_hash", order), "key_hash", "_from", "inner", None, None, small_rows
-    )
+    linked = spread_join(spread, kept.select("key_hash", order), "key_hash", "_from", "inner", hot_rows)
     links = linked.select(
         F.col(order).alias("record_id"),
         "key_hash",
@@ -238,9 +236,7 @@ def ingest(
         "_from",
     )
     if sources is not None:
-        links = spread_join(
-            links, sources, "source_url", "_from", "inner", None, None, small_rows
-        )
+        links = spread_join(links, sources, "source_url", "_from", "inner", hot_rows, spread.select("source_url"))
     links = links.withColumnRenamed("_from", "candidate_id")
     return Ingested(records, rejected, links, ingest_metrics(checked, unique, limit))
 

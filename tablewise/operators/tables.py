@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import content_hash
-from ..scale import SMALL_ROWS, spread_join
+from ..scale import HOT_ROWS, spread_join
 from ..table import as_text, col, data_columns, long_form, strict, value
 
 
@@ -147,11 +147,11 @@ def scoped(df: DataFrame, datasets: DataFrame, owner: Any) -> DataFrame:
 
 def with_parent_name(
     df: DataFrame, parents: DataFrame, key: str, name: str, alias: str, spread_by: str | None = None,
-    small_rows: int = SMALL_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Parent name looked up by key; rows without a parent stay."""
     side = parents.select(col(key), col(name).alias(alias))
-    return spread_join(df, side, key, spread_by, "left", None, None, small_rows)
+    return spread_join(df, side, key, spread_by, "left", hot_rows)
 
 
 def delete_records(df: DataFrame, ids: DataFrame, id_column: str, dataset_id: Any = None) -> DataFrame:
@@ -298,12 +298,12 @@ def count_links(links: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def relink(links: DataFrame, mapping: DataFrame, spread_by: str | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def relink(links: DataFrame, mapping: DataFrame, spread_by: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Evidence of merged records points to the retained one."""
     side = mapping.select(
         F.col("record_id").alias("dataset_record_id"), F.col("retained_id").alias("_keep")
     )
-    joined = spread_join(links, side, "dataset_record_id", spread_by, "left", None, None, small_rows)
+    joined = spread_join(links, side, "dataset_record_id", spread_by, "left", hot_rows)
     return joined.withColumn(
         "dataset_record_id", F.coalesce("_keep", "dataset_record_id")
     ).select(links.columns)

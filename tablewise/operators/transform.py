@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import content_hash
 from ..functions.text import map_value, strip
 from ..functions.urls import domain
-from ..scale import SMALL_ROWS, spread_join
+from ..scale import HOT_ROWS, spread_join
 from ..table import as_text, col, data_columns, is_text, loose
 from .clean import SAMPLES, Applied, Preview
 from .filters import filter_records, record_predicate
@@ -91,7 +91,7 @@ def map_by_table(
     mapping: DataFrame,
     target: str,
     spread_by: str,
-    small_rows: int = SMALL_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Value map kept as a table (key, value): exact stripped key, then any case.
 
@@ -102,16 +102,14 @@ def map_by_table(
         F.min("value").alias("_v1")
     )
     anycase = mapping.groupBy(F.lower("key").alias("_anycase")).agg(F.min_by("value", "key").alias("_v2"))
-    rows = df.count()
     key = strip(as_text(df, source))
     keyed = df.withColumn("_exact", key)
     first = spread_join(
-        keyed, exact.withColumn("_hit1", F.lit(True)), "_exact", spread_by, "left", rows, None, small_rows
+        keyed, exact.withColumn("_hit1", F.lit(True)), "_exact", spread_by, "left", hot_rows
     ).withColumn("_anycase", F.lower("_exact"))
-    # Counted on the input, so that the first join does not run twice.
-    counts = df.groupBy(F.lower(key).alias("_anycase")).agg(F.count(F.lit(1)).alias("n"))
+    # Keys are measured on the input, so that the first join does not run twice.
     second = spread_join(
-        first, anycase.withColumn("_hit2", F.lit(True)), "_anycase", spread_by, "left", rows, counts, small_rows
+        first, anycase.withColumn("_hit2", F.lit(True)), "_anycase", spread_by, "left", hot_rows, df.select(F.lower(key).alias("_anycase"))
     )
     return second.withColumn(
         target,

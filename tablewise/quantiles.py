@@ -1,11 +1,11 @@
-"""Exact quantiles of many columns without gathering a column anywhere.
-
-``percentile`` keeps all distinct values of a column in one task. Here the wanted
-ranks are narrowed instead: a pass counts rows in equal-width buckets, the bucket
-that holds a rank becomes the next range, and once a range holds few rows (or one
-value) its values are counted and the rank is read off. Every pass is one
-aggregation whose result depends on the number of columns only; from the second
-pass on, the ranges are literal filters that reach the Parquet reader.
+"""Exact quantiles of many columns in at most two scans behind a sketch.
+
+``percentile`` keeps all distinct values of a column in one task. Here a quantile sketch
+of every column, merged from all tasks, brackets each wanted rank between two values.
+One scan counts what lies below and up to each bracket, which proves or refutes it; a
+second one counts only the values inside, a few thousandths of the rows, before any
+shuffle. Brackets of one value need no second scan. A refuted bracket is replaced by the
+side of it that holds the rank, so results are exact whatever the sketch says.
 """
 
 from __future__ import annotations
@@ -16,33 +16,44 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1024
-# A range with at most this many rows is ordered in one task.
+from .scale import cut_lineage
+
+# Size of a sketch, and the rank error its brackets allow for: over three times the
+# error it keeps with 99 % certainty.
+SKETCH_SIZE = 4096
+RANK_ERROR = 0.0025
+# A bracket with more rows is divided into this many slices before it is ordered.
 FEW_ROWS = 1_000_000
-# Below this many rows the first bucket pass costs more than it saves.
-TINY_ROWS = 20_000
-# Values beyond this are put at the ends, so that range widths stay finite.
+SLICES = 1024
+# Values beyond this are put at the ends, so that slice widths stay finite.
 LARGEST = 8e307
 
 
 @dataclass(frozen=True)
 class Facts:
-    """Count, minimum and maximum of a column of numbers."""
+    """Count, minimum and maximum of a column of numbers, and its sketch where it is known."""
 
     count: int
     low: float | None
     high: float | None
+    sketch: bytes | None = None
 
 
 @dataclass
-class _Range:
-    """Values of one column between two bounds, with the ranks looked for inside."""
+class _Bracket:
+    """Two values of a column, the rows below the first, and the wanted ranks between them."""
 
     column: int
     low: float
     high: float
-    rows: int
-    ranks: dict[int, int]  # wanted rank in the column -> rank inside the range
+    ranks: list[int]
+    below: int = 0
+    rows: int = 0
+
+
+def sketch(v: Column) -> Column:
+    """Aggregate: the quantile sketch of ``v``, for callers that scan the column anyway."""
+    return F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE))
 
 
 def number_facts(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, Facts]:
@@ -52,10 +63,10 @@ def number_facts(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, Fact
         return {}
     aggs = []
     for i, n in enumerate(names):
-        c = columns[n]
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        c = columns[n].cast("double")
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), sketch(c).alias(f"s{i}")]
     row = df.agg(*aggs).first()
-    return {n: Facts(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)}
+    return {n: Facts(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"s{i}"]) for i, n in enumerate(names)}
 
 
 def quantiles(
@@ -64,11 +75,12 @@ def quantiles(
     probabilities: Sequence[float],
     facts: Mapping[str, Facts] | None = None,
     few_rows: int = FEW_ROWS,
-    tiny_rows: int = TINY_ROWS,
+    rank_error: float = RANK_ERROR,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of double expressions; None without numbers.
 
-    ``facts`` saves a pass when they are known already.
+    ``facts`` saves a pass when they are known already. ``few_rows`` bounds the values
+    that one task orders, ``rank_error`` the width of the brackets; neither changes a result.
     """
     names = list(columns)
     if not names:
@@ -78,35 +90,32 @@ def quantiles(
     narrow = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
 
     places = {}
-    todo: list[_Range] = []
+    wanted: dict[int, set[int]] = {}
+    found: dict[tuple[int, int], float] = {}
     for i, n in enumerate(names):
         count = facts[n].count
-        if not count:
-            continue
-        ranks = {}
-        for j, p in enumerate(probabilities):
+        for j, p in enumerate(probabilities if count else ()):
             at = p * (count - 1)
             places[i, j] = (math.floor(at) + 1, math.ceil(at) + 1, at - math.floor(at))
             for rank in places[i, j][:2]:
-                ranks[rank] = rank
-        todo.append(_Range(i, facts[n].low, facts[n].high, count, ranks))
-
-    found: dict[tuple[int, int], float] = {}
-    first = True
-    while todo:
-        small = tiny_rows if first else few_rows
-        ready, wide = [], []
-        for r in todo:
-            if r.low == r.high:
-                found.update({(r.column, rank): r.low for rank in r.ranks})
-            elif r.rows <= small or _width(r) == 0.0:
-                ready.append(r)
+                # The ends are known, and so is a column of one value.
+                if rank == 1 or facts[n].low == facts[n].high:
+                    found[i, rank] = facts[n].low
+                elif rank == count:
+                    found[i, rank] = facts[n].high
+                else:
+                    wanted.setdefault(i, set()).add(rank)
+    if wanted:
+        known = {i: facts[names[i]] for i in wanted}
+        brackets = _checked(narrow, _bracketed(narrow, known, wanted, rank_error), known)
+        open_ones = []
+        for b in brackets:
+            if b.low == b.high:
+                found.update({(b.column, rank): b.low for rank in b.ranks})
             else:
-                wide.append(r)
-        if ready:
-            found.update(_read_off(narrow, ready))
-        todo = _narrowed(narrow, wide, first) if wide else []
-        first = False
+                open_ones.append(b)
+        if open_ones:
+            found.update(_read_off(narrow, open_ones, few_rows))
 
     result: dict[str, list[float | None]] = {}
     for i, n in enumerate(names):
@@ -122,80 +131,152 @@ def quantiles(
     return result
 
 
-def _clamped(x: float) -> float:
-    return max(-LARGEST, min(LARGEST, x))
+def _bracketed(
+    narrow: DataFrame, facts: Mapping[int, Facts], wanted: Mapping[int, set[int]], rank_error: float
+) -> list[_Bracket]:
+    """Brackets of the wanted ranks, neighbours together, from the sketches."""
+    missing = [i for i in wanted if facts[i].sketch is None]
+    held = {i: facts[i].sketch for i in wanted}
+    if missing:
+        row = narrow.agg(*[sketch(F.col(f"v{i}")).alias(f"s{i}") for i in missing]).first()
+        held.update({i: row[f"s{i}"] for i in missing})
+    brackets: list[_Bracket] = []
+    asked: list[Column] = []
+    for i, ranks in wanted.items():
+        groups: list[list[int]] = []
+        for rank in sorted(ranks):
+            if groups and rank == groups[-1][-1] + 1:
+                groups[-1].append(rank)
+            else:
+                groups.append([rank])
+        for group in groups:
+            low = min(max((group[0] - 1) / facts[i].count - rank_error, 0.0), 1.0)
+            high = max(min(group[-1] / facts[i].count + rank_error, 1.0), low)
+            brackets.append(_Bracket(i, 0.0, 0.0, group))
+            ends = F.array(F.lit(low), F.lit(high))
+            asked.append(F.kll_sketch_get_quantile_double(F.col(f"s{i}"), ends).alias(f"q{len(asked)}"))
+    schema = ", ".join(f"s{i} binary" for i in held)
+    row = narrow.sparkSession.createDataFrame([tuple(bytes(x) for x in held.values())], schema).select(*asked).first()
+    for b, (low, high) in zip(brackets, row):
+        b.low, b.high = low, high
+    return brackets
+
+
+def _checked(narrow: DataFrame, brackets: list[_Bracket], facts: Mapping[int, Facts]) -> list[_Bracket]:
+    """Brackets with exact counts; a rank that a bracket misses gets the side that holds it."""
+    aggs = []
+    for k, b in enumerate(brackets):
+        v = F.col(f"v{b.column}")
+        aggs += [F.count_if(v < F.lit(b.low)).alias(f"b{k}"), F.count_if(v <= F.lit(b.high)).alias(f"u{k}")]
+    row = narrow.agg(*aggs).first()
+    out: list[_Bracket] = []
+    for k, b in enumerate(brackets):
+        below, upto, count = row[f"b{k}"], row[f"u{k}"], facts[b.column].count
+        sides = [
+            _Bracket(b.column, facts[b.column].low, math.nextafter(b.low, -math.inf), [], 0, below),
+            _Bracket(b.column, b.low, b.high, [], below, upto - below),
+            _Bracket(b.column, math.nextafter(b.high, math.inf), facts[b.column].high, [], upto, count - upto),
+        ]
+        for side in sides:
+            side.ranks = [r for r in b.ranks if side.below < r <= side.below + side.rows]
+            if side.ranks:
+                out.append(side)
+    return out
 
 
-def _width(r: _Range) -> float:
-    return (_clamped(r.high) - _clamped(r.low)) / BUCKETS
-
-
-def _inside(r: _Range) -> Column:
-    v = F.col(f"v{r.column}")
-    return v.between(F.lit(float(r.low)), F.lit(float(r.high)))
-
-
-def _bucket(r: _Range) -> Column:
-    """Bucket of a value; never falls as the value rises."""
-    v = F.col(f"v{r.column}")
-    bounded = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), v))
-    index = F.floor((bounded - F.lit(float(_clamped(r.low)))) / F.lit(_width(r)))
-    return F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), index)).cast("int")
-
-
-def _entries(narrow: DataFrame, ranges: Sequence[_Range], cell, whole: bool) -> DataFrame:
-    """One row per value and range that holds it."""
-    if not whole:
-        anywhere = _inside(ranges[0])
-        for r in ranges[1:]:
-            anywhere = anywhere | _inside(r)
-        narrow = narrow.where(anywhere)
-    cells = []
-    for k, r in enumerate(ranges):
-        entry = F.struct(cell(k, r).alias("k"), F.col(f"v{r.column}").alias("v"))
-        held = F.col(f"v{r.column}").isNotNull() if whole else _inside(r)
-        cells.append(F.when(held, entry))
-    return narrow.select(F.explode(F.array(*cells)).alias("e")).where("e is not null").select("e.k", "e.v")
-
-
-def _narrowed(narrow: DataFrame, ranges: Sequence[_Range], whole: bool) -> list[_Range]:
-    """The buckets that hold the wanted ranks. Collects at most BUCKETS rows a range."""
-    entries = _entries(narrow, ranges, lambda k, r: F.lit(k * BUCKETS) + _bucket(r), whole)
-    counted = entries.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    by_range: dict[int, list] = {}
-    for row in sorted(counted.collect(), key=lambda x: x["k"]):
-        by_range.setdefault(row["k"] // BUCKETS, []).append(row)
-    out: list[_Range] = []
-    for k, r in enumerate(ranges):
-        before = 0
-        for row in by_range[k]:
-            ranks = {w: at - before for w, at in r.ranks.items() if before < at <= before + row["n"]}
-            if ranks:
-                out.append(_Range(r.column, row["low"], row["high"], row["n"], ranks))
-            before += row["n"]
-    return out
+def _inside(b: _Bracket, v: Column) -> Column:
+    return v.between(F.lit(float(b.low)), F.lit(float(b.high)))
+
+
+def _read_off(narrow: DataFrame, brackets: Sequence[_Bracket], few_rows: int) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks, from one scan that counts the values inside the brackets."""
+    inside = F.lit(False)
+    for b in brackets:
+        inside = inside | _inside(b, F.col(f"v{b.column}"))
+    cells = [
+        F.when(_inside(b, F.col(f"v{b.column}")), F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("v")))
+        for k, b in enumerate(brackets)
+    ]
+    # Only rows with a value inside a bracket get here.
+    held = narrow.where(inside).select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("e"))
+    counted = held.groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    if any(b.rows > few_rows for b in brackets):
+        counted = cut_lineage(counted)
+    found: dict[tuple[int, int], float] = {}
+    left = list(enumerate(brackets))
+    while left:
+        wide = [(k, b) for k, b in left if b.rows > few_rows and b.low < b.high and _width(b) > 0]
+        few = [(k, b) for k, b in left if (k, b) not in wide]
+        if few:
+            found.update(_ordered(counted, few))
+        left = _sliced(counted, wide) if wide else []
+    return found
+
 
+def _chosen(counted: DataFrame, brackets: Sequence[tuple[int, _Bracket]], marked: Column) -> DataFrame:
+    """The counted values of some brackets; ``marked`` tells which of these a value belongs to."""
+    anywhere = F.lit(False)
+    for k, b in brackets:
+        anywhere = anywhere | ((F.col("k") == k) & _inside(b, F.col("v")))
+    return counted.where(anywhere).withColumn("at", marked)
 
-def _read_off(narrow: DataFrame, ranges: Sequence[_Range]) -> dict[tuple[int, int], float]:
-    """Values at the wanted ranks of ranges that hold few rows."""
-    counted = (
-        _entries(narrow, ranges, lambda k, r: F.lit(k), False)
-        .groupBy("k", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))
-    )
+
+def _number(brackets: Sequence[tuple[int, _Bracket]]) -> Column:
+    """Position in ``brackets`` of the one that holds a value. They do not overlap within a column."""
+    number = F.lit(None).cast("int")
+    for at, (k, b) in enumerate(brackets):
+        number = F.when((F.col("k") == k) & _inside(b, F.col("v")), at).otherwise(number)
+    return number
+
+
+def _ordered(counted: DataFrame, brackets: Sequence[tuple[int, _Bracket]]) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks of brackets that hold few rows."""
+    running = _chosen(counted, brackets, _number(brackets)).withColumn("upto", F.sum("n").over(Window.partitionBy("at").orderBy("v")))
     wanted = F.lit(False)
-    for k, r in enumerate(ranges):
-        for at in sorted(set(r.ranks.values())):
-            hit = (F.col("upto") >= at) & (F.col("upto") - F.col("n") < at)
-            wanted = wanted | ((F.col("k") == k) & hit)
+    for at, (_, b) in enumerate(brackets):
+        for rank in b.ranks:
+            hit = (F.col("upto") >= rank - b.below) & (F.col("upto") - F.col("n") < rank - b.below)
+            wanted = wanted | ((F.col("at") == at) & hit)
     found: dict[tuple[int, int], float] = {}
     # At most one row per wanted rank.
-    for row in counted.where(wanted).collect():
-        r = ranges[row["k"]]
-        for rank, at in r.ranks.items():
-            if row["upto"] - row["n"] < at <= row["upto"]:
-                found[r.column, rank] = row["v"]
+    for row in running.where(wanted).collect():
+        _, b = brackets[row["at"]]
+        for rank in b.ranks:
+            if row["upto"] - row["n"] < rank - b.below <= row["upto"]:
+                found[b.column, rank] = row["v"]
     return found
+
+
+def _sliced(counted: DataFrame, brackets: Sequence[tuple[int, _Bracket]]) -> list[tuple[int, _Bracket]]:
+    """The slices that hold the wanted ranks. Collects at most SLICES rows a bracket."""
+    slot = F.lit(None).cast("int")
+    for at, (k, b) in enumerate(brackets):
+        slot = F.when((F.col("k") == k) & _inside(b, F.col("v")), at * SLICES + _slice(b)).otherwise(slot)
+    sums = _chosen(counted, brackets, slot).groupBy("at").agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    by_bracket: dict[int, list] = {}
+    for row in sorted(sums.collect(), key=lambda x: x["at"]):
+        by_bracket.setdefault(row["at"] // SLICES, []).append(row)
+    out: list[tuple[int, _Bracket]] = []
+    for at, (k, b) in enumerate(brackets):
+        below = b.below
+        for row in by_bracket[at]:
+            ranks = [r for r in b.ranks if below < r <= below + row["n"]]
+            if ranks:
+                out.append((k, _Bracket(b.column, row["low"], row["high"], ranks, below, row["n"])))
+            below += row["n"]
+    return out
+
+
+def _clamped(x: float) -> float:
+    return max(-LARGEST, min(LARGEST, x))
+
+
+def _width(b: _Bracket) -> float:
+    return (_clamped(b.high) - _clamped(b.low)) / SLICES
+
+
+def _slice(b: _Bracket) -> Column:
+    """Slice of a value; never falls as the value rises."""
+    bounded = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("v")))
+    index = F.floor((bounded - F.lit(float(_clamped(b.low)))) / F.lit(_width(b)))
+    return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), index)).cast("int")

@@ -13,14 +13,21 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A table of at most this many rows is small: it cannot hold a hot key worth
-# splitting, and all its values fit in one task.
+# A table of at most this many rows is small: it fits in one task, as do the rows of one of
+# its keys.
 SMALL_ROWS = 1_000_000
 
-# A key is hot when it holds more than one part in this many of all rows, so at
-# most this many keys are hot. This bounds what is broadcast.
+# A key is hot when it holds more than one part in this many of all rows, so fewer keys than
+# this are hot. This bounds what is broadcast.
 HOT_SHARE = 10_000
 
+# A key with fewer rows is never split.
+HOT_ROWS = 100_000
+
+# Keys that a heavy-hitter sketch keeps. Its counts are wrong by less than a third of a hot
+# key's rows, so it finds every hot key.
+KEYS_TRACKED = 100_000
+
 # Null keys match nothing; they are spread over this many values.
 NULL_SPREAD = 4096
 
@@ -55,55 +62,69 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(keys: DataFrame, least: int = HOT_ROWS) -> list[tuple[int, int]]:
+    """(hash, copies) of the keys that hold much of a one-column table of key hashes.
+
+    A heavy-hitter sketch runs along one scan: its size is fixed, and every key above
+    1/10,000 of the rows (and above ``least`` rows) is in it. Estimates only decide into how
+    many parts a key is dealt, so they need no exact count.
+    """
+    name = keys.columns[0]
+    held = keys.where(F.col(name).isNotNull()).agg(
+        F.count(F.lit(1)).alias("rows"), F.call_function("approx_top_k", F.col(name), F.lit(HOT_SHARE), F.lit(KEYS_TRACKED)).alias("top")
+    )
+    row = held.first()
+    share = max(math.ceil(row["rows"] / HOT_SHARE), least)
+    # Fewer than HOT_SHARE hashes come to the driver.
+    return [(t["item"], math.ceil(t["count"] / share)) for t in row["top"] or () if t["count"] > share]
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     spread_by: str | None = None,
     how: str = "left",
-    rows: int | None = None,
-    counts: DataFrame | None = None,
-    small_rows: int = SMALL_ROWS,
+    hot_rows: int = HOT_ROWS,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, whose ``key`` is unique, on equality.
 
-    ``how`` is ``left`` or ``inner``. Keys that hold more than 1/10,000 of the
-    left rows get several copies of their one right row, and their left rows are
-    dealt to the copies by a hash of ``spread_by``. The list of such keys has at
-    most 10,000 rows, so it is broadcast. Every left row still meets its right row.
+    ``how`` is ``left`` or ``inner``. A sketch over one scan of the left keys finds those
+    that hold more than 1/10,000 of the rows and more than ``hot_rows``. Their one right
+    row is copied, and their left rows are dealt to the copies by a hash of ``spread_by``
+    (default: all columns). Only 64-bit hashes of hot keys are broadcast, fewer than
+    10,000. Where no key is hot, the join is a plain one. Nothing is written, every left
+    row still meets its right row, and null keys, which meet none, are spread.
 
-    ``spread_by`` (default: all columns) must differ from ``key``, or the rows of a hot
-    key would stay together. ``counts`` may give (key, n) of the left side if it is known already.
-    Without it, the lineage of the left side is cut, and the number of rows is the sum
-    of the counts per key: the left side is computed once.
+    ``spread_by`` must differ from ``key``, or the rows of a hot key would stay together.
+    ``measured`` may be a frame with the same column ``key`` that is cheaper to scan, such
+    as the input of earlier joins.
     """
     if spread_by == key:
         raise ValueError("rows of a hot key cannot be spread by the key itself")
-    if counts is None:
-        left = cut_lineage(left)
-        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = left.count() if rows is None else rows
-    if total <= small_rows:
+    kind, other = left.schema[key].dataType, right.schema[key].dataType
+    # Both sides hash the key as one type; keys that are equal have equal hashes.
+    name = F.col(f"`{key}`")
+    hashed = F.xxhash64(name if kind == other else name.try_cast(other))
+    source = left if measured is None else measured
+    hot = hot_keys(source.select(F.when(name.isNotNull(), hashed).alias("_hash")), hot_rows)
+    if not hot:
         return left.join(right, key, how)
-    share = max(math.ceil(total / HOT_SHARE), 1)
-    per_key = counts
-    hot = (
-        per_key.where(F.col(key).isNotNull() & (F.col("n") > share))
-        .select(key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("_copies"))
-    )
+    listed = F.broadcast(left.sparkSession.createDataFrame(hot, "_hash long, _copies int"))
     dealt = F.xxhash64(*[F.col(f"`{c}`") for c in ([spread_by] if spread_by else left.columns)])
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
+    salted_left = left.withColumn("_hash", hashed).join(listed, "_hash", "left").withColumn(
         "_salt",
-        F.when(F.col(key).isNull(), F.pmod(dealt, F.lit(NULL_SPREAD)))
+        F.when(name.isNull(), F.pmod(dealt, F.lit(NULL_SPREAD)))
         .when(F.col("_copies").isNotNull(), F.pmod(dealt, F.col("_copies")))
         .otherwise(F.lit(0))
         .cast("int"),
     )
-    salted_right = right.join(F.broadcast(hot), key, "left").withColumn(
+    salted_right = right.withColumn("_hash", F.xxhash64(name)).join(listed, "_hash", "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))
     )
-    return salted_left.drop("_copies").join(
-        salted_right.drop("_copies"), [key, "_salt"], how
+    return salted_left.drop("_copies", "_hash").join(
+        salted_right.drop("_copies", "_hash"), [key, "_salt"], how
     ).drop("_salt")
 
 

@@ -149,9 +149,9 @@ def brute_force_groups(records):
     return found
 
 
-@pytest.mark.parametrize("small_rows", [1, 1_000_000])
-def test_duplicates_equal_brute_force(jobs, small_rows):
-    members = dedup.duplicate_members(jobs, "record_seq", small_rows=small_rows)
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_duplicates_equal_brute_force(jobs, hot_rows):
+    members = dedup.duplicate_members(jobs, "record_seq", hot_rows=hot_rows)
     first = {r["group_id"]: r["first_record_id"] for r in dedup.duplicate_groups(members).collect()}
     got = {r["record_id"]: (r["rule_type"], first[r["group_id"]]) for r in members.collect()}
     assert got == brute_force_groups(jobs.collect())

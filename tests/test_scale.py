@@ -1,5 +1,6 @@
 """The paths that large or skewed tables take, forced on small ones."""
 
+import os
 import random
 
 import numpy as np
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import bin_index
 from tablewise.operators.stats import grouped_median
-from tablewise.quantiles import quantiles
-from tablewise.scale import cut_lineage, keep_first, shared_folder, spread_join
+from tablewise.quantiles import number_facts, quantiles
+from tablewise.scale import cut_lineage, hot_keys, keep_first, shared_folder, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def skewed(spark):
 def test_spread_join_equals_join(spark, skewed, how):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("unused", 4)], "key string, v int")
     want = sorted(map(tuple, skewed.join(right, "key", how).select("id", "key", "v").collect()), key=str)
-    got = spread_join(skewed, right, "key", "id", how, small_rows=10)
+    got = spread_join(skewed, right, "key", "id", how, 10)
     assert sorted(map(tuple, got.select("id", "key", "v").collect()), key=str) == want
 
 
@@ -39,7 +40,7 @@ def test_spread_join_deals_the_hot_key_out(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = spread_join(skewed, right, "key", "id", "inner", small_rows=10)
+        out = spread_join(skewed, right, "key", "id", "inner", 10)
         parts = out.groupBy(F.spark_partition_id()).count().count()
         plain = skewed.join(right, "key", "inner").groupBy(F.spark_partition_id()).count().count()
     finally:
@@ -54,7 +55,7 @@ def test_spread_join_refuses_the_key_itself(spark, skewed):
         spread_join(skewed, spark.createDataFrame([("hot", 1)], "key string, v int"), "key", "key")
 
 
-def test_spread_join_spreads_by_the_whole_row_and_reads_the_left_side_once(spark, skewed):
+def test_spread_join_spreads_by_the_whole_row_reads_the_left_side_twice_and_writes_nothing(spark, skewed):
     seen = spark.sparkContext.accumulator(0)
 
     def watch(batches):
@@ -62,17 +63,42 @@ def test_spread_join_spreads_by_the_whole_row_and_reads_the_left_side_once(spark
             seen.add(b.num_rows)
             yield b
 
+    folder = shared_folder(spark).removeprefix("file:")
+    before = len(list(os.scandir(folder)))
     left = skewed.mapInArrow(watch, skewed.schema)
     right = spark.createDataFrame([("hot", 1)], "key string, v int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = spread_join(left, right, "key", None, "inner", small_rows=10)
+        out = spread_join(left, right, "key", None, "inner", 10)
         assert out.groupBy(F.spark_partition_id()).count().count() == 8
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert seen.value == skewed.count()
+    assert seen.value == 2 * skewed.count()
+    assert len(list(os.scandir(folder))) == before
+
+
+def test_hot_keys_are_all_found_and_few(spark):
+    keys = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, 8).otherwise(F.col("id")).alias("k"))
+    found = dict(hot_keys(keys, 1000))
+    assert set(found) == {7, 8}
+    assert 95 <= found[7] <= 105 and 38 <= found[8] <= 42
+    assert hot_keys(keys, 1_000_000) == []
+    assert hot_keys(keys.limit(0), 1) == []
+
+
+def test_spread_join_without_a_hot_key_is_plain(spark, skewed):
+    right = spark.createDataFrame([("hot", 1)], "key string, v int")
+    assert "_salt" not in spread_join(skewed, right, "key", "id")._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_of_keys_of_two_types(spark, how):
+    left = spark.createDataFrame([(i, i % 2 if i % 7 else None) for i in range(500)], "id long, key int")
+    right = spark.createDataFrame([(0, "even"), (1, "odd"), (2, "none")], "key long, v string")
+    want = sorted(map(tuple, left.join(right, "key", how).select("id", "v").collect()), key=str)
+    assert sorted(map(tuple, spread_join(left, right, "key", "id", how, 5).select("id", "v").collect()), key=str) == want
 
 
 def test_shared_folder_is_required_off_a_local_session():
@@ -121,12 +147,13 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("few", [1, 50])
-def test_quantiles_equal_numpy(spark, case, few):
+@pytest.mark.parametrize("few,error", [(1, 0.01), (50, 0.2), (50, -0.1), (1, -0.3)])
+def test_quantiles_equal_numpy(spark, case, few, error):
+    # A negative error gives brackets that miss their rank.
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     values = CASES[case](997)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = quantiles(df, {"v": F.col("v")}, probabilities, few_rows=few, tiny_rows=few)["v"]
+    got = quantiles(df, {"v": F.col("v")}, probabilities, few_rows=few, rank_error=error)["v"]
     ordered = np.sort(values)
     for p, g in zip(probabilities, got):
         at = p * (len(values) - 1)
@@ -138,13 +165,47 @@ def test_quantiles_equal_numpy(spark, case, few):
 def test_quantiles_of_several_columns_with_gaps(spark):
     rows = [(float(i), None if i % 2 else float(-i), None) for i in range(101)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
-    got = quantiles(df, {n: F.col(n) for n in "abc"}, [0.25, 0.5], few_rows=5, tiny_rows=5)
+    got = quantiles(df, {n: F.col(n) for n in "abc"}, [0.25, 0.5], few_rows=5)
     assert got == {"a": [25.0, 50.0], "b": [-75.0, -50.0], "c": [None, None]}
 
 
+def test_quantiles_need_two_scans_behind_the_sketch(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    spark.range(5000).select((F.col("id") * 7 % 4999).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")).write.parquet(path)
+    df = spark.read.parquet(path)
+    facts = number_facts(df, {n: F.col(n) for n in "ab"})
+    scans = []
+    read = spark.read.parquet(path)
+
+    class Counting:
+        """The table, noting every aggregation and expansion taken from it."""
+
+        sparkSession = spark
+
+        def select(self, *cols):
+            return _Noted(read.select(*cols), scans)
+
+    got = quantiles(Counting(), {n: F.col(n) for n in "ab"}, [0.25, 0.5, 0.75], facts)
+    assert got == quantiles(df, {n: F.col(n) for n in "ab"}, [0.25, 0.5, 0.75])
+    assert scans == ["agg", "where"]
+
+
+class _Noted:
+    def __init__(self, df, scans):
+        self.df, self.scans, self.sparkSession = df, scans, df.sparkSession
+
+    def agg(self, *aggs):
+        self.scans.append("agg")
+        return self.df.agg(*aggs)
+
+    def where(self, condition):
+        self.scans.append("where")
+        return self.df.where(condition)
+
+
 def test_quantiles_with_infinities(spark):
     df = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (3.0,), (float("inf"),)], "v double")
-    got = quantiles(df, {"v": F.col("v")}, [0.0, 0.5, 1.0], few_rows=1, tiny_rows=1)["v"]
+    got = quantiles(df, {"v": F.col("v")}, [0.0, 0.5, 1.0], few_rows=1)["v"]
     assert got == [float("-inf"), 2.0, float("inf")]
 
 
