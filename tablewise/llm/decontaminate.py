@@ -225,17 +225,20 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def remove_spans(scanned: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 50) -> DataFrame:
-    """(key, text, removed) of a scan with its text.
+def remove_spans(
+    scanned: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 50, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, text, removed, extra) of a scan with its text.
 
     A hit run goes where the document is contaminated or where the run is longer than
     ``longest`` words; what stood around it is joined by one space. ``removed`` counts
-    the words taken out.
+    the words taken out. Texts without such runs, null and empty ones included, stay as
+    they are.
     """
 
     def make():
         def run(rows):
-            for doc, body, spans, contaminated in rows:
+            for doc, body, spans, contaminated, *more in rows:
                 going = [(s["start"], s["end"]) for s in spans if contaminated or s["end"] - s["start"] > longest]
                 removed = sum(b - a for a, b in going)
                 if going:
@@ -246,24 +249,27 @@ def remove_spans(scanned: DataFrame, key: str = "doc_id", text: str = "text", lo
                         at = places[end - 1][1]
                     parts.append(body[at:].lstrip())
                     body = b" ".join(p for p in parts if p)
-                yield doc, body if body is None else body.decode(), removed
+                yield doc, body if body is None else body.decode(), removed, *more
 
         return run
 
-    kind = scanned.schema[key].dataType.simpleString()
-    chosen = scanned.select(key, text, "spans", "contaminated")
-    return map_rows(chosen, make, f"`{key}` {kind}, `{text}` string, removed int", (text,))
+    chosen = scanned.select(key, text, "spans", "contaminated", *extra)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
+    return map_rows(chosen, make, ", ".join([*fields[:2], "removed int", *fields[4:]]), (text,))
+
 
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", longest: int | None = None, **options
+) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, all columns as they were.
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, all columns as they were."""
+    With ``longest`` the rows kept also lose their hit runs of more than so many words, so
+    that a long text does not carry a benchmark passage through.
+    """
     plain, names = positional(docs)
-    found = scan_documents(
-        plain.withColumn("_body", F.col(names[text])),
-        benchmark,
-        key=names[key],
-        text="_body",
-        extra=tuple(c for c in plain.columns if c != names[key]),
-        **options,
-    )
-    return found.where("NOT contaminated").select(*[F.col(new).alias(old) for old, new in names.items()])
+    others = tuple(c for c in plain.columns if c not in (names[key], names[text]))
+    found = scan_documents(plain, benchmark, key=names[key], text=names[text], extra=others, with_text=True, **options)
+    kept = found.where("NOT contaminated")
+    if longest is not None:
+        kept = remove_spans(kept, names[key], names[text], longest, others)
+    return kept.select(*[F.col(new).alias(old) for old, new in names.items()])

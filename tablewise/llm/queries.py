@@ -59,13 +59,16 @@ WITH c AS (
 e AS (
   SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|SYS\]|/SYS\]|INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])',
       '\1\\\2\3', 'g')) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
-      ELSE 20 + length(role) END AS written
+      ELSE 20 + length(role) END AS written,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), 'start') AS before
   FROM c)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(written)::BIGINT AS formatted_chars
+  sum(written)::BIGINT AS formatted_chars,
+  bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))
+    AND last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant' AS valid
 FROM e GROUP BY conv_id
 """
 
@@ -97,6 +100,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
             "",
         ).alias("learned"),
         "formatted",
+        "valid",
     )
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -106,6 +110,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 

@@ -202,6 +202,45 @@ def test_decontaminated_text_loses_its_spans(spark):
     assert {r.doc_id: (r.text, r.removed) for r in out.collect()} == {1: ("Zz !  y", 4), 2: (None, 0), 3: ("a b c", 0)}
 
 
+def brute_removed(body, items, longest, window=13):
+    """The text without its runs of over ``longest`` hit words, gaps closed by one space."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    places = [m.span() for m in word.finditer(lower(body))]
+    doc, hit = word.findall(lower(body)), set()
+    for _, text in items:
+        item = word.findall(lower(text))
+        size = min(window, len(item))
+        grams = {tuple(item[a : a + size]) for a in range(len(item) - size + 1)} if size else set()
+        hit |= {q for p in range(len(doc) - size + 1 if size else 0) if tuple(doc[p : p + size]) in grams for q in range(p, p + size)}
+    parts, at, going = [], 0, False
+    for start in sorted(hit):
+        if start - 1 in hit:
+            continue
+        end = start
+        while end in hit:
+            end += 1
+        if end - start > longest:
+            parts.append(body[at : places[start][0]].rstrip())
+            at, going = places[end - 1][1], True
+    return " ".join(p for p in [*parts, body[at:].lstrip()] if p) if going else body
+
+
+def test_long_benchmark_runs_leave_kept_documents(spark):
+    rng = random.Random(8)
+    items = [(1, words(rng, 80, "ab")), (2, words(rng, 20, "ab")), (3, "")]
+    filler = words(rng, 2500, "cde")
+    bodies = [f"{filler}. {items[0][1].upper()}! {filler}", f"{filler} {items[1][1]}", items[0][1], None, "", f"{items[0][1]} {filler}"]
+    rows = list(enumerate(bodies)) + [(0, bodies[0]), (None, bodies[5])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontaminate.keep_clean(frame(spark, rows), bench, longest=50)
+    assert kept.columns == frame(spark, rows).columns
+    want = Counter((k, brute_removed(t, items, 50)) for k, t in rows if not brute_scan([t], items)[0][3])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    assert {t for k, t in want if k == 0} == {f"{filler}. ! {filler}"}
+    assert decontaminate.keep_clean(frame(spark, rows).limit(0), bench, longest=50).count() == 0
+
+
 def test_empty_benchmark(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")

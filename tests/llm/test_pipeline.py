@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewise.llm import quality
 from tablewise.llm.common import cut
 
-from test_llm_text import brute_fingerprint, brute_groups, brute_repeats, brute_scan
+from test_llm_text import brute_fingerprint, brute_groups, brute_removed, brute_repeats, brute_scan
 
 
 @pytest.fixture(scope="module")
@@ -76,7 +76,8 @@ def test_benchmark_stage(spark, sf_dir, stages):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     before = rows_of(docs)
     clean = [row for row, found in zip(before, brute_scan([t for _, t in before], items)) if not found[3]]
-    assert Counter(rows_of(out)) == Counter(clean)
+    assert Counter(rows_of(out)) == Counter((k, brute_removed(t, items, 50)) for k, t in clean)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
 
 
 def test_encoding_stage(stages):
