@@ -19,6 +19,17 @@ from tablewise.llm.simhash import keep_one
 from tablewise.llm.suffix_dedup import without_repeats
 
 
+# Words of a benchmark passage that a document may keep.
+LONGEST_HIT = 50
+
+
+def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``changed`` with n_chars, where there is such a column, set to the length of the text; null stays null."""
+    if "n_chars" not in changed.columns:
+        return changed
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, scores 0.3 or more."""
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -31,15 +42,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur more than once; n_chars follows."""
-    cut_out = without_repeats(docs)
-    if "n_chars" not in cut_out.columns:
-        return cut_out
-    return cut_out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _counted(without_repeats(docs), docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty stands in a benchmark window."""
-    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which less than one word in twenty stands in a benchmark window, without
+    their runs of more than 50 such words; n_chars follows."""
+    return _counted(keep_clean(docs, table(spark, sf_dir, "benchmark"), longest=LONGEST_HIT), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
