@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import bin_index, is_numeric
@@ -15,9 +16,6 @@ from ..quantiles import Facts, quantiles
 from ..scale import HOT_SHARE, SKETCH_ACCURACY, SMALL_ROWS, cut_lineage
 from ..table import col, is_text, long_form, strict, value
 
-# Pairs of one correlation aggregation; more would outgrow generated code.
-PAIRS_PER_PASS = 60
-
 # Slices that the values of a hot group are cut into.
 VALUE_SLICES = 256
 
@@ -209,113 +207,69 @@ def number_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[
     return [n for n in names if n not in counts or counts[n] > 0]
 
 
-def _products(df: DataFrame, names: Sequence[str], means: Sequence[float], constant: set[int]) -> DataFrame:
-    """All pairs in one scan: products of the columns around their means, added up per task as matrices.
+def _finite(v: Column) -> Column:
+    """Infinite cells count as gaps."""
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
-    A task returns one row for each pair, whatever its rows; the sums of the tasks
-    are added up by pair. Gaps, and values that are not finite, count as zero in every
-    product; the number of common rows comes from the products of the masks.
-    """
-    size = len(names)
-    narrow = df.select(*[(strict(df, n) - F.lit(float(m))).alias(f"d{i}") for i, (n, m) in enumerate(zip(names, means))])
-    kinds = ("both", "sum_a", "sum_b", "square_a", "square_b", "product")
-
-    def run(batches):
-        total = np.zeros((len(kinds), size, size))
-        for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
-            held = np.isfinite(x)
-            x, held = np.where(held, x, 0.0), held.astype(np.float64)
-            square = x * x
-            total += np.stack([held.T @ held, x.T @ held, held.T @ x, square.T @ held, held.T @ square, x.T @ x])
-        # Upper triangle, one row a pair.
-        a, b = np.triu_indices(size, 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(t[a, b]) for t in total]],
-            names=["position_a", "position_b", *kinds],
-        )
 
-    schema = "position_a int, position_b int, " + ", ".join(f"{k} double" for k in kinds)
-    sums = narrow.mapInArrow(run, schema).groupBy("position_a", "position_b").agg(*[F.sum(k).alias(k) for k in kinds])
-    n, sa, sb = F.col("both"), F.col("sum_a"), F.col("sum_b")
-
-    def spread(square: Column, total: Column) -> Column:
-        # What is left of equal values after subtraction is noise.
-        left = square - total * total / n
-        return F.when(left > square * 1e-12, F.sqrt(left))
-
-    r = (F.col("product") - sa * sb / n) / spread(F.col("square_a"), sa) / spread(F.col("square_b"), sb)
-    still = [F.lit(i) for i in sorted(constant)] or [F.lit(-1)]
-    r = F.when((n > 0) & ~F.col("position_a").isin(*still) & ~F.col("position_b").isin(*still), r)
-    labels = F.array(*[F.lit(x) for x in names])
-    return sums.select(
-        "position_a", "position_b", labels[F.col("position_a")].alias("column_a"), labels[F.col("position_b")].alias("column_b"), r.alias("r")
-    )
+def _gram(narrow: DataFrame, cells: Sequence[Column]) -> np.ndarray:
+    """Sums of the products of every two of ``cells`` over all rows.
+
+    One scan whatever their number: rows become vectors, each task adds up one matrix, and
+    the matrices are added up in a tree, all of it outside Python. The result has one cell
+    for each two of ``cells``.
+    """
+    vectors = narrow.select(array_to_vector(F.array(*cells)).alias("row"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row")).computeGramianMatrix().toArray()
 
 
-def pairs_of(df: DataFrame, names: Sequence[str], many: int = PAIRS_PER_PASS) -> DataFrame:
+def pairs_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(position_a, position_b, column_a, column_b, r) of all pairs of ``names``.
 
-    A first pass takes count, mean and extremes of each column. Where neither column
-    of a pair has a gap, one sum of products around the means is enough; columns
-    share their own sums. Pairs with gaps get the covariance of their common rows. More
-    than ``many`` pairs are all taken from one further scan (``_products``).
+    A first scan takes count, mean and extremes of each column, a second one all products
+    of the columns around their means (``_gram``). A column with gaps also brings its mask,
+    and then every column its squares, so that each pair is judged on its common rows.
+    Infinite cells are gaps. r is null for a column that is constant, or has no number.
     """
     spark = df.sparkSession
     schema = "position_a int, position_b int, column_a string, column_b string, r double"
     if len(names) < 2:
         return spark.createDataFrame([], schema)
+    numbers = df.select(*[_finite(strict(df, n)).alias(f"v{i}") for i, n in enumerate(names)])
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        v = strict(df, n)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"mean{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-        ]
-    facts = df.agg(*aggs).first()
-    constant = {i for i in range(len(names)) if facts[f"lo{i}"] == facts[f"hi{i}"]}
-    gapless = {
-        i for i in range(len(names)) if facts[f"n{i}"] == facts["rows"] and math.isfinite(facts[f"mean{i}"] or 0.0)
-    }
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    if len(pairs) > many:
-        means = [facts[f"mean{i}"] or 0.0 for i in range(len(names))]
-        return _products(df, names, means, constant)
-    plain = [p for p in pairs if set(p) <= gapless and not set(p) & constant]
-    narrow = df.select(
-        *[strict(df, n).alias(f"v{i}") for i, n in enumerate(names)],
-        *[(strict(df, names[i]) - F.lit(facts[f"mean{i}"])).alias(f"d{i}") for i in sorted(gapless)],
-    )
-    sums = [F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s{i}") for i in sorted({i for p in plain for i in p})]
-    values: dict[tuple[int, int], Column] = {}
-    for i, j in pairs:
-        if (i, j) in plain:
-            sums.append(F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}_{j}"))
-            spread = F.sqrt(F.col(f"s{i}")) * F.sqrt(F.col(f"s{j}"))
-            values[i, j] = F.try_divide(F.col(f"p{i}_{j}"), spread)
-        elif {i, j} & constant:
-            values[i, j] = F.lit(None).cast("double")
-        else:
-            x, y = F.col(f"v{i}"), F.col(f"v{j}")
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            spread = F.stddev_pop(x) * F.stddev_pop(y)
-            sums.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r{i}_{j}"))
-            values[i, j] = F.col(f"r{i}_{j}")
-    one = narrow.agg(*sums) if sums else spark.range(1)
+    for i in range(len(names)):
+        v = F.col(f"v{i}")
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    facts = numbers.agg(*aggs).first()
+    size = len(names)
+    still = {i for i in range(size) if facts[f"lo{i}"] == facts[f"hi{i}"]}
+    gappy = [i for i in range(size) if facts[f"n{i}"] < facts["rows"]]
+    r = np.full((size, size), np.nan)
+    if len(still) < size - 1:
+        around = [F.coalesce(F.col(f"v{i}") - F.lit(facts[f"mean{i}"] or 0.0), F.lit(0.0)) for i in range(size)]
+        masks = [F.when(F.col(f"v{i}").isNotNull(), 1.0).otherwise(0.0) for i in gappy]
+        squares = [x * x for x in around] if gappy else []
+        g = _gram(numbers, [*around, F.lit(1.0), *masks, *squares])
+        # The mask of each column: its own, or the row of ones.
+        mask = np.full(size, size)
+        mask[gappy] = size + 1 + np.arange(len(gappy))
+        first = size + 1 + len(gappy)
+        n = g[np.ix_(mask, mask)]
+        # Sums and squares of the column of the row over the rows it has in common with the other.
+        total = g[np.ix_(range(size), mask)]
+        square = g[np.ix_(range(first, first + size), mask)] if gappy else np.repeat(np.diag(g)[:size, None], size, axis=1)
+        with np.errstate(all="ignore"):
+            left = square - total * total / n
+            # What is left of equal values after subtraction is noise.
+            spread = np.sqrt(np.where(left > square * 1e-12, left, np.nan))
+            r = (g[:size, :size] - total * total.T / n) / spread / spread.T
     entries = [
-        F.struct(
-            F.lit(i).alias("position_a"),
-            F.lit(j).alias("position_b"),
-            F.lit(names[i]).alias("column_a"),
-            F.lit(names[j]).alias("column_b"),
-            values[i, j].alias("r"),
-        )
-        for i, j in pairs
+        (i, j, names[i], names[j], float(r[i, j]) if np.isfinite(r[i, j]) and not {i, j} & still else None)
+        for i in range(size)
+        for j in range(i + 1, size)
     ]
-    return one.select(F.inline(F.array(*entries)))
+    # One row per pair of columns.
+    return spark.createDataFrame(entries, schema)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -434,7 +388,8 @@ def grouped_median(
         .agg(F.percentile_approx("v", ends, SKETCH_ACCURACY).alias("s"))
         .select("key", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
     )
-    counted = (
+    # Read three times below: by groups that are not hot, for slices, and inside slices.
+    counted = cut_lineage(
         narrow.where(F.col("v").isNotNull())
         .groupBy("key", "v")
         .agg(F.count(F.lit(1)).alias("n"))

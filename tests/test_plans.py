@@ -168,17 +168,54 @@ def test_histogram(frame, spark):
     assert out[0]["bin_range"] == "4.5 - 5.0"
 
 
-def test_many_pairs_in_one_scan(spark):
+@pytest.mark.parametrize("copies", [1, 4])
+def test_pairs_equal_numpy_with_gaps_and_infinities(spark, copies):
+    """Six columns, and twenty-four of them: one way for any number of pairs."""
     from tablewise.operators.stats import pairs_of
 
     draw = random.Random(3)
+    far = [float("inf"), float("-inf"), float("nan")]
     data = []
     for _ in range(300):
         x = draw.gauss(0, 1)
-        data.append((x, 2 * x + draw.gauss(0, 1), None if draw.random() < 0.3 else draw.gauss(5, 2), 1e6 + x, 7.0, None))
-    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double, f double").repartition(5)
-    few = {(r["column_a"], r["column_b"]): r["r"] for r in pairs_of(df, df.columns).collect()}
-    many = {(r["column_a"], r["column_b"]): r["r"] for r in pairs_of(df, df.columns, many=0).collect()}
-    assert few.keys() == many.keys()
-    for pair, r in few.items():
-        assert (r is None and many[pair] is None) or abs(r - many[pair]) < 1e-9, pair
+        row = (x, 2 * x + draw.gauss(0, 1), None if draw.random() < 0.3 else draw.gauss(5, 2), 1e6 + x, 7.0, None, draw.choice([x, x, draw.choice(far)]))
+        data.append(row * copies)
+    names = [f"{n}{k}" for k in range(copies) for n in "abcdefg"]
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in pairs_of(df, names).collect()}
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    cells = np.array([[np.nan if v is None or np.isinf(v) else v for v in row] for row in data], float)
+    for (a, b), r in got.items():
+        x, y = cells[:, names.index(a)], cells[:, names.index(b)]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        x, y = x[both], y[both]
+        if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+
+
+def test_products_leave_no_python_worker_in_the_plan(spark, monkeypatch):
+    from tablewise.operators import stats
+
+    seen = []
+    real = stats.MLUtils.convertVectorColumnsFromML
+
+    def noted(vectors, name):
+        seen.append(vectors._jdf.queryExecution().executedPlan().toString())
+        return real(vectors, name)
+
+    monkeypatch.setattr(stats.MLUtils, "convertVectorColumnsFromML", staticmethod(noted))
+    df = spark.range(50).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).alias("b"), F.rand(1).alias("c"))
+    stats.pairs_of(df, df.columns)
+    assert len(seen) == 1 and "Python" not in seen[0] and "Arrow" not in seen[0]
+
+
+def test_pairs_of_empty_and_constant_columns(spark):
+    from tablewise.operators.stats import pairs_of
+
+    df = spark.createDataFrame([], "a double, b double")
+    assert [r["r"] for r in pairs_of(df, ["a", "b"]).collect()] == [None]
+    df = spark.createDataFrame([(1.0, 2.0, float("inf")), (1.0, 3.0, float("inf"))], "a double, b double, c double")
+    assert [r["r"] for r in pairs_of(df, ["a", "b", "c"]).collect()] == [None, None, None]
+    assert pairs_of(df, ["a"]).count() == 0
