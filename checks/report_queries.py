@@ -9,14 +9,12 @@ from tablewise.operators.profile import (
     Field,
     chart_points,
     field_distributions,
-    frequency,
     profile_columns,
     profile_overview,
     quality_facts,
     quality_scores,
-    sample_values,
-    top_values,
 )
+from tablewise.frequent import first_values, frequent_values
 from tablewise.quantiles import quantiles
 from tablewise.operators.stats import (
     correlation_matrix,
@@ -217,7 +215,7 @@ def profile_pages(spark, sf):
 )
 def profile_top_values(spark, sf):
     df = orders(spark, sf)
-    return top_values(frequency(df, df.columns, "o_orderkey")).select(
+    return frequent_values(df, df.columns, "o_orderkey", 5).select(
         "column", F.col("key").alias("value"), F.col("n").alias("count"), "place"
     )
 
@@ -231,7 +229,7 @@ def profile_top_values(spark, sf):
 )
 def profile_sample_values(spark, sf):
     df = orders(spark, sf)
-    return sample_values(frequency(df, df.columns, "o_orderkey")).select(
+    return first_values(df, df.columns, "o_orderkey", 5).select(
         "column", F.col("key").alias("value"), "place"
     )
 

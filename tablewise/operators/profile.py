@@ -1,8 +1,7 @@
 """Column profiles, quality scores and per-column distributions.
 
-All per-column reports start from one frequency table (column, value, count,
-first position): a single shuffle for all columns, with equal values counted
-before they move, so a value that fills a third of the table costs nothing extra.
+Counts, lengths and bounds come from plain scans, most frequent and first values from
+``tablewise.frequent``: no report keeps a table of all values.
 """
 
 from __future__ import annotations
@@ -10,21 +9,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..frequent import LONG_TEXT, distinct_counts, first_values, frequent_values
 from ..functions.hashing import compact_key, content_hash
-from ..functions.numbers import bin_edge, bin_index, is_numeric, num_loose
+from ..functions.numbers import bin_edge, bin_index, is_numeric
 from ..functions.text import MISSING_PROFILE, is_missing, strip
 from ..functions.urls import has_web_scheme
 from ..quantiles import Facts, quantiles
-from ..scale import SMALL_ROWS, cut_lineage
 from ..table import as_text, col, data_columns, is_text, long_form, loose, value
 
-LONG_TEXT = 256
 TOP_VALUES = 5
 SAMPLE_VALUES = 5
 TOP_CATEGORIES = 10
 DISTRIBUTION_BINS = 8
+# With so many values by estimate a column has more than DISTRIBUTION_BINS for certain.
+SURELY_MANY = 100
 
 # Weight of each quality dimension.
 QUALITY_WEIGHTS = {
@@ -59,103 +59,6 @@ def merged_columns(df: DataFrame, fields: Sequence[Field]) -> list[str]:
     return names + [c for c in data_columns(df) if c not in names]
 
 
-def _stacked(df: DataFrame, cells: dict[str, Column], order: str) -> DataFrame:
-    """(_order, column, value) of non-null cells of one type."""
-    narrow = df.select(col(order).alias("_order"), *[c.alias(n) for n, c in cells.items()])
-    long = narrow.unpivot("_order", [col(n) for n in cells], "column", "value")
-    return long.where(F.col("value").isNotNull())
-
-
-def frequency(
-    df: DataFrame, columns: Sequence[str], order: str, numbers: Sequence[str] | None = None
-) -> DataFrame:
-    """(column, key, n, first, len, num, web, head) of all non-missing values.
-
-    Whole and floating numbers are counted as such, so only distinct ones become
-    text. ``key`` of a text is the text, or the SHA-256 of a long one: documents are
-    not shuffled, and what a report needs of a long text is taken before. ``head`` is
-    the start of the text, by which ties are ordered.
-    ``numbers`` names the text columns whose loose numbers are wanted (default all).
-    """
-    whole, floating, text = {}, {}, {}
-    for c in columns:
-        dtype = df.schema[c].dataType
-        if isinstance(dtype, T.IntegralType):
-            whole[c] = col(c).cast("long")
-        elif isinstance(dtype, T.DoubleType):
-            floating[c] = value(df, c)
-        else:
-            t = as_text(df, c)
-            text[c] = F.when(~is_missing(t, MISSING_PROFILE), t)
-    n, first = F.count(F.lit(1)).alias("n"), F.min("_order").alias("first")
-    key, v = F.col("key"), F.col("value")
-    parts = []
-    for cells in (whole, floating):
-        if not cells:
-            continue
-        counted = _stacked(df, cells, order).groupBy("column", "value").agg(n, first)
-        counted = counted.withColumn("key", v.cast("string"))
-        parts.append(
-            counted.select(
-                "column", "key", "n", "first", F.length(key).alias("len"), v.cast("double").alias("num"),
-                F.lit(False).alias("web"), key.alias("head"),
-            )
-        )
-    if text:
-        wanted = list(text) if numbers is None else [c for c in text if c in numbers]
-        typed = [c for c in wanted if is_numeric(df.schema[c].dataType)]
-        worded = [c for c in wanted if is_text(df.schema[c].dataType)]
-
-        def number(t: Column) -> Column:
-            found = F.lit(None).cast("double")
-            if worded:
-                found = F.when(F.col("column").isin(worded), num_loose(t)).otherwise(found)
-            if typed:
-                found = F.when(F.col("column").isin(typed), t.try_cast("double")).otherwise(found)
-            return found
-
-        is_long = F.length(v) > LONG_TEXT
-        counted = _stacked(df, text, order).groupBy("column", compact_key(v, LONG_TEXT).alias("key")).agg(
-            n,
-            first,
-            F.max(F.when(is_long, F.length(v))).alias("long_len"),
-            F.max(F.when(is_long, number(v))).alias("long_num"),
-            F.max(F.when(is_long, has_web_scheme(v))).alias("long_web"),
-            F.max(F.when(is_long, F.left(v, F.lit(LONG_TEXT)))).alias("long_head"),
-        )
-        short = F.col("long_len").isNull()
-        parts.append(
-            counted.select(
-                "column",
-                "key",
-                "n",
-                "first",
-                F.when(short, F.length(key)).otherwise(F.col("long_len")).alias("len"),
-                F.when(short, number(key)).otherwise(F.col("long_num")).alias("num"),
-                F.when(short, has_web_scheme(key)).otherwise(F.col("long_web")).alias("web"),
-                F.coalesce("long_head", key).alias("head"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _ranked(freq: DataFrame, size: int, *order: Column, partition: str = "column") -> DataFrame:
-    """First ``size`` rows per column; each task passes on only ``size`` rows."""
-    w = Window.partitionBy(partition).orderBy(*order)
-    return freq.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
-
-
-def top_values(freq: DataFrame, size: int = TOP_VALUES) -> DataFrame:
-    return _ranked(freq, size, F.desc("n"), F.asc("head"), F.asc("key"))
-
-
-def sample_values(freq: DataFrame, size: int = SAMPLE_VALUES) -> DataFrame:
-    return _ranked(freq, size, F.asc("first"), F.asc("key"))
-
-
 def _whole_texts(df: DataFrame, picks: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """The picked rows with long texts put back, looked up by position.
 
@@ -201,43 +104,51 @@ def _reading(df: DataFrame, name: str) -> Column:
     return loose(df, name)
 
 
-def profile_columns(
-    df: DataFrame, order: str, fields: Sequence[Field] = (), small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def _written(df: DataFrame, name: str) -> Column:
+    """Text of a non-missing cell."""
+    text = as_text(df, name)
+    return F.when(~is_missing(text, MISSING_PROFILE), text)
+
+
+def profile_columns(df: DataFrame, order: str, fields: Sequence[Field] = ()) -> DataFrame:
     """One row per column with counts, type, number and text statistics, top values
     and samples. Declared columns that the table lacks are fully missing.
 
-    One pass finds which columns are numeric, their medians are narrowed down, and
-    everything else comes from the frequency table.
+    One scan takes counts, bounds and lengths; medians, distinct values, top values and
+    samples follow from the scans of ``quantiles`` and ``frequent``.
     """
     names = merged_columns(df, fields)
     declared = {f.name: f for f in fields}
     present = [c for c in names if c in df.columns]
     texts = [c for c in present if is_text(df.schema[c].dataType)]
-    able = [c for c in present if c in texts or is_numeric(df.schema[c].dataType)]
+    typed = [c for c in present if is_numeric(df.schema[c].dataType)]
+    able = [c for c in present if c in texts or c in typed]
+
+    def kind(c: str) -> str:
+        return declared[c].type if c in declared else "string"
+
+    def urls_wanted(c: str) -> bool:
+        return "url" in c.lower() or kind(c) == "url"
+
+    # Numbers are shown without lengths, so those of typed columns are not written out.
+    worded = [c for c in present if c not in typed or kind(c) not in (*NUMBER_TYPES, "string")]
     aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [F.max(F.length(col(c))).alias(f"l{i}") for i, c in enumerate(texts)]
-    for i, c in enumerate(able):
-        v = _reading(df, c)
-        held = ~is_missing(col(c), MISSING_PROFILE) if c in texts else v.isNotNull()
-        aggs += [
-            F.count(F.when(held, 1)).alias(f"h{i}"),
-            F.count(v).alias(f"n{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-            F.avg(v).alias(f"m{i}"),
-        ]
+    for i, c in enumerate(present):
+        t = _written(df, c)
+        aggs.append(F.count(_reading(df, c) if c in typed else t).alias(f"h{i}"))
+        if c in worded:
+            aggs += [F.min(F.length(t)).alias(f"min{i}"), F.max(F.length(t)).alias(f"max{i}"), F.avg(F.length(t)).alias(f"avg{i}")]
+        if urls_wanted(c):
+            aggs.append(F.count(F.when(has_web_scheme(t), 1)).alias(f"u{i}"))
+        if c in able:
+            v = _reading(df, c)
+            aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
     row = df.agg(*aggs).first()
     rows = row["rows"]
-    has_long = any((row[f"l{i}"] or 0) > LONG_TEXT for i in range(len(texts)))
+    place = {c: i for i, c in enumerate(present)}
     found = {
-        c: _Numbers(row[f"h{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"])
-        for i, c in enumerate(able)
+        c: _Numbers(*(row[f"{x}{place[c]}"] for x in ("h", "n", "lo", "hi", "m"))) for c in able
     }
-
-    def kind(c: str) -> str:
-        return declared[c].type if c in declared else "string"
-
     numeric = [c for c in able if found[c].qualifies(kind(c))]
     medians = quantiles(
         df,
@@ -245,10 +156,16 @@ def profile_columns(
         [0.5],
         {c: Facts(found[c].count, found[c].low, found[c].high) for c in numeric},
     )
+    uniques = distinct_counts(df, present)
+
+    def fact(kind_of_fact: str, c: str):
+        return row[f"{kind_of_fact}{place[c]}"] if f"{kind_of_fact}{place[c]}" in row else None
+
     entries = [
         (
             c, i, kind(c), (declared.get(c) or Field(c)).display, c in df.columns, c in numeric,
             *((found[c].low, found[c].high, found[c].mean, medians[c][0]) if c in numeric else (None,) * 4),
+            *((fact("h", c), uniques[c], fact("min", c), fact("max", c), fact("avg", c), fact("u", c)) if c in place else (None,) * 6),
         )
         for i, c in enumerate(names)
     ]
@@ -256,41 +173,14 @@ def profile_columns(
     frame = df.sparkSession.createDataFrame(
         entries,
         "column string, position int, declared string, label string, present boolean, numeric boolean,"
-        " lo double, hi double, avg double, med double",
+        " lo double, hi double, avg double, med double,"
+        " non_null long, unique long, min_len int, max_len int, avg_len double, urls long",
     )
-    return _profile_rows(frame, rows, *_from_frequencies(df, present, order, rows, has_long, small_rows))
-
-
-def _from_frequencies(
-    df: DataFrame, present: Sequence[str], order: str, rows: int, has_long: bool, small_rows: int
-):
-    """Counts, top values and samples per column."""
-    if not present:
-        spark = df.sparkSession
-        return (
-            spark.createDataFrame(
-                [], "column string, non_null long, unique long, min_len int, max_len int, avg_len double, urls long"
-            ),
-            spark.createDataFrame([], f"column string, top {TOP_TYPE}"),
-            spark.createDataFrame([], "column string, sample array<struct<place:int,value:string>>"),
-        )
-    # Three reports read it, each other columns of it, so Spark would not reuse the
-    # shuffle. Counting again is cheaper than writing only while the table is small.
-    freq = frequency(df, present, order, numbers=[])
-    if rows > small_rows:
-        freq = cut_lineage(freq)
-    n = F.col("n")
-    base = freq.groupBy("column").agg(
-        F.sum(n).alias("non_null"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min("len").alias("min_len"),
-        F.max("len").alias("max_len"),
-        F.try_divide(F.sum(F.col("len") * n), F.sum(n)).alias("avg_len"),
-        F.sum(F.when(F.col("web"), n)).alias("urls"),
-    )
-    top, sample = top_values(freq), sample_values(freq)
-    if has_long:
+    top = frequent_values(df, present, order, TOP_VALUES, uniques)
+    sample = first_values(df, present, order, SAMPLE_VALUES, uniques)
+    if any((fact("max", c) or 0) > LONG_TEXT for c in texts):
         top, sample = (_whole_texts(df, p, present, order) for p in (top, sample))
+    n = F.col("n")
     share = F.round(n * 100.0 / F.lit(max(rows, 1)), 1)
     # At most five entries per column.
     top = top.groupBy("column").agg(
@@ -303,19 +193,15 @@ def _from_frequencies(
     sample = sample.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("place", F.col("key").alias("value")))).alias("sample")
     )
-    return base, top, sample
+    return _profile_rows(frame, rows, top, sample)
 
 
 TOP_TYPE = "array<struct<place:int,value:string,count:bigint,percentage:double>>"
 
 
-def _profile_rows(frame: DataFrame, rows: int, base: DataFrame, top: DataFrame, sample: DataFrame) -> DataFrame:
+def _profile_rows(frame: DataFrame, rows: int, top: DataFrame, sample: DataFrame) -> DataFrame:
     # All of these hold one row per column.
-    joined = (
-        frame.join(F.broadcast(base), "column", "left")
-        .join(F.broadcast(top), "column", "left")
-        .join(F.broadcast(sample), "column", "left")
-    )
+    joined = frame.join(F.broadcast(top), "column", "left").join(F.broadcast(sample), "column", "left")
     non_null = F.coalesce("non_null", F.lit(0))
     declared = F.col("declared")
     url = F.col("present") & (F.lower("column").contains("url") | (declared == "url"))
@@ -558,45 +444,52 @@ def quality_scores(
 
 
 def field_distributions(
-    df: DataFrame,
-    order: str,
-    columns: Sequence[str] | None = None,
-    small_rows: int = SMALL_ROWS,
-    top: int = TOP_CATEGORIES,
+    df: DataFrame, order: str, columns: Sequence[str] | None = None, top: int | None = TOP_CATEGORIES
 ) -> DataFrame:
-    """Histogram or ``top`` categories of every column, in long form.
+    """Histogram or ``top`` categories (None: all) of every column, in long form.
 
     Columns: column, type (numeric, categorical, empty), position, label, count,
     bin_min, bin_max. A column is numeric when 80 % of its values hold a number.
+    Numbers are counted by bin, never by value.
     """
     names = [c for c in (columns or data_columns(df)) if c in df.columns]
-    # Read for the bounds, the bins and the categories.
-    freq = frequency(df, names, order)
-    if df.count() > small_rows:
-        freq = cut_lineage(freq)
-    n, num = F.col("n"), F.col("num")
-    # One row per column.
-    stats = freq.groupBy("column").agg(
-        F.sum(n).alias("total"),
-        F.sum(F.when(num.isNotNull(), n)).alias("numbers"),
-        F.min(num).alias("lo"),
-        F.max(num).alias("hi"),
-        F.count_distinct(num).alias("distinct_numbers"),
-    )
-    numeric = F.coalesce("numbers", F.lit(0)) >= F.greatest(F.lit(1), F.floor(F.col("total") * 0.8))
-    stats = stats.withColumn("numeric", numeric).withColumn(
-        "bins",
-        F.when(F.col("lo") == F.col("hi"), 1)
-        .otherwise(F.least(F.lit(DISTRIBUTION_BINS), F.col("distinct_numbers")))
-        .cast("int"),
+    spark = df.sparkSession
+    numbers = {c: F.when(_written(df, c).isNotNull(), loose(df, c)) if is_text(df.schema[c].dataType) else loose(df, c) for c in names}
+    able = [c for c in names if is_text(df.schema[c].dataType) or is_numeric(df.schema[c].dataType)]
+    aggs = []
+    for i, c in enumerate(names):
+        aggs.append(F.count(numbers[c] if c in able and not is_text(df.schema[c].dataType) else _written(df, c)).alias(f"t{i}"))
+        if c in able:
+            v = numbers[c]
+            aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
+    row = df.agg(*aggs).first().asDict() if names else {}
+    facts = {c: {k: row.get(f"{k}{i}") for k in ("t", "n", "lo", "hi", "d")} for i, c in enumerate(names)}
+    numeric_names = [c for c in able if facts[c]["t"] and facts[c]["n"] >= max(1, int(facts[c]["t"] * 0.8))]
+    # The estimate is right within a few percent, so these sets are small.
+    few = [c for c in numeric_names if facts[c]["d"] < SURELY_MANY]
+    if few:
+        sizes = df.agg(*[F.size(F.collect_set(numbers[c])).alias(f"s{i}") for i, c in enumerate(few)]).first()
+        for i, c in enumerate(few):
+            facts[c]["d"] = sizes[f"s{i}"]
+    stats = spark.createDataFrame(
+        [
+            (c, float(facts[c]["lo"]), float(facts[c]["hi"]), 1 if facts[c]["lo"] == facts[c]["hi"] else min(DISTRIBUTION_BINS, facts[c]["d"]))
+            for c in numeric_names
+        ],
+        "column string, lo double, hi double, bins int",
     )
+    n = F.col("n")
     lo, hi, bins, k = F.col("lo"), F.col("hi"), F.col("bins"), F.col("position")
-    binned = (
-        freq.join(F.broadcast(stats.where("numeric")), "column")
-        .where(num.isNotNull())
-        .groupBy("column", F.when(lo == hi, 0).otherwise(bin_index(num, lo, hi, bins)).alias("position"))
-        .agg(F.sum(n).alias("count"))
-    )
+    binned = spark.createDataFrame([], "column string, position int, count long")
+    if numeric_names:
+        places = []
+        for r in stats.collect():
+            low, high, many, v = F.lit(r["lo"]), F.lit(r["hi"]), F.lit(r["bins"]), numbers[r["column"]]
+            at = F.lit(0) if r["lo"] == r["hi"] else bin_index(v, low, high, many)
+            places.append(F.when(v.isNotNull(), F.struct(F.lit(r["column"]).alias("column"), at.alias("position"))))
+        # At most DISTRIBUTION_BINS rows a column leave a task.
+        cells = df.select(F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
+        binned = cells.groupBy("p.column", "p.position").agg(F.count(F.lit(1)).alias("count"))
     single = lo == hi
     start = F.when(single, lo).otherwise(bin_edge(lo, hi, bins, k))
     end = F.when(single, hi).otherwise(bin_edge(lo, hi, bins, k + 1))
@@ -609,8 +502,7 @@ def field_distributions(
         .otherwise(F.format_string("%.1f - %.1f", F.bround("bin_min", 1), F.bround("bin_max", 1)))
     )
     frames = (
-        stats.where("numeric")
-        .withColumn("position", F.explode(F.sequence(F.lit(0), bins - 1)))
+        stats.withColumn("position", F.explode(F.sequence(F.lit(0), bins - 1)))
         .join(F.broadcast(binned), ["column", "position"], "left")
         .withColumn("bin_min", start)
         .withColumn("bin_max", end)
@@ -625,9 +517,9 @@ def field_distributions(
         )
     )
     nothing = F.lit(None).cast("double")
-    texts = freq.join(F.broadcast(stats.where(~F.col("numeric")).select("column")), "column")
-    frequent = _ranked(texts, top, F.desc("n"), F.asc("head"), F.asc("key"))
-    categories = _whole_texts(df, frequent, names, order).select(
+    texts = [c for c in names if facts[c]["t"] and c not in numeric_names]
+    frequent = frequent_values(df, texts, order, top)
+    categories = _whole_texts(df, frequent, texts, order).select(
         "column",
         F.lit("categorical").alias("type"),
         (F.col("place") - 1).alias("position"),
@@ -636,8 +528,8 @@ def field_distributions(
         nothing.alias("bin_min"),
         nothing.alias("bin_max"),
     )
-    listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
-    empty = listed.join(F.broadcast(stats), "column", "left_anti").select(
+    listed = spark.createDataFrame([(c,) for c in names if not facts[c]["t"]], "column string")
+    empty = listed.select(
         "column",
         F.lit("empty").alias("type"),
         F.lit(0).alias("position"),
