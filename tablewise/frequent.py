@@ -82,15 +82,18 @@ def distinct_counts(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
 
 
 def _entries(df: DataFrame, order: str, cells: Mapping[str, Cells], held: Mapping[str, Column]) -> DataFrame:
-    """(column, key, head, first): one row for each cell that ``held`` lets through."""
+    """(column, key, head, first): one row for each cell that ``held`` lets through.
+
+    Each column is a part of its own, which reads that column and the order alone.
+    """
     parts = [
-        F.when(held[n], F.struct(F.lit(n).alias("column"), c.key.alias("key"), c.head.alias("head"))) for n, c in cells.items()
+        df.where(held[n]).select(F.lit(n).alias("column"), c.key.alias("key"), c.head.alias("head"), col(order).alias("first"))
+        for n, c in cells.items()
     ]
-    wanted = F.lit(False)
-    for h in held.values():
-        wanted = wanted | F.coalesce(h, F.lit(False))
-    rows = df.where(wanted).select(col(order).alias("first"), F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("e"))
-    return rows.select("e.column", "e.key", "e.head", "first")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
 def _counted(entries: DataFrame) -> DataFrame:
@@ -112,6 +115,8 @@ def frequent_values(
     order: str,
     size: int | None,
     uniques: Mapping[str, int] | None = None,
+    totals: Mapping[str, int] | None = None,
+    few: Sequence[str] = (),
     tracked: int = TRACKED,
     candidates: int = CANDIDATES,
     error: float = SKETCH_ERROR,
@@ -119,27 +124,32 @@ def frequent_values(
     """(column, place, key, n, first) of the ``size`` most frequent values of each column (None: all).
 
     Ties go by text. ``key`` is the text, or the SHA-256 of a long one, ``first`` the least
-    ``order`` at which the value stands. ``uniques`` (see ``distinct_counts``) saves the
-    count of columns whose values are all different: there the least texts come first.
+    ``order`` at which the value stands. Columns of at most ``tracked`` values, as known from
+    ``uniques`` (see ``distinct_counts``) or named in ``few``, are counted by value. Where
+    ``uniques`` equals ``totals``, the number of non-missing cells, all values are different
+    and the least texts come first. All other columns are sketched.
     """
     spark = df.sparkSession
     schema = f"column string, place int, key string, n long, first {df.schema[order].dataType.simpleString()}"
     if not names:
         return spark.createDataFrame([], schema)
+    uniques, totals = dict(uniques or {}), dict(totals or {})
     cells = {n: Cells.of(df, n) for n in names}
-    totals: dict[str, int] = {}
-    unproven, found = list(names), []
-    if size is not None and size <= candidates:
-        named, bounds, totals = _candidates(df, cells, tracked, candidates, error)
-        exact: dict[str, list] = {n: [] for n in names}
-        asked = {n: c for n, c in cells.items() if named[n]}
+    small = [n for n in names if n in few or uniques.get(n, tracked + 1) <= tracked]
+    single = [n for n in names if n not in small and n in totals and uniques.get(n) == totals[n]]
+    open_ones = [n for n in names if n not in small and n not in single]
+    unproven, found = open_ones, []
+    if open_ones and size is not None and size <= candidates:
+        named, bounds, totals = _candidates(df, {n: cells[n] for n in open_ones}, tracked, candidates, error)
+        exact: dict[str, list] = {n: [] for n in open_ones}
+        asked = {n: cells[n] for n in open_ones if named[n]}
         if asked:
             held = {n: c.raw.isin(named[n]) for n, c in asked.items()}
             # At most ``candidates`` rows per column.
             for r in _counted(_entries(df, order, asked, held)).collect():
                 exact[r["column"]].append(r)
         unproven = []
-        for n in names:
+        for n in open_ones:
             ranked = sorted(exact[n], key=lambda r: (-r["n"], r["head"].encode(), r["key"].encode()))
             complete = sum(r["n"] for r in ranked) == totals[n]
             if complete or (len(ranked) >= size and ranked[size - 1]["n"] > bounds[n]):
@@ -147,9 +157,7 @@ def frequent_values(
             else:
                 unproven.append(n)
     out = spark.createDataFrame(found, schema)
-    single = [n for n in unproven if uniques is not None and uniques[n] == totals.get(n)]
-    several = [n for n in unproven if n not in single]
-    for some, fold in ((single, lambda e: e.withColumn("n", F.lit(1).cast("long"))), (several, _counted)):
+    for some, fold in ((single, lambda e: e.withColumn("n", F.lit(1).cast("long"))), ([*small, *unproven], _counted)):
         if some:
             rest = {n: cells[n] for n in some}
             entries = _entries(df, order, rest, {n: c.raw.isNotNull() for n, c in rest.items()})
@@ -189,8 +197,9 @@ def first_values(
     if not names:
         return spark.createDataFrame([], schema)
     cells = {n: Cells.of(df, n) for n in names}
-    head = df.orderBy(col(order)).limit(rows)
-    seen = _entries(head, order, cells, {n: c.raw.isNotNull() for n, c in cells.items()})
+    head = df.select(col(order).alias("first"), *[c.key.alias(f"k{i}") for i, c in enumerate(cells.values())]).orderBy("first").limit(rows)
+    parts = [F.struct(F.lit(n).alias("column"), F.col(f"k{i}").alias("key")) for i, n in enumerate(cells)]
+    seen = head.select("first", F.explode(F.array(*parts)).alias("e")).select("first", "e.column", "e.key").where("key IS NOT NULL")
     by_place = Window.partitionBy("column").orderBy("first", "key")
     early = seen.groupBy("column", "key").agg(F.min("first").alias("first")).withColumn("place", F.row_number().over(by_place))
     found: dict[str, list[tuple]] = {n: [] for n in names}

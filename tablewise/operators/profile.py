@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..frequent import LONG_TEXT, distinct_counts, first_values, frequent_values
+from ..frequent import LONG_TEXT, TRACKED, Cells, distinct_counts, first_values, frequent_values
 from ..functions.hashing import compact_key, content_hash
 from ..functions.numbers import bin_edge, bin_index, is_numeric
 from ..functions.text import MISSING_PROFILE, is_missing, strip
@@ -176,7 +176,7 @@ def profile_columns(df: DataFrame, order: str, fields: Sequence[Field] = ()) ->
         " lo double, hi double, avg double, med double,"
         " non_null long, unique long, min_len int, max_len int, avg_len double, urls long",
     )
-    top = frequent_values(df, present, order, TOP_VALUES, uniques)
+    top = frequent_values(df, present, order, TOP_VALUES, uniques, {c: fact("h", c) for c in present})
     sample = first_values(df, present, order, SAMPLE_VALUES, uniques)
     if any((fact("max", c) or 0) > LONG_TEXT for c in texts):
         top, sample = (_whole_texts(df, p, present, order) for p in (top, sample))
@@ -458,12 +458,13 @@ def field_distributions(
     able = [c for c in names if is_text(df.schema[c].dataType) or is_numeric(df.schema[c].dataType)]
     aggs = []
     for i, c in enumerate(names):
-        aggs.append(F.count(numbers[c] if c in able and not is_text(df.schema[c].dataType) else _written(df, c)).alias(f"t{i}"))
+        held = numbers[c] if c in able and not is_text(df.schema[c].dataType) else _written(df, c)
+        aggs += [F.count(held).alias(f"t{i}"), F.approx_count_distinct(Cells.of(df, c).raw).alias(f"u{i}")]
         if c in able:
             v = numbers[c]
             aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
     row = df.agg(*aggs).first().asDict() if names else {}
-    facts = {c: {k: row.get(f"{k}{i}") for k in ("t", "n", "lo", "hi", "d")} for i, c in enumerate(names)}
+    facts = {c: {k: row.get(f"{k}{i}") for k in ("t", "u", "n", "lo", "hi", "d")} for i, c in enumerate(names)}
     numeric_names = [c for c in able if facts[c]["t"] and facts[c]["n"] >= max(1, int(facts[c]["t"] * 0.8))]
     # The estimate is right within a few percent, so these sets are small.
     few = [c for c in numeric_names if facts[c]["d"] < SURELY_MANY]
@@ -488,7 +489,7 @@ def field_distributions(
             at = F.lit(0) if r["lo"] == r["hi"] else bin_index(v, low, high, many)
             places.append(F.when(v.isNotNull(), F.struct(F.lit(r["column"]).alias("column"), at.alias("position"))))
         # At most DISTRIBUTION_BINS rows a column leave a task.
-        cells = df.select(F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
+        cells = df.select(F.explode(F.array(*places)).alias("p")).where("p IS NOT NULL")
         binned = cells.groupBy("p.column", "p.position").agg(F.count(F.lit(1)).alias("count"))
     single = lo == hi
     start = F.when(single, lo).otherwise(bin_edge(lo, hi, bins, k))
@@ -518,7 +519,7 @@ def field_distributions(
     )
     nothing = F.lit(None).cast("double")
     texts = [c for c in names if facts[c]["t"] and c not in numeric_names]
-    frequent = frequent_values(df, texts, order, top)
+    frequent = frequent_values(df, texts, order, top, few=[c for c in texts if facts[c]["u"] <= TRACKED // 2])
     categories = _whole_texts(df, frequent, texts, order).select(
         "column",
         F.lit("categorical").alias("type"),

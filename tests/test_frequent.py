@@ -57,8 +57,9 @@ def whole(df, name, key):
 @pytest.mark.parametrize("tracked,candidates,error", [(20_000, 64, None), (64, 8, 3.5 / 128), (20_000, 5, 0.4)])
 def test_frequent_values_equal_counting(mixed, size, tracked, candidates, error):
     options = {} if error is None else {"error": error}
+    totals = {n: len(cells(mixed, n)) for n in NAMES}
     for uniques in (None, distinct_counts(mixed, NAMES)):
-        rows = frequent_values(mixed, NAMES, "seq", size, uniques, tracked, candidates, **options).collect()
+        rows = frequent_values(mixed, NAMES, "seq", size, uniques, totals, ["few"] if size == 1 else [], tracked, candidates, **options).collect()
         for name in NAMES:
             got = [(whole(mixed, name, r["key"]), r["n"], r["first"]) for r in sorted(rows, key=lambda r: r["place"]) if r["column"] == name]
             held = cells(mixed, name)
