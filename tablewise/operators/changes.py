@@ -6,15 +6,16 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..scale import cut_lineage
-from ..sources.versions import VersionStore
-from .clean import clean, preview as preview_clean
+from ..sources.versions import HIT, VersionStore
+from ..table import col
+from .clean import clean
 from .dedup import final_retained, merge_groups, merge_history
 from .profile import Field, profile_columns, quality_scores
 from .tables import relink
-from .transform import preview as preview_transform, transform
+from .transform import transform
 
 
 @dataclass(frozen=True)
@@ -59,8 +60,7 @@ def clean_version(
     number = store.change(
         operation,
         config,
-        lambda df: clean(df, operation, config, order),
-        lambda df: preview_clean(df, operation, config, order).summary.first()["records_affected"],
+        lambda df: clean(df, operation, config, order, HIT),
     )
     return _finish(store, number, fields, order)
 
@@ -72,12 +72,15 @@ def transform_version(
     order: str = "record_seq",
     fields: Sequence[Field] = (),
 ) -> Change:
-    number = store.change(
-        operation,
-        config,
-        lambda df: transform(df, operation, config),
-        lambda df: preview_transform(df, operation, config, order).summary.first()["records_affected"],
-    )
+    def apply(df: DataFrame) -> DataFrame:
+        out = transform(df, operation, config)
+        if operation == "rename_column":
+            return out.withColumn(HIT, F.lit(config["old_name"] in df.columns))
+        if operation == "derive_column":
+            return out.withColumn(HIT, col(config["target_column"]).isNotNull())
+        return out
+
+    number = store.change(operation, config, apply)
     return _finish(store, number, fields, order)
 
 
@@ -117,7 +120,7 @@ def merge_version(
         "merge_duplicates",
         {"overrides": {str(k): dict(v) for k, v in (overrides or {}).items()}},
         lambda df: merge_groups(df, final, record_id, order, overrides),
-        lambda df: final.count(),
+        final.count(),
     )
     store.attach("links", number, relink(links, final))
     store.attach("merge_history", number, merge_history(before, final, record_id))

@@ -163,9 +163,17 @@ def lacks_required(df: DataFrame, names: list[str]) -> Column:
 
 
 def clean(
-    df: DataFrame, operation: str, config: Mapping[str, Any] | None = None, order: str = "record_seq"
+    df: DataFrame,
+    operation: str,
+    config: Mapping[str, Any] | None = None,
+    order: str = "record_seq",
+    mark: str | None = None,
 ) -> DataFrame:
-    """The cleaned table. ``order`` tells which of two equal records came first."""
+    """The cleaned table. ``order`` tells which of two equal records came first.
+
+    ``mark`` names a column that tells which rows got a new cell; operations that
+    remove rows add none.
+    """
     _check(operation)
     config = config or {}
     if operation == "remove_duplicates":
@@ -174,19 +182,20 @@ def clean(
         return df.where(~lacks_required(df, _required(config)))
     cells = new_cells(df, operation, config)
     if not cells:
-        return df
-    if "content_hash" not in df.columns:
+        return df if mark is None else df.withColumn(mark, F.lit(False))
+    if "content_hash" not in df.columns and mark is None:
         return df.withColumns(cells)
     # The stored hash follows the content, on changed rows only.
     any_changed = F.lit(False)
     for name, new in cells.items():
         any_changed = any_changed | _changed(df, name, new)
     fields = data_columns(df)
-    out = df.withColumn("_changed", any_changed).withColumns(cells)
-    return out.withColumn(
-        "content_hash",
-        F.when(F.col("_changed"), content_hash(fields)).otherwise(F.col("content_hash")),
-    ).drop("_changed")
+    flag = mark or "_changed"
+    out = df.withColumn(flag, any_changed).withColumns(cells)
+    if "content_hash" in df.columns:
+        rehashed = F.when(F.col(flag), content_hash(fields)).otherwise(F.col("content_hash"))
+        out = out.withColumn("content_hash", rehashed)
+    return out if mark else out.drop(flag)
 
 
 def dropped_rows(

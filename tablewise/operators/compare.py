@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..frequent import LONG_TEXT
+from ..functions.hashing import compact_key
 from ..functions.text import is_missing, lowered, strip
 from ..table import as_text, data_columns
 from .profile import record_hash
@@ -95,21 +97,37 @@ def compare_values(
     common = sorted(set(data_columns(a)) & set(data_columns(b)))
     names = list(columns) if columns is not None else common
 
-    def long(df: DataFrame, side: str) -> DataFrame:
-        narrow = df.select(*[strip(as_text(df, c)).alias(f"c{i}") for i, c in enumerate(names)])
-        return narrow.unpivot([], [f"c{i}" for i in range(len(names))], "_c", "value").select(
-            F.lit(side).alias("side"), "_c", "value"
-        )
-
-    rows = long(a, "a").unionByName(long(b, "b")).where(~is_missing(F.col("value"), ("",)))
-    counted = rows.groupBy("side", "_c", "value").agg(F.count(F.lit(1)).alias("count"))
-    totals = counted.groupBy("side", "_c").agg(F.sum("count").alias("non_null"))
-    first = Window.partitionBy("side", "_c").orderBy(F.desc("count"), F.asc("value"))
+    cells = [(side, c, strip(as_text(df, c)), df) for side, df in (("a", a), ("b", b)) for c in names]
+
+    def long(texts: Callable[[Column], Column]) -> DataFrame:
+        """(side, column, of, key, text): ``texts`` of the cells; each column is read alone."""
+        parts = [
+            df.select(F.lit(side).alias("side"), F.lit(c).alias("column"), compact_key(text, LONG_TEXT).alias("key"), texts(text).alias("text"))
+            .where(~is_missing(text, ("",)))
+            for side, c, text, df in cells
+        ]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        return whole
+
+    if not cells:
+        return a.sparkSession.createDataFrame([], "side string, column string, place int, value string, count long, non_null long")
+    # Long texts are grouped by hash and ordered by their start; only the listed ones are read whole.
+    counted = long(lambda t: F.left(t, F.lit(LONG_TEXT))).groupBy("side", "column", "key").agg(
+        F.count(F.lit(1)).alias("count"), F.min("text").alias("head")
+    )
+    totals = long(lambda t: F.lit(None).cast("string")).groupBy("side", "column").agg(F.count(F.lit(1)).alias("non_null"))
+    first = Window.partitionBy("side", "column").orderBy(F.desc("count"), F.asc("head"), F.asc("key"))
     ranked = counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= top)
-    labels = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"c{i}", n)])
-    # Two rows per compared column at most.
-    return ranked.join(F.broadcast(totals), ["side", "_c"]).select(
-        "side", labels[F.col("_c")].alias("column"), "place", "value", "count", "non_null"
+    # A few rows per compared column from here on.
+    hashed = ranked.where(F.col("key").startswith("sha256:")).select("side", "column", "key")
+    found = long(lambda t: F.when(F.length(t) > LONG_TEXT, t)).where(F.col("text").isNotNull())
+    wholes = found.join(F.broadcast(hashed), ["side", "column", "key"], "left_semi").groupBy("side", "column", "key").agg(F.min("text").alias("text"))
+    return (
+        ranked.join(F.broadcast(totals), ["side", "column"])
+        .join(wholes, ["side", "column", "key"], "left")
+        .select("side", "column", "place", F.coalesce("text", "key").alias("value"), "count", "non_null")
     )
 
 

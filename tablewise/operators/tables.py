@@ -9,9 +9,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import content_hash
-from ..scale import HOT_ROWS, spread_join
+from ..scale import HOT_ROWS, cut_lineage, spread_join
 from ..table import as_text, col, data_columns, long_form, strict, value
 
+# Rows that a page may skip and show before an index is built for it.
+SHALLOW = 10_000
+
 
 @dataclass(frozen=True)
 class Page:
@@ -58,18 +61,62 @@ def column_samples(df: DataFrame, order: str, size: int = 3) -> DataFrame:
     return ranked.select(labels[F.col("_c")].alias("column"), "place", "value")
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 50) -> Page:
+def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 50, shallow: int = SHALLOW) -> Page:
     """Offset pagination with the number of pages, at least 1.
 
-    Meant for the first pages. Deep pages should use ``seek``, which reads on from
-    the last row seen and never sorts what it skips.
+    The first ``shallow`` rows come from a top-k, of which tasks keep no more than these.
+    Pages behind them are read from a ``page_index``, so no task sorts what is skipped; to
+    read several of them, build the index once. ``order`` must be unique.
     """
+    if number * size > shallow:
+        index = page_index(df, order)
+        return Page(index.page(number, size), _page_total(df.sparkSession.range(1).select(F.lit(index.total).alias("total")), size))
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    total = df.agg(F.count(F.lit(1)).alias("total")).select(
+    return Page(rows, _page_total(df.agg(F.count(F.lit(1)).alias("total")), size))
+
+
+def _page_total(total: DataFrame, size: int) -> DataFrame:
+    return total.select(
         "total",
         F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(size))).cast("long").alias("pages"),
     )
-    return Page(rows, total)
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows in order over range partitions, each with its place, and the rows before each partition."""
+
+    rows: DataFrame
+    before: dict[int, int]
+    total: int
+    order: Sequence[Column]
+
+    def page(self, number: int, size: int = 50) -> DataFrame:
+        """The rows of one page, read from the partitions that hold them."""
+        first, end = (number - 1) * size, number * size
+        ends = [*list(self.before.values())[1:], self.total]
+        parts = [(part, start) for (part, start), stop in zip(self.before.items(), ends) if start < end and stop > first]
+        wanted = F.lit(False)
+        for part, start in parts:
+            wanted = wanted | ((F.col("_part") == part) & F.col("_at").between(first - start, end - start - 1))
+        return self.rows.where(wanted).orderBy("_part", "_at").drop("_part", "_at")
+
+
+def page_index(df: DataFrame, order: Sequence[Column]) -> PageIndex:
+    """The table sorted once into range partitions and written, for reading any page.
+
+    A partition is a folder of its own, and ``_at`` counts its rows from 0. What comes to
+    the driver is one number a partition.
+    """
+    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    # The lower 33 bits of this identifier count the rows of a partition.
+    placed = placed.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = cut_lineage(placed, "_part")
+    before, total = {}, 0
+    for r in sorted(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_part"]):
+        before[r["_part"]] = total
+        total += r["n"]
+    return PageIndex(rows, before, total, order)
 
 
 def seek(df: DataFrame, order: str, after: Any = None, size: int = 50, descending: bool = False) -> DataFrame:

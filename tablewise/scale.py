@@ -51,14 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, folder_by: str | None = None) -> DataFrame:
     """The table written to shared storage once and read back.
 
     Survives the loss of executors, and unlike a checkpoint each reader only loads
-    the columns it needs.
+    the columns it needs. With ``folder_by`` each value of that column is a folder, and
+    readers only open those they ask for.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tablewise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if folder_by is None else df.write.partitionBy(folder_by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,10 @@ from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+# Marks the rows that a change altered; counted on the write, never stored.
+HIT = "_altered"
 
 LOG_SCHEMA = (
     "version long, change_type string, summary string, schema string, row_count long,"
@@ -82,17 +85,31 @@ class VersionStore:
     def snapshot(self, df: DataFrame, change_type: str, summary: str = "") -> int:
         """Write the rows as the next version and log it; returns its number."""
         number = self._claim()
+        folder, rows, _ = self._write(number, df)
+        self._enter(number, change_type, summary, df, rows, folder)
+        return number
+
+    def _write(self, number: int, df: DataFrame) -> tuple[str, int, int]:
+        """Folder, rows and rows marked in column ``HIT``, both observed on the write itself.
+
+        The marks stand at the top of the plan, in the stage that writes, where every row
+        is seen once however often tasks run again.
+        """
         # A fresh folder per attempt: a retry never mixes with files of a dead job.
         folder = f"data/version={number}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{folder}")
-        rows = self.spark.read.parquet(f"{self.path}/{folder}").count()
+        seen = Observation()
+        hits = F.count_if(F.col(HIT) if HIT in df.columns else F.lit(False))
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), hits.alias("hits"))
+        counted.drop(HIT).write.parquet(f"{self.path}/{folder}")
+        return folder, seen.get["rows"], seen.get["hits"]
+
+    def _enter(self, number: int, change_type: str, summary: str, df: DataFrame, rows: int, folder: str) -> None:
         self.spark.createDataFrame(
-            [(number, change_type, summary, df.schema.json(), rows, folder)],
+            [(number, change_type, summary, df.drop(HIT).schema.json(), rows, folder)],
             "version long, change_type string, summary string, schema string, row_count long, folder string",
         ).withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
             f"{self.path}/log"
         )
-        return number
 
     def list_versions(self) -> DataFrame:
         return self.log().orderBy(F.desc("version"))
@@ -119,15 +136,20 @@ class VersionStore:
         )
 
     def change(
-        self,
-        operation: str,
-        config: Mapping[str, Any],
-        apply: Callable[[DataFrame], DataFrame],
-        affected: Callable[[DataFrame], int],
+        self, operation: str, config: Mapping[str, Any], apply: Callable[[DataFrame], DataFrame], affected: int | None = None
     ) -> int:
-        """Run one change on the newest version and log it; returns the new number."""
-        current = self.read()
-        count = affected(current)
-        number = self.snapshot(apply(current), operation, f"{operation}: {count} records")
-        self.record(number, operation, json.dumps(config, default=str, sort_keys=True), count)
+        """Run one change on the newest version and log it; returns the new number.
+
+        ``apply`` may mark the rows it alters in a boolean column ``HIT``, which is counted on
+        the write and not stored. Without it, the rows that are gone are the affected ones,
+        unless ``affected`` tells their number. No job counts beside the write.
+        """
+        before = self.log().orderBy(F.desc("version")).select("version", "row_count").first()
+        out = apply(self.read(before["version"] if before else None))
+        number = self._claim()
+        folder, rows, hits = self._write(number, out)
+        if affected is None:
+            affected = hits if HIT in out.columns else before["row_count"] - rows
+        self._enter(number, operation, f"{operation}: {affected} records", out, rows, folder)
+        self.record(number, operation, json.dumps(config, default=str, sort_keys=True), affected)
         return number
