@@ -14,8 +14,8 @@ from tablewise.llm.common import LOWER, bucket_of, cut, map_rows
 
 # The end of a document; no word holds a blank.
 END = b" "
-# Classes of the output words.
-CLASSES = 128
+# Classes of the output words: about the root of their number.
+CLASSES = 224
 EMBED = 16
 HIDDEN = 24
 WINDOW = 32
@@ -26,7 +26,13 @@ HEAD_BYTES = 128
 # Every training document moves the weights, in one of this many rounds.
 ROUNDS = 2
 SHARD_TOKENS = 1_500_000
-STREAMS = 64
+# Texts read side by side in training. A step moves all weights it meets once, so few
+# streams make many dear steps.
+STREAMS = 256
+# Bytes of text that are scored side by side; a longer text goes alone.
+SCORE_BYTES = 4 << 20
+# Words whose output layer is computed together.
+SETTLED = 1 << 16
 COLUMNS = 64
 COUNTER_ROWS = 150_000
 
@@ -162,6 +168,15 @@ def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np
     flat = np.concatenate([texts[i] for i in order] or [np.zeros(0, np.int64)])
     begins = np.cumsum(sizes) - sizes
     at = 0
+    # States that wait for their output layer, which is dear on few of them.
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    many = 0
+
+    def settle() -> None:
+        states, target, rows = (np.concatenate(x) for x in zip(*waiting))
+        total[: len(texts)] += np.bincount(rows, weights=log_chances(w, vocabulary, states, target), minlength=len(texts))
+        waiting.clear()
+
     while len(sizes) and at < sizes[0]:
         active = int(np.searchsorted(-sizes, -at, side="left"))
         h, last = h[:active], last[:active]
@@ -175,110 +190,153 @@ def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np
             states[t] = h
             last = target[:, t]
         real = np.arange(at, at + steps)[:, None] < sizes[:active]
-        logs = log_chances(w, vocabulary, states[real], target.T[real])
         rows = np.broadcast_to(np.arange(active), real.shape)[real]
-        total[:active] += np.bincount(rows, weights=logs, minlength=active)
+        waiting.append((states[real], target.T[real], rows))
+        many += len(rows)
+        if many >= SETTLED:
+            settle()
+            many = 0
         at += WINDOW
+    if waiting:
+        settle()
     out = np.empty(len(texts))
     out[order] = total / np.log(10)
     return out
 
 
+def window_gradients(w: dict[str, np.ndarray], out: np.ndarray, vocabulary: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray):
+    """Gradients of the mean negative log-probability of ``y`` after ``x``, a window of each stream.
+
+    ``out`` holds a row for each output word, its weights and its bias. ``h`` is the state
+    before the window; the new one is returned. Only what the window meets has a gradient:
+    the embeddings of its words, as (words, values), and the rows of the classes of its
+    targets, as a list of (low, high, values).
+    """
+    streams, steps = x.shape
+    kind = out.dtype
+    words, spots = np.unique(x, return_inverse=True)
+    spots = spots.reshape(x.shape)
+    embed = w["embed"][words]
+    inputs = embed @ w["input"] + w["bias"]
+    kept, states = [], np.empty((steps, streams, HIDDEN), kind)
+    for t in range(steps):
+        keep = (x[:, t] != vocabulary.end)[:, None].astype(kind)
+        h = h * keep
+        new, z, r, n, c = gates(h, inputs[spots[:, t]], w["state"])
+        kept.append((keep, h, z, r, n, c))
+        h = states[t] = new
+    g, rows, back = _output_gradients(w, out, vocabulary, states.reshape(-1, HIDDEN), y.T.reshape(-1))
+    back = back.reshape(steps, streams, HIDDEN)
+    g["state"] = np.zeros_like(w["state"])
+    moved = np.empty((steps, streams, 3 * HIDDEN), kind)
+    onward = np.zeros((streams, HIDDEN), kind)
+    for t in range(steps - 1, -1, -1):
+        keep, h0, z, r, n, c = kept[t]
+        d = back[t] + onward
+        dz = d * (h0 - n) * z * (1 - z)
+        dn = d * (1 - z) * (1 - n * n)
+        here = moved[t]
+        here[:, :HIDDEN], here[:, HIDDEN : 2 * HIDDEN], here[:, 2 * HIDDEN :] = dz, dn * c * r * (1 - r), dn
+        ds = here.copy()
+        ds[:, 2 * HIDDEN :] *= r
+        g["state"] += h0.T @ ds
+        onward = (d * z + ds @ w["state"].T) * keep
+    met = spots.T.reshape(-1)
+    order = np.argsort(met, kind="stable")
+    begins = np.flatnonzero(np.diff(met[order], prepend=-1))
+    table = np.add.reduceat(moved.reshape(-1, 3 * HIDDEN)[order], begins)
+    g["bias"] = table.sum(axis=0)
+    g["input"] = embed.T @ table
+    return g, (words, table @ w["input"].T), rows, h
+
+
+def _output_gradients(w, out: np.ndarray, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray):
+    """Gradients for the class weights, for the output rows of the classes met, and for ``h``."""
+    n = len(target)
+    order = np.argsort(target, kind="stable")
+    target, h = target[order], h[order]
+    kinds = vocabulary.of_class[target]
+    chance = _softmax(h @ w["class_w"] + w["class_b"])
+    chance[np.arange(n), kinds] -= 1
+    chance /= n
+    g = {"class_w": h.T @ chance, "class_b": chance.sum(axis=0)}
+    back = chance @ w["class_w"].T
+    wide = np.concatenate([h, np.ones((n, 1), h.dtype)], axis=1)
+    edges = np.searchsorted(kinds, np.arange(CLASSES + 1)).tolist()
+    rows = []
+    for k in np.unique(kinds).tolist():
+        a, b = edges[k], edges[k + 1]
+        low, high = int(vocabulary.bounds[k]), int(vocabulary.bounds[k + 1])
+        held = out[low:high]
+        part = wide[a:b] @ held.T
+        part -= part.max(axis=1, keepdims=True)
+        np.exp(part, out=part)
+        part /= part.sum(axis=1, keepdims=True)
+        part[np.arange(b - a), target[a:b] - low] -= 1
+        part /= n
+        rows.append((low, high, part.T @ wide[a:b]))
+        back[a:b] += part @ held[:, :HIDDEN]
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return g, rows, unsorted
+
+
+def output_rows(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights and bias of each output word, one row a word: a class is a block of rows."""
+    return np.concatenate([w["word_w"].T, w["word_b"][:, None]], axis=1)
+
+
 def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass of Adam over ``stream`` (documents end to end), by backpropagation cut at WINDOW words."""
+    """One pass of Adam over ``stream`` (documents end to end), by backpropagation cut at WINDOW words.
+
+    A step moves the gates and class weights whole, of embeddings and output rows those
+    that its window meets.
+    """
     w = {k: v.copy() for k, v in w.items()}
-    first = {k: np.zeros_like(v) for k, v in w.items()}
-    second = {k: np.zeros_like(v) for k, v in w.items()}
+    out = output_rows(w)
+    del w["word_w"], w["word_b"]
+    first = {k: np.zeros_like(v) for k, v in [*w.items(), ("out", out)]}
+    second = {k: np.zeros_like(v) for k, v in first.items()}
     streams = int(min(STREAMS, max(1, len(stream) // (WINDOW * 4))))
     length = len(stream) // streams
     target = stream[: length * streams].reshape(streams, length)
     before = np.concatenate([np.full((streams, 1), vocabulary.end), target[:, :-1]], axis=1)
     h = np.zeros((streams, HIDDEN), np.float32)
+
+    def move(m: np.ndarray, s: np.ndarray, v: np.ndarray, step: int) -> np.ndarray:
+        """What Adam takes off the weights; the moments change in place."""
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * v
+        s *= np.float32(0.999)
+        v *= v
+        v *= np.float32(0.001)
+        s += v
+        np.divide(s, np.float32(1 - 0.999**step), out=v)
+        np.sqrt(v, out=v)
+        v += np.float32(1e-8)
+        np.divide(m, v, out=v)
+        v *= np.float32(rate / (1 - 0.9**step))
+        return v
+
     for step, at in enumerate(range(0, length, WINDOW), 1):
         x, y = before[:, at : at + WINDOW], target[:, at : at + WINDOW]
-        steps = x.shape[1]
-        # Inputs of the words of this window alone.
-        words, spots = np.unique(x, return_inverse=True)
-        spots = spots.reshape(x.shape)
-        embed = w["embed"][words]
-        inputs = embed @ w["input"] + w["bias"]
-        kept, states = [], np.empty((steps, streams, HIDDEN), np.float32)
-        for t in range(steps):
-            keep = (x[:, t] != vocabulary.end)[:, None].astype(np.float32)
-            h = h * keep
-            new, z, r, n, c = gates(h, inputs[spots[:, t]], w["state"])
-            kept.append((keep, h, z, r, n, c))
-            h = states[t] = new
-        flat, goal = states.reshape(-1, HIDDEN), y.T.reshape(-1)
-        g, back = _output_gradients(w, vocabulary, flat, goal)
-        back = back.reshape(steps, streams, HIDDEN)
-        g["state"] = np.zeros_like(w["state"])
-        moved = np.empty((steps, streams, 3 * HIDDEN), np.float32)
-        onward = np.zeros((streams, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            keep, h0, z, r, n, c = kept[t]
-            d = back[t] + onward
-            dz = d * (h0 - n) * z * (1 - z)
-            dn = d * (1 - z) * (1 - n * n)
-            dr = dn * c * r * (1 - r)
-            ds = np.concatenate([dz, dr, dn * r], axis=1)
-            g["state"] += h0.T @ ds
-            moved[t] = np.concatenate([dz, dr, dn], axis=1)
-            onward = (d * z + ds @ w["state"].T) * keep
-        met = spots.T.reshape(-1)
-        order = np.argsort(met, kind="stable")
-        begins = np.flatnonzero(np.diff(met[order], prepend=-1))
-        table = np.add.reduceat(moved.reshape(-1, 3 * HIDDEN)[order], begins)
-        g["bias"] = table.sum(axis=0)
-        g["input"] = embed.T @ table
-        g["embed"] = table @ w["input"].T
-        size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        g, (words, embed), rows, h = window_gradients(w, out, vocabulary, x, y, h)
+        parts = [*g.values(), embed, *(v for _, _, v in rows)]
+        size = np.sqrt(sum(float(np.vdot(v, v)) for v in parts))
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-        for k, v in g.items():
-            # Embeddings of words that are not in the window stay as they are.
-            rows = words if k == "embed" else slice(None)
+        for v in parts:
             v *= scale
-            m, s = first[k][rows], second[k][rows]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * v
-            s *= np.float32(0.999)
-            v *= v
-            v *= np.float32(0.001)
-            s += v
-            np.divide(s, np.float32(1 - 0.999**step), out=v)
-            np.sqrt(v, out=v)
-            v += np.float32(1e-8)
-            np.divide(m, v, out=v)
-            v *= np.float32(rate / (1 - 0.9**step))
-            if k == "embed":
-                first[k][rows], second[k][rows] = m, s
-            w[k][rows] -= v
+        for k, v in g.items():
+            w[k] -= move(first[k], second[k], v, step)
+        m, s = first["embed"][words], second["embed"][words]
+        w["embed"][words] -= move(m, s, embed, step)
+        first["embed"][words], second["embed"][words] = m, s
+        for low, high, v in rows:
+            out[low:high] -= move(first["out"][low:high], second["out"][low:high], v, step)
+    w["word_w"], w["word_b"] = np.ascontiguousarray(out[:, :HIDDEN].T), out[:, HIDDEN].copy()
     return w
 
 
-def _output_gradients(w, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray):
-    """Gradients of the mean negative log-probability for the output weights and for ``h``."""
-    n = len(target)
-    kinds = vocabulary.of_class[target]
-    chance = _softmax(h @ w["class_w"] + w["class_b"])
-    chance[np.arange(n), kinds] -= 1
-    chance /= n
-    g = {"class_w": h.T @ chance, "class_b": chance.sum(axis=0), "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
-    back = chance @ w["class_w"].T
-    order = np.argsort(kinds, kind="stable")
-    edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    for k in np.unique(kinds):
-        some = order[edges[k] : edges[k + 1]]
-        low, high = vocabulary.bounds[k], vocabulary.bounds[k + 1]
-        part = _softmax(h[some] @ w["word_w"][:, low:high] + w["word_b"][low:high])
-        part[np.arange(len(some)), target[some] - low] -= 1
-        part /= n
-        g["word_w"][:, low:high] = h[some].T @ part
-        g["word_b"][low:high] = part.sum(axis=0)
-        back[some] += part @ w["word_w"][:, low:high].T
-    return g, back
-
-
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
@@ -433,7 +491,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
         f"uid long, `{key}` {kind}, n_tokens long, known long, logs double, others long, other_logs double, model double,"
         " rare map<binary,int>"
     )
-    facts = cut(map_rows(named, make, schema, (text,), rows=2048))
+    facts = cut(map_rows(named, make, schema, (text,), rows=2048, most=SCORE_BYTES))
     rare = facts.select("uid", F.explode("rare").alias("token", "times"))
     met = (
         rare.join(model.counts, "token")

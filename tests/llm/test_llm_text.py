@@ -370,16 +370,68 @@ def test_lm_gradient_and_training():
     trained = lm.train(weights, vocabulary, stream)
     before, after = (lm.score_texts(w, vocabulary, [stream[:60]])[0] for w in (weights, trained))
     assert after > 0.5 * before and before < -20
-    h, target = rng.normal(size=(5, lm.HIDDEN)), rng.integers(0, vocabulary.size, 5)
-    wide = {k: v.astype(np.float64) for k, v in weights.items()}
-    grads, _ = lm._output_gradients(wide, vocabulary, h, target)
-    for name, spot in (("class_w", (1, 2)), ("word_w", (3, 1)), ("word_b", (2,))):
-        loss = []
-        for step in (1e-5, -1e-5):
-            moved = {k: v.copy() for k, v in wide.items()}
-            moved[name][spot] += step
-            loss.append(-lm.log_chances(moved, vocabulary, h, target).mean())
-        assert np.isclose((loss[0] - loss[1]) / 2e-5, grads[name][spot], atol=1e-6)
+
+
+def test_lm_gradients_of_all_weights():
+    """Every kind of weight, moved a little up and down over a window of several streams."""
+    rng = np.random.default_rng(1)
+    vocabulary = lm.Vocabulary([b"w%d" % i for i in range(30)] + [lm.END], np.array([*range(60, 30, -1), 5]), 2000, 90)
+    weights = {k: v.astype(np.float64) + rng.normal(0, 0.2, v.shape) for k, v in lm.start_weights(vocabulary).items()}
+    x, y = rng.integers(0, vocabulary.size, (2, 4, 7))
+    x[1, 3] = vocabulary.end
+    state = rng.normal(size=(4, lm.HIDDEN))
+
+    def loss(w):
+        inputs, h, total = w["embed"] @ w["input"] + w["bias"], state, 0.0
+        for t in range(x.shape[1]):
+            h = h * (x[:, t] != vocabulary.end)[:, None]
+            h = lm.gates(h, inputs[x[:, t]], w["state"])[0]
+            total -= lm.log_chances(w, vocabulary, h, y[:, t]).sum()
+        return total / y.size
+
+    g, (words, embed), rows, _ = lm.window_gradients(weights, lm.output_rows(weights), vocabulary, x, y, state)
+    g["embed"] = np.zeros_like(weights["embed"])
+    g["embed"][words] = embed
+    g["word_w"], g["word_b"] = np.zeros_like(weights["word_w"]), np.zeros_like(weights["word_b"])
+    for low, high, v in rows:
+        g["word_w"][:, low:high], g["word_b"][low:high] = v[:, : lm.HIDDEN].T, v[:, lm.HIDDEN]
+    assert g.keys() == weights.keys()
+    for name, values in weights.items():
+        largest = np.argsort(-np.abs(g[name]).ravel())[:4]
+        for flat in [*largest, *rng.integers(0, values.size, 6)]:
+            spot = np.unravel_index(flat, values.shape)
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in weights.items()}
+                moved[name][spot] += step
+                sides.append(loss(moved))
+            assert np.isclose((sides[0] - sides[1]) / 2e-5, g[name][spot], atol=1e-7), (name, spot)
+
+
+def test_lm_scores_equal_one_step_after_the_other():
+    rng = np.random.default_rng(4)
+    vocabulary = lm.Vocabulary([b"w%d" % i for i in range(400)] + [lm.END], np.arange(401, 0, -1), 10**6, 900)
+    weights = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in lm.start_weights(vocabulary).items()}
+    texts = [rng.integers(0, vocabulary.size, n) for n in (0, 1, 31, 32, 33, 100, 5)]
+
+    def slow(text):
+        h, last, total = np.zeros(lm.HIDDEN), vocabulary.end, 0.0
+        sigmoid = lambda v: 1 / (1 + np.exp(-v))
+        for word in text:
+            a = weights["embed"][last] @ weights["input"] + weights["bias"]
+            s = h @ weights["state"]
+            z, r = sigmoid(a[: lm.HIDDEN] + s[: lm.HIDDEN]), sigmoid(a[lm.HIDDEN : 2 * lm.HIDDEN] + s[lm.HIDDEN : 2 * lm.HIDDEN])
+            n = np.tanh(a[2 * lm.HIDDEN :] + r * s[2 * lm.HIDDEN :])
+            h = (1 - z) * n + z * h
+            k = vocabulary.of_class[word]
+            low, high = vocabulary.bounds[k], vocabulary.bounds[k + 1]
+            by_class = h @ weights["class_w"] + weights["class_b"]
+            by_word = h @ weights["word_w"][:, low:high] + weights["word_b"][low:high]
+            total += by_class[k] - np.log(np.exp(by_class).sum()) + by_word[word - low] - np.log(np.exp(by_word).sum())
+            last = word
+        return total / np.log(10)
+
+    assert np.allclose(lm.score_texts(weights, vocabulary, texts), [slow(t) for t in texts], rtol=1e-4, atol=1e-4)
 
 
 def test_quality_on_separable_texts(spark):
