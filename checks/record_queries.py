@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewise.functions.html import canonical_link
 from tablewise.operators import compare, dedup, tables
 from tablewise.operators.ingest import complete_evidence, ingest, split_rejected, validate
 from tablewise.operators.profile import Field, quality_scores
@@ -110,6 +111,34 @@ def export_latest_rows(spark, sf):
     return latest_rows(df).select("record_id", "o_custkey")
 
 
+_LINKS = (
+    ('<link rel="canonical" href="{}">', True),
+    ("<LINK HREF='{}' REL='Canonical'/>", True),
+    ('<link href={} rel=canonical>', True),
+    ('<link rel="alternate" href="x"><link type="a>b" rel="nofollow canonical" href = "{}" >', True),
+    ('<!-- <link rel="canonical" href="{}"> -->', False),
+    ('<link rel="canonical"><link title="rel=canonical" href="{}">', False),
+    ('<script>var t = \'<link rel="canonical" href="{}">\';</script>', False),
+    ('<a rel="canonical" href="{}">canonical</a>', False),
+)
+
+
+@query(
+    "canonical_links",
+    f"""select page_id, case when page_id % {len(_LINKS)} in ({', '.join(str(i) for i, (_, found) in enumerate(_LINKS) if found)})
+        then 'https://canon.example/' || page_id || '?a=1&b=2' end as canonical from pages""",
+)
+def canonical_links(spark, sf):
+    """The pages with a link put into each, in every order and quoting."""
+    k = F.col("page_id")
+    mark = F.lit("")
+    for i, (form, _) in enumerate(_LINKS):
+        before, _, after = form.partition("{}")
+        target = F.concat(F.lit("https://canon.example/"), k.cast("string"), F.lit("?a=1&amp;b=2"))
+        mark = F.when(k % len(_LINKS) == i, F.concat(F.lit(before), target, F.lit(after))).otherwise(mark)
+    return table(spark, sf, "pages").select("page_id", canonical_link(F.concat(mark, F.coalesce("html", F.lit("")))).alias("canonical"))
+
+
 @query(
     "build_sources",
     r"""select page_id, source_url, canonical_url, domain, page_title, 'web' as source_type, retrieval_status, content_hash from (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.html import canonical_link
 from ..functions.urls import authority, url_safety
 from ..table import col
 
@@ -20,9 +21,7 @@ def build_sources(
     checked = pages.withColumn("_safety", url_safety(col(url)))
     safe = F.col("_safety.is_safe")
     text = F.when(safe, body).otherwise(F.lit(""))
-    canonical = F.nullif(
-        F.regexp_extract(col(content), r'(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), F.lit("")
-    )
+    canonical = canonical_link(col(content))
     title = F.nullif(F.regexp_extract(col(content), r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
     return checked.select(
         *[col(c) for c in pages.columns if c not in (url, content)],

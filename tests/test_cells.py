@@ -147,3 +147,30 @@ def test_places(spark):
     assert apply(spark, standard_place, *texts) == [
         "New York City", "San Francisco, CA", "Austin United States", "Bangalore", "usable", "United Kingdom", None,
     ]
+
+
+def test_canonical_links(spark):
+    from tablewise.functions.html import canonical_link
+
+    cases = [
+        (None, None),
+        ("", None),
+        ("<html><head><title>canonical</title></head></html>", None),
+        ('<link rel="canonical" href="u">', "u"),
+        ("<link href='u' rel='canonical'>", "u"),
+        ("<LINK REL=CANONICAL HREF=u/v />", "u/v"),
+        ('<link\n rel="a canonical b"\n href="u?x=1&amp;y=2">', "u?x=1&y=2"),
+        ('<link rel="canonical" href=""><link rel="canonical" href="v"><link rel="canonical" href="w">', "v"),
+        ('<link rel="canonicals" href="u">', None),
+        ('<linker rel="canonical" href="u">', None),
+        ('<link data-rel="canonical" href="u">', None),
+        ('<link title=\'rel="canonical" >\' href="u">', None),
+        ("<link rel=canonical href=\"it's\">", "it's"),
+        ('<!--<link rel="canonical" href="u">--><link rel="canonical" href="v">', "v"),
+        ('<style>link{}</style ><link rel="canonical" href="v">', "v"),
+        ("<link rel=\"canonical\" " + "x " * 50_000 + 'href="far">', "far"),
+        ("<link rel=canonical " + "'" * 50_001, None),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string")
+    got = {r["i"]: r["c"] for r in df.select("i", canonical_link(F.col("h")).alias("c")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
