@@ -29,14 +29,15 @@ PLACE_ALIASES = {
 
 
 def standard_place(c: Column) -> Column:
-    """Standard place name: the alias must be the whole value, come before a
-    comma, or stand as a word. Only whole words are replaced."""
+    """Standard place name, of the first alias in the list that stands in the value.
+
+    An alias stands between blanks or ends of the value; a comma may follow it at the
+    start. All its whole words are then replaced.
+    """
     text = strip(c)
-    low = F.lower(text)
-    spaced = F.concat(F.lit(" "), low, F.lit(" "))
-    result = None
-    for alias, name in PLACE_ALIASES.items():
-        hit = (low == alias) | low.startswith(alias + ",") | spaced.contains(f" {alias} ")
-        swapped = F.regexp_replace(text, rf"(?i)\b{re.escape(alias)}\b", name)
-        result = F.when(hit, swapped) if result is None else result.when(hit, swapped)
-    return result.otherwise(c)
+
+    def named(alias: str) -> Column:
+        stands = r"(?i)^{0}(?=[, ]|\z)|(?<= ){0}(?= |\z)".format(re.escape(alias))
+        return F.when(text.rlike(stands), F.regexp_replace(text, rf"(?i)\b{re.escape(alias)}\b", PLACE_ALIASES[alias]))
+
+    return F.coalesce(*map(named, PLACE_ALIASES), c)

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import formula_guard
 from ..table import as_text, col, data_columns
 
-# Fixed value: rows of the simple export.
-
 
 def csv_rows(
     df: DataFrame,
