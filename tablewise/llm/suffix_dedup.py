@@ -21,7 +21,7 @@ CHUNK = 1 << 17
 PARTS = 4
 PLACE_BITS = 18
 # Bytes of one collection (whole groups; a group may be larger), and of one shuffle bucket.
-COLLECTION = 1 << 18
+COLLECTION = 1 << 17
 BUCKET = 4 << 20
 # A gram with more distinct runs than this is split: its windows are counted one by one.
 HOT_RUNS = 5_000
@@ -106,7 +106,8 @@ class Collection:
     In round r every string that is long enough gives its r-th symbol from the end. The
     symbol goes to where the string's last suffix stands; the order of all symbols is
     then the order of the suffixes that begin with them, which places the suffixes of
-    the next round. A new suffix shares with its neighbour one byte more than their
+    the next round. That order is kept from round to round: old symbols move behind the
+    new ones before them, and each new one is looked up among its equals. A new suffix shares with its neighbour one byte more than their
     remainders do, the least common prefix between those. Common prefixes are cut
     at ``bound``. UTF-8 leaves the highest bytes unused, so a symbol is a byte plus one
     and zero marks the start of a string.
@@ -119,20 +120,18 @@ class Collection:
         ends = np.cumsum(sizes)
         bwt = data[ends - 1]
         common = np.zeros(count, np.uint8)
-        place = np.arange(count)
-        active = np.arange(count)
+        # Places of all symbols but string starts by symbol, where each symbol begins there,
+        # and the rank there of the last symbol of each active string, rising.
+        order = np.argsort(bwt, kind="stable")
+        begins = np.searchsorted(bwt[order], np.arange(257))
+        active, ranks = order, np.arange(count)
         done = 1
         top = np.uint8(bound)
         while len(active):
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.count_nonzero(bwt == 0) :]
-            rank = np.empty(len(bwt), np.int64)
-            rank[order] = np.arange(len(order))
-            ranks = rank[place]
             fresh = count + ranks
             # Common prefixes of the new suffixes and of those right behind them.
-            asked = np.unique(np.concatenate([ranks, ranks + 1]))
-            asked = asked[asked < len(order)]
+            asked = np.stack([ranks, ranks + 1], axis=1).ravel()
+            asked = asked[np.append(asked[1:] > asked[:-1], asked[-1] < len(order))]
             below, here = order[asked - 1], order[asked]
             same = (asked > 0) & (bwt[below] == bwt[here])
             values = np.zeros(len(asked), np.uint8)
@@ -155,8 +154,24 @@ class Collection:
             grown[old] = bwt
             grown[fresh] = symbols
             bwt, common = grown, longer
-            going = left > 0
-            place, active = fresh[going], active[going]
+            going = np.flatnonzero(left > 0)
+            going = going[np.lexsort((fresh[going], symbols[going]))]
+            active, fresh, symbols = active[going], fresh[going], symbols[going]
+            order = np.flatnonzero(old)[order]
+            met = np.bincount(symbols, minlength=256)
+            ranks = np.arange(len(active))
+            at = 0
+            for c in np.flatnonzero(met).tolist():
+                low, high, to = begins[c], begins[c + 1], at + met[c]
+                ranks[at:to] += low + order[low:high].searchsorted(fresh[at:to])
+                at = to
+            begins[1:] += np.cumsum(met)
+            kept = np.ones(len(order) + len(ranks), bool)
+            kept[ranks] = False
+            wider = np.empty(len(kept), np.int64)
+            wider[kept] = order
+            wider[ranks] = fresh
+            order = wider
             done += 1
         self.count, self.sizes, self.bound = count, sizes, bound
         self.bwt, self.common = bwt, common
@@ -199,16 +214,13 @@ def mark_groups(grams: list[int], strings: list[bytes], leads: list[int], length
 
     Ranges of windows that no other string of the group can match are left out, and
     what is left goes into collections of whole groups, of about COLLECTION bytes.
+    Groups go by their longest string, since that decides the rounds of a collection.
     """
     marks = [np.zeros(len(s) - length + 1, bool) for s in strings]
-    waiting: list[tuple[int, int, bytes]] = []
-    size = at = 0
-
-    def build() -> None:
-        for (number, first, _), found in zip(waiting, Collection([w[2] for w in waiting], length).repeated()):
-            marks[number][first : first + len(found)] |= found
-
+    opened: list[list[tuple[int, int, bytes]]] = []
+    at = 0
     while at < len(grams):
+        group: list[tuple[int, int, bytes]] = []
         end = at
         while end < len(grams) and grams[end] == grams[at]:
             end += 1
@@ -225,17 +237,23 @@ def mark_groups(grams: list[int], strings: list[bytes], leads: list[int], length
                     last = stop
                     continue
                 if open_from >= 0:
-                    waiting.append((k, open_from, strings[k][open_from : last + length - 1]))
-                    size += last + length - 1 - open_from
+                    group.append((k, open_from, strings[k][open_from : last + length - 1]))
                 open_from, last = first, stop
             if open_from >= 0:
-                waiting.append((k, open_from, strings[k][open_from : last + length - 1]))
-                size += last + length - 1 - open_from
+                group.append((k, open_from, strings[k][open_from : last + length - 1]))
+        if group:
+            opened.append(group)
         at = end
-        if waiting and (size >= COLLECTION or at == len(grams)):
-            build()
-            waiting.clear()
-            size = 0
+    opened.sort(key=lambda group: max(len(w[2]) for w in group))
+    waiting: list[tuple[int, int, bytes]] = []
+    size = 0
+    for n, group in enumerate(opened, 1):
+        waiting += group
+        size += sum(len(w[2]) for w in group)
+        if size >= COLLECTION or n == len(opened):
+            for (number, first, _), found in zip(waiting, Collection([w[2] for w in waiting], length).repeated()):
+                marks[number][first : first + len(found)] |= found
+            waiting, size = [], 0
     return marks
 
 

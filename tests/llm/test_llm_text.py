@@ -139,6 +139,42 @@ def test_collections_against_counting(seed):
     assert [list(map(bool, m)) for m in marks] == [[seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
 
 
+def test_collections_hold_groups_of_like_length(monkeypatch):
+    """Long strings give a symbol in every round, so short groups must not wait for them."""
+    rng = random.Random(5)
+    text = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    grams, strings = [], []
+    for gram in range(20):
+        shared = text(200 if gram % 2 else 340)
+        grams += [gram, gram]
+        strings += [shared + b"x", shared + b"y"]
+    built = []
+
+    class Spy(suffix_dedup.Collection):
+        def __init__(self, strings, bound):
+            built.append([len(s) for s in strings])
+            super().__init__(strings, bound)
+
+    monkeypatch.setattr(suffix_dedup, "Collection", Spy)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 1000)
+    marks = suffix_dedup.mark_groups(grams, strings, [len(s) - 200 for s in strings], 200)
+    seen = Counter(s[i : i + 200] for s in strings for i in range(len(s) - 199))
+    assert [list(map(bool, m)) for m in marks] == [[seen[s[i : i + 200]] > 1 for i in range(len(s) - 199)] for s in strings]
+    assert len(built) > 5 and sum(max(sizes) - min(sizes) > 100 for sizes in built) <= 1
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_collections_keep_the_order_of_all_suffixes(seed):
+    rng = random.Random(seed)
+    strings = [bytes(rng.choice(b"ab\x00\xf4") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 9))]
+    built = suffix_dedup.Collection(strings, 7)
+    suffixes = sorted((s[k:], n, s[k - 1] + 1 if k else 0) for n, s in enumerate(strings) for k in range(len(s) + 1))
+    # The end of a string stands before all symbols; equal suffixes stand by their strings.
+    assert built.bwt.tolist() == [c for _, _, c in suffixes]
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert built.common.tolist() == [0] + [min(7, shared(a[0], b[0])) for a, b in zip(suffixes, suffixes[1:])]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_runs_hold_every_window_once(seed):
     rng = random.Random(seed)
