@@ -33,6 +33,11 @@ STREAMS = 256
 SCORE_BYTES = 4 << 20
 # Words whose output layer is computed together.
 SETTLED = 1 << 16
+# States whose softmax is computed at a time, and the logits whose exponentials need no shift.
+BLOCK = 1024
+SAFE, LEAST = 60.0, 1e-25
+# Neighbouring classes move together, about so many output rows at a time.
+MOVED = 2048
 COLUMNS = 64
 COUNTER_ROWS = 150_000
 
@@ -118,41 +123,87 @@ def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray
     }
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _softmax(wide: np.ndarray, rows: np.ndarray, target: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Exponentials of ``wide @ rows.T``, their totals, and the logarithms of the chances of ``target`` if there is one.
 
-
-def _log_total(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of the exponentials of each row."""
+    Each row is taken down by its largest value only where some would leave the range of floats.
+    """
+    x = wide @ rows.T
+    wanted = None if target is None else x[np.arange(len(x)), target]
+    if x.max() < SAFE:
+        np.exp(x, out=x)
+        totals = x @ np.ones(len(rows), x.dtype)
+        if totals.min() > LEAST:
+            return x, totals, None if wanted is None else wanted - np.log(totals)
+        x = wide @ rows.T
     top = x.max(axis=1)
-    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+    x -= top[:, None]
+    np.exp(x, out=x)
+    totals = x.sum(axis=1)
+    return x, totals, None if wanted is None else wanted - top - np.log(totals)
 
 
-def gates(h: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-    s = h @ state
-    zr = np.tanh(0.5 * (a[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])) * np.float32(0.5) + np.float32(0.5)
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    c = s[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * c)
-    return n + z * (h - n), z, r, n, c
+def _wide(h: np.ndarray) -> np.ndarray:
+    """``h`` and a column of ones, which meets the bias."""
+    wide = np.empty((len(h), HIDDEN + 1), h.dtype)
+    wide[:, :HIDDEN], wide[:, HIDDEN] = h, 1
+    return wide
 
 
-def log_chances(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each target after state ``h``: its class, then the word in the class."""
-    kinds = vocabulary.of_class[target]
-    by_class = h @ w["class_w"] + w["class_b"]
-    found = (by_class[np.arange(len(target)), kinds] - _log_total(by_class)).astype(np.float64)
-    order = np.argsort(kinds, kind="stable")
-    edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    for k in np.unique(kinds):
-        some = order[edges[k] : edges[k + 1]]
-        low, high = vocabulary.bounds[k], vocabulary.bounds[k + 1]
-        by_word = h[some] @ w["word_w"][:, low:high] + w["word_b"][low:high]
-        found[some] += by_word[np.arange(len(some)), target[some] - low] - _log_total(by_word)
+def _target_logs(wide: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-softmax of ``target`` under the output ``rows``, for each row of ``wide``; BLOCK at a time, so that it stays in cache."""
+    found = np.empty(len(wide), wide.dtype)
+    for a in range(0, len(wide), BLOCK):
+        found[a : a + BLOCK] = _softmax(wide[a : a + BLOCK], rows, target[a : a + BLOCK])[2]
     return found
 
 
+def gates(h: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next state, and both gates and the two parts of the candidate, a row a text."""
+    return tuple(v.T for v in _gate_columns(h.T, a.T, state.T))
+
+
+def _gate_columns(h: np.ndarray, a: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``gates`` with a column a text, so that each gate is one block; ``turned`` is the state weights transposed."""
+    s = turned @ h
+    zr, c = s[: 2 * HIDDEN], s[2 * HIDDEN :]
+    zr += a[: 2 * HIDDEN]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    z, r = zr[:HIDDEN], zr[HIDDEN:]
+    n = r * c
+    n += a[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, c
+
+
+def log_chances(
+    w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray, out: np.ndarray | None = None
+) -> np.ndarray:
+    """Natural log-probability of each target after state ``h``: its class, then the word in the class.
+
+    ``out`` are the ``output_rows`` of ``w``, where they are at hand.
+    """
+    out = output_rows(w) if out is None else out
+    order = np.argsort(target, kind="stable")
+    target, wide = target[order], _wide(h[order])
+    kinds = vocabulary.of_class[target]
+    found = _target_logs(wide, class_rows(w), kinds).astype(np.float64)
+    edges = np.searchsorted(kinds, np.arange(CLASSES + 1)).tolist()
+    bounds = vocabulary.bounds.tolist()
+    for k in np.unique(kinds).tolist():
+        a, b, low, high = edges[k], edges[k + 1], bounds[k], bounds[k + 1]
+        found[a:b] += _target_logs(wide[a:b], out[low:high], target[a:b] - low)
+    unsorted = np.empty_like(found)
+    unsorted[order] = found
+    return unsorted
+
+
 def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence of model words.
 
@@ -162,8 +213,9 @@ def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     sizes = np.array([len(texts[i]) for i in order], np.int64)
     total = np.zeros(len(texts))
-    inputs = w["embed"] @ w["input"] + w["bias"]
-    h = np.zeros((len(texts), HIDDEN), np.float32)
+    inputs, out_rows = w["embed"] @ w["input"] + w["bias"], output_rows(w)
+    turned = np.ascontiguousarray(w["state"].T)
+    h = np.zeros((HIDDEN, len(texts)), np.float32)
     last = np.full(len(texts), vocabulary.end, np.int64)
     flat = np.concatenate([texts[i] for i in order] or [np.zeros(0, np.int64)])
     begins = np.cumsum(sizes) - sizes
@@ -174,20 +226,20 @@ def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, texts: list[np
 
     def settle() -> None:
         states, target, rows = (np.concatenate(x) for x in zip(*waiting))
-        total[: len(texts)] += np.bincount(rows, weights=log_chances(w, vocabulary, states, target), minlength=len(texts))
+        total[: len(texts)] += np.bincount(rows, weights=log_chances(w, vocabulary, states, target, out_rows), minlength=len(texts))
         waiting.clear()
 
     while len(sizes) and at < sizes[0]:
         active = int(np.searchsorted(-sizes, -at, side="left"))
-        h, last = h[:active], last[:active]
+        h, last = h[:, :active], last[:active]
         steps = int(min(WINDOW, sizes[0] - at))
         # Behind the end of a sequence stands whatever follows; it is left out below.
         spots = np.minimum((begins[:active] + at)[:, None] + np.arange(steps), len(flat) - 1)
         target = flat[spots].astype(np.int64)
         states = np.empty((steps, active, HIDDEN), np.float32)
         for t in range(steps):
-            h = gates(h, inputs[last], w["state"])[0]
-            states[t] = h
+            h = _gate_columns(h, inputs[last].T, turned)[0]
+            states[t] = h.T
             last = target[:, t]
         real = np.arange(at, at + steps)[:, None] < sizes[:active]
         rows = np.broadcast_to(np.arange(active), real.shape)[real]
@@ -218,67 +270,98 @@ def window_gradients(w: dict[str, np.ndarray], out: np.ndarray, vocabulary: Voca
     spots = spots.reshape(x.shape)
     embed = w["embed"][words]
     inputs = embed @ w["input"] + w["bias"]
-    kept, states = [], np.empty((steps, streams, HIDDEN), kind)
+    turned = np.ascontiguousarray(w["state"].T)
+    keep = (x.T != vocabulary.end)[:, None, :].astype(kind)
+    # A column a stream, as in the gates.
+    h0, states, z, r, n, c = (np.empty((steps, HIDDEN, streams), kind) for _ in range(6))
+    h = h.T
     for t in range(steps):
-        keep = (x[:, t] != vocabulary.end)[:, None].astype(kind)
-        h = h * keep
-        new, z, r, n, c = gates(h, inputs[spots[:, t]], w["state"])
-        kept.append((keep, h, z, r, n, c))
-        h = states[t] = new
-    g, rows, back = _output_gradients(w, out, vocabulary, states.reshape(-1, HIDDEN), y.T.reshape(-1))
-    back = back.reshape(steps, streams, HIDDEN)
-    g["state"] = np.zeros_like(w["state"])
-    moved = np.empty((steps, streams, 3 * HIDDEN), kind)
-    onward = np.zeros((streams, HIDDEN), kind)
+        np.multiply(h, keep[t], out=h0[t])
+        h, z[t], r[t], n[t], c[t] = _gate_columns(h0[t], inputs[spots[:, t]].T, turned)
+        states[t] = h
+    g, rows, back = _output_gradients(w, out, vocabulary, states.transpose(0, 2, 1).reshape(-1, HIDDEN), y.T.reshape(-1))
+    back = np.ascontiguousarray(back.reshape(steps, streams, HIDDEN).transpose(0, 2, 1))
+    # What a change of the state is worth to each gate, for all steps.
+    to_n = (1 - z) * (1 - n * n)
+    to_z = (h0 - n) * z * (1 - z)
+    to_r = c * r * (1 - r)
+    moved, through = (np.empty((steps, 3 * HIDDEN, streams), kind) for _ in range(2))
+    onward = np.zeros((HIDDEN, streams), kind)
     for t in range(steps - 1, -1, -1):
-        keep, h0, z, r, n, c = kept[t]
-        d = back[t] + onward
-        dz = d * (h0 - n) * z * (1 - z)
-        dn = d * (1 - z) * (1 - n * n)
-        here = moved[t]
-        here[:, :HIDDEN], here[:, HIDDEN : 2 * HIDDEN], here[:, 2 * HIDDEN :] = dz, dn * c * r * (1 - r), dn
-        ds = here.copy()
-        ds[:, 2 * HIDDEN :] *= r
-        g["state"] += h0.T @ ds
-        onward = (d * z + ds @ w["state"].T) * keep
+        d = onward
+        d += back[t]
+        here, ds = moved[t], through[t]
+        dn = here[2 * HIDDEN :]
+        np.multiply(d, to_z[t], out=here[:HIDDEN])
+        np.multiply(d, to_n[t], out=dn)
+        np.multiply(dn, to_r[t], out=here[HIDDEN : 2 * HIDDEN])
+        ds[: 2 * HIDDEN] = here[: 2 * HIDDEN]
+        np.multiply(dn, r[t], out=ds[2 * HIDDEN :])
+        onward = w["state"] @ ds
+        d *= z[t]
+        onward += d
+        onward *= keep[t]
+    g["state"] = np.matmul(h0, through.transpose(0, 2, 1)).sum(axis=0)
+    g["bias"] = moved.sum(axis=(0, 2))
+    g["input"] = np.matmul(embed[spots.T].transpose(0, 2, 1), moved.transpose(0, 2, 1)).sum(axis=0)
     met = spots.T.reshape(-1)
     order = np.argsort(met, kind="stable")
     begins = np.flatnonzero(np.diff(met[order], prepend=-1))
-    table = np.add.reduceat(moved.reshape(-1, 3 * HIDDEN)[order], begins)
-    g["bias"] = table.sum(axis=0)
-    g["input"] = embed.T @ table
-    return g, (words, table @ w["input"].T), rows, h
+    by_spot = np.matmul(w["input"], moved).transpose(0, 2, 1).reshape(-1, EMBED)
+    return g, (words, np.add.reduceat(by_spot[order], begins)), rows, h.T
 
 
 def _output_gradients(w, out: np.ndarray, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray):
-    """Gradients for the class weights, for the output rows of the classes met, and for ``h``."""
+    """Gradients for the class weights, for the output rows of the classes met, and for ``h``.
+
+    Classes that lie side by side share a block of rows, of about MOVED rows.
+    """
     n = len(target)
     order = np.argsort(target, kind="stable")
-    target, h = target[order], h[order]
+    target, wide = target[order], _wide(h[order])
     kinds = vocabulary.of_class[target]
-    chance = _softmax(h @ w["class_w"] + w["class_b"])
-    chance[np.arange(n), kinds] -= 1
-    chance /= n
-    g = {"class_w": h.T @ chance, "class_b": chance.sum(axis=0)}
-    back = chance @ w["class_w"].T
-    wide = np.concatenate([h, np.ones((n, 1), h.dtype)], axis=1)
+    classes = class_rows(w)
+    back, by_class = np.empty((n, HIDDEN), h.dtype), np.zeros_like(classes)
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        back[a:b], x, part = _softmax_gradients(wide[a:b], classes, kinds[a:b], n)
+        by_class += x.T @ part
     edges = np.searchsorted(kinds, np.arange(CLASSES + 1)).tolist()
-    rows = []
+    bounds = vocabulary.bounds.tolist()
+    moved = np.empty_like(out)
+    blocks: list[list[int]] = []
     for k in np.unique(kinds).tolist():
-        a, b = edges[k], edges[k + 1]
-        low, high = int(vocabulary.bounds[k]), int(vocabulary.bounds[k + 1])
-        held = out[low:high]
-        part = wide[a:b] @ held.T
-        part -= part.max(axis=1, keepdims=True)
-        np.exp(part, out=part)
-        part /= part.sum(axis=1, keepdims=True)
-        part[np.arange(b - a), target[a:b] - low] -= 1
-        part /= n
-        rows.append((low, high, part.T @ wide[a:b]))
-        back[a:b] += part @ held[:, :HIDDEN]
+        a, b, low, high = edges[k], edges[k + 1], bounds[k], bounds[k + 1]
+        more, x, part = _softmax_gradients(wide[a:b], out[low:high], target[a:b] - low, n)
+        back[a:b] += more
+        np.matmul(x.T, part, out=moved[low:high])
+        if blocks and blocks[-1][1] == low and high - blocks[-1][0] <= MOVED:
+            blocks[-1][1] = high
+        else:
+            blocks.append([low, high])
+    rows = [(low, high, moved[low:high]) for low, high in blocks]
     unsorted = np.empty_like(back)
     unsorted[order] = back
-    return g, rows, unsorted
+    return {"class_w": by_class[:, :HIDDEN].T, "class_b": by_class[:, HIDDEN]}, rows, unsorted
+
+
+def _softmax_gradients(wide: np.ndarray, rows: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Gradient for the states, of a mean over ``n``, and the two factors of that of the output ``rows``.
+
+    The chances stay exponentials; their totals divide the narrow sides of the products.
+    """
+    x, totals, _ = _softmax(wide, rows)
+    x[np.arange(len(x)), target] -= totals
+    totals *= n
+    wide = wide / totals[:, None]
+    back = x @ rows[:, :HIDDEN]
+    back /= totals[:, None]
+    return back, x, wide
+
+
+def class_rows(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights and bias of each class, one row a class."""
+    return np.concatenate([w["class_w"].T, w["class_b"][:, None]], axis=1)
 
 
 def output_rows(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -304,18 +387,17 @@ def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray,
     h = np.zeros((streams, HIDDEN), np.float32)
 
     def move(m: np.ndarray, s: np.ndarray, v: np.ndarray, step: int) -> np.ndarray:
-        """What Adam takes off the weights; the moments change in place."""
+        """What Adam takes off the weights; the moments, kept as 10 and 1,000 fold sums, change in place."""
+        unit = ((1 - 0.999**step) / 0.001) ** 0.5
         m *= np.float32(0.9)
-        m += np.float32(0.1) * v
+        m += v
         s *= np.float32(0.999)
         v *= v
-        v *= np.float32(0.001)
         s += v
-        np.divide(s, np.float32(1 - 0.999**step), out=v)
-        np.sqrt(v, out=v)
-        v += np.float32(1e-8)
+        np.sqrt(s, out=v)
+        v += np.float32(1e-8 * unit)
         np.divide(m, v, out=v)
-        v *= np.float32(rate / (1 - 0.9**step))
+        v *= np.float32(0.1 * unit * rate / (1 - 0.9**step))
         return v
 
     for step, at in enumerate(range(0, length, WINDOW), 1):
@@ -324,8 +406,9 @@ def train(w: dict[str, np.ndarray], vocabulary: Vocabulary, stream: np.ndarray,
         parts = [*g.values(), embed, *(v for _, _, v in rows)]
         size = np.sqrt(sum(float(np.vdot(v, v)) for v in parts))
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-        for v in parts:
-            v *= scale
+        if scale < 1:
+            for v in parts:
+                v *= scale
         for k, v in g.items():
             w[k] -= move(first[k], second[k], v, step)
         m, s = first["embed"][words], second["embed"][words]

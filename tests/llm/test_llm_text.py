@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -444,6 +445,59 @@ def test_lm_gradients_of_all_weights():
             assert np.isclose((sides[0] - sides[1]) / 2e-5, g[name][spot], atol=1e-7), (name, spot)
 
 
+def test_lm_output_layer_in_small_pieces():
+    """No array of all states by all classes, which would leave the cache; neighbouring classes move together."""
+    rng = np.random.default_rng(2)
+    vocabulary = lm.Vocabulary([b"w%d" % i for i in range(5000)] + [lm.END], np.arange(5001, 0, -1), 10**8, 9000)
+    weights = {k: v.astype(np.float32) for k, v in lm.start_weights(vocabulary).items()}
+    target = rng.integers(0, vocabulary.size, 1 << 15)
+    states = rng.normal(0, 0.3, (len(target), lm.HIDDEN)).astype(np.float32)
+    tracemalloc.start()
+    found = lm.log_chances(weights, vocabulary, states, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(found).all() and peak < len(target) * lm.CLASSES * 4
+    x, y = rng.integers(0, vocabulary.size, (2, 64, lm.WINDOW))
+    out = lm.output_rows(weights)
+    _, _, rows, _ = lm.window_gradients(weights, out, vocabulary, x, y, np.zeros((64, lm.HIDDEN), np.float32))
+    met = np.unique(vocabulary.of_class[y])
+    covered = sorted(k for low, high, _ in rows for k in set(vocabulary.of_class[low:high]))
+    assert covered == met.tolist() and len(rows) < len(met) / 2
+    assert all(len(v) == high - low for low, high, v in rows)
+
+
+@pytest.mark.parametrize("shift", [0.0, 300.0, -300.0])
+@pytest.mark.parametrize("spread", [1.0, 80.0])
+def test_lm_chances_far_from_one(shift, spread):
+    """Logits whose exponentials are no floats."""
+    rng = np.random.default_rng(3)
+    vocabulary = lm.Vocabulary([b"w%d" % i for i in range(400)] + [lm.END], np.arange(401, 0, -1), 10**6, 900)
+    weights = lm.start_weights(vocabulary)
+    for name in ("class_w", "word_w"):
+        weights[name] = rng.normal(0, spread, weights[name].shape).astype(np.float32)
+    for name in ("class_b", "word_b"):
+        weights[name] = weights[name] + np.float32(shift)
+    target = rng.integers(0, vocabulary.size, 2500)
+    h = rng.uniform(-1, 1, (len(target), lm.HIDDEN)).astype(np.float32)
+    wide = {k: v.astype(np.float64) for k, v in weights.items()}
+
+    def slow(state, word):
+        total = 0.0
+        k = vocabulary.of_class[word]
+        low, high = vocabulary.bounds[k], vocabulary.bounds[k + 1]
+        for logits, at in (
+            (state @ wide["class_w"] + wide["class_b"], k),
+            (state @ wide["word_w"][:, low:high] + wide["word_b"][low:high], word - low),
+        ):
+            total += logits[at] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+        return total
+
+    want = [slow(a, b) for a, b in zip(h.astype(np.float64), target)]
+    assert np.allclose(lm.log_chances(weights, vocabulary, h, target), want, rtol=1e-4, atol=2e-3)
+    g, rows, back = lm._output_gradients(weights, lm.output_rows(weights), vocabulary, h, target)
+    assert all(np.isfinite(v).all() for v in (*g.values(), back, *(v for _, _, v in rows)))
+
+
 def test_lm_scores_equal_one_step_after_the_other():
     rng = np.random.default_rng(4)
     vocabulary = lm.Vocabulary([b"w%d" % i for i in range(400)] + [lm.END], np.arange(401, 0, -1), 10**6, 900)
