@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tablewise.llm.common import LOWER, bucket_of, cut, map_rows
+from tablewise.llm.common import block_sizes, bucket_of, cut
 
 # The end of a document; no word holds a blank.
 END = b" "
@@ -38,35 +38,48 @@ BLOCK = 1024
 SAFE, LEAST = 60.0, 1e-25
 # Neighbouring classes move together, about so many output rows at a time.
 MOVED = 2048
-COLUMNS = 64
-COUNTER_ROWS = 150_000
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of the text with A-Z lower-cased, then the end."""
-    words = (text or b"").translate(LOWER).split()
-    words.append(END)
-    return words
+# Weights that travel as one row.
+CHUNK = 1024
+# Bytes of text whose words are counted together.
+COUNT_BYTES = 16 << 20
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts end to end, with A-Z lower-cased, and how many each text has; the ends are left out."""
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        texts = texts.view(pa.string())
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().cast(pa.binary())
+    many = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    # A text without words is split into one empty string.
+    blank = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
+    if blank.any():
+        many[blank] = 0
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words, many
+
+
+def with_ends(found: np.ndarray, many: np.ndarray, end: int) -> np.ndarray:
+    """``found``, a value of each word, with ``end`` behind the words of each text."""
+    out = np.full(len(found) + len(many), end, found.dtype)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(many + 1) - 1] = False
+    out[inside] = found
+    return out
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token binary, n) over all documents; a task adds up its words before the shuffle."""
 
-    def flush(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for body in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(words_of(body))
-                if len(counts) > COUNTER_ROWS:
-                    yield flush(counts)
-                    counts = Counter()
-        if counts:
-            yield flush(counts)
+            for first, rows in block_sizes(batch, batch.num_rows, COUNT_BYTES):
+                counts = pc.value_counts(split_words(batch.column(0).slice(first, rows))[0])
+                tokens = pa.concat_arrays([counts.field("values"), pa.array([END], pa.binary())])
+                yield pa.RecordBatch.from_arrays(
+                    [tokens, pa.concat_arrays([counts.field("counts"), pa.array([rows], pa.int64())])], names=["token", "n"]
+                )
 
     return docs.select(text).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -81,10 +94,9 @@ class Vocabulary:
     distinct: int
 
     def __post_init__(self) -> None:
-        self.place = {w: i for i, w in enumerate(self.words)}
         self.logs = np.log10(self.counts + 1.0)
         # Model word of each head word. Words are numbered by class; one is "any other word".
-        end = self.place.get(END)
+        self.end_place = self.words.index(END) if END in self.words else -1
         n = self.counts.astype(np.float64)
         rest = max(self.total - n.sum(), 0) + 1.0
         mass = np.concatenate([[rest], n])
@@ -93,7 +105,7 @@ class Vocabulary:
         number[order] = np.arange(len(mass))
         self.model = number[1:]
         self.other = int(number[0])
-        self.end = int(self.model[end]) if end is not None else self.other
+        self.end = int(self.model[self.end_place]) if self.end_place >= 0 else self.other
         self.mass = mass[order]
         spread = np.sqrt(self.mass)
         self.of_class = np.minimum(np.floor(CLASSES * (np.cumsum(spread) - spread) / spread.sum()), CLASSES - 1).astype(np.int64)
@@ -102,6 +114,10 @@ class Vocabulary:
         # Words outside the model share the chance of "any other" by their counts plus one.
         self.other_total = self.total - n.sum() + self.distinct - len(self.words) + 1
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Number of each word among the head words, -1 for all others."""
+        return pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, pa.binary())), -1).to_numpy(zero_copy_only=False)
+
 
 def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     """Random weights whose output is the unigram distribution of the counts."""
@@ -444,22 +460,32 @@ class LanguageModel:
 def _average(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndarray], text: str, shards: int) -> dict[str, np.ndarray]:
     """Weights trained on each shard of ``docs`` from the same start, averaged by words seen.
 
-    A shard trains in its own task. The weights are added up by chunk in one hash
-    aggregation; their number does not depend on the input.
+    Documents go to their shards as numbers of model words, and a shard trains in its own
+    task. Its weights travel as chunks of floats, each of which is added up in one task as
+    they arrive; their number does not depend on the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    names = [f"v{k}" for k in range(COLUMNS)]
+    kind = np.min_scalar_type(vocabulary.size)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, _ = shared.value
+        model = np.append(vocabulary.model, vocabulary.other).astype(kind)
+        for batch in batches:
+            for first, rows in block_sizes(batch, batch.num_rows, SCORE_BYTES):
+                words, many = split_words(batch.column(0).slice(first, rows))
+                ids = model[with_ends(vocabulary.places(words), many, vocabulary.end_place)]
+                edges = np.append(0, np.cumsum(many + 1)) * kind.itemsize
+                buffers = [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), rows, buffers).cast(pa.binary())], names=["ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, now = shared.value
         held: list[np.ndarray] = []
         waiting = seen = 0
-        place, model = vocabulary.place, np.append(vocabulary.model, vocabulary.other)
         for batch in batches:
-            for body in batch.column(0).cast(pa.binary()).to_pylist():
-                ids = model[[place.get(w, -1) for w in words_of(body)]].astype(np.int32)
-                held.append(ids)
-                waiting += len(ids)
+            for body in batch.column(0).to_pylist():
+                held.append(np.frombuffer(body, kind))
+                waiting += len(held[-1])
                 if waiting > 2 * SHARD_TOKENS:
                     now = train(now, vocabulary, np.concatenate(held).astype(np.int64))
                     seen, waiting, held = seen + waiting, 0, []
@@ -467,21 +493,34 @@ def _average(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndar
             now = train(now, vocabulary, np.concatenate(held).astype(np.int64))
             seen += waiting
         if seen:
-            flat = _flat(now) * np.float32(seen)
-            flat = np.append(flat, np.zeros(-len(flat) % COLUMNS, np.float32)).reshape(-1, COLUMNS)
+            flat = _flat(now)
+            chunks = [flat[a : a + CHUNK].tobytes() for a in range(0, len(flat), CHUNK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), seen, np.int64))]
-                + [pa.array(flat[:, k]) for k in range(COLUMNS)],
-                names=["chunk", "seen", *names],
+                [
+                    pa.array(np.arange(len(chunks), dtype=np.int32)),
+                    pa.array(np.full(len(chunks), seen, np.int64)),
+                    pa.array(chunks, pa.binary()),
+                ],
+                names=["chunk", "seen", "part"],
             )
 
-    schema = "chunk int, seen long, " + ", ".join(f"{n} float" for n in names)
-    parts = docs.select(text).repartition(shards).mapInArrow(run, schema)
-    rows = parts.groupBy("chunk").agg(F.sum("seen").alias("seen"), *[F.sum(n).alias(n) for n in names]).orderBy("chunk").toArrow()
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        totals: dict[int, int] = {}
+        for batch in batches:
+            for chunk, seen, part in zip(*(c.to_pylist() for c in batch.columns)):
+                more = np.frombuffer(part, np.float32) * float(seen)
+                sums[chunk] = sums[chunk] + more if chunk in sums else more
+                totals[chunk] = totals.get(chunk, 0) + seen
+        if sums:
+            means = [(sums[c] / totals[c]).astype(np.float32).tobytes() for c in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], names=["chunk", "mean"])
+
+    parts = docs.select(text).mapInArrow(encode, "ids binary").repartition(shards).mapInArrow(run, "chunk int, seen long, part binary")
+    rows = parts.repartition("chunk").mapInArrow(add_up, "chunk int, mean binary").toArrow().sort_by("chunk")
     if not rows.num_rows:
         return weights
-    sums = np.stack([rows[n].to_numpy() for n in names], axis=1)
-    return _unflat((sums / rows["seen"].to_numpy()[:, None]).ravel(), weights)
+    return _unflat(np.frombuffer(b"".join(rows["mean"].to_pylist()), np.float32), weights)
 
 
 def frequent_words(counts: DataFrame) -> list:
@@ -523,6 +562,18 @@ def fit_model(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     return LanguageModel(vocabulary, weights, counts)
 
 
+def _rare_words(words: pa.Array, found: np.ndarray, many: np.ndarray, end: int) -> pa.MapArray:
+    """Each text's words without a place, and how often they occur in it."""
+    rare, row = words.filter(pa.array(found < 0)), np.repeat(np.arange(len(many)), many)[found < 0]
+    if end < 0:
+        rare, row = pa.concat_arrays([rare, pa.array([END] * len(many), pa.binary())]), np.append(row, np.arange(len(many)))
+    coded = rare.dictionary_encode()
+    pairs, times = np.unique(row * len(rare) + coded.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(pairs, max(len(rare), 1))
+    edges = np.searchsorted(row, np.arange(len(many) + 1)).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(edges), coded.dictionary.take(pa.array(code)), pa.array(times, pa.int32()))
+
+
 def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -537,36 +588,30 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
     v = model.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast((v, model.weights))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
-        place, logs = vocabulary.place, np.append(vocabulary.logs, 0.0)
-        to_model = np.append(vocabulary.model, vocabulary.other)
-
-        def block(rows):
-            facts, texts = [], []
-            for uid, doc, body in rows:
-                words = words_of(body)
-                at = np.array([place.get(w, -1) for w in words], np.int64)
+        logs, to_model = np.append(vocabulary.logs, 0.0), np.append(vocabulary.model, vocabulary.other)
+        for batch in batches:
+            for first, rows in block_sizes(batch, 2048, SCORE_BYTES):
+                part = batch.slice(first, rows)
+                words, many = split_words(part.column(2))
+                found = vocabulary.places(words)
+                at = with_ends(found, many, vocabulary.end_place)
                 ids = to_model[at]
-                other = ids == vocabulary.other
-                rare = Counter(words[i] for i in np.flatnonzero(at < 0))
-                facts.append(
-                    (
-                        uid,
-                        doc,
-                        len(words),
-                        int((at >= 0).sum()),
-                        float(logs[at].sum()),
-                        int(other.sum()),
-                        float(logs[at[other]].sum()),
-                        list(rare.items()),
-                    )
+                edges = np.cumsum(many + 1)
+                begins, rare, other = edges - many - 1, at < 0, ids == vocabulary.other
+                columns = [
+                    many + 1,
+                    np.add.reduceat(~rare, begins, dtype=np.int64),
+                    np.add.reduceat(logs[at], begins),
+                    np.add.reduceat(other, begins, dtype=np.int64),
+                    np.add.reduceat(np.where(other, logs[at], 0.0), begins),
+                    score_texts(weights, vocabulary, np.split(ids, edges[:-1])),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *(pa.array(c) for c in columns), _rare_words(words, found, many, vocabulary.end_place)],
+                    names=["uid", key, "n_tokens", "known", "logs", "others", "other_logs", "model", "rare"],
                 )
-                texts.append(ids.astype(np.int32))
-            for fact, score in zip(facts, score_texts(weights, vocabulary, texts)):
-                yield (*fact[:7], float(score), fact[7])
-
-        return block
 
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.monotonically_increasing_id().alias("uid"), key, text)
@@ -574,7 +619,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
         f"uid long, `{key}` {kind}, n_tokens long, known long, logs double, others long, other_logs double, model double,"
         " rare map<binary,int>"
     )
-    facts = cut(map_rows(named, make, schema, (text,), rows=2048, most=SCORE_BYTES))
+    facts = cut(named.mapInArrow(run, schema))
     rare = facts.select("uid", F.explode("rare").alias("token", "times"))
     met = (
         rare.join(model.counts, "token")

@@ -9,6 +9,8 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,6 +380,56 @@ def test_lm_trains_on_every_training_document_once(spark, monkeypatch):
     assert sorted(seen) == [k for k in range(300) if zlib.crc32(str(k).encode()) % 7 != 2]
 
 
+def test_lm_splits_whole_blocks_as_the_contract_does():
+    texts = [b"Ab  aB\x0bC\x1cd", None, b"", b" \t\r\n", b" \xc3\x89 e\x85 \x00 \x0c", bytes(range(256)), b"ab"]
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t or b"")) for t in texts]
+    for column in (pa.array(texts, pa.binary()), pa.array(texts, pa.binary()).view(pa.string())):
+        words, many = lm.split_words(column)
+        assert words.to_pylist() == sum(want, []) and many.tolist() == [len(w) for w in want]
+    numbers = lm.with_ends(np.arange(len(words)), many, -1)
+    assert [x.tolist() for x in np.split(numbers, np.flatnonzero(numbers == -1) + 1)[:-1]] == [
+        [*range(a, a + n), -1] for a, n in zip(np.cumsum(many) - many, many.tolist())
+    ]
+    for end in (-1, 0):
+        rare = lm._rare_words(words, np.where(pc.equal(words, b"ab"), 3, -1), many, end).to_pylist()
+        expected = [Counter(x for x in w if x != b"ab") + Counter([lm.END] * (end < 0)) for w in want]
+        assert [Counter(dict(r)) for r in rare] == expected
+
+
+def test_lm_exchanges_numbers_and_floats(spark, monkeypatch):
+    """Two bytes a word and four a weight, not texts and double sums."""
+    docs = frame(spark, [(k, " ".join(f"a word{k} of some length %d" % (i % 70) for i in range(40))) for k in range(60)])
+    dealt, plain = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *a: (dealt.append(self), plain(self, *a))[1])
+    words = [b"a", b"of", b"some", b"length", lm.END, *(b"%d" % i for i in range(70)), *(b"x%d" % i for i in range(400))]
+    vocabulary = lm.Vocabulary(words, np.arange(len(words), 0, -1), 10**5, 900)
+    start = lm.start_weights(vocabulary)
+    after = lm._average(docs, vocabulary, start, "text", 3)
+    ids, parts = (d.collect() for d in dealt)
+    assert sum(len(r.ids) for r in ids) == 2 * 60 * (40 * 6 + 1)
+    size = sum(v.size for v in start.values())
+    shards = {r.seen for r in parts}
+    assert sum(len(r.part) for r in parts) == 4 * size * sum(r.chunk == 0 for r in parts) and sum(r.seen for r in parts if r.chunk == 0) == 60 * 241
+    assert shards and all(np.isfinite(v).all() and v.shape == start[k].shape and (v != start[k]).any() for k, v in after.items())
+
+
+def test_lm_averages_by_words_seen(spark, monkeypatch):
+    """One shard a document, each trained alone from the same start."""
+    vocabulary = lm.Vocabulary([b"a", b"b", lm.END], np.array([50, 40, 10]), 100, 5)
+    start = lm.start_weights(vocabulary)
+    texts = ["a b a a", "b " * 700]
+    streams = [vocabulary.model[[0, 1, 0, 0, 2]], vocabulary.model[[1] * 700 + [2]]]
+    alone = [lm.train(start, vocabulary, s.astype(np.int64)) for s in streams]
+    deal = type(spark.range(1)).repartition
+    # Dealt by text length, so that no two texts meet in one shard.
+    by_length = lambda self, *a: self.repartitionByRange(2, F.length("ids")) if "ids" in self.columns else deal(self, *a)
+    monkeypatch.setattr(type(spark.range(1)), "repartition", by_length)
+    found = lm._average(frame(spark, list(enumerate(texts))), vocabulary, start, "text", 2)
+    for k in start:
+        want = sum(w[k].astype(np.float64) * len(s) for w, s in zip(alone, streams)) / sum(map(len, streams))
+        assert np.allclose(found[k], want, atol=1e-5), k
+
+
 def test_lm_models_every_head_word():
     words = [b"w%d" % i for i in range(3000)] + [lm.END]
     vocabulary = lm.Vocabulary(words, np.arange(len(words), 0, -1), 10**7, 4000)
