@@ -29,8 +29,8 @@ SHARD_TOKENS = 1_500_000
 # Texts read side by side in training. A step moves all weights it meets once, so few
 # streams make many dear steps.
 STREAMS = 256
-# Bytes of text that are scored side by side; a longer text goes alone.
-SCORE_BYTES = 4 << 20
+# Bytes of text that are counted, encoded or scored side by side; a longer text goes alone.
+BLOCK_BYTES = 4 << 20
 # Words whose output layer is computed together.
 SETTLED = 1 << 16
 # States whose softmax is computed at a time, and the logits whose exponentials need no shift.
@@ -40,8 +40,6 @@ SAFE, LEAST = 60.0, 1e-25
 MOVED = 2048
 # Weights that travel as one row.
 CHUNK = 1024
-# Bytes of text whose words are counted together.
-COUNT_BYTES = 16 << 20
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -74,7 +72,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows in block_sizes(batch, batch.num_rows, COUNT_BYTES):
+            for first, rows in block_sizes(batch, batch.num_rows, BLOCK_BYTES):
                 counts = pc.value_counts(split_words(batch.column(0).slice(first, rows))[0])
                 tokens = pa.concat_arrays([counts.field("values"), pa.array([END], pa.binary())])
                 yield pa.RecordBatch.from_arrays(
@@ -471,7 +469,7 @@ def _average(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndar
         vocabulary, _ = shared.value
         model = np.append(vocabulary.model, vocabulary.other).astype(kind)
         for batch in batches:
-            for first, rows in block_sizes(batch, batch.num_rows, SCORE_BYTES):
+            for first, rows in block_sizes(batch, batch.num_rows, BLOCK_BYTES):
                 words, many = split_words(batch.column(0).slice(first, rows))
                 ids = model[with_ends(vocabulary.places(words), many, vocabulary.end_place)]
                 edges = np.append(0, np.cumsum(many + 1)) * kind.itemsize
@@ -592,7 +590,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
         vocabulary, weights = shared.value
         logs, to_model = np.append(vocabulary.logs, 0.0), np.append(vocabulary.model, vocabulary.other)
         for batch in batches:
-            for first, rows in block_sizes(batch, 2048, SCORE_BYTES):
+            for first, rows in block_sizes(batch, 2048, BLOCK_BYTES):
                 part = batch.slice(first, rows)
                 words, many = split_words(part.column(2))
                 found = vocabulary.places(words)
